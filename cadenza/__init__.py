@@ -1,0 +1 @@
+"""Analytics of sensor series recorded on repeated circuits, as Spark DataFrames."""

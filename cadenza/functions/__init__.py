@@ -1,0 +1 @@
+"""Column builders: no Python runs on rows."""

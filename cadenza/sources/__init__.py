@@ -1,0 +1 @@
+"""Readers of activity files, listings, weather and maps; each returns lazy tables."""
