@@ -13,7 +13,7 @@ def interval_join(points: DataFrame, intervals: DataFrame, keys: tuple[str, ...]
     join is on equality. Columns of intervals must not clash but for the keys.
     """
     bucket = lambda x: F.floor(x / width).cast("long")
-    right = intervals.withColumns({"_a": bucket(F.col(start)), "_b": bucket(F.col(end))}).where("_a <= _b").withColumn("_bucket", F.explode(F.sequence("_a", "_b"))).drop("_a", "_b")
+    right = intervals.where(F.col(start) <= F.col(end)).withColumn("_bucket", F.explode(F.sequence(bucket(F.col(start)), bucket(F.col(end)))))
     right = right.withColumnsRenamed({k: f"_{k}" for k in keys})
     left = points.withColumn("_at", at).withColumn("_cell", bucket(F.col("_at")))
     on = [left[k].eqNullSafe(right[f"_{k}"]) for k in keys] + [left["_cell"] == right["_bucket"], left["_at"] >= right[start], (left["_at"] < right[end]) if right_open else (left["_at"] <= right[end])]

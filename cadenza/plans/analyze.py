@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cadenza.config import ModelConfig, ride_settings
 from cadenza.plans import calibrate, compare, findings, laps, mean_lap, power, prepare, race_window, sectors, summary, surges, turns, weather
+from cadenza.plans.staging import Staging
 
 TABLES = ("grid", "wind", "series", "laps", "mean_lap", "turns", "turn_events", "sector_cells", "sector_totals", "surges", "headings", "summary", "finale", "hr", "shape", "fitness", "circuit", "compare", "findings", "race_window", "lap_info", "phases")
 
@@ -17,34 +18,35 @@ def settings_of(rides: DataFrame, density: DataFrame, config: ModelConfig, overr
     return chosen.join(density.select("ride_id", "rho"), "ride_id")
 
 
-def analyze(samples: DataFrame, rides: DataFrame, weather_hours: DataFrame | None = None, config: ModelConfig = ModelConfig(), override: dict[str, Column] | None = None, window: bool = False) -> dict[str, DataFrame]:
-    """All tables of the report by name. ``grid`` and ``series`` feed eight or more of them and are cached; unpersist them when done.
+def analyze(samples: DataFrame, rides: DataFrame, weather_hours: DataFrame | None = None, config: ModelConfig = ModelConfig(), override: dict[str, Column] | None = None, window: bool = False, folder: str | None = None) -> dict[str, DataFrame]:
+    """All tables of the report by name. Those that others are made from are written to ``folder`` (by default a new
+    one in the shared folder) and read back, so that no plan grows with the length of the report; the rest are lazy.
 
     ``rides`` may carry a ``site`` that ``weather_hours`` knows. With
     ``window`` the search of the race within the recording is added.
     """
     if "site" not in rides.columns:
         rides = rides.withColumn("site", F.lit(None).cast("string"))
-    grid = prepare.prepare(samples, rides, config).persist()
-    density = weather.ride_density(grid, rides, weather_hours, config)
-    settings = settings_of(rides, density, config, override)
-    nothing = F.lit(None).cast("double")
+    keep = Staging(samples.sparkSession, folder).put
+    grid = keep(prepare.prepare(samples, rides, config), "grid")
+    settings = keep(settings_of(rides, weather.ride_density(grid, rides, weather_hours, config), config, override), "settings")
     if weather_hours is not None and config.wind_source == "weather":
         blown = weather.with_wind(grid, rides, weather_hours, config)
     else:
-        blown = grid.withColumns({"we": nothing, "wn": nothing})
+        blown = grid.withColumns({c: F.lit(None).cast("double") for c in ("we", "wn")})
     blown = blown.join(settings, "ride_id")
-    wind = calibrate.resolve_wind(blown, config)
-    series = power.ride_series(blown, wind, config).persist()
-    bounds = laps.detect_laps(grid, rides, prepare.markers(rides, samples, grid, config), config).persist()
-    line = mean_lap.mean_lap(grid, bounds).persist()
-    corners, events = turns.detect_turns(grid, bounds, line, config)
-    events = turns.price_passes(events, series)
-    corners = turns.price_turns(corners, events).persist()
-    cells, totals = sectors.build_sectors(series, bounds, corners, config)
-    efforts = surges.detect_surges(series, bounds, corners, events, config).persist()
-    lap_rows = summary.summarise_laps(series, bounds, config)
-    ride_rows = summary.summarise(series, bounds, corners, efforts, config)
+    wind = keep(calibrate.resolve_wind(blown, config), "wind")
+    series = keep(power.ride_series(blown, wind, config), "series")
+    bounds = keep(laps.detect_laps(grid, rides, prepare.markers(rides, samples, grid, config), config), "lap_bounds")
+    line = keep(mean_lap.mean_lap(grid, bounds), "mean_lap")
+    corners, events = turns.detect_turns(grid, bounds, line, config, keep)
+    events = keep(turns.price_passes(events, series), "turn_events")
+    corners = keep(turns.price_turns(corners, events), "turns")
+    cells = keep(sectors.build_sectors(series, bounds, corners, config)[0], "sector_cells")
+    totals = keep(sectors.total_cells(cells, ("ride_id",), "sector", "ratio", "seconds", "label"), "sector_totals")
+    efforts = keep(surges.detect_surges(series, bounds, corners, events, config), "surges")
+    lap_rows = keep(summary.summarise_laps(series, bounds, config), "laps")
+    ride_rows = keep(summary.summarise(series, bounds, corners, efforts, config), "summary")
     report = {
         "grid": grid, "wind": wind, "series": series, "laps": lap_rows, "lap_bounds": bounds, "mean_lap": line, "turns": corners, "turn_events": events, "sector_cells": cells, "sector_totals": totals, "surges": efforts,
         "headings": summary.exposure_by_heading(series), "summary": ride_rows, "finale": summary.summarise_finale(series, bounds, efforts, config), "hr": summary.summarise_hr(series),
@@ -53,15 +55,10 @@ def analyze(samples: DataFrame, rides: DataFrame, weather_hours: DataFrame | Non
     report["compare"] = compare.compare_rows(rides, report)
     report["findings"] = findings.findings(report, config)
     if window:
-        report["race_window"], report["lap_info"], report["phases"] = race_window.race_window(grid, bounds, config)
+        report["race_window"], report["lap_info"], report["phases"] = race_window.race_window(grid, bounds, config, keep=keep)
     return report
 
 
-def release(report: dict[str, DataFrame]) -> None:
-    for df in report.values():
-        df.unpersist()
-
-
 def register(report: dict[str, DataFrame], prefix: str = "ride_") -> list[str]:
     """The tables as temporary SQL views; returns their names."""
     names = []

@@ -16,6 +16,7 @@ from cadenza.operators.series import RIDE, Series, last_known, power_mean
 from cadenza.plans.laps import lap_samples
 from cadenza.plans.mean_lap import STEP, mean_lap
 from cadenza.plans.prepare import located
+from cadenza.plans.turns import Keep
 
 
 @dataclass(frozen=True)
@@ -49,7 +50,7 @@ def _fragment_power(grid: DataFrame, bounds: DataFrame, inside: Column, name: st
     return power_mean(s, RIDE, "watts", name, extra=[F.count(F.lit(1)).alias("_n")]).select("ride_id", F.when(F.col("_n") >= WindowConfig.fragment, F.col(name)).alias(name))
 
 
-def race_window(grid: DataFrame, laps: DataFrame, config: ModelConfig = ModelConfig(), rules: WindowConfig = WindowConfig()) -> tuple[DataFrame, DataFrame, DataFrame]:
+def race_window(grid: DataFrame, laps: DataFrame, config: ModelConfig = ModelConfig(), rules: WindowConfig = WindowConfig(), keep: Keep = lambda df, name: df) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(window, lap_info, phases). Rides without four laps keep their whole recording, ``found`` false.
 
     A lap that leaves the racing line, is soft or slow is no race lap; such
@@ -58,10 +59,11 @@ def race_window(grid: DataFrame, laps: DataFrame, config: ModelConfig = ModelCon
     enough = laps.where("source <> 'none'").withColumn("_c", F.count(F.lit(1)).over(Window.partitionBy("ride_id"))).where(F.col("_c") >= rules.least_laps).drop("_c")
     g = grid.join(enough.select("ride_id").distinct(), "ride_id", "left_semi")
     # on the circuit or not; a second without a place is where the one before was
-    circuit = mean_lap(g, enough)
+    circuit = keep(mean_lap(g, enough), "window_circuit")
     on = distance_to_line(g.select("ride_id", "i", "moving", "lat", "lon", "watts"), circuit, max(1, int(10 / STEP + 0.5)), rules.circuit, "_d")
     has_line = circuit.select("ride_id").distinct().withColumn("_line", F.lit(True))
     on = on.join(has_line, "ride_id", "left").withColumn("on_circuit", F.when(F.col("_line").isNull(), True).otherwise(F.coalesce(last_known(F.when(located(), F.col("_d").isNotNull()), RIDE), F.lit(False)))).drop("_line", "_d")
+    on = keep(on, "on_circuit")
     # laps with pace, power and distance from the line of the faster half
     samples = lap_samples(g.select("ride_id", "i", "dist", "watts", "moving", "lat", "lon"), enough)
     info = samples.groupBy("ride_id", "lap", "i0", "i1", "source").agg((F.max("i") - F.min("i")).cast("double").alias("seconds"), (F.max("dist") - F.min("dist")).alias("_len"))
@@ -70,13 +72,15 @@ def race_window(grid: DataFrame, laps: DataFrame, config: ModelConfig = ModelCon
     info = info.join(np, ["ride_id", "lap"], "left").withColumn("np", F.coalesce("np", F.lit(0.0)))
     place = F.row_number().over(Window.partitionBy("ride_id").orderBy(F.col("speed").desc(), "lap"))
     info = info.withColumn("fast", place <= F.greatest(F.lit(3), F.ceil(F.count(F.lit(1)).over(Window.partitionBy("ride_id")) * 0.5)))
+    info = keep(info, "window_laps")
     line = mean_lap(g, info.where("fast").select("ride_id", "lap", "i0", "i1", "source"))
+    line = keep(line, "window_line")
     away = distance_to_line(g.where(F.col("moving") & located()).select("ride_id", "i", "lat", "lon"), line, max(1, int(6 / STEP + 0.5)), 4 * rules.circuit, "_dev")
     # what is farther from the line than any lap should ever be counts as that far
     away = away.withColumn("_dev", F.coalesce("_dev", F.lit(4 * rules.circuit))).select("ride_id", "i", "_dev")
     per_lap = samples.select("ride_id", "lap", "i").join(away, ["ride_id", "i"]).join(line.select("ride_id").distinct(), "ride_id", "left_semi")
     per_lap = per_lap.groupBy("ride_id", "lap").agg(F.avg((F.col("_dev") > rules.line).cast("double")).alias("off_line"), F.avg("_dev").alias("mean_dev"))
-    info = info.join(per_lap, ["ride_id", "lap"], "left").withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("off_line", "mean_dev")})
+    info = keep(info.join(per_lap, ["ride_id", "lap"], "left").withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("off_line", "mean_dev")}), "window_deviations")
     for name, value, share, rows in (("typical", "mean_dev", 0.5, info.where("fast")), ("race_pace", "speed", 0.75, info), ("race_np", "np", 0.75, info)):
         info = info.join(pick_ranked(rows, ("ride_id",), value, share, name), "ride_id")
     left = (F.col("off_line") > rules.off_line) | ((F.col("typical") > 0.5) & (F.col("mean_dev") > F.col("typical") * rules.deviation))
@@ -84,7 +88,7 @@ def race_window(grid: DataFrame, laps: DataFrame, config: ModelConfig = ModelCon
     slow = lambda share: F.col("speed") < F.col("race_pace") * share
     info = info.withColumn("left_course", left).withColumns({"_cool": left | soft(rules.cool_np) | slow(rules.cool_pace), "_warm": left | soft(rules.warm_np) | slow(rules.warm_pace)}).where("race_pace > 0")
     last_lap = F.max("lap").over(Window.partitionBy("ride_id"))
-    info = info.withColumn("_last", last_lap)
+    info = keep(info.withColumn("_last", last_lap), "window_judged")
     ends = info.groupBy("ride_id").agg(F.coalesce(F.min(F.when(~F.col("_warm"), F.col("lap"))), F.max("lap")).alias("first_lap"), F.max(F.when(~F.col("_cool"), F.col("lap"))).alias("_b"), F.max("lap").alias("total_laps"), F.first("race_pace").alias("race_pace"), F.first("race_np").alias("race_np"), F.first("source").alias("_source"))
     ends = ends.withColumn("last_lap", F.greatest("first_lap", F.coalesce("_b", F.lit(0)))).where(F.col("last_lap") - F.col("first_lap") >= 2)
     # the first long stop after the first race lap ends the race
@@ -99,7 +103,7 @@ def race_window(grid: DataFrame, laps: DataFrame, config: ModelConfig = ModelCon
         F.max(F.when(F.col("lap") == F.col("first_lap"), F.col("i0"))).alias("_i0"), F.max(F.when(F.col("lap") == F.col("last_lap"), F.col("i1"))).alias("_i1"),
         F.max(F.col("left_course")).alias("any_left_course"), F.max(F.col("left_course") & ((F.col("lap") < F.col("first_lap")) | (F.col("lap") > F.col("last_lap")))).alias("trimmed_by_course"),
     )
-    ends = ends.join(edges, "ride_id")
+    ends = keep(ends.join(edges, "ride_id"), "window_ends")
     # pieces of laps before the first and after the last belong to the race if they were raced
     cuts = ends.select("ride_id", "_i0", "_i1")
     tail, head = (_fragment_power(g, cuts, inside, name) for inside, name in ((F.col("i") > F.col("_i1"), "_tail"), (F.col("i") < F.col("_i0"), "_head")))
@@ -108,6 +112,7 @@ def race_window(grid: DataFrame, laps: DataFrame, config: ModelConfig = ModelCon
     keep_tail = F.coalesce((F.col("last_lap") == F.col("total_laps")) & (F.col("_tail") >= F.col("race_np") * rules.cool_np), F.lit(False))
     keep_head = F.coalesce((F.col("first_lap") == 1) & (F.col("_head") >= F.col("race_np") * rules.warm_np), F.lit(False))
     w = w.withColumns({"kept_trailing_fragment": keep_tail, "kept_leading_fragment": keep_head, "i0": F.when(keep_head, 0).otherwise(F.col("_i0")), "i1": F.when(keep_tail, F.col("_n1")).otherwise(F.col("_i1"))})
+    w = keep(w, "window_edges")
     # phases
     p = on.join(w.select("ride_id", F.col("i0").alias("_w0"), F.col("i1").alias("_w1"), "_n1"), "ride_id")
     i = F.col("i")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,6 +20,8 @@ from cadenza.plans.laps import lap_lengths, lap_samples
 from cadenza.plans.mean_lap import LINE, STEP
 from cadenza.plans.prepare import located
 
+#: Keeps a table that several others are made from, under a name.
+Keep = Callable[[DataFrame, str], DataFrame]
 #: A corner's shoulders are bends of up to this multiple of its radius, on the mean lap and on the raw track.
 SHOULDER, RAW_SHOULDER = 1.7, 1.8
 #: Seconds before the apex, until recovery, share of the entry speed that counts as recovered.
@@ -89,7 +92,7 @@ def _passes(turns: DataFrame, grid: DataFrame, laps: DataFrame) -> DataFrame:
     return at.join(apex, ["ride_id", "lap", "number"]).join(turns.select("ride_id", "number", "turned", "dir"), ["ride_id", "number"]).select(*EVENT)
 
 
-def _track_turns(grid: DataFrame, laps: DataFrame, config: ModelConfig) -> tuple[DataFrame, DataFrame]:
+def _track_turns(grid: DataFrame, laps: DataFrame, config: ModelConfig, keep: Keep) -> tuple[DataFrame, DataFrame]:
     """Corners of rides without a mean lap: bends of the raw track, clustered by place in the order they come."""
     k = F.abs("curvature")
     sign = F.when(k > 1 / (config.corner_radius * RAW_SHOULDER), F.signum("curvature")).otherwise(0.0)
@@ -123,7 +126,7 @@ def _track_turns(grid: DataFrame, laps: DataFrame, config: ModelConfig) -> tuple
 
         return step
 
-    event = fold_sorted(event, Series(("ride_id",), ("i0",)), ["lat", "lon"], "cluster long", start)
+    event = keep(fold_sorted(event, Series(("ride_id",), ("i0",)), ["lat", "lon"], "cluster long", start), "bends")
     whole = Window.partitionBy("ride_id", "cluster")
     event = event.withColumn("_n", F.count(F.lit(1)).over(whole)).where("_n >= 2")
     spans = lap_lengths(lap_samples(grid.select("ride_id", "i", "dist"), laps))
@@ -131,6 +134,7 @@ def _track_turns(grid: DataFrame, laps: DataFrame, config: ModelConfig) -> tuple
     in_lap = interval_join(event, spans.select("ride_id", "lap", "d0", F.col("i0").alias("_l0"), F.col("i1").alias("_l1")), ("ride_id",), F.col("apex"), "_l0", "_l1", 256, how="left")
     event = in_lap.groupBy(*event.columns).agg(F.min("lap").alias("lap"), F.min_by("d0", "lap").alias("d0")).join(typical, "ride_id", "left")
     offset = F.coalesce((F.col("dist") - F.col("d0")) / F.nullif(F.col("lap_len"), F.lit(0.0)), F.col("dist"))
+    event = keep(event, "placed_bends")
     event = event.withColumns({"_offset": offset, "_radius": F.col("_len") / F.radians("turned")})
     turns = event.groupBy("ride_id", "cluster").agg(F.avg("lat").alias("lat"), F.avg("lon").alias("lon"), F.min_by("_offset", "i0").alias("lap_offset"), F.percentile("turned", F.lit(0.5)).alias("turned"), F.min_by("dir", "i0").alias("dir"), F.percentile("_radius", F.lit(0.5)).alias("radius"))
     nothing = F.lit(None).cast("double")
@@ -140,14 +144,14 @@ def _track_turns(grid: DataFrame, laps: DataFrame, config: ModelConfig) -> tuple
     return turns.select(*TURN), named.select(*EVENT)
 
 
-def detect_turns(grid: DataFrame, laps: DataFrame, line: DataFrame, config: ModelConfig = ModelConfig()) -> tuple[DataFrame, DataFrame]:
+def detect_turns(grid: DataFrame, laps: DataFrame, line: DataFrame, config: ModelConfig = ModelConfig(), keep: Keep = lambda df, name: df) -> tuple[DataFrame, DataFrame]:
     """Corners, and where each lap passes them; from mean laps, and from the raw track for rides that these give none."""
-    turns = number_from_start(_corners(line, config), grid)
-    events = _passes(turns, grid, laps)
+    turns = keep(number_from_start(keep(_corners(line, config), "corners"), grid), "numbered")
+    events = keep(_passes(turns, grid, laps), "passes")
     often = events.groupBy("ride_id", "number").count().where("count >= 2").select("ride_id", "number")
     turns, events = (df.join(often, ["ride_id", "number"], "left_semi") for df in (turns, events))
     rest = grid.join(turns.select("ride_id").distinct(), "ride_id", "left_anti")
-    raw_turns, raw_events = _track_turns(rest, laps.join(rest.select("ride_id").distinct(), "ride_id", "left_semi"), config)
+    raw_turns, raw_events = _track_turns(rest, laps.join(rest.select("ride_id").distinct(), "ride_id", "left_semi"), config, keep)
     return turns.select(*TURN).unionByName(raw_turns), events.unionByName(raw_events)
 
 
