@@ -121,12 +121,16 @@ def range_slope(df: DataFrame, s: Series, y: str, x: str, half: int, least: int,
     })
     # rows that share this x lie on both sides of it, so places tell how far the frame reaches
     df = df.withColumn("_back", F.col("_at") - F.min("_at").over(near)).withColumn("_ahead", F.max("_at").over(near) - F.col("_at"))
-    row = F.struct(F.col("_at").alias("at"), F.col(x).alias("x"), F.col(y).alias("y"))
-    around = F.when(F.col("_near") < least, F.collect_list(row).over(s.rows(-reach, reach)))
     size = lambda k: F.least(F.col("_at") - 1, F.col("_back") + k) + F.least(F.col("_n") - F.col("_at"), F.col("_ahead") + k) + 1
     enough = F.coalesce(F.get(F.filter(F.sequence(F.lit(0), F.lit(reach)), lambda k: size(k) >= least), F.lit(0)), F.lit(reach))
-    df = df.withColumn("_k", enough).withColumn("_around", around)
-    df = df.withColumn("_around", F.filter("_around", lambda r: (r["at"] >= F.col("_at") - F.col("_back") - F.col("_k")) & (r["at"] <= F.col("_at") + F.col("_ahead") + F.col("_k"))))
+    # offsets cost a look-up each, where a frame of lists would be gathered anew for every row
+    at = lambda c, d: (F.lead if d > 0 else F.lag)(c, abs(d)).over(s.window) if d else F.col(c)
+    offsets = range(-reach, reach + 1)
+    df = df.withColumns({"_k": enough, "_xs": F.array(*(at(x, d) for d in offsets)), "_ys": F.array(*(at(y, d) for d in offsets))})
+    first = reach + 1 - F.col("_back") - F.col("_k")
+    part = lambda c: F.slice(c, F.greatest(first, F.lit(1)).cast("int"), (reach + 1 + F.col("_ahead") + F.col("_k") - F.greatest(first, F.lit(1)) + 1).cast("int"))
+    pairs = F.when(F.col("_near") < least, F.filter(F.arrays_zip(part("_xs").alias("x"), part("_ys").alias("y")), lambda r: r["x"].isNotNull()))
+    df = df.withColumn("_around", pairs)
     zero = F.struct(*(F.lit(0.0).alias(c) for c in ("n", "sx", "sy", "sxx", "sxy")))
 
     def add(a: Column, r: Column) -> Column:
@@ -137,7 +141,7 @@ def range_slope(df: DataFrame, s: Series, y: str, x: str, half: int, least: int,
     spread = m["n"] * m["sxx"] - m["sx"] * m["sx"]
     widened = F.when((m["n"] >= 3) & (spread > 1e-9), (m["n"] * m["sxy"] - m["sx"] * m["sy"]) / spread)
     slope = F.coalesce(F.when(F.col("_near") < least, widened).otherwise(F.when(F.col("_near") >= 3, F.col("_slope"))), F.lit(0.0))
-    return df.withColumn(out, clamp(slope, -limit, limit)).drop("_near", "_slope", "_back", "_ahead", "_at", "_n", "_around", "_k")
+    return df.withColumn(out, clamp(slope, -limit, limit)).drop("_near", "_slope", "_back", "_ahead", "_at", "_n", "_around", "_k", "_xs", "_ys")
 
 
 def heading(lat: Column, lon: Column, s: Series) -> Column:

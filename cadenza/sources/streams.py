@@ -25,6 +25,11 @@ def _full(a: Column) -> Column:
     return F.when(F.size(a) > 0, a)
 
 
+def _or_empty(name: str) -> Column:
+    """A channel that is absent must not make the zipped rows null."""
+    return F.coalesce(name, F.array().cast("array<double>"))
+
+
 def stream(v: Column, items: Column, name: str, kind: str = "array<double>", second: bool = False) -> Column:
     """A stream of a document in shape 2 or 3, null if it has none."""
     part = "data2" if second else "data"
@@ -43,8 +48,8 @@ def read_streams(spark: SparkSession, path: str, activities: DataFrame | None =
     ``activities`` (from ``activities.summaries``), files named by an activity's id get its settings.
     """
     text = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").text(path).select(F.col("value"), F.col("_metadata.file_name").alias("file"))
-    v = F.col("v")
-    docs = text.withColumn("v", F.try_parse_json("value")).drop("value")
+    v = F.col("doc")
+    docs = text.withColumn("doc", F.try_parse_json("value")).drop("value")
     docs = docs.withColumn("items", _get(v, "$", _LIST))
     own = _full(_get(v, "$.t", "array<double>"))
     items = F.col("items")
@@ -55,7 +60,7 @@ def read_streams(spark: SparkSession, path: str, activities: DataFrame | None =
     lon = F.coalesce(F.when(parallel_lat.isNotNull(), parallel_lon), F.transform(pairs, lambda p: F.get(p, F.lit(1))), stream(v, items, "lng"), stream(v, items, "lon"), stream(v, items, "longitude"))
     is_own = own.isNotNull()
     pick = lambda c, other: F.when(is_own, _full(_get(v, f"$.{c}", "array<double>"))).otherwise(other)
-    parsed = docs.select("file", "v", F.coalesce(own, stream(v, items, "time")).alias("t"), pick("lat", lat).alias("lat"), pick("lon", lon).alias("lon"), *(pick(c, x).alias(c) for c, x in channel.items()), is_own.alias("own"))
+    parsed = docs.select("file", "doc", F.coalesce(own, stream(v, items, "time")).alias("t"), pick("lat", lat).alias("lat"), pick("lon", lon).alias("lon"), *(pick(c, x).alias(c) for c, x in channel.items()), is_own.alias("own"))
     reason = F.when(F.col("t").isNull(), "no time stream").when(F.col("watts").isNull() & ~F.col("own"), "no power")
     parsed = parsed.withColumn("reason", reason)
     rejected = parsed.where("reason is not null").select("file", "reason")
@@ -78,7 +83,7 @@ def read_streams(spark: SparkSession, path: str, activities: DataFrame | None =
     nothing = F.lit(None).cast("double")
     rides = rides.withColumns({c: nothing for c in ("crop_start", "crop_end", "anchor_lat", "anchor_lon")})
     series = good.select("file", "lat", "lon", "t", *channel).join(rides.select("file", "ride_id"), "file")
-    zipped = series.select("ride_id", F.posexplode(F.arrays_zip(*(F.col(c) for c in ("t", "lat", "lon", *channel)))).alias("seq", "p")).select("ride_id", F.col("seq").cast("long").alias("seq"), "p.*").where("t is not null")
+    zipped = series.select("ride_id", F.posexplode(F.arrays_zip(*(_or_empty(c).alias(c) for c in ("t", "lat", "lon", *channel)))).alias("seq", "p")).select("ride_id", F.col("seq").cast("long").alias("seq"), "p.*").where("t is not null")
     return rides.drop("file"), sound_places(zipped), rejected
 
 

@@ -21,8 +21,8 @@ def read_weather(spark: SparkSession, path: str) -> DataFrame:
     hourly = ", ".join(["time: array<string>", *(f"{v}: array<double>" for v in VARIABLES.values())])
     raw = spark.read.schema(f"latitude double, longitude double, elevation double, hourly struct<{hourly}>").option("multiLine", "true").json(path)
     site = F.regexp_replace(F.col("_metadata.file_name"), r"\.json$", "")
-    zipped = F.arrays_zip(F.col("hourly.time").alias("time"), *(F.col(f"hourly.{v}").alias(c) for c, v in VARIABLES.items()))
-    return raw.select(site.alias("site"), "elevation", F.explode(zipped).alias("h")).select("site", "elevation", "h.*").withColumn("time", (F.unix_micros(F.try_to_timestamp(zoned_iso(F.col("time")))) / 1e6)).where("wind_speed is not null and time is not null")
+    zipped = F.arrays_zip(F.col("hourly.time").alias("time"), *(F.coalesce(f"hourly.{v}", F.array().cast("array<double>")).alias(c) for c, v in VARIABLES.items()))
+    return raw.select(site.alias("site"), "elevation", F.explode(zipped).alias("h")).select("site", "elevation", "h.*").withColumn("time", (F.unix_micros(F.try_to_timestamp(zoned_iso(F.regexp_replace("time", r"(T\d{2}:\d{2})$", "$1:00")))) / 1e6)).where("wind_speed is not null and time is not null")
 
 
 def service_for(start: Column, now: Column) -> Column:
