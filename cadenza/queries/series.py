@@ -110,7 +110,7 @@ def central_derivative(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH l AS (
-  SELECT l_suppkey, CAST(date_diff('day', TIMESTAMP '1990-01-01', l_shipdate) AS DOUBLE) AS x, l_quantity AS y,
+  SELECT l_suppkey, CAST(date_diff('day', TIMESTAMP '1990-01-01', l_shipdate) AS DOUBLE) AS x, l_extendedprice / 10000 AS y,
          row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS pos FROM lineitem
 ), r AS (
   SELECT *, count(*) OVER w AS near, regr_slope(y, x) OVER w AS slope, min(pos) OVER w AS lo, max(pos) OVER w AS hi, max(pos) OVER (PARTITION BY l_suppkey) AS n
@@ -126,9 +126,9 @@ SELECT r.l_suppkey, r.pos AS "at", round(least(greatest(coalesce(CASE WHEN near
 FROM r LEFT JOIN f ON f.l_suppkey = r.l_suppkey AND f.pos = r.pos
 """)
 def range_slope(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Slope of quantity over 20 days to each side, or over the nearest 13 rows where fewer lie so near."""
+    """Slope of prices over 20 days to each side, or over the nearest 13 rows where fewer lie so near."""
     s = Series(("l_suppkey",), ("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"))
-    df = table(spark, sf_dir, "lineitem").select("l_suppkey", *s.order, F.col("l_quantity").alias("y"))
+    df = table(spark, sf_dir, "lineitem").select("l_suppkey", *s.order, (F.col("l_extendedprice") / 10000).alias("y"))
     df = df.withColumn("x", F.timestamp_diff("DAY", F.lit("1990-01-01 00:00:00").cast("timestamp_ntz"), F.col("l_shipdate")).cast("double"))
     df = series.range_slope(df, s, "y", "x", 20, 13, 0.25, "slope")
     return df.select("l_suppkey", (s.place + 1).alias("at"), *rounded("slope"))
