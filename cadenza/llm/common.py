@@ -67,6 +67,11 @@ def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Itera
     return df.mapInArrow(run, schema)
 
 
+#: Edges that one task handles in a round; a graph of fewer is dealt to fewer tasks, so that small graphs are not all overhead.
+EDGES_A_TASK = 100_000
+LEAST_TASKS = 8
+
+
 def label_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an undirected graph of long ids.
 
@@ -78,22 +83,22 @@ def label_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Returns ``(node, component)`` for every node with an edge; the component
     is its smallest node.
     """
-    spark = edges.sparkSession
     edges = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").distinct()
     edges = stage(edges, "edges")
     seen = None
     while True:
-        both = edges.union(edges.select("b", "a"))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        # every edge of large points from the larger to the smaller node
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        edges = stage(small, "edges")
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == seen:
             break
         seen = now
+        tasks = max(LEAST_TASKS, now[0] // EDGES_A_TASK)
+        both = edges.union(edges.select("b", "a"))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").coalesce(tasks)
+        # every edge of large points from the larger to the smaller node; grouping drops repeats
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.distinct().join(least, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        edges = stage(small.coalesce(tasks), "edges")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select(F.col("b"), F.col("b")).distinct())
 
 
