@@ -173,12 +173,11 @@ def with_wrapped_edges(df: DataFrame, s: Series, reach: int) -> DataFrame:
     series' order column must count from 0.
     """
     at = s.order[0]
-    n = F.max(at).over(s.whole) + 1
+    here, n = F.col(at).cast("long"), (F.max(at).over(s.whole) + 1).cast("long")
     df = df.withColumn("_n", n)
-    own = df.withColumn("_at", F.col(at).cast("long")).withColumn("_own", F.lit(True))
-    before = df.where(F.col(at) >= F.col("_n") - reach).withColumn("_at", F.col(at) - F.col("_n")).withColumn("_own", F.lit(False))
-    after = df.where(F.col(at) < reach).withColumn("_at", F.col(at) + F.col("_n")).withColumn("_own", F.lit(False))
-    return own.unionByName(before).unionByName(after).drop("_n")
+    # rows are copied in one pass: a union would run what comes before it once for each part
+    copies = F.filter(F.array(here, F.when(here >= F.col("_n") - reach, here - F.col("_n")), F.when(here < reach, here + F.col("_n"))), lambda x: x.isNotNull())
+    return df.withColumn("_at", F.explode(copies)).withColumn("_own", F.col("_at") == here).drop("_n")
 
 
 def circular_mean(df: DataFrame, s: Series, value: str, width: int, out: str) -> DataFrame:

@@ -15,13 +15,13 @@ from cadenza.queries.series import events, numbered
 
 @query("""
 WITH p AS (SELECT user_id, ts AS bought, value AS paid, event_id AS purchase FROM events WHERE event_type = 'purchase')
-SELECT e.event_id, p.purchase, p.paid FROM events e ASOF LEFT JOIN p ON e.user_id = p.user_id AND e.ts >= p.bought
+SELECT e.event_id, coalesce(p.purchase, -1) AS purchase, p.paid FROM events e ASOF LEFT JOIN p ON e.user_id = p.user_id AND e.ts >= p.bought
 """)
 def asof_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last purchase at or before each event."""
+    """The last purchase at or before each event, -1 where there is none."""
     df = events(spark, sf_dir, "value", "event_type")
     bought = df.where("event_type = 'purchase'").select("user_id", F.col("ts").alias("at"), F.col("value").alias("paid"), F.col("event_id").alias("purchase"))
-    return asof_join(df, bought, ("user_id",), "ts", "at", ["purchase", "paid"]).select("event_id", "purchase", "paid")
+    return asof_join(df, bought, ("user_id",), "ts", "at", ["purchase", "paid"]).select("event_id", F.coalesce("purchase", F.lit(-1)).alias("purchase"), "paid")
 
 
 @query("""
