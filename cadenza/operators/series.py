@@ -110,6 +110,7 @@ def range_slope(df: DataFrame, s: Series, y: str, x: str, half: int, least: int,
     both sides as make up for it. Slopes are cut to ``±limit``; fewer than three
     rows, or all at one x, give 0. x must not fall along the series.
     """
+    kept = [c for c in df.columns if c != out]
     by_x = Window.partitionBy(*s.keys).orderBy(x)
     near = by_x.rangeBetween(-half, half)
     reach = least - 1
@@ -126,22 +127,16 @@ def range_slope(df: DataFrame, s: Series, y: str, x: str, half: int, least: int,
     # offsets cost a look-up each, where a frame of lists would be gathered anew for every row
     at = lambda c, d: (F.lead if d > 0 else F.lag)(c, abs(d)).over(s.window) if d else F.col(c)
     offsets = range(-reach, reach + 1)
-    df = df.withColumns({"_k": enough, "_xs": F.array(*(at(x, d) for d in offsets)), "_ys": F.array(*(at(y, d) for d in offsets))})
-    first = reach + 1 - F.col("_back") - F.col("_k")
-    part = lambda c: F.slice(c, F.greatest(first, F.lit(1)).cast("int"), (reach + 1 + F.col("_ahead") + F.col("_k") - F.greatest(first, F.lit(1)) + 1).cast("int"))
-    pairs = F.when(F.col("_near") < least, F.filter(F.arrays_zip(part("_xs").alias("x"), part("_ys").alias("y")), lambda r: r["x"].isNotNull()))
-    df = df.withColumn("_around", pairs)
-    zero = F.struct(*(F.lit(0.0).alias(c) for c in ("n", "sx", "sy", "sxx", "sxy")))
-
-    def add(a: Column, r: Column) -> Column:
-        dx = r["x"] - F.col(x)
-        return F.struct((a["n"] + 1).alias("n"), (a["sx"] + dx).alias("sx"), (a["sy"] + r["y"]).alias("sy"), (a["sxx"] + dx * dx).alias("sxx"), (a["sxy"] + dx * r["y"]).alias("sxy"))
-
-    m = F.aggregate("_around", zero, add)
-    spread = m["n"] * m["sxx"] - m["sx"] * m["sx"]
-    widened = F.when((m["n"] >= 3) & (spread > 1e-9), (m["n"] * m["sxy"] - m["sx"] * m["sy"]) / spread)
+    df = df.withColumn("_k", F.when(F.col("_near") < least, enough)).withColumns({"_lo": -F.col("_back") - F.col("_k"), "_hi": F.col("_ahead") + F.col("_k")})
+    df = df.withColumns({f"_x{d}": F.when((F.col("_lo") <= d) & (F.col("_hi") >= d), at(x, d) - F.col(x)) for d in offsets} | {f"_y{d}": at(y, d) for d in offsets})
+    dx, dy = ([F.col(f"_{c}{d}") for d in offsets] for c in "xy")
+    total = lambda parts: sum((F.coalesce(p, F.lit(0.0)) for p in parts[1:]), F.coalesce(parts[0], F.lit(0.0)))
+    n = total([F.when(u.isNotNull(), 1.0) for u in dx])
+    df = df.withColumns({"_m": n, "_sx": total(dx), "_sy": total([F.when(u.isNotNull(), v) for u, v in zip(dx, dy)]), "_sxx": total([u * u for u in dx]), "_sxy": total([u * v for u, v in zip(dx, dy)])})
+    spread = F.col("_m") * F.col("_sxx") - F.col("_sx") * F.col("_sx")
+    widened = F.when((F.col("_m") >= 3) & (spread > 1e-9), (F.col("_m") * F.col("_sxy") - F.col("_sx") * F.col("_sy")) / spread)
     slope = F.coalesce(F.when(F.col("_near") < least, widened).otherwise(F.when(F.col("_near") >= 3, F.col("_slope"))), F.lit(0.0))
-    return df.withColumn(out, clamp(slope, -limit, limit)).drop("_near", "_slope", "_back", "_ahead", "_at", "_n", "_around", "_k", "_xs", "_ys")
+    return df.withColumn(out, clamp(slope, -limit, limit)).select(*kept, out)
 
 
 def heading(lat: Column, lon: Column, s: Series) -> Column:
