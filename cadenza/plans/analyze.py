@@ -35,7 +35,7 @@ def analyze(samples: DataFrame, rides: DataFrame, weather_hours: DataFrame | Non
     else:
         blown = grid.withColumns({c: F.lit(None).cast("double") for c in ("we", "wn")})
     blown = blown.join(settings, "ride_id")
-    wind = keep(calibrate.resolve_wind(blown, config), "wind")
+    wind = keep(calibrate.resolve_wind(blown, config, keep), "wind")
     series = keep(power.ride_series(blown, wind, config), "series")
     bounds = keep(laps.detect_laps(grid, rides, prepare.markers(rides, samples, grid, config), config), "lap_bounds")
     line = keep(mean_lap.mean_lap(grid, bounds), "mean_lap")

@@ -1,7 +1,11 @@
-"""Drag area and wind from the data: cohorts in SQL, one small NumPy solve a ride."""
+"""Drag area and wind from the data: cohorts and drag areas in SQL, winds by one small NumPy solve a ride."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+from operator import and_
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -10,9 +14,12 @@ from pyspark.sql import functions as F
 from cadenza.config import ModelConfig
 from cadenza.functions.physics import GRAVITY, power_terms
 from cadenza.functions.wind import sector_of, shelter_factor, wind_bearing, wind_vector
+from cadenza.plans.staging import Staging
 
 #: Bounds of drag areas and how often the bracket is halved.
 LOW, HIGH, HALVINGS = 0.16, 0.60, 18
+#: Halvings in one pass over the rows.
+TOGETHER = 3
 
 
 def octant_spread(df: DataFrame, keys: tuple[str, ...], octant: str, share: float = 0.05) -> DataFrame:
@@ -67,21 +74,63 @@ def drag_at_one(watts: np.ndarray, fixed: np.ndarray, per_cda: np.ndarray, floor
     return cda, known & (side == 0), side
 
 
-def solve_drag(cohort: DataFrame, keys: tuple[str, ...], floor: Column, default: Column, pct: float) -> DataFrame:
-    """``keys, cda, ok, side, cohort_size`` from rows of ``watts``, ``fixed`` and ``per_cda``.
+def _near_one(ratio: Column, name: str, under: bool = False) -> list[Column]:
+    """What tells the side of 1 of any quantile: how many ratios there are, how many up to 1 (or under it), and those next to 1."""
+    low = ratio < 1 if under else ratio <= 1
+    return [F.count(ratio).alias(f"_n{name}"), F.count_if(low).alias(f"_c{name}"), F.max(F.when(low, ratio)).alias(f"_a{name}"), F.min(F.when(~low, ratio)).alias(f"_b{name}")]
 
-    A key's cohort is held by one task: it is a ride's, at most ``max_samples`` rows of three numbers.
-    """
-    rows = cohort.select(*keys, "watts", "fixed", "per_cda", floor.alias("_floor"), default.alias("_default"))
-    fields = [f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name in keys]
 
-    def solve(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        terms = (frame[c].to_numpy(float) for c in ("watts", "fixed", "per_cda"))
-        watts, fixed, per_cda = terms
-        cda, ok, side = drag_at_one(watts, fixed[None], per_cda[None], frame["_floor"].iat[0], frame["_default"].iat[0], pct)
-        return pd.DataFrame([[*key, cda[0], bool(ok[0]), int(side[0]), len(frame)]], columns=[*keys, "cda", "ok", "side", "cohort_size"])
+def _beyond_one(name: str, pct: float, under: bool = False) -> Column:
+    """Whether the ``pct`` quantile is above 1 (or under it), from the columns of ``_near_one``."""
+    n, c, a, b = (F.col(f"_{x}{name}") for x in "ncab")
+    at = F.lit(pct) * F.greatest(n - 1, F.lit(0))
+    low = F.floor(at)
+    between = F.when(at > low, a + (b - a) * (at - low)).otherwise(a)
+    few, many = (F.lit(False), F.lit(True)) if under else (n > 0, F.lit(False))
+    return F.when(c <= low, few).when(c >= low + 2, many).otherwise(between < 1 if under else between > 1)
 
-    return rows.groupBy(*keys).applyInPandas(solve, ", ".join([*fields, "cda double", "ok boolean", "side int", "cohort_size long"]))
+
+def solve_drag(cohort: DataFrame, keys: tuple[str, ...], floor: Column, default: Column, pct: float, keep: Callable[[DataFrame, str], DataFrame] | None = None) -> DataFrame:
+    """``keys, cda, ok, side, cohort_size`` from rows of ``watts``, ``fixed`` and ``per_cda``.
+
+    Each pass over the rows does ``TOGETHER`` halvings of all keys by counts and extremes, which add up in parts: no
+    task holds a key, however many rows it has. Brackets are staged between passes.
+    """
+    keep = keep or Staging(cohort.sparkSession).put
+    rows = keep(cohort.select(*keys, *(F.col(c).cast("double").alias(f"_{c}") for c in ("watts", "fixed", "per_cda")), floor.alias("_floor"), default.alias("_default")), "drag_rows")
+
+    def ratio(cda: Column) -> Column:
+        need = F.col("_fixed") + F.col("_per_cda") * cda
+        return F.when((need > F.col("_floor")) & ~F.isnan(need), F.col("_watts") / need)
+
+    ends = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("cohort_size"), F.max("_default").alias("_default"), *_near_one(ratio(F.lit(LOW)), "_low", under=True), *_near_one(ratio(F.lit(HIGH)), "_high"))
+    known = (F.col("_n_low") >= 20) & (F.col("_n_high") >= 20) & (F.col("cohort_size") >= 30)
+    side = F.when(known & _beyond_one("_low", pct, under=True), -1).when(known & _beyond_one("_high", pct), 1).otherwise(0)
+    found = keep(ends.select(*keys, "cohort_size", "_default", known.alias("_known"), side.alias("side"), F.lit(LOW).alias("_from"), F.lit(HIGH).alias("_to")), "drag_ends")
+    sides = rows.drop("_default").withColumnsRenamed({k: f"_key_{k}" for k in keys})
+    for step in range(0, HALVINGS if found.head(1) else 0, TOGETHER):
+        depth, middles = min(TOGETHER, HALVINGS - step), {}
+
+        def split(low: Column, high: Column, path: str = "_") -> None:
+            middles[path] = middle = (low + high) / 2
+            if len(path) < depth:
+                split(low, middle, path + "l")
+                split(middle, high, path + "h")
+
+        def follow(low: Column, high: Column, path: str = "_") -> Column:
+            if len(path) > depth:
+                return F.struct(low.alias("low"), high.alias("high"))
+            middle = F.col(f"_m{path}")
+            return F.when(_beyond_one(path, pct), follow(middle, high, path + "h")).otherwise(follow(low, middle, path + "l"))
+
+        split(F.col("_from"), F.col("_to"))
+        brackets = found.withColumns({f"_m{path}": middle for path, middle in middles.items()})
+        same = reduce(and_, (sides[f"_key_{k}"].eqNullSafe(brackets[k]) for k in keys))
+        counted = sides.join(brackets, same).groupBy(*brackets.columns).agg(*(c for path in middles for c in _near_one(ratio(F.col(f"_m{path}")), path)))
+        halved = counted.withColumn("_bracket", follow(F.col("_from"), F.col("_to")))
+        found = keep(halved.withColumns({"_from": F.col("_bracket.low"), "_to": F.col("_bracket.high")}).select(*found.columns), f"drag_{step}")
+    cda = F.when(~F.col("_known"), F.col("_default")).when(F.col("side") < 0, LOW).when(F.col("side") > 0, HIGH).otherwise((F.col("_from") + F.col("_to")) / 2)
+    return found.select(*keys, cda.alias("cda"), (F.col("_known") & (F.col("side") == 0)).alias("ok"), "side", "cohort_size")
 
 
 def least_spread(ratios: DataFrame, keys: tuple[str, ...], candidate: tuple[str, ...], octant: str, ratio: str, pct: float, least: int) -> DataFrame:
@@ -168,7 +217,7 @@ def fit_wind(cohort: DataFrame, config: ModelConfig) -> DataFrame:
     return rows.groupBy("ride_id").applyInPandas(solve, FIT)
 
 
-def resolve_wind(grid: DataFrame, config: ModelConfig) -> DataFrame:
+def resolve_wind(grid: DataFrame, config: ModelConfig, keep: Callable[[DataFrame, str], DataFrame] | None = None) -> DataFrame:
     """``ride_id, source, we, wn, speed, dir_from, reported10m, cda, ok, confidence, spread, cohort_size, note``.
 
     grid carries ``cp``, ``mass``, ``rho`` and ``we``, ``wn`` (null without weather). ``we`` and ``wn`` of the
@@ -186,7 +235,7 @@ def resolve_wind(grid: DataFrame, config: ModelConfig) -> DataFrame:
     east = F.when(F.col("source") == "weather", F.col("we")).otherwise(manual[0])
     north = F.when(F.col("source") == "weather", F.col("wn")).otherwise(manual[1])
     fixed, per_cda = power_terms(*map(F.col, ("v", "theta", "accel", "heading")), east, north, F.col("mass"), F.lit(config.crr), F.col("rho"), F.lit(config.efficiency), F.lit(config.rotating_mass), F.lit(config.yaw_factor))
-    solved = solve_drag(given.withColumns({"fixed": fixed, "per_cda": per_cda}), ("ride_id",), F.greatest(F.lit(40.0), 0.5 * F.col("cp")), F.lit(config.cda), config.clean_air_pct)
+    solved = solve_drag(given.withColumns({"fixed": fixed, "per_cda": per_cda}), ("ride_id",), F.greatest(F.lit(40.0), 0.5 * F.col("cp")), F.lit(config.cda), config.clean_air_pct, keep)
     fitted = fit_wind(cohort.where("source in ('fit', 'fit-fallback')"), config)
     nothing = F.lit(None).cast("double")
     kept = rides.where("source in ('weather', 'manual')").join(solved, "ride_id", "left")

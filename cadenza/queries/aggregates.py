@@ -232,7 +232,7 @@ SELECT s.k AS l_returnflag, round(CASE WHEN low < 1 THEN 0.16 WHEN high > 1 THEN
 """)
 def bisection_p85(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The drag area at which the 85th percentile of actual over needed power is 1."""
-    c = table(spark, sf_dir, "lineitem").where("l_suppkey <= 20").select("l_returnflag", (F.col("l_quantity") * 8).alias("watts"), (100 + F.col("l_discount") * 500).alias("fixed"), (200 + F.col("l_tax") * 1000).alias("per_cda"))
+    c = table(spark, sf_dir, "lineitem").select("l_returnflag", (F.col("l_quantity") * 8).alias("watts"), (100 + F.col("l_discount") * 500).alias("fixed"), (200 + F.col("l_tax") * 1000).alias("per_cda"))
     found = calibrate.solve_drag(c, ("l_returnflag",), floor=F.lit(40.0), default=F.lit(0.32), pct=0.85)
     return found.select("l_returnflag", F.round("cda", 6).alias("cda"), "ok")
 
