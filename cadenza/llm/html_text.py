@@ -28,7 +28,8 @@ from cadenza.llm.common import map_arrow
 #: Comments and declarations; raw-text elements with their content; tags (name, attributes); text.
 _PIECE = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|svg|iframe|textarea)\b[^>]*(?:/>|>.*?(?:</(?P=raw)\s*>|\Z)|\Z)"
+    r"|<svg(?=[\s/>])(?:\"[^\"]*\"|'[^']*'|/(?!>)|[^>\"'/])*+/>"
+    r"|<(?P<raw>script|style|noscript|template|svg|iframe|textarea)(?=[\s/>])[^>]*(?:>.*?(?:</(?P=raw)\s*>|\Z)|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attributes>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)"
     r"|(?P<text>[^<]+|<)",
     re.S | re.I,
@@ -36,41 +37,62 @@ _PIECE = re.compile(
 #: Fixed values of HTML: elements that part blocks, that part words only, that have no content.
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody tfoot thead tr ul caption".split())
 SPACES = frozenset("br td th wbr option".split())
+LISTS = frozenset("ul ol dl dir".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements, and words of class, id and role, that hold no main text.
+#: Elements that hold no main text, whole tokens of class, id and role that say so, and such tokens of several words.
 NOISE = frozenset("head nav aside footer form button select menu dialog".split())
 NOISE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored banner promo promotion cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup "
     "nav navbar navigation menu menubar breadcrumb breadcrumbs pagination pager toc header masthead topbar footer bottombar sidebar aside widget widgets related recommended share sharing social "
     "comment comments commentlist disqus reply replies respond login search contentinfo complementary".split()
 )
-_ATTRIBUTE = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
-_NAME = re.compile(r"[a-z]+")
+NOISE_TOKENS = frozenset("ad-slot ad-unit ad-container ad-wrapper site-header site-footer site-nav main-nav main-menu primary-menu share-buttons social-links comment-list comment-body comment-form comments-area skip-link".split())
+_ATTRIBUTE = re.compile(r"""(?<![\w-])(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
+_NAME = re.compile(r"[^\W\d_]+")
 CONTENT = frozenset(("article", "main"))
+#: Tokens that mark a page's header, which within an article belongs to the text.
+HEADER = frozenset(("header", "masthead"))
 
 
-def _is_noise(tag: str, attributes: str, in_content: bool) -> bool:
-    if tag in NOISE or (tag == "header" and not in_content):
-        return True
-    if tag in CONTENT or tag in ("body", "html") or not attributes:
-        return False
-    return any(not NOISE_WORDS.isdisjoint(_NAME.findall(value.lower())) for value in _ATTRIBUTE.findall(attributes))
+def _marks_noise(attributes: str, in_content: bool) -> bool:
+    """Whether a token of class, id or role is one of noise, or of such words only, as ``cookie-banner``."""
+    for value in _ATTRIBUTE.findall(attributes):
+        for token in value.strip("\"'").lower().split():
+            words = _NAME.findall(token)
+            if (token in NOISE_TOKENS or (words and NOISE_WORDS.issuperset(words))) and not (in_content and token in HEADER):
+                return True
+    return False
 
 
-def lines_of(html: str) -> list[tuple[str, int, bool]]:
-    """``(text, characters in links, within an article)`` of each block; a gap is an empty line."""
-    out: list[tuple[str, int, bool]] = []
-    stack: list[tuple[str, bool]] = []
-    noise = content = link = 0
+class _Suspect:
+    """An element that is noise by its class, id or role, or a form, unless it turns out to hold what the page is about."""
+
+    def __init__(self, outer: _Suspect | None) -> None:
+        self.outer, self.chars, self.holds, self.dropped = outer, 0, False, False
+
+
+def lines_of(html: str) -> list[tuple[str, int, bool, int]]:
+    """``(text, characters in links, within an article, number of the list or 0)`` of each block; a gap is an empty line.
+
+    An element that holds an article, or over three quarters of the text of a page without one, is no noise but by its tag.
+    """
+    out: list[tuple[str, int, bool, int, _Suspect | None]] = []
+    stack: list[tuple[str, bool, _Suspect | None]] = []
+    noise = content = link = lists = number = 0
+    suspect: _Suspect | None = None
+    suspects: list[_Suspect] = []
     words: list[str] = []
-    linked = 0
+    linked = total = 0
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal linked, total
         if words:
             text = " ".join("".join(words).split())
             if text:
-                out.append((text, linked, content > 0))
+                out.append((text, linked, content > 0, number if lists else 0, suspect))
+                total += len(text)
+                if suspect:
+                    suspect.chars += len(text)
             words.clear()
         linked = 0
 
@@ -99,29 +121,61 @@ def lines_of(html: str) -> list[tuple[str, int, bool]]:
             closed = []
             if tag in BLOCKS and stack and stack[-1][0] == "p":
                 closed = [stack.pop()]
-            is_noise = _is_noise(tag, piece["attributes"], content > 0)
-            if is_noise and not noise:
+        for name, was_noise, was in reversed(closed):
+            if was:
                 flush()
-                if not content:
-                    out.append(("", 0, False))
-            stack.append((tag, is_noise))
-            noise += is_noise
-            content += tag in CONTENT
-            link += tag == "a"
-        for name, was_noise in closed:
+                suspect = was.outer
             noise -= was_noise
             content -= name in CONTENT
             link -= name == "a"
+            lists -= name in LISTS
+        if piece["end"]:
+            continue
+        is_noise = (tag in NOISE and tag != "form") or (tag == "header" and not content)
+        marked = not noise and not is_noise and tag not in ("body", "html") and bool(piece["attributes"]) and _marks_noise(piece["attributes"], content > 0)
+        own = None
+        if is_noise and not noise:
+            flush()
+            out.append(("", 0, content > 0, 0, suspect))
+        elif not noise and tag in CONTENT:
+            if suspect and not marked:
+                suspect.holds = True
+        elif not noise and (marked or tag == "form"):
+            flush()
+            own = suspect = _Suspect(suspect)
+            suspects.append(own)
+        stack.append((tag, is_noise, own))
+        noise += is_noise
+        content += tag in CONTENT
+        link += tag == "a"
+        if tag in LISTS:
+            number += not lists
+            lists += 1
     flush()
-    return out
+    for own in reversed(suspects):
+        if own.outer:
+            own.outer.chars += own.chars
+            own.outer.holds |= own.holds
+    marked = any(inside and text and (not within or within.holds) for text, _, inside, _, within in out)
+    for own in suspects:
+        own.dropped = (own.outer is not None and own.outer.dropped) or not (own.holds or (not marked and 4 * own.chars > 3 * total))
+    kept: list[tuple[str, int, bool, int]] = []
+    for *line, within in out:
+        if line[0] and not (within and within.dropped):
+            kept.append(tuple(line))
+        elif kept and kept[-1][0]:
+            kept.append(("", 0, False, 0))
+    return kept
 
 
 def main_text(html: str | None, window: int = 3, peak: int = 80) -> str:
     """The text between surge and dive points."""
     lines = lines_of(html or "")
-    marked = any(inside for _, _, inside in lines)
+    marked = any(inside for _, _, inside, _ in lines)
     spread: list[tuple[str, int]] = []
-    for text, linked, inside in lines:
+    for text, linked, inside, _ in lines:
+        if not text and marked:
+            continue
         if not text:
             spread += [("", 0)] * window
         elif marked:
