@@ -2,11 +2,11 @@
 
 Markup is stripped to lines, one for each block element; elements that never
 hold main text (menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, comments) leave a gap. The text lengths of a sliding window of
-lines are summed: where the sum surges from nothing the text begins, where it
-dives back to nothing it ends. Stretches whose sum reaches ``peak`` are kept,
-or else the one with the highest sum. Where a page marks an article, lines
-outside it have no length.
+scripts, comments) leave a gap of one line, lists of links one of a line an
+item. The text lengths of a sliding window of lines are summed: where the sum
+surges from nothing the text begins, where it dives back to nothing it ends.
+Stretches whose sum reaches ``peak`` or that lie in an article are kept, with
+all between them and the next one on each side; without any, all are.
 
 Defined cases: null and empty pages have empty text; unclosed and crossed tags
 are closed by the next tag that ends them; a page cut within a tag or script
@@ -171,30 +171,27 @@ def lines_of(html: str) -> list[tuple[str, int, bool, int]]:
 def main_text(html: str | None, window: int = 3, peak: int = 80) -> str:
     """The text between surge and dive points."""
     lines = lines_of(html or "")
-    marked = any(inside for _, _, inside, _ in lines)
-    spread: list[tuple[str, int]] = []
-    for text, linked, inside, _ in lines:
-        if not text and marked:
-            continue
-        if not text:
-            spread += [("", 0)] * window
-        elif marked:
-            spread.append((text, len(text)) if inside else ("", 0))
-        else:
-            spread.append((text, 0 if 2 * linked > len(text) else len(text)))
-    if not spread:
+    lists: dict[int, list[int]] = {}
+    for text, linked, inside, number in lines:
+        if number and text and not inside:
+            sums = lists.setdefault(number, [0, 0, 0])
+            sums[0], sums[1], sums[2] = sums[0] + 1, sums[1] + linked, sums[2] + len(text)
+    of_links = {number for number, (items, linked, chars) in lists.items() if items > 1 and 2 * linked > chars}
+    if not lines:
         return ""
-    length = np.array([n for _, n in spread])
+    length = np.array([0 if number in of_links and not inside else len(text) for text, _, inside, number in lines])
     # the sum of the window that begins at each line, and those before the first
     sums = np.convolve(np.concatenate([np.zeros(window - 1, int), length, np.zeros(window, int)]), np.ones(window, int), "valid")
     edge = np.diff(np.concatenate([[0], (sums > 0).astype(np.int8)]))
     surges, dives = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     if not len(surges):
         return ""
-    tops = np.array([sums[a:b].max() for a, b in zip(surges, dives)])
-    kept = tops >= peak if (tops >= peak).any() else tops == tops.max()
     # window i ends at line i
-    return "\n\n".join(text for a, b, keep in zip(surges, dives, kept) if keep for text, n in spread[a : b - window + 1] if n)
+    spans = [(a, b - window + 1) for a, b in zip(surges, dives)]
+    strong = [i for i, (a, b) in enumerate(spans) if sums[a : b + window - 1].max() >= peak or any(inside for _, _, inside, _ in lines[a:b])]
+    # short stretches between or beside strong ones belong to the text; without strong ones all do
+    first, last = (max(strong[0] - 1, 0), strong[-1] + 2) if strong else (0, len(spans))
+    return "\n\n".join(lines[i][0] for a, b in spans[first:last] for i in range(a, b) if length[i])
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

@@ -16,6 +16,15 @@ def test_wrappers_are_no_noise(html):
     assert html_text.main_text(html) == f"Title\n\n{LONG}"
 
 
+NOISY = ["ad", "x ads", "sidebar", "comments", "ad-1", "cookie-banner", "site-header", "share-buttons"]
+
+
+@pytest.mark.parametrize("name", NOISY)
+def test_whole_tokens_are_noise(name):
+    for a in (f'class="{name}"', f'id="{name}"', f"role='{name}'"):
+        assert html_text.main_text(f"<body><div><p>{LONG}</p></div><div {a}><p>noise</p></div><p>end</p></body>") == f"{LONG}\n\nend"
+
+
 def test_comments_in_articles_are_noise():
     html = f"<article><p>{LONG}</p></article><section class=comments><article class='comment'><p>Reader says.</p></article></section>"
     assert html_text.main_text(html) == LONG
@@ -29,3 +38,20 @@ def test_adverts_longer_than_the_article_are_noise():
 def test_svg_ends_at_its_own_tag(svg):
     assert html_text.main_text(f"<article><p>one</p>{svg}<p>two</p></article>") == "one\n\ntwo"
     assert html_text.main_text(f"{svg}<p>two</p>") == "two"
+
+
+AD = "<div class=ad>Buy now</div>"
+UNMARKED = [
+    (f"<h1>Title</h1><div class=share>Share</div><div>{LONG}</div>", ["Title", LONG]),
+    (f"<p>{LONG}</p>{AD}<p>short</p>{AD}<p>{LONG}</p>", [LONG, "short", LONG]),
+    (f"<p>{LONG}</p>{AD * 5}<p>short</p>{AD * 5}<h2>Head</h2>{AD * 5}<p>{LONG}</p>{AD * 3}<p>end</p>", [LONG, "short", "Head", LONG, "end"]),
+    (f"<p>one</p>{AD * 3}<p>two</p>{AD * 3}<p>three</p>", ["one", "two", "three"]),
+    (f"<p>{LONG}</p><p><a href=x>A paragraph that is a link</a></p><ul>" + "<li><a href=y>menu item</a></li>" * 6 + "</ul><p>after</p>", [LONG, "A paragraph that is a link", "after"]),
+    (f"<ul><li><a href=x>one</a> and much more said of it here</li><li><a href=x>only link</a></li></ul><p>{LONG}</p>", ["one and much more said of it here", "only link", LONG]),
+    (f"<h1>Title</h1><p>Lead</p><main><p>{LONG}</p></main><p>After</p><p>{LONG}</p>", ["Title", "Lead", LONG, "After", LONG]),
+]
+
+
+@pytest.mark.parametrize(("html", "want"), UNMARKED)
+def test_only_noise_is_dropped(html, want):
+    assert html_text.main_text(html).split("\n\n") == want
