@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: The first radius of a search is the extent over so many times the spots; how much wider each next one is.
+FIRST, WIDER = 64, 4
+
 
 def interval_join(points: DataFrame, intervals: DataFrame, keys: tuple[str, ...], at: Column, start: str, end: str, width: float, how: str = "inner", right_open: bool = False) -> DataFrame:
     """Rows of points with the intervals of the same key that hold ``at``, both ends included.
@@ -60,6 +65,34 @@ def within_radius(points: DataFrame, places: DataFrame, keys: tuple[str, ...], x
     return found.where(F.col(distance) < radius).drop("_own", "_cell", *(f"_{k}" for k in keys))
 
 
+def nearest_place(points: DataFrame, row_id: str, x: str, y: str, keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """``row_id, nearest, distance``: the nearest other row of each, of equally near ones the least id.
+
+    Rows at one spot are each other's nearest. The others look among all spots, within a small radius first and then
+    within ``WIDER`` times it, those that found nothing. These lie at least the last radius apart, so few of them share
+    a cell and the pairs of a round grow with the rows, unless more than a few spots share a cell of the first one.
+    Rounds are staged by ``keep``. A row without another, or without a place, is not in the result.
+    """
+    rows = keep(points.select(row_id, x, y).where(F.col(x).isNotNull() & F.col(y).isNotNull()), "rows")
+    spots = keep(rows.groupBy(x, y).agg(F.min(row_id).alias("nearest"), F.count(F.lit(1)).alias("_n")), "spots")
+    shared = rows.join(spots.where("_n > 1"), [x, y])
+    second = shared.where(F.col(row_id) != F.col("nearest")).groupBy("nearest").agg(F.min(row_id).alias("_second"))
+    found = shared.join(second, "nearest").select(row_id, F.when(F.col(row_id) == F.col("nearest"), F.col("_second")).otherwise(F.col("nearest")).alias("nearest"), F.lit(0.0).alias("distance"))
+    n, *ends = spots.agg(F.count(F.lit(1)), F.max(x) - F.min(x), F.max(y) - F.min(y)).first()
+    if n < 2:
+        return found
+    radius, at = max(ends) / (FIRST * n), 0
+    left, spots = spots.where("_n = 1").select(F.col("nearest").alias(row_id), x, y), spots.drop("_n")
+    while left.head(1):
+        near = within_radius(spots, left, (), x, y, radius).where(F.col(row_id) != F.col("nearest"))
+        best = near.groupBy(row_id).agg(F.min(F.struct("distance", "nearest")).alias("_m"))
+        best = keep(best.select(row_id, "_m.nearest", "_m.distance"), f"near_{at}")
+        found = found.unionByName(best)
+        left = keep(left.join(best, row_id, "left_anti"), f"left_{at}")
+        radius, at = radius * WIDER, at + 1
+    return found
+
+
 def band_pairs(df: DataFrame, row_id: str, value: str, width: float) -> DataFrame:
     """Pairs ``a < b`` of rows whose values differ by less than ``width``, each once."""
     cell = F.floor(F.col(value) / width).cast("long")

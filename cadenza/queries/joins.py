@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from cadenza.functions.geo import haversine_km, planar_metres
 from cadenza.functions.wind import wind_bearing, wind_vector
-from cadenza.operators.joins import asof_join, band_pairs, interval_join, segments, within_radius
+from cadenza.operators.joins import asof_join, band_pairs, interval_join, nearest_place, segments, within_radius
 from cadenza.operators.series import Series
+from cadenza.plans.staging import Staging
 from cadenza.queries.registry import epoch, query, table
 from cadenza.queries.series import events, numbered
 
@@ -99,6 +100,13 @@ def nearest_neighbour(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("vec_id", F.col("m.anchor").alias("nearest"), F.round("m.distance", 9).alias("distance"))
 
 
+@query()
+def nearest_neighbour_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest other point of every point, however far, in the plane of the first two coordinates. In SQL this is a join of all pairs."""
+    found = nearest_place(_points(spark, sf_dir), "vec_id", "x", "y", Staging(spark).put)
+    return found.select("vec_id", "nearest", F.round("distance", 9).alias("distance"))
+
+
 @query("""
 SELECT a.c_custkey AS a, b.c_custkey AS b, round(b.c_acctbal - a.c_acctbal, 2) AS apart FROM customer a JOIN customer b
 ON a.c_custkey < b.c_custkey AND abs(a.c_acctbal - b.c_acctbal) < 0.5 AND a.c_nationkey = b.c_nationkey
