@@ -82,7 +82,7 @@ GENERATORS = (
     ("phone", re.compile(r"(?<![0-9+(])\(?[0-9]{2,5}\)?[ ./-][0-9]{2,4}[ ./-][0-9]{2,4}(?:[ ./-][0-9]{2,4})?(?![0-9])")),
     ("ssn", re.compile(r"(?<![0-9-])[0-9]{3}[- ][0-9]{2}[- ][0-9]{4}(?![0-9-])")),
     ("iban", re.compile(r"(?<![A-Z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")),
-    ("secret", re.compile(r"(?<![0-9A-Za-z_-])(?=[0-9A-Za-z_-]{0,60}[0-9])[0-9A-Za-z_-]{20,128}(?![0-9A-Za-z_-])")),
+    ("secret", re.compile(r"(?<![0-9A-Za-z_-])(?=[A-Za-z_-]*+[0-9])[0-9A-Za-z_-]{20,}+")),
 )
 _HAS = (re.compile(r"[\[({<] ?at ?[\])}>]", re.I), re.compile(r"[0-9][ ./)-]+[0-9]"), re.compile(r"[0-9][- ][0-9]"), re.compile(r"[A-Z]{2}[0-9]{2}"), re.compile(r"[0-9A-Za-z_-]{20}"))
 #: Words that tell what a number near them is.
@@ -272,9 +272,9 @@ def loose_candidates(text: str) -> list[tuple[str, int, int]]:
 
 
 def select(texts: list[str], trees: Trees, thresholds: dict[str, float]) -> list[tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]]:
-    """Base spans and all spans of each text."""
+    """Base spans and all spans of each text; loose ones may reach beyond a base span, not lie within one."""
     base = [base_spans(t) for t in texts]
-    found = [[c for c in loose_candidates(t) if not any(a < c[2] and c[1] < b for _, a, b in own)] for t, own in zip(texts, base)]
+    found = [[c for c in loose_candidates(t) if not any(a <= c[1] and c[2] <= b for _, a, b in own)] for t, own in zip(texts, base)]
     x = [candidate_features(t, *c) for t, own in zip(texts, found) for c in own]
     p = iter(trees.predict(np.array(x)).tolist() if x else [])
     out = []

@@ -1,0 +1,52 @@
+"""Loose spans that reach beyond base spans, and long keys."""
+
+import random
+
+import pytest
+
+from cadenza.llm import pii
+
+
+@pytest.fixture(scope="module")
+def ibans():
+    """Account numbers whose last 14 digits pass as a card."""
+    rng, out = random.Random(8), []
+    while len(out) < 20:
+        digits = "".join(rng.choice("0123456789") for _ in range(14))
+        check = 98 - int("".join(str(int(c, 36)) for c in f"NWBK{digits}GB00")) % 97
+        s = f"GB{check:02}NWBK{digits}"
+        if pii.luhn(digits) and pii.iban_ok(s):
+            out.append(" ".join(s[i : i + 4] for i in range(0, len(s), 4)))
+    return out
+
+
+def test_account_numbers_that_hold_a_card(ibans):
+    trees, thresholds = pii.trained()
+    texts = [f"Please transfer it to iban: {s} today" for s in ibans]
+    for s, text, (base, every) in zip(ibans, texts, pii.select(texts, trees, thresholds)):
+        at = text.index(s)
+        assert [k for k, _, _ in base] == ["card"]
+        assert ("iban", at, at + len(s)) in every and base[0] in every
+        assert pii.redact_text(text, every) == "Please transfer it to iban: [IBAN] today"
+
+
+def test_spans_within_base_spans_are_left_out():
+    text = "card 4111 1111 1111 1111 here"
+    assert pii.select([text], *pii.trained()) == [([("card", 5, 24)], [("card", 5, 24)])]
+
+
+@pytest.mark.parametrize("n", [40, 128, 129, 200, 1000])
+@pytest.mark.parametrize("plain", [0, 39, 70])
+def test_keys_of_any_length(n, plain):
+    rng = random.Random(n)
+    key = ("".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGH") for _ in range(plain)) + "7" + "".join(rng.choice("abcdefghijkABCDEFGHXYZ0123456789") for _ in range(n)))[: max(n, plain + 1)]
+    text = f'api_key = "{key}" '
+    assert ("secret", 11, 11 + len(key)) in pii.loose_candidates(text)
+
+
+def test_long_keys_are_redacted():
+    rng = random.Random(9)
+    for n in (129, 200, 400):
+        key = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(n))
+        text = f'secret token = "{key}" and more'
+        assert pii.redact_text(text, pii.select([text], *pii.trained())[0][1]) == 'secret token = "[SECRET]" and more'
