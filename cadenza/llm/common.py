@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A-Z become a-z and every ASCII byte outside 0-9 and a-z becomes a blank; bytes from 0x80 on stay.
@@ -20,13 +20,19 @@ LOWER_TABLE = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 def shared_root(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    It is ``spark.checkpoint.dir`` of the session. Only where that is unset,
-    as in local tests, a new temporary folder is made and set.
+    It is ``spark.checkpoint.dir`` of the session. Only a local session may
+    leave that unset: a new temporary folder is made and set. On a cluster
+    such a folder would be seen by one machine alone, so this raises.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        root = found.get() if found.isDefined() else "file://" + tempfile.mkdtemp(prefix="cadenza-")
+        if found.isDefined():
+            root = found.get()
+        elif spark.sparkContext.master.startswith("local"):
+            root = "file://" + tempfile.mkdtemp(prefix="cadenza-")
+        else:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
@@ -41,7 +47,21 @@ def stage(df: DataFrame, tag: str) -> DataFrame:
     lineage that survives lost executors."""
     path = new_folder(df.sparkSession, tag)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.staged_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.staged_path)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def packed(df: DataFrame) -> DataFrame:
+    """df's columns as the one column ``_row``, so that no added column can clash with them; ``_row.*`` unpacks it."""
+    return df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_row"))
 
 
 def words(text: str | None) -> list[bytes]:
@@ -55,18 +75,56 @@ def tokens(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(LOWER_TABLE).split() if text else []
 
 
-def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterable[pa.RecordBatch | pa.Table] | pa.RecordBatch]], schema: str, rows: int = 1000) -> DataFrame:
-    """mapInArrow with batches of at most ``rows`` rows; ``make`` runs once a task."""
+#: Bytes of texts in one batch; a longer text is a batch of its own.
+BATCH_BYTES = 16 << 20
+
+
+def _cuts(batch: pa.RecordBatch, rows: int) -> Iterator[tuple[int, int]]:
+    """Stretches of at most ``rows`` rows and, but for single rows, BATCH_BYTES of strings and binaries."""
+    sizes = np.zeros(batch.num_rows, np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+            sizes += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    total = np.concatenate([[0], np.cumsum(sizes)])
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, min(at + rows, int(np.searchsorted(total, total[at] + BATCH_BYTES, side="right")) - 1))
+        yield at, end
+        at = end
+
+
+def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str, rows: int = 1000) -> DataFrame:
+    """mapInArrow with batches of at most ``rows`` rows and about BATCH_BYTES; ``make`` runs once a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = make()
         for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                yield each(batch.slice(at, rows))
+            for a, b in _cuts(batch, rows):
+                yield each(batch.slice(a, b - a))
 
     return df.mapInArrow(run, schema)
 
 
+#: A key with over one in so many rows, and over HOT_ROWS, is hot: there are at most HOT_SHARE of these.
+HOT_SHARE, HOT_ROWS = 10_000, 1_000
+
+
+def lookup(rows: DataFrame, table: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """Inner join of rows with the one row that ``table`` has for their key.
+
+    ``n`` is the table's column that tells how many rows have the key, ``total``
+    their number. The entries of hot keys, at most HOT_SHARE, are broadcast, so
+    that no task gets all rows of such a key; the others are joined by a shuffle.
+    """
+    most = max(HOT_ROWS, total // HOT_SHARE)
+    columns = [c for c in table.columns if c != key]
+    hot = table.where(F.col(n) > most).select(F.col(key), F.struct(*columns).alias("_hot"))
+    tried = rows.join(F.broadcast(hot), key, "left")
+    done = tried.where(F.col("_hot").isNotNull()).select(*rows.columns, *(F.col("_hot")[c].alias(c) for c in columns))
+    cold = tried.where(F.col("_hot").isNull()).drop("_hot").join(table.where(F.col(n) <= most).hint("merge"), key)
+    return done.unionByName(cold.select(*rows.columns, *columns))
+
+
 #: Edges that one task handles in a round; a graph of fewer is dealt to fewer tasks, so that small graphs are not all overhead.
 EDGES_A_TASK = 100_000
 LEAST_TASKS = 8
@@ -77,45 +135,54 @@ def label_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Alternates the large-star and small-star steps: each node's neighbours are
     linked to the smallest of them until nothing changes. Every step is a
-    grouped minimum and a join, staged in the shared folder, so no adjacency
-    list or component is ever held in one task.
+    grouped minimum and a ``lookup`` of it, staged in the shared folder, so no
+    adjacency list, star or component is ever held in one task.
 
     Returns ``(node, component)`` for every node with an edge; the component
     is its smallest node.
     """
-    edges = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").distinct()
-    edges = stage(edges, "edges")
+    edges = stage(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").distinct(), "edges")
     seen = None
     while True:
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == seen:
             break
         seen = now
+        total = 2 * now[0]
         tasks = max(LEAST_TASKS, now[0] // EDGES_A_TASK)
         both = edges.union(edges.select("b", "a"))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").coalesce(tasks)
-        # every edge of large points from the larger to the smaller node; grouping drops repeats
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.distinct().join(least, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        edges = stage(small.coalesce(tasks), "edges")
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count(F.lit(1)).alias("n"))
+        large = lookup(both, least, "a", "n", total).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = stage(large.coalesce(tasks), "edges")
+        # every edge of large points from the larger to the smaller node
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = lookup(large, least, "a", "n", total).select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        small = stage(small.coalesce(tasks), "edges")
+        discard(edges, large)
+        edges = small
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select(F.col("b"), F.col("b")).distinct())
 
 
-def prefix_sums(df: DataFrame, by: list[str], bucket: Column, order: list[Column], value: str, out: str) -> DataFrame:
-    """Exclusive running sum of ``value`` in ``order`` within the groups ``by``.
+def prefix_sums(df: DataFrame, by: list[str], order: list[Column], sums: dict[str, str], bucket: str) -> DataFrame:
+    """Exclusive running sums in ``order`` within the groups ``by``: a column of each name in ``sums``, of the column it names.
 
-    ``bucket`` must not decrease in that order. Sums of buckets are summed
-    first, then rows within each bucket, so no task holds a whole group.
+    The column ``bucket`` must not decrease in that order. Sums of buckets are
+    summed first, then rows within each bucket, so no task holds a whole group.
     """
-    from pyspark.sql import Window
+    keys = [*by, bucket]
+    whole = Window.partitionBy(*by).orderBy(bucket)
+    within = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    totals = df.groupBy(*keys).agg(*(F.sum(value).alias(f"_all_{out}") for out, value in sums.items()))
+    before = totals.select(*keys, *((F.sum(f"_all_{out}").over(whole) - F.col(f"_all_{out}")).alias(f"_before_{out}") for out in sums))
+    inner = df.withColumns({f"_in_{out}": F.sum(value).over(within) - F.col(value) for out, value in sums.items()})
+    joined = inner.join(before, keys).withColumns({out: F.col(f"_before_{out}") + F.col(f"_in_{out}") for out in sums})
+    return joined.drop(*(f"_{x}_{out}" for out in sums for x in ("before", "in")))
+
 
-    df = df.withColumn("_bucket", bucket)
-    keys = [*by, "_bucket"]
-    sums = df.groupBy(*keys).agg(F.sum(value).alias("_sum"))
-    before = sums.select(*keys, (F.sum("_sum").over(Window.partitionBy(*by).orderBy("_bucket")) - F.col("_sum")).alias("_before"))
-    inner = df.withColumn("_in", F.sum(value).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)) - F.col(value))
-    return inner.join(before, keys).withColumn(out, F.col("_before") + F.col("_in")).drop("_bucket", "_before", "_in")
+def range_sorted(df: DataFrame, *order: Column) -> DataFrame:
+    """df sorted over all its tasks and staged, with ``_task``, which does not decrease in that order, and ``_at``, its place in the order (with gaps)."""
+    spread = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    return stage(spread.withColumns({"_task": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}), "sorted")
 
 
 def hash64(items: np.ndarray, seed: int) -> np.ndarray:
@@ -160,6 +227,3 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-LETTER = re.compile(r"[^\W\d_]")

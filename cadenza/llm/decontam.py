@@ -7,8 +7,11 @@ covers are hit. Items shorter than the window count as one window.
 
 Defined cases: null and empty texts have no words and no hits; items without
 words match nothing; a null item id is written as an empty name; equal items
-under several ids are all reported; repeated documents give equal rows; an
-empty benchmark gives no hits; columns that clash with results are replaced.
+under several ids are all reported; an item of more words than a block is cut
+into pieces that share their windows; texts of any length are matched whole;
+repeated documents, also of equal or null ids, give equal rows; an empty
+benchmark gives no hits, an empty table of documents no rows. ``match_benchmark``
+replaces columns that clash with its results, ``decontaminate`` keeps all.
 """
 
 from __future__ import annotations
@@ -22,10 +25,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import map_arrow, words
+from cadenza.llm.common import discard, map_arrow, packed, stage, words
 
-#: Words of items in one automaton. A larger benchmark is streamed past in several.
-BLOCK_WORDS = 500_000
+#: Words of items in one automaton, which bounds the memory of a Python worker to about 200 MB. A larger benchmark
+#: is matched block after block, with the documents staged between, so that no task ever holds two automata.
+BLOCK_WORDS = 200_000
 
 
 class SuffixAutomaton:
@@ -154,16 +158,18 @@ class SuffixAutomaton:
             yield from zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist())
 
 
-def _blocks(benchmark: DataFrame, item_id: str, text: str, most: int) -> Iterator[list[tuple[str, list[bytes]]]]:
+def _blocks(benchmark: DataFrame, item_id: str, text: str, most: int, window: int) -> Iterator[list[tuple[str, list[bytes]]]]:
     """Items in blocks of bounded size; never more than one block is on the driver."""
-    block, size = [], 0
+    block, size, step = [], 0, max(1, most - window + 1)
     for row in benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(text).alias("t")).toLocalIterator():
         sequence = words(row["t"])
-        if block and size + len(sequence) > most:
-            yield block
-            block, size = [], 0
-        block.append((row["i"] or "", sequence))
-        size += len(sequence)
+        for at in range(0, max(1, len(sequence) - window + 1), step):
+            piece = sequence[at : at + step + window - 1]
+            if block and size + len(piece) > most:
+                yield block
+                block, size = [], 0
+            block.append((row["i"] or "", piece))
+            size += len(piece)
     yield block
 
 
@@ -174,31 +180,42 @@ def match_benchmark(docs: DataFrame, benchmark: DataFrame, text: str = "text", i
     Documents are never shuffled: each block of items is one narrow pass that
     adds to the stretches found so far.
     """
-    own = "n_words long, hit_starts array<int>, hit_ends array<int>, hit_items array<string>, longest_match int"
-    names = [x.split()[0] for x in own.split(", ")]
-    out = docs.drop(*names)
-    kept = list(out.columns)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema.fields), own])
-    bare = docs.sparkSession.createDataFrame([], schema).schema
-    first = True
-    for block in _blocks(benchmark, item_id, item_text, block_words):
-        shared = docs.sparkSession.sparkContext.broadcast(SuffixAutomaton(block, window))
+    names = ["n_words", "hit_starts", "hit_ends", "hit_items", "longest_match"]
+    kept = [c for c in docs.columns if c not in names]
+    rows = packed(docs.select(*kept)).withColumn("text", F.col("_row")[text])
+    found = _match(rows, benchmark, item_id, item_text, window, block_words)
+    return found.select(*(F.col("_row")[c].alias(c) for c in kept), *names)
+
+
+def _match(rows: DataFrame, benchmark: DataFrame, item_id: str, item_text: str, window: int, block_words: int) -> DataFrame:
+    """rows (``_row, text``) with the columns of ``match_benchmark``."""
+    names = ["n_words", "hit_starts", "hit_ends", "hit_items", "longest_match"]
+    kinds = [pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.string()), pa.int32()]
+    types = ("long", "array<int>", "array<int>", "array<string>", "int")
+    schema = rows.select("_row", "text", *(F.lit(None).cast(t).alias(n) for n, t in zip(names, types))).schema
+    out, last = rows, None
+    for block in _blocks(benchmark, item_id, item_text, block_words, window):
+        first = out is rows
+        if not first:
+            out = stage(out, "decontam")
+            if last is not None:
+                discard(last)
+            last = out
+        shared = rows.sparkSession.sparkContext.broadcast(SuffixAutomaton(block, window))
 
         def make(shared=shared, first=first):
             automaton = shared.value
 
             def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-                texts = batch.column(text).to_pylist()
+                texts = batch.column("text").to_pylist()
                 before = [[None] * len(texts)] * 4 if first else [batch.column(x).to_pylist() for x in names[1:]]
-                rows = [_match_one(automaton, t, *x) for t, *x in zip(texts, *before)]
-                columns = [list(c) for c in zip(*rows)] or [[] for _ in names]
-                kinds = [pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.string()), pa.int32()]
-                return pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=[*kept, *names])
+                found = [_match_one(automaton, t, *x) for t, *x in zip(texts, *before)]
+                columns = [list(c) for c in zip(*found)] or [[] for _ in names]
+                return pa.RecordBatch.from_arrays([batch.column("_row"), batch.column("text"), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=["_row", "text", *names])
 
             return each
 
-        out = map_arrow(out, make, bare)
-        first = False
+        out = map_arrow(out, make, schema)
     return out
 
 
@@ -241,18 +258,40 @@ def cut_words(text: str | None, starts: list[int], ends: list[int]) -> str | Non
     return "".join([*out, text[at:]])
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = 13, one_in: int = 20, max_span: int | None = None, **names: str) -> DataFrame:
+def decontaminate(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    text: str = "text",
+    n_chars: str = "n_chars",
+    item_id: str = "item_id",
+    item_text: str = "text",
+    window: int = 13,
+    one_in: int = 20,
+    max_span: int | None = None,
+    block_words: int = BLOCK_WORDS,
+) -> DataFrame:
     """docs without contaminated documents (coverage limit ``one_in``).
 
-    With ``max_span``, stretches longer than that many words are cut out of
-    the documents that stay.
+    With ``max_span``, stretches of more hit words than that are cut out of the
+    documents that stay (length limit), and ``n_chars``, where docs have it,
+    counts anew.
     """
-    matched = match_benchmark(docs, benchmark, text=text, window=window, **names)
-    kept = matched.where(~is_contaminated(hit_words(), F.col("n_words"), one_in))
+    rows = packed(docs).withColumn("text", F.col("_row")[text])
+    kept = _match(rows, benchmark, item_id, item_text, window, block_words).where(~is_contaminated(hit_words(), F.col("n_words"), one_in))
     if max_span is None:
-        return kept.select(*docs.columns)
-    long = F.filter(F.arrays_zip("hit_starts", "hit_ends"), lambda s: s["hit_ends"] - s["hit_starts"] > max_span)
-    kept = kept.withColumn("_cut", long)
-    cut = F.pandas_udf(lambda t, s: t.combine(s, lambda x, y: cut_words(x, [a["hit_starts"] for a in y], [a["hit_ends"] for a in y])), "string")
-    touched = kept.where(F.size("_cut") > 0).withColumn(text, cut(F.col(text), F.col("_cut")))
-    return kept.where(F.size("_cut") == 0).unionByName(touched).select(*docs.columns)
+        return kept.select("_row.*")
+    spans = F.filter(F.arrays_zip("hit_starts", "hit_ends"), lambda s: s["hit_ends"] - s["hit_starts"] > max_span)
+    kept = kept.select("_row", "text", spans.alias("cut"))
+
+    def make():
+        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+            cut = [cut_words(t, [s["hit_starts"] for s in c], [s["hit_ends"] for s in c]) for t, c in zip(batch.column("text").to_pylist(), batch.column("cut").to_pylist())]
+            return pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(cut, pa.string())], names=["_row", "text"])
+
+        return each
+
+    done = map_arrow(kept, make, kept.select("_row", "text").schema)
+    new = {text: F.col("text")}
+    if n_chars in docs.columns:
+        new[n_chars] = F.when(F.col("text") == F.col("_row")[text], F.col("_row")[n_chars]).otherwise(F.length("text").cast(docs.schema[n_chars].dataType))
+    return done.select(*(new.get(c, F.col("_row")[c]).alias(c) for c in docs.columns))

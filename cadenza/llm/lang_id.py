@@ -3,12 +3,15 @@
 Document frequencies come from all documents of the learning fold. The
 regression is fitted by follow-the-regularised-leader with elastic-net
 penalties on a bounded sample of them (``per_language`` expected documents of
-each language, by a hash of the id), and calibrated by a temperature on a
-fifth of that sample.
-
-Defined cases: a null text or one without letters is ``und`` with score 0; rows
-with a null label or a null id are predicted but not learned from; with no
-labelled rows every language is ``und``; repeated rows count as they stand.
+each language, by a hash of id and text; equal ones of a language count once
+there), and calibrated by a temperature on a fifth of that sample.
+
+Defined cases: a null text or one without letters (Unicode's L categories) is
+``und`` with score 0; rows with a null label or a null id are predicted but not
+learned from; with no labelled rows every language is ``und``; an empty table
+gives no rows; texts of any length count whole; repeated rows have equal
+predictions; of equally likely languages the first by name wins; only the
+named columns are read, so others cannot clash.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import LETTER, hash64, map_arrow
+from cadenza.llm.common import hash64, map_arrow
 from cadenza.llm.ftrl import fit_multinomial, softmax, temperature
 
 BUCKETS = 1 << 15
@@ -60,7 +63,7 @@ class Model:
         self.languages, self.idf, self.weights, self.heat = languages, idf.astype(np.float32), weights.astype(np.float32), heat
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if text is None or not self.languages or not LETTER.search(text):
+        if text is None or not self.languages or not any(map(str.isalpha, text)):
             return "und", 0.0
         found, value = tf_idf(text, self.idf)
         p = softmax((value @ self.weights[found]).astype(np.float64) / self.heat)
@@ -97,8 +100,9 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
     if not languages:
         return Model([], idf, np.zeros((BUCKETS, 0)), 1.0)
     share = F.create_map(*(F.lit(x) for name in languages for x in (name, min(1.0, per_language / sizes[name]))))
-    draw = F.pmod(F.xxhash64("i", F.lit(41)), F.lit(1 << 30)) / F.lit(1 << 30)
-    sample = rows.where(draw < share[F.col("l")]).select("i", "l", "t")
+    draw = F.pmod(F.xxhash64("i", "t", F.lit(41)), F.lit(1 << 30)) / F.lit(1 << 30)
+    # a row that is repeated all over is drawn with all its copies, so these are made one before they leave their tasks
+    sample = rows.where(draw < share[F.col("l")]).dropDuplicates(["i", "l", "t"]).select("i", "l", "t")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -107,7 +111,7 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
                 x = [tf_idf(t, idf) for t in part.column("t").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("i"), part.column("l"), pa.array([c.astype(np.int32).tobytes() for c, _ in x], pa.binary()), pa.array([v.astype(np.float32).tobytes() for _, v in x], pa.binary())], names=["i", "l", "c", "v"])
 
-    got = sample.mapInArrow(features, "i long, l string, c binary, v binary").toArrow().sort_by([("i", "ascending"), ("l", "ascending")]).to_pydict()
+    got = sample.mapInArrow(features, "i long, l string, c binary, v binary").toArrow().sort_by([("i", "ascending"), ("l", "ascending"), ("c", "ascending"), ("v", "ascending")]).to_pydict()
     x = [(np.frombuffer(c, np.int32), np.frombuffer(v, np.float32).astype(np.float64)) for c, v in zip(got["c"], got["v"])]
     y = np.array([languages.index(name) for name in got["l"]], np.int64)
     check = hash64(np.array(got["i"], np.int64).view(np.uint64), 5) % np.uint64(5) == 0

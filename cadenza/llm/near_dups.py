@@ -8,10 +8,12 @@
    at the last level are dealt into blocks, each with the node's pivots.
 3. Within a leaf every pair is compared by sizes and minwise tokens. Pairs
    that could be similar join candidate groups; a leaf emits a spanning forest.
-4. Candidate groups are compared on their full sets, exhaustively and exactly.
-   A group beyond one block is compared block by block and with its pivots;
-   then all that is not yet in its largest component is compared with all of
-   it, so only pairs that are connected already are left out.
+4. Candidate groups are compared on their full sets, exactly. A group of one
+   block is compared exhaustively. A larger one is compared block by block and
+   with its pivots; then what is not yet in its largest component is looked up
+   by its rarest tokens (``_rare_links``). Only pairs that are connected already,
+   or that cannot be linked by how many rare tokens they lack, are left out, so
+   documents that merely share a long passage never meet.
 5. Links make components; the smallest id of each is kept.
 
 A pair at the threshold s shares a node at depth d with probability s^d, so t
@@ -19,22 +21,25 @@ trees miss it with (1 - s^d)^t: at 0.85 and 14 trees 3e-12 for leaves at depth
 1, 2e-8 at depth 2 and 2e-6 at depth 3.
 
 Defined cases: null, empty and blank texts have the empty set and are linked
-with nothing; texts of fewer words than a shingle are one shingle; rows of one
-id count as one document; rows with a null id get no component and are not
-kept; repeated rows are links of similarity 1; an empty table gives no rows.
+with nothing; texts of fewer words than a shingle are one shingle; texts of any
+length count whole; in ``near_duplicates`` rows of one id count as one document
+and rows with a null id get no component and are not kept, in
+``drop_near_duplicates`` every row is a document of its own; repeated rows are
+links of similarity 1; of equal copies the smallest id is kept; an empty table
+gives no rows; only the named columns are read, so others cannot clash.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import LOWER_TABLE, hash64, label_components, map_arrow, stage, word_hashes
+from cadenza.llm.common import LOWER_TABLE, discard, hash64, label_components, lookup, map_arrow, packed, stage, word_hashes
 
 MINS = 64
 #: A pair is a candidate unless its minwise tokens put its similarity this far below the threshold (5 standard deviations).
@@ -99,17 +104,20 @@ def _sketch(docs: DataFrame, doc_id: str, text: str, k: int) -> DataFrame:
     return map_arrow(rows, make, "doc_id long, n long, set_hash binary, mins array<int>", rows=400)
 
 
-def _leaves(classes: DataFrame, trees: int, depth: int, leaf: int, pivots: int) -> DataFrame:
-    """``node, rid`` of the leaves of all trees."""
+def _leaves(classes: DataFrame, trees: int, depth: int, leaf: int, pivots: int) -> tuple[DataFrame, list[DataFrame]]:
+    """``node, rid`` of the leaves of all trees, and the staged levels that they are read from."""
     coordinate = lambda t, d: F.get("mins", (t + d * trees) % MINS)
     path = F.array(*(F.struct(F.lit(t).alias("t"), F.array(*(coordinate(F.lit(t), d) for d in range(depth))).alias("way")) for t in range(trees)))
     alive = classes.select("rid", F.explode(path).alias("p")).select("rid", F.xxhash64("p.t", F.get("p.way", F.lit(0))).alias("node"), F.slice("p.way", 2, depth - 1).alias("way"))
-    found = []
+    total = trees * classes.count()
+    found, levels = [], []
     for level in range(depth):
         counts = alive.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-        sized = stage(alive.join(counts, "node"), f"level{level}")
+        sized = stage(lookup(alive, counts, "node", "size", total), f"level{level}")
+        levels.append(sized)
         found.append(sized.where(F.col("size") <= leaf).select("node", "rid"))
         large = sized.where(F.col("size") > leaf)
+        total = large.count()
         if level < depth - 1:
             alive = large.select("rid", F.xxhash64("node", F.get("way", F.lit(0))).alias("node"), F.slice("way", 2, depth).alias("way"))
     blocks = F.ceil(F.col("size") / leaf)
@@ -120,7 +128,7 @@ def _leaves(classes: DataFrame, trees: int, depth: int, leaf: int, pivots: int)
     out = found[0]
     for more in found[1:]:
         out = out.union(more)
-    return out
+    return out, levels
 
 
 def groups_of(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[pa.Table, np.ndarray]]:
@@ -248,11 +256,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     are linked if ``ratio[1] * intersection >= ratio[0] * union``."""
     threshold = ratio[0] / ratio[1]
     sketch = stage(_sketch(docs, doc_id, text, shingle), "sketch")
-    classes = stage(sketch.where("n > 0 and doc_id is not null").groupBy("set_hash").agg(F.min("doc_id").alias("rid"), F.first("n").alias("n"), F.first("mins").alias("mins")), "classes")
-    groups = label_components(_candidates(_leaves(classes, trees, depth, leaf, 32), classes, threshold))
-    groups = stage(groups, "groups")
+    known = sketch.where("n > 0 and doc_id is not null")
+    classes = known.groupBy("set_hash").agg(F.min("doc_id").alias("rid"), F.first("n").alias("n"), F.first("mins").alias("mins"), F.count(F.lit(1)).alias("copies"))
+    classes = stage(classes, "classes")
+    leaves, levels = _leaves(classes, trees, depth, leaf, 32)
+    groups = stage(label_components(_candidates(leaves, classes, threshold)), "groups")
+    discard(*levels)
     sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    members = groups.join(sizes, "component").select(F.col("node").alias("rid"), "component", "size")
+    members = lookup(groups.select(F.col("node").alias("rid"), "component"), sizes, "component", "size", groups.count())
     texts = docs.select(F.col(doc_id).cast("long").alias("rid"), F.col(text).alias("text"))
     # texts are shuffled to their groups at every size: a broadcast of the members that small inputs allow would not last
     sets = _full_sets(members.join(texts.hint("merge"), "rid"), shingle)
@@ -264,10 +275,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     if sets.where("large").limit(1).count():
         links = stage(links, "links").union(_large_links(sets.where("large"), ratio, block))
     final = label_components(links)
-    named = sketch.join(classes.select("set_hash", "rid"), "set_hash", "left").select("doc_id", "n", F.coalesce("rid", "doc_id").alias("rid"))
-    named = named.join(final.select(F.col("node").alias("rid"), "component"), "rid", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rid"))
-    return named.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+    discard(groups, sets)
+    # equal sets are of one class and of its component; copies may be a great share of all rows
+    placed = classes.join(final.select(F.col("node").alias("rid"), "component"), "rid", "left").select("set_hash", F.coalesce("component", "rid").alias("component"), "copies")
+    found = lookup(known.select("doc_id", "n", "set_hash"), placed, "set_hash", "copies", sketch.count()).select("doc_id", "n", "component")
+    # one id may stand on texts of several classes, whose least ids differ: these all link it
+    bare = sketch.where("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component"))
+    out = found.unionByName(bare)
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("component"), F.lit(False)).alias("kept"))
 
 
 def _full_sets(rows: DataFrame, k: int) -> DataFrame:
@@ -287,10 +302,10 @@ def _full_sets(rows: DataFrame, k: int) -> DataFrame:
 def _large_links(sets: DataFrame, ratio: tuple[int, int], block: int) -> DataFrame:
     """Links within candidate groups of more than one block.
 
-    First each block is compared with itself and with the group's pivots, about
-    a block of random members. What is then outside the largest component of
-    its group is compared with every block of it. Pairs inside that component
-    need no comparison: they are connected.
+    Each block is compared with itself and with the group's pivots, about a
+    block of random members: this joins most of what is alike in bulk. What is
+    then outside the largest component of its group goes to ``_rare_links``.
+    Pairs inside that component need no comparison: they are connected.
     """
     # the pivots stand in each block; other members in their own
     pivot = F.pmod(F.xxhash64("rid", F.lit(3)), F.col("size")) < block
@@ -298,27 +313,131 @@ def _large_links(sets: DataFrame, ratio: tuple[int, int], block: int) -> DataFra
     first = sets.select("component", "rid", "shingles", F.explode(place).alias("block")).select(F.xxhash64("component", "block").alias("unit"), F.lit(0).alias("side"), "rid", "shingles")
     links = stage(_links(first, ratio), "links")
     labels = label_components(links)
-    named = sets.select("component", "rid", "size", "blocks").join(labels.select(F.col("node").alias("rid"), F.col("component").alias("label")), "rid", "left").withColumn("label", F.coalesce("label", "rid"))
+    named = sets.select("component", "rid", "size").distinct().join(labels.select(F.col("node").alias("rid"), F.col("component").alias("label")), "rid", "left").withColumn("label", F.coalesce("label", "rid"))
     named = stage(named, "labels")
     counts = named.groupBy("component", "label").agg(F.count(F.lit(1)).alias("members"))
-    main = counts.groupBy("component").agg(F.max_by("label", F.struct("members", F.col("label"))).alias("main"))
-    rest = named.join(main, "component").where("label <> main")
-    rest_sizes = rest.groupBy("component").agg(F.count(F.lit(1)).alias("rest_size"))
-    part = F.pmod(F.xxhash64("rid", F.lit(4)), F.col("parts"))
-    outside = stage(rest.join(rest_sizes, "component").withColumn("parts", F.ceil(F.col("rest_size") / block).cast("long")).select("component", "rid", "blocks", "parts", part.alias("part")), "outside")
-    left = outside.join(sets.select("rid", "shingles"), "rid").select("component", "rid", "shingles", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("side"))
-    parts = outside.select("component", "parts").distinct()
-    right = sets.join(parts, "component").select("component", "rid", "shingles", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "block", F.lit(1).alias("side"))
-    units = left.unionByName(right).select(F.xxhash64("component", "part", "block").alias("unit"), "side", "rid", "shingles")
-    return links.union(_links(units, ratio))
+    # one row a large group; groups that are one component by now are done
+    mains = counts.groupBy("component").agg(F.max_by("label", F.struct("members", F.col("label"))).alias("main"), F.sum("members").alias("members"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
+    open_ = lookup(named.select("component", "rid", "label"), mains, "component", "members", named.count())
+    open_ = stage(open_.select("rid", "label", (F.col("label") != F.col("main")).alias("rest")), "open")
+    rows = stage(sets.select("component", "rid", "shingles").join(open_.hint("merge"), "rid").withColumn("sid", F.xxhash64("shingles")).withColumn("n", (F.length("shingles") / 8).cast("int")), "open-sets")
+    return links.union(_rare_links(rows, ratio, block))
+
+
+def _words_of(rows: DataFrame) -> DataFrame:
+    """A row a shingle: rows with ``word``, a hash of component and shingle, instead of ``shingles``."""
+    kept = [c for c in rows.columns if c != "shingles"]
+
+    def make():
+        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+            sets = [np.frombuffer(r, np.uint64) for r in batch.column("shingles").to_pylist()]
+            size = np.array(list(map(len, sets)), np.int64)
+            at = pa.array(np.repeat(np.arange(len(sets)), size))
+            columns = [batch.column(c).take(at) for c in kept]
+            with np.errstate(over="ignore"):
+                words = hash64(np.concatenate(sets) + hash64(np.repeat(batch.column("component").to_numpy().view(np.uint64), size), 8), 9)
+            return pa.RecordBatch.from_arrays([*columns, pa.array(words.view(np.int64))], names=[*kept, "word"])
+
+        return each
+
+    return map_arrow(rows, make, rows.select(*kept, F.lit(0).cast("long").alias("word")).schema, rows=64)
+
+
+def _rare_links(rows: DataFrame, ratio: tuple[int, int], block: int) -> DataFrame:
+    """Links of sets (``component, rid, sid, n, label, rest, shingles``; staged)
+    that ``rest`` marks to sets of other labels in their component.
+
+    A set's tokens are ordered from the rarest in its component to the most
+    frequent. Two sets meet in the list of their first common token; what they
+    share is no more than either has from there on (its ``left``). So a set only
+    needs to be in the lists of its first tokens, it can only be linked to sets
+    up to a certain size there (``reach``), and lists where nothing of ``rest``
+    can reach another label are dropped. Sets that share a frequent passage but
+    are too different in what is rare thus never meet, however many they are.
+    Pairs that can reach each other are compared on their full sets.
+    """
+    num, den = ratio
+    ids = ["rid", "sid"]
+    words = _words_of(rows)
+    total = rows.agg(F.sum("n")).first()[0] or 0
+    counted = lookup(words, words.groupBy("word").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "word", "df", total)
+    # tokens that no other set has come first and are in no list
+    order = counted.groupBy(*ids, "n", "label", "rest").agg(F.sort_array(F.collect_list(F.struct("df", "word"))).alias("shared"))
+    entries = order.select(*ids, "n", "label", "rest", F.size("shared").alias("m"), F.posexplode("shared").alias("at", "token"))
+    entries = entries.withColumn("left", F.col("m") - F.col("at")).where(F.col("left") * den >= F.col("n") * num)
+    entries = entries.withColumn("reach", F.floor(((num + den) * F.col("left") - num * F.col("n")) / num)).select(F.col("token.word").alias("word"), *ids, "n", "label", "rest", "reach")
+    entries = stage(entries, "entries")
+    total = entries.count()
+    lists = entries.groupBy("word").agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("least"), F.max("rest").alias("any"), F.min("label").alias("low"), F.max("label").alias("high"))
+    entries_near = lookup(entries, lists.where("k > 1 and any and low < high").select("word", "k", "least"), "word", "k", total).where("reach >= least").drop("k", "least")
+    near = stage(entries_near, "near")
+    lists = near.groupBy("word").agg(F.count(F.lit(1)).alias("k"), F.sum(F.col("rest").cast("long")).alias("r"), F.min("label").alias("low"), F.max("label").alias("high"))
+    live = lookup(near, lists.where("k > 1 and r > 0 and low < high").select("word", "k", "r"), "word", "k", total)
+    # lists beyond a block are compared in blocks: those of rest by those of all
+    across, down = F.ceil(F.col("k") / block).cast("long"), F.ceil(F.col("r") / block).cast("long")
+    i, j = F.pmod(F.xxhash64(*ids, F.lit(4)), down), F.pmod(F.xxhash64(*ids, F.lit(5)), across)
+    to = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    seeking = live.where("rest").select("word", *ids, "n", "label", "reach", i.alias("i"), F.explode(to(across)).alias("j"), F.lit(0).alias("side"))
+    sought = live.select("word", *ids, "n", "label", "reach", F.explode(to(down)).alias("i"), j.alias("j"), F.lit(1).alias("side"))
+    units = seeking.unionByName(sought).withColumn("unit", F.xxhash64("word", "i", "j")).repartition("unit").sortWithinPartitions("unit", "side")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, at in groups_of(batches, "unit"):
+            c = {name: table.column(name).to_numpy() for name in ("rid", "sid", "n", "label", "reach", "side")}
+            found = []
+            for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
+                mid = a + int(np.searchsorted(c["side"][a:b], 1))
+                x, y = slice(a, mid), slice(mid, b)
+                n, size = c["n"][x, None], c["n"][None, y]
+                fit = (c["label"][x, None] != c["label"][None, y]) & (size <= c["reach"][x, None]) & (n <= c["reach"][None, y]) & (den * np.minimum(n, size) >= num * np.maximum(n, size))
+                p, q = np.nonzero(fit)
+                found.append((p + a, q + mid))
+            p, q = (np.concatenate(v) for v in zip(*found))
+            yield pa.RecordBatch.from_arrays([pa.array(c[name][v]) for v in (p, q) for name in ids], names=["x", "xs", "y", "ys"])
+
+    pairs = units.select("unit", "side", *ids, "n", "label", "reach").mapInArrow(meet, "x long, xs long, y long, ys long").distinct()
+    pairs = stage(pairs, "pairs")
+    full = _beside(_beside(pairs, rows, "x", "xs", "a_set"), rows, "y", "ys", "b_set")
+
+    def verify() -> object:
+        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+            keep = []
+            for a, b in zip(batch.column("a_set").to_pylist(), batch.column("b_set").to_pylist()):
+                a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+                shared = len(np.intersect1d(a, b, assume_unique=True))
+                keep.append(den * shared >= num * (len(a) + len(b) - shared))
+            return pa.RecordBatch.from_arrays([batch.column("x").filter(pa.array(keep, pa.bool_())), batch.column("y").filter(pa.array(keep, pa.bool_()))], names=["a", "b"])
+
+        return each
+
+    return stage(map_arrow(full, verify, "a long, b long"), "links")
+
+
+#: Pairs with one set that one task verifies.
+PAIRS_A_TASK = 1000
+
+
+def _beside(pairs: DataFrame, rows: DataFrame, rid: str, sid: str, out: str) -> DataFrame:
+    """pairs with the set of one side; a set that many pairs need is sent to several tasks."""
+    key = F.struct(F.col(rid), F.col(sid))
+    keyed = pairs.withColumn("_key", key)
+    counts = keyed.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"))
+    keyed = lookup(keyed, counts, "_key", "_n", pairs.count())
+    parts = F.ceil(F.col("_n") / PAIRS_A_TASK).cast("long")
+    keyed = keyed.withColumn("_part", F.pmod(F.xxhash64("x", "xs", "y", "ys"), parts)).drop("_n")
+    sets = rows.select(F.struct(F.col("rid").alias(rid), F.col("sid").alias(sid)).alias("_key"), F.col("shingles").alias(out)).dropDuplicates(["_key"])
+    sent = sets.join(counts, "_key").select("_key", out, F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("_part"))
+    return keyed.join(sent.hint("merge"), ["_key", "_part"]).drop("_key", "_part")
 
 
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options: object) -> DataFrame:
-    """One document of each group of near duplicates; rows with a null id stay."""
-    verdict: Callable[..., DataFrame] = near_duplicates
-    found = verdict(docs, doc_id=doc_id, text=text, **options)
-    gone = found.where("not kept and doc_id is not null").select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(gone.hint("merge"), docs[doc_id].cast("long") == gone["_id"], "left_anti")
-    # a kept id may stand on several rows
-    one = kept.where(F.col(doc_id).isNotNull()).dropDuplicates([doc_id])
-    return one.unionByName(kept.where(F.col(doc_id).isNull())).select(*docs.columns)
+    """One document of each group of near duplicates: that of the smallest id,
+    nulls last; of several rows of that id the one with the least hash of its text."""
+    rows = stage(packed(docs).withColumn("_at", F.monotonically_increasing_id()), "rows")
+    own = F.col("_row")[text]
+    found = near_duplicates(rows.select("_at", own.alias("_text")), doc_id="_at", text="_text", **options)
+    order = rows.select("_at", F.col("_row")[doc_id].alias("_id"), F.xxhash64(own).alias("_tie"))
+    grouped = found.where("n_shingles > 0").join(order.hint("merge"), found["doc_id"] == order["_at"])
+    best = grouped.groupBy("component_id").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_tie", "_at")).alias("best"))
+    kept = best.select(F.col("best._at").alias("_at")).union(found.where("n_shingles = 0").select(F.col("doc_id").alias("_at")))
+    return rows.join(kept.hint("merge"), "_at", "left_semi").select("_row.*")

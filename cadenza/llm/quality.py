@@ -2,14 +2,19 @@
 
 Grades: 0 for bad, 1 for good but toxic, 2 for good and clean. One weight of
 each hashed feature is shared by all grades; ordered thresholds part them.
-Features are the words of a text, the shapes of its tokens and how much it
-repeats itself. The model is fitted on a bounded sample of the ratings
-(``most`` expected rows, by a hash of the id).
+Features are the words of a text, the shapes of its tokens and which share of
+its 3-word stretches it has said before. The model is fitted on a bounded
+sample of the ratings (``most`` expected ids, by a hash of the id); a fifth of
+it is held out and sets the threshold of selection.
 
 Defined cases: null and empty texts have the bias feature only and get the
-grade that it implies; unrated, null-rated and unmatched rows are not learned
-from; with no ratings nothing is rejected; repeated ratings count once; equal
-texts get equal grades; clashing columns of the input are ignored by name.
+grade that it implies; texts of any length count whole; unrated, null-rated and
+unmatched rows are not learned from (an unknown quality is no grade, whatever
+else is known); with no ratings nothing is rejected; repeated ratings of an id
+count once, with the lowest grade, and an id on several rows is learned with
+the least of their texts; equal texts get equal grades, ties included; an empty
+table gives no rows. ``score`` replaces columns that clash with its results,
+``select_documents`` keeps all.
 """
 
 from __future__ import annotations
@@ -21,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import WORD_TABLE, map_arrow, word_hashes
+from cadenza.llm.common import WORD_TABLE, hash64, map_arrow, packed, word_hashes
 from cadenza.llm.ftrl import fit_ordinal
 
 BUCKETS = 1 << 24
@@ -40,6 +45,19 @@ def _shapes(raw: bytes) -> bytes:
     return x[np.concatenate([[True], (x[1:] != x[:-1]) | ~_RUN[x[1:]]])].tobytes() if len(x) else b""
 
 
+def _repeated(hashes: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
+    """Share of each text's 3-word stretches that stand in it before."""
+    if len(hashes) < 3:
+        return np.zeros(n)
+    with np.errstate(over="ignore"):
+        three = hash64(hash64(hashes[:-2], 3) + hashes[1:-1], 4) + hashes[2:]
+    inside = row[:-2] == row[2:]
+    three, own = three[inside], row[:-2][inside]
+    order = np.lexsort((three, own))
+    again = (three[order][1:] == three[order][:-1]) & (own[order][1:] == own[order][:-1])
+    return np.bincount(own[order][1:][again], minlength=n) / np.maximum(np.bincount(own, minlength=n), 1)
+
+
 def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sparse features of texts: rows (ascending), buckets, values."""
     raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
@@ -49,8 +67,7 @@ def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
         row = np.repeat(np.arange(len(texts)), np.diff(first))
         total = np.diff(first)
         if not salt:
-            same = np.flatnonzero((hashes[1:] == hashes[:-1]) & (row[1:] == row[:-1])) + 1
-            share = np.bincount(row[same], minlength=len(texts)) / np.maximum(total, 1)
+            share = _repeated(hashes, row, len(texts))
             some = np.flatnonzero(share)
             rows.append(some)
             buckets.append(np.full(len(some), REPEATS))
@@ -66,10 +83,10 @@ def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
 
 
 class Model:
-    """Buckets with a weight other than 0, their weights, and the thresholds."""
+    """Buckets with a weight other than 0, their weights, the ordered thresholds, and the least P(grade >= 2) of documents to keep."""
 
-    def __init__(self, buckets: np.ndarray, weights: np.ndarray, cuts: np.ndarray) -> None:
-        self.buckets, self.weights, self.cuts = buckets, weights, cuts
+    def __init__(self, buckets: np.ndarray, weights: np.ndarray, cuts: np.ndarray, least: float = 0.0) -> None:
+        self.buckets, self.weights, self.cuts, self.least = buckets, weights, cuts, least
 
     def tails(self, texts: list[str | None]) -> np.ndarray:
         """(texts, LEVELS - 1): P(grade >= 1), P(grade >= 2)."""
@@ -83,8 +100,23 @@ class Model:
 
 
 def grade(quality: Column, toxic: Column) -> Column:
-    """The graded rating of two 0/1 ratings."""
-    return F.when(quality == 0, 0).when(toxic == 1, 1).when((quality == 1) & (F.coalesce(toxic, F.lit(0)) == 0), 2)
+    """The graded rating of two 0/1 ratings; null where they do not tell it."""
+    return F.when(quality == 0, 0).when(quality == 1, F.when(toxic == 1, 1).when(toxic == 0, 2))
+
+
+def least_tail(tail: np.ndarray, best: np.ndarray, clean: float = 0.995) -> float:
+    """The threshold on P(highest grade) by held-out ratings: above 1/2, where lower grades are likelier than
+    not, the one with the fewest wrong decisions; lower if it would reject more of the highest grade than 1 - ``clean``."""
+    order = np.argsort(tail, kind="stable")
+    tail, best = tail[order], best[order]
+    # rejecting the first i: the best among them, and the others that stay
+    wrong = np.concatenate([[0], np.cumsum(best)]) + np.concatenate([(~best).sum() - np.cumsum(np.concatenate([[0], ~best]))])
+    lost = np.concatenate([[0], np.cumsum(best)])
+    wrong = np.where(lost <= (1 - clean) * best.sum(), wrong, len(tail) + 1)
+    i = len(wrong) - 1 - int(np.argmin(wrong[::-1]))
+    if i == 0:
+        return 0.0
+    return float(tail[i - 1] + (tail[i] if i < len(tail) else 1.0)) / 2
 
 
 def fit(docs: DataFrame, ratings: DataFrame, doc_id: str = "doc_id", text: str = "text", rating: Column | None = None, most: int = 6000, alpha: float = 1.0, l1: float = 10.0, l2: float = 0.1, epochs: int = 10) -> Model:
@@ -95,7 +127,8 @@ def fit(docs: DataFrame, ratings: DataFrame, doc_id: str = "doc_id", text: str =
     draw = F.pmod(F.xxhash64("i", F.lit(43)), F.lit(1 << 30)) / F.lit(1 << 30)
     sample = rated.where(draw < min(1.0, most / max(1, count))).groupBy("i").agg(F.min("g").alias("g"))
     # the sample's size is bounded by ``most``, so it may be sent to all
-    joined = docs.select(F.col(doc_id).cast("long").alias("i"), F.col(text).alias("t")).join(F.broadcast(sample), "i").select("i", "g", "t")
+    joined = docs.select(F.col(doc_id).cast("long").alias("i"), F.col(text).alias("t")).join(F.broadcast(sample), "i")
+    joined = joined.groupBy("i").agg(F.min("g").alias("g"), F.min("t").alias("t"))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -115,9 +148,20 @@ def fit(docs: DataFrame, ratings: DataFrame, doc_id: str = "doc_id", text: str =
         v = np.frombuffer(v, np.float32).astype(np.float64)
         x.append((inverse[at : at + len(v)], v))
         at += len(v)
-    weights, cuts = fit_ordinal(x, np.array(got["g"]), LEVELS, len(buckets), alpha, l1, l2, epochs)
+    grades = np.array(got["g"])
+    check = hash64(np.array(got["i"], np.int64).view(np.uint64), 6) % np.uint64(5) == 0
+
+    def fitted(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return fit_ordinal([x[i] for i in own], grades[own], LEVELS, len(buckets), alpha, l1, l2, epochs)
+
+    least = 0.0
+    if check.any() and not check.all():
+        weights, cuts = fitted(np.flatnonzero(~check))
+        tail = np.array([1 / (1 + np.exp(np.clip(cuts[-1] - v @ weights[c], -40, 40))) for (c, v), held in zip(x, check) if held])
+        least = least_tail(tail, grades[check] == LEVELS - 1)
+    weights, cuts = fitted(np.arange(len(x)))
     used = np.flatnonzero(weights)
-    return Model(buckets[used].astype(np.int64), weights[used], cuts)
+    return Model(buckets[used].astype(np.int64), weights[used], cuts, least)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -138,6 +182,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     return map_arrow(docs.select(*kept), make, docs.select(*kept, *(F.lit(0.0).alias(c) for c in names)).schema, rows=500)
 
 
-def select_documents(docs: DataFrame, model: Model, text: str = "text", least: float = 0.8) -> DataFrame:
-    """Documents whose probability of the highest grade is ``least`` or more."""
-    return score(docs, model, text).where(F.col("p_clean") >= least).select(*docs.columns)
+def select_documents(docs: DataFrame, model: Model, text: str = "text", least: float | None = None) -> DataFrame:
+    """Documents whose probability of the highest grade is ``least`` or more, by default the model's own threshold."""
+    rows = packed(docs).withColumn("text", F.col("_row")[text])
+    return score(rows, model).where(F.col("p_clean") >= (model.least if least is None else least)).select("_row.*")

@@ -77,7 +77,7 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.fit(docs, read_table(spark, sf_dir, "labels"))
     scored = quality.score(docs, model)
-    return scored.select("doc_id", F.round("expected_grade", 9).alias("expected_grade"), F.round("p_good", 9).alias("p_good"), F.round("p_clean", 9).alias("p_clean"), (F.col("p_clean") >= 0.8).alias("kept"))
+    return scored.select("doc_id", F.round("expected_grade", 9).alias("expected_grade"), F.round("p_good", 9).alias("p_good"), F.round("p_clean", 9).alias("p_clean"), (F.col("p_clean") >= model.least).alias("kept"))
 
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,7 +87,7 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE_5 = r"""
 WITH base AS (
-  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5('mix:' || CAST(doc_id AS VARCHAR)) AS k FROM documents
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5(concat_ws(':', 'mix', CAST(doc_id AS VARCHAR), text)) AS k FROM documents
 ), s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM base GROUP BY source
 ), w AS (

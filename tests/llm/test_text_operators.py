@@ -87,7 +87,7 @@ def test_mixing_cases(spark):
 def test_applied_mix_has_the_words_taken(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     mix = mixing.mix_sources(docs)
-    mixed = mixing.apply_mix(docs, mix)
+    mixed = mixing.apply_mix(docs)
     assert mixed.columns == docs.columns
     words = mixed.agg(F.sum(mixing.word_count(F.col("text")))).first()[0]
     assert words == mix.agg(F.sum("taken")).first()[0]
