@@ -1,21 +1,31 @@
 """HTML extraction by line-block distribution.
 
-Markup is stripped to lines, one for each block element; elements that never
-hold main text (menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, comments) leave a gap of one line, lists of links one of a line an
-item. The text lengths of a sliding window of lines are summed: where the sum
-surges from nothing the text begins, where it dives back to nothing it ends.
-Stretches whose sum reaches ``peak`` or that lie in an article are kept, with
-all between them and the next one on each side; without any, all are.
-
-Defined cases: null and empty pages have empty text; unclosed and crossed tags
-are closed by the next tag that ends them; a page cut within a tag or script
-loses that piece only; repeated rows give equal rows.
+Markup is stripped to lines: every tag of a block element ends one, so that
+structure leaves empty lines, as source lines of pure markup do. Elements that
+never hold main text (menus, headers, footers, sidebars, notices, adverts,
+forms, scripts, comments) are taken out first and leave one empty line.
+
+The text lengths of a sliding window of lines are summed. Where the sum rises
+from nothing is a foot; the text begins at the foot of the first surge, a rise
+to the page's own mean of such sums (or into its marked article), and ends
+where the last surge dives to nothing. All stretches between are kept, and so
+are lower ones beside them that are less than ``reach`` windows away: headings,
+last lines, remarks between adverts. Menus outside an article (lists or runs of lines that
+are mostly links) are taken out like the other noise.
+
+Defined cases: null and empty pages have empty text, and so have pages of
+noise alone; unclosed and crossed tags are closed by the next tag that ends
+them, an open ``head`` by the first tag that cannot stand in it; a page cut
+within a tag or script loses that piece only; pages of any length are read
+whole, in time that grows with their length; equal stretches all stay; repeated
+rows give equal rows; null ids and addresses pass through; an empty table gives
+no rows; only the named columns are read, so others cannot clash.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html import unescape
 
 import numpy as np
@@ -25,20 +35,20 @@ from pyspark.sql import functions as F
 
 from cadenza.llm.common import map_arrow
 
-#: Comments and declarations; raw-text elements with their content; tags (name, attributes); text.
+#: Comments and declarations; tags (end, name, attributes); text. Every alternative matches in one pass from where it begins.
 _PIECE = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<svg(?=[\s/>])(?:\"[^\"]*\"|'[^']*'|/(?!>)|[^>\"'/])*+/>"
-    r"|<(?P<raw>script|style|noscript|template|svg|iframe|textarea)(?=[\s/>])[^>]*(?:>.*?(?:</(?P=raw)\s*>|\Z)|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attributes>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)"
+    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attributes>(?:=\s*(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))|[^>])*+)(?:>|\Z)"
     r"|(?P<text>[^<]+|<)",
-    re.S | re.I,
+    re.S,
 )
-#: Fixed values of HTML: elements that part blocks, that part words only, that have no content.
+#: Fixed values of HTML: elements that part blocks, that part words only, that have no content, whose content is no markup, and what may stand in a head.
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody tfoot thead tr ul caption".split())
 SPACES = frozenset("br td th wbr option".split())
 LISTS = frozenset("ul ol dl dir".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+RAW = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for tag in "script style noscript template svg iframe textarea title".split()}
+IN_HEAD = frozenset("head base link meta title script style noscript template".split())
 #: Elements that hold no main text, whole tokens of class, id and role that say so, and such tokens of several words.
 NOISE = frozenset("head nav aside footer form button select menu dialog".split())
 NOISE_WORDS = frozenset(
@@ -71,127 +81,178 @@ class _Suspect:
         self.outer, self.chars, self.holds, self.dropped = outer, 0, False, False
 
 
-def lines_of(html: str) -> list[tuple[str, int, bool, int]]:
-    """``(text, characters in links, within an article, number of the list or 0)`` of each block; a gap is an empty line.
+class _Page:
+    """Lines of a page, tag by tag."""
 
-    An element that holds an article, or over three quarters of the text of a page without one, is no noise but by its tag.
-    """
-    out: list[tuple[str, int, bool, int, _Suspect | None]] = []
-    stack: list[tuple[str, bool, _Suspect | None]] = []
-    noise = content = link = lists = number = 0
-    suspect: _Suspect | None = None
-    suspects: list[_Suspect] = []
-    words: list[str] = []
-    linked = total = 0
-
-    def flush() -> None:
-        nonlocal linked, total
-        if words:
-            text = " ".join("".join(words).split())
-            if text:
-                out.append((text, linked, content > 0, number if lists else 0, suspect))
-                total += len(text)
-                if suspect:
-                    suspect.chars += len(text)
-            words.clear()
-        linked = 0
-
-    for piece in _PIECE.finditer(html):
-        if (text := piece["text"]) is not None:
-            if not noise:
-                text = unescape(text)
-                words.append(text)
-                if link:
-                    linked += len("".join(text.split()))
-            continue
-        if (tag := piece["tag"]) is None:
-            continue
-        tag = tag.lower()
-        if tag in BLOCKS and not noise:
-            flush()
-        elif tag in SPACES and not noise:
-            words.append(" ")
-        if piece["end"]:
-            at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), -1)
-            closed = stack[at:] if at >= 0 else []
-            del stack[len(stack) - len(closed) :]
-        elif tag in VOID or piece["attributes"].endswith("/"):
-            continue
-        else:
-            closed = []
-            if tag in BLOCKS and stack and stack[-1][0] == "p":
-                closed = [stack.pop()]
-        for name, was_noise, was in reversed(closed):
-            if was:
-                flush()
-                suspect = was.outer
-            noise -= was_noise
-            content -= name in CONTENT
-            link -= name == "a"
-            lists -= name in LISTS
-        if piece["end"]:
-            continue
-        is_noise = (tag in NOISE and tag != "form") or (tag == "header" and not content)
-        marked = not noise and not is_noise and tag not in ("body", "html") and bool(piece["attributes"]) and _marks_noise(piece["attributes"], content > 0)
+    def __init__(self) -> None:
+        self.out: list[tuple[str, int, bool, int, _Suspect | None]] = []
+        self.stack: list[tuple[str, bool, _Suspect | None]] = []
+        self.open: Counter[str] = Counter()
+        self.noise = self.content = self.link = self.lists = self.number = self.linked = self.total = 0
+        self.suspect: _Suspect | None = None
+        self.suspects: list[_Suspect] = []
+        self.words: list[str] = []
+
+    def line(self) -> None:
+        text = " ".join("".join(self.words).split())
+        self.out.append((text, self.linked, self.content > 0, self.number if self.lists else 0, self.suspect))
+        self.total += len(text)
+        if self.suspect:
+            self.suspect.chars += len(text)
+        self.words.clear()
+        self.linked = 0
+
+    def text(self, text: str) -> None:
+        if not self.noise:
+            text = unescape(text)
+            self.words.append(text)
+            if self.link:
+                self.linked += len("".join(text.split()))
+
+    def pop(self) -> None:
+        name, was_noise, was = self.stack.pop()
+        self.open[name] -= 1
+        if was:
+            self.line()
+            self.suspect = was.outer
+        self.noise -= was_noise
+        self.content -= name in CONTENT
+        self.link -= name == "a"
+        self.lists -= name in LISTS
+
+    def tag(self, tag: str, end: bool, attributes: str) -> None:
+        if self.open["head"] and not end and tag not in IN_HEAD:
+            while self.open["head"]:
+                self.pop()
+        if not self.noise:
+            if tag in BLOCKS:
+                self.line()
+            elif tag in SPACES:
+                self.words.append(" ")
+        if end:
+            if self.open[tag]:
+                while self.stack[-1][0] != tag:
+                    self.pop()
+                self.pop()
+            return
+        if tag in VOID or attributes.endswith("/"):
+            return
+        if tag in BLOCKS and self.stack and self.stack[-1][0] == "p":
+            self.pop()
+        is_noise = (tag in NOISE and tag != "form") or (tag == "header" and not self.content)
+        marked = not self.noise and not is_noise and tag not in ("body", "html") and bool(attributes) and _marks_noise(attributes, self.content > 0)
         own = None
-        if is_noise and not noise:
-            flush()
-            out.append(("", 0, content > 0, 0, suspect))
-        elif not noise and tag in CONTENT:
-            if suspect and not marked:
-                suspect.holds = True
-        elif not noise and (marked or tag == "form"):
-            flush()
-            own = suspect = _Suspect(suspect)
-            suspects.append(own)
-        stack.append((tag, is_noise, own))
-        noise += is_noise
-        content += tag in CONTENT
-        link += tag == "a"
+        if not self.noise and not is_noise:
+            if tag in CONTENT:
+                if self.suspect and not marked:
+                    self.suspect.holds = True
+            elif marked or tag == "form":
+                self.line()
+                own = self.suspect = _Suspect(self.suspect)
+                self.suspects.append(own)
+        self.stack.append((tag, is_noise, own))
+        self.open[tag] += 1
+        self.noise += is_noise
+        self.content += tag in CONTENT
+        self.link += tag == "a"
         if tag in LISTS:
-            number += not lists
-            lists += 1
-    flush()
-    for own in reversed(suspects):
-        if own.outer:
-            own.outer.chars += own.chars
-            own.outer.holds |= own.holds
-    marked = any(inside and text and (not within or within.holds) for text, _, inside, _, within in out)
-    for own in suspects:
-        own.dropped = (own.outer is not None and own.outer.dropped) or not (own.holds or (not marked and 4 * own.chars > 3 * total))
+            self.number += not self.lists
+            self.lists += 1
+
+    def lines(self) -> list[tuple[str, int, bool, int]]:
+        self.line()
+        for own in reversed(self.suspects):
+            if own.outer:
+                own.outer.chars += own.chars
+                own.outer.holds |= own.holds
+        marked = any(inside and text and (not within or within.holds) for text, _, inside, _, within in self.out)
+        for own in self.suspects:
+            own.dropped = (own.outer is not None and own.outer.dropped) or not (own.holds or (not marked and 4 * own.chars > 3 * self.total))
+        lines = [tuple(line) for *line, _ in self.out]
+        return _taken_out(lines, [bool(within and within.dropped) for *_, within in self.out])
+
+
+def _taken_out(lines: list[tuple[str, int, bool, int]], gone: list[bool]) -> list[tuple[str, int, bool, int]]:
+    """lines without those that are gone; one empty line stands for a stretch of these and the empty ones around it."""
     kept: list[tuple[str, int, bool, int]] = []
-    for *line, within in out:
-        if line[0] and not (within and within.dropped):
-            kept.append(tuple(line))
-        elif kept and kept[-1][0]:
+    hole = False
+    for line, out in zip(lines, gone):
+        if out and not hole:
+            while kept and not kept[-1][0]:
+                kept.pop()
             kept.append(("", 0, False, 0))
+            hole = True
+        elif not out and (line[0] or not hole):
+            kept.append(line)
+            hole = False
     return kept
 
 
-def main_text(html: str | None, window: int = 3, peak: int = 80) -> str:
-    """The text between surge and dive points."""
-    lines = lines_of(html or "")
+def lines_of(html: str) -> list[tuple[str, int, bool, int]]:
+    """``(text, characters in links, within an article, number of the list or 0)`` of each line.
+
+    An element that holds an article, or over three quarters of the text of a page without one, is no noise but by its tag.
+    """
+    page, at = _Page(), 0
+    while piece := _PIECE.match(html, at):
+        at = piece.end()
+        if (text := piece["text"]) is not None:
+            page.text(text)
+        elif piece["tag"] is not None:
+            tag = piece["tag"].lower()
+            if tag in RAW and not piece["end"]:
+                if not (tag == "svg" and piece["attributes"].endswith("/")):
+                    close = RAW[tag].search(html, at)
+                    at = close.end() if close else len(html)
+            else:
+                page.tag(tag, bool(piece["end"]), piece["attributes"])
+    return page.lines()
+
+
+def _menus(lines: list[tuple[str, int, bool, int]], least: int = 3) -> list[bool]:
+    """Of each line, whether it is part of a menu: outside articles, a list or a run of ``least`` lines or more that is mostly links."""
     lists: dict[int, list[int]] = {}
-    for text, linked, inside, number in lines:
-        if number and text and not inside:
+    out = [False] * len(lines)
+    run: list[int] = []
+    for i, (text, linked, inside, number) in enumerate(lines):
+        if not text:
+            continue
+        if number and not inside:
             sums = lists.setdefault(number, [0, 0, 0])
             sums[0], sums[1], sums[2] = sums[0] + 1, sums[1] + linked, sums[2] + len(text)
+        if not number and not inside and 2 * linked > len(text):
+            run.append(i)
+            if len(run) >= least:
+                out[i] = True
+                if len(run) == least:
+                    for j in run:
+                        out[j] = True
+        else:
+            run = []
     of_links = {number for number, (items, linked, chars) in lists.items() if items > 1 and 2 * linked > chars}
-    if not lines:
-        return ""
-    length = np.array([0 if number in of_links and not inside else len(text) for text, _, inside, number in lines])
-    # the sum of the window that begins at each line, and those before the first
-    sums = np.convolve(np.concatenate([np.zeros(window - 1, int), length, np.zeros(window, int)]), np.ones(window, int), "valid")
-    edge = np.diff(np.concatenate([[0], (sums > 0).astype(np.int8)]))
-    surges, dives = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    if not len(surges):
+    return [menu or (number in of_links and not inside) for menu, (_, _, inside, number) in zip(out, lines)]
+
+
+def main_text(html: str | None, window: int = 3, reach: int = 2) -> str:
+    """The text between surge and dive points."""
+    lines = lines_of(html or "")
+    lines = _taken_out(lines, _menus(lines))
+    length = np.array([len(text) for text, *_ in lines])
+    if not length.any():
         return ""
-    # window i ends at line i
-    spans = [(a, b - window + 1) for a, b in zip(surges, dives)]
-    strong = [i for i, (a, b) in enumerate(spans) if sums[a : b + window - 1].max() >= peak or any(inside for _, _, inside, _ in lines[a:b])]
-    # short stretches between or beside strong ones belong to the text; without strong ones all do
-    first, last = (max(strong[0] - 1, 0), strong[-1] + 2) if strong else (0, len(spans))
-    return "\n\n".join(lines[i][0] for a, b in spans[first:last] for i in range(a, b) if length[i])
+    # the sum of the window that ends at each line, and of those that end after the last
+    sums = np.convolve(length, np.ones(window, int))
+    edge = np.diff(np.concatenate([[0], (sums > 0).astype(np.int8), [0]]))
+    feet, dives = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - window + 1
+    surge = sums[sums > 0].mean()
+    inside = np.array([within and n > 0 for (_, _, within, _), n in zip(lines, length.tolist())])
+    high = [sums[a : b + window - 1].max() >= surge or inside[a:b].any() for a, b in zip(feet, dives)]
+    first, last = high.index(True), len(high) - 1 - high[::-1].index(True)
+    while first and feet[first] - dives[first - 1] < reach * window:
+        first -= 1
+    while last + 1 < len(high) and feet[last + 1] - dives[last] < reach * window:
+        last += 1
+    return "\n\n".join(lines[i][0] for i in range(feet[first], dives[last]) if length[i])
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

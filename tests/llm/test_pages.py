@@ -1,5 +1,9 @@
 """Pages whose text lies beside, within or after what looks like noise."""
 
+import re
+import time
+from html import unescape
+
 import pytest
 
 from cadenza.llm import html_text
@@ -55,3 +59,49 @@ UNMARKED = [
 @pytest.mark.parametrize(("html", "want"), UNMARKED)
 def test_only_noise_is_dropped(html, want):
     assert html_text.main_text(html).split("\n\n") == want
+
+
+def plain_article(html):
+    """The article's blocks, for pages of the driver's table, by plain patterns."""
+    found = re.search(r"<article>(.*?)</article>", html or "", re.S)
+    blocks = re.split(r"</?(?:p|h1)>", found[1]) if found else []
+    texts = (" ".join(unescape(re.sub(r"</?b>", "", b.replace("<br>", " "))).split()) for b in blocks)
+    return "\n\n".join(t for t in texts if t)
+
+
+def test_query_over_the_whole_table(spark):
+    from cadenza.llm.queries import QUERIES
+
+    sf = "/root/testdata/sf0.01"
+    want = {r["page_id"]: plain_article(r["html"]) for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    got = QUERIES["op9_html_text"](spark, sf).collect()
+    assert len(got) == len(want) and all(r["text"] == want[r["page_id"]] and r["n_chars"] == len(r["text"]) for r in got)
+
+
+SHAPES = [
+    (f'<div class="layout has-sidebar"><p>{LONG}</p></div>', LONG),
+    (f'<div class="ad-free reading"><p>{LONG}</p></div>', LONG),
+    (f"<html><head><title>x</title><meta a=b><body><p>{LONG}</p>", LONG),
+    (f"<html><head><title>x</title><p>{LONG}</p>", LONG),
+    (f"<article>Teaser one</article><div><p>{LONG}</p><p>{LONG}</p></div>", f"Teaser one\n\n{LONG}\n\n{LONG}"),
+    (f"<p>{LONG}</p>{AD}<p>Thanks for reading.</p>", f"{LONG}\n\nThanks for reading."),
+    (f"<p>{LONG}</p><p><a href=x>{LONG}</a></p>", f"{LONG}\n\n{LONG}"),
+    ("<div><a href=a>Home</a></div><div><a href=b>About</a></div><div><a href=c>Contact</a></div>" + f"<div><h1>T</h1><p>{LONG}</p></div>", f"T\n\n{LONG}"),
+    (f"<p don't>it</p><p>isn't {LONG}</p>", f"it\n\nisn't {LONG}"),
+    (f"<div>© 2020</div>{'<div></div>' * 9}<div><h1>T</h1><p>{LONG}</p><p>{LONG}</p></div>{'<div></div>' * 9}<div>All rights</div>", f"T\n\n{LONG}\n\n{LONG}"),
+]
+
+
+@pytest.mark.parametrize(("html", "want"), SHAPES)
+def test_shapes(html, want):
+    assert html_text.main_text(html) == want
+
+
+@pytest.mark.parametrize("piece", ["<b></i>", "<a '", "<p>x</p><div class=ad>", "<svg ", "<!", "<div>", "<script", "= =", "<p title='"])
+def test_time_grows_with_the_page(piece):
+    def seconds(n):
+        began = time.perf_counter()
+        html_text.main_text(piece * n)
+        return time.perf_counter() - began
+
+    assert seconds(40_000) < 12 * seconds(10_000) + 0.2
