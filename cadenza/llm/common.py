@@ -106,7 +106,7 @@ def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Re
 
 
 #: A key with over one in so many rows, and over HOT_ROWS, is hot: there are at most HOT_SHARE of these.
-HOT_SHARE, HOT_ROWS = 10_000, 1_000
+HOT_SHARE, HOT_ROWS = 10_000, 100
 
 
 def lookup(rows: DataFrame, table: DataFrame, key: str, n: str, total: int) -> DataFrame:

@@ -2,17 +2,22 @@
 
 High-recall generators propose overlapping spans: the four base kinds (email,
 ip, card, phone) and looser ones (spaced emails, national phone numbers,
-social-security-like numbers, bank accounts, long keys). Gradient-boosted trees
-score each loose candidate by its format and its context. A threshold for each
-kind, calibrated on held-out examples, selects redactions; of overlapping ones
-the likelier stays. Base spans always stay.
+social-security-like numbers, bank accounts, and secrets: long keys, keys with
+an issuer's prefix, values after labels such as ``password:``, private keys in
+PEM blocks). Gradient-boosted trees score each loose candidate by its format and
+its context. A threshold for each kind, calibrated on held-out examples, selects
+redactions; of those of a kind that lie in each other the outer one stays, of
+others that overlap the likelier. Base spans always stay.
 
 The trees are trained here, on examples that are made from a fixed seed: real
 forms in telling contexts against look-alikes (order numbers, dates, versions,
-sums, hashes in plain prose).
+sums, paths, hashes in plain prose).
 
-Defined cases: null texts are empty and have no spans; offsets are code points,
-end exclusive; repeated rows give equal rows; clashing columns are ignored.
+Defined cases: null and empty texts have no spans; offsets are code points, end
+exclusive; texts and spans may be of any length, and time grows with them; of
+overlapping candidates of equal score the first by kind and start stays;
+repeated rows give equal rows; an empty table gives no rows; columns that clash
+with results are replaced, the text is left out, other columns stay.
 """
 
 from __future__ import annotations
@@ -20,6 +25,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterable, Iterator
 from functools import cache
 
@@ -76,15 +82,21 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-#: Loose generators: a kind and a pattern each, in the order of LOOSE.
+#: How issued access keys begin.
+KEY_PREFIXES = ("AKIA", "ASIA", "AIza", "ghp_", "gho_", "glpat-", "sk-", "sk_live_", "xoxb-", "xoxp-")
+#: Loose generators: a kind, a pattern, and one that a text must have for the pattern to be worth a try. Where there is a
+#: group ``v`` it is the span. Runs are taken whole (possessively), so no pattern goes back over a long one.
 GENERATORS = (
-    ("email", re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?[\[({<] ?at ?[\])}>] ?[A-Za-z0-9-]{1,63}(?: ?(?:\.|[\[({<] ?dot ?[\])}>]) ?[A-Za-z]{2,24})+", re.I)),
-    ("phone", re.compile(r"(?<![0-9+(])\(?[0-9]{2,5}\)?[ ./-][0-9]{2,4}[ ./-][0-9]{2,4}(?:[ ./-][0-9]{2,4})?(?![0-9])")),
-    ("ssn", re.compile(r"(?<![0-9-])[0-9]{3}[- ][0-9]{2}[- ][0-9]{4}(?![0-9-])")),
-    ("iban", re.compile(r"(?<![A-Z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")),
-    ("secret", re.compile(r"(?<![0-9A-Za-z_-])(?=[A-Za-z_-]*+[0-9])[0-9A-Za-z_-]{20,}+")),
+    ("email", re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?[\[({<] ?at ?[\])}>] ?[A-Za-z0-9-]++(?: ?(?:\.|[\[({<] ?dot ?[\])}>]) ?[A-Za-z]{2,}+)+", re.I), re.compile(r"[\[({<] ?at ?[\])}>]", re.I)),
+    ("phone", re.compile(r"(?<![0-9+(])\(?[0-9]{2,5}\)?[ ./-][0-9]{2,4}[ ./-][0-9]{2,4}(?:[ ./-][0-9]{2,4})?(?![0-9])"), re.compile(r"[0-9][ ./)-]+[0-9]")),
+    ("ssn", re.compile(r"(?<![0-9-])[0-9]{3}[- ][0-9]{2}[- ][0-9]{4}(?![0-9-])"), re.compile(r"[0-9][- ][0-9]")),
+    ("iban", re.compile(r"(?<![A-Z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"), re.compile(r"[A-Z]{2}[0-9]{2}")),
+    ("secret", re.compile(r"(?<![0-9A-Za-z_/+-])(?=[A-Za-z_/+-]*+[0-9])[0-9A-Za-z_/+-]{20,}+={0,2}"), re.compile(r"[0-9A-Za-z_/+-]{20}")),
+    ("secret", re.compile(r"(?<![0-9A-Za-z_-])(?=[0-9A-Za-z_-]*+[0-9])[0-9A-Za-z_-]{20,}+"), re.compile(r"[0-9A-Za-z_-]{20}")),
+    ("secret", re.compile(rf"(?<![0-9A-Za-z_-])(?:{'|'.join(KEY_PREFIXES)})[0-9A-Za-z_-]{{12,}}+"), re.compile("|".join(KEY_PREFIXES))),
+    ("secret", re.compile(r"(?i:pass(?:word|wd|phrase|code)|pwd|secret|api[ _-]?key|access[ _-]?key|token|credentials?)[\"']?(?:[ \t]{0,3}[:=]|[ \t]is\b)[ \t]{0,3}[\"']?(?P<v>[^\s\"'<>,;]{4,}+)"), re.compile(r"pass|pwd|secret|key|token|credential", re.I)),
+    ("secret", re.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----.*?(?:-----END [A-Z ]{0,40}PRIVATE KEY-----|\Z)", re.S), re.compile("-----BEGIN ")),
 )
-_HAS = (re.compile(r"[\[({<] ?at ?[\])}>]", re.I), re.compile(r"[0-9][ ./)-]+[0-9]"), re.compile(r"[0-9][- ][0-9]"), re.compile(r"[A-Z]{2}[0-9]{2}"), re.compile(r"[0-9A-Za-z_-]{20}"))
 #: Words that tell what a number near them is.
 CUES = {
     "email": ("mail", "contact", "write", "courriel", "correo"),
@@ -94,8 +106,6 @@ CUES = {
     "secret": ("key", "token", "secret", "password", "passwd", "pwd", "auth", "api", "bearer", "credential"),
 }
 AGAINST = ("order", "invoice", "version", "date", "isbn", "page", "room", "commit", "sha", "md5", "checksum", "hash", "part", "item", "ref", "uuid", "build", "eur", "usd", "score")
-#: How issued access keys begin.
-KEY_PREFIXES = ("AKIA", "ASIA", "AIza", "ghp_", "gho_", "sk-", "xoxb-", "xoxp-")
 _LETTERS = re.compile(r"[a-z]+")
 
 
@@ -109,7 +119,7 @@ def candidate_features(text: str, kind: str, start: int, end: int) -> list[float
     s = text[start:end]
     before, after = text[max(0, start - 32) : start].lower(), text[end : end + 16].lower()
     digits, letters = sum(c.isdigit() for c in s), sum(c.isalpha() for c in s)
-    counts = np.bincount(np.frombuffer(s.encode("utf-8"), np.uint8))
+    counts = np.bincount(np.frombuffer(s.encode("utf-8", "surrogatepass"), np.uint8))
     p = counts[counts > 0] / counts.sum()
     near = _LETTERS.findall(before)
     tail = before.rstrip()[-1:]
@@ -124,7 +134,7 @@ def candidate_features(text: str, kind: str, start: int, end: int) -> list[float
         float(len({*re.findall(r"[ ./-]", s)})),
         float(s[0] == "("),
         float(any(c in w for w in near for c in CUES[kind])),
-        float(any(w.startswith(c) for w in near[-4:] for c in AGAINST)),
+        float(any(w in AGAINST for w in near[-4:])),
         float(tail in "=:" and tail != ""),
         float(tail in "\"'" and tail != ""),
         float(after[:1].isalnum()),
@@ -132,6 +142,10 @@ def candidate_features(text: str, kind: str, start: int, end: int) -> list[float
         float(kind == "email" and bool(re.search(r"[a-z]\)?\]? ?(?:\.|dot)", s, re.I))),
         float(bool(re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", s))),
         float(s.startswith(KEY_PREFIXES)),
+        float(s.startswith("-----BEGIN ")),
+        float(sum(c in "/_+-" for c in s)) / len(s),
+        float(any(c.islower() for c in s) + any(c.isupper() for c in s) + (digits > 0) + any(not c.isalnum() for c in s)),
+        float(max(map(len, _LETTERS.findall(s.lower())), default=0)),
         float(bool(re.match(r"(?:19|20)[0-9]{2}[-/.]|[0-9]{1,2}[-/.][0-9]{1,2}[-/.](?:19|20)", s))),
     ]
 
@@ -142,7 +156,7 @@ def candidate_features(text: str, kind: str, start: int, end: int) -> list[float
 class Trees:
     """Logistic gradient boosting of small trees over quantile bins."""
 
-    def __init__(self, rounds: int = 60, depth: int = 3, rate: float = 0.2, least: int = 10, l2: float = 1.0) -> None:
+    def __init__(self, rounds: int = 100, depth: int = 3, rate: float = 0.2, least: int = 10, l2: float = 1.0) -> None:
         self.rounds, self.depth, self.rate, self.least, self.l2 = rounds, depth, rate, least, l2
         self.base = 0.0
         self.trees: list[list[tuple[int, float, float]]] = []
@@ -204,7 +218,9 @@ def _examples(n: int, seed: int) -> list[tuple[str, str, int, int, bool]]:
     """Made-up texts with a candidate each: text, kind, start, end, whether it is personal data."""
     rng = random.Random(seed)
     digits = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
-    word = lambda: "".join(rng.choice(("an", "er", "the", "on", "re", "ti", "mo", "la", "de", "st")) for _ in range(rng.randint(1, 4)))
+    plain = "we met on the old road and he said that all of it was sent by post with a copy for you la casa es muy grande y ella no lo sabe der hund ist nicht hier und wir gehen nach hause le chat est sous la table avec nous".split()
+    made = lambda: "".join(rng.choice(("an", "er", "the", "on", "re", "ti", "mo", "la", "de", "st")) for _ in range(rng.randint(1, 4)))
+    word = lambda: rng.choice(plain) if rng.random() < 0.5 else made()
     prose = lambda k: " ".join(word() for _ in range(k))
     key = lambda: "".join(rng.choice(rng.choice(("0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"))) for _ in range(rng.randint(24, 64)))
     hexa = lambda k: "".join(rng.choice("0123456789abcdef") for _ in range(k))
@@ -236,20 +252,38 @@ def _examples(n: int, seed: int) -> list[tuple[str, str, int, int, bool]]:
         else:
             s = key() if good else rng.choice((hexa(40), hexa(32), f"{word()}-{word()}-{word()}-{digits(4)}-{word()}-{word()}", digits(24), f"{word()}_{word()}_{word()}_{digits(2)}_{word()}"))
             cue = rng.choice(CUES[kind]) if good else rng.choice(AGAINST + ("", word(), word()))
-            if good and rng.random() < 0.3:
-                s, cue = rng.choice(KEY_PREFIXES) + "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(rng.randint(16, 32))), rng.choice((cue, "", word()))
+            form = rng.random()
+            mixed = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+            alphabet = rng.choice((mixed, mixed + "0123456789", mixed[:26] + "0123456789"))
+            if form < 0.3:
+                s, cue = (rng.choice(KEY_PREFIXES) + "".join(rng.choice(alphabet) for _ in range(rng.randint(14, 40))), rng.choice((cue, "", word(), word()))) if good else (f"{rng.choice(('task-', 'risk-', 'desk-'))}{made()}-{made()}-{made()}-{made()}", word())
+            elif form < 0.45:
+                s, cue = ("".join(rng.choice(mixed + "0123456789/+") for _ in range(40)), cue) if good else (f"{'/'.join(made() for _ in range(rng.randint(3, 7)))}/{made()}{digits(2)}", rng.choice(AGAINST + ("", word())))
+            elif form < 0.6:
+                label = rng.choice(("password", "passwd", "pwd", "passphrase", "secret", "api_key", "access key", "token"))
+                s = "".join(rng.choice(mixed + "0123456789!#$%&*@") for _ in range(rng.randint(6, 20))) if good else rng.choice(plain + [made()])
+                out.append((f"{prose(rng.randint(0, 6))} {label}: {s} {prose(3)}", kind, 0, len(s), good))
+                text = out[-1][0]
+                at = text.index(f": {s} ") + 2
+                out[-1] = (text, kind, at, at + len(s), good)
+                if len(s) < 4:
+                    out.pop()
+                continue
+            elif form < 0.65 and good:
+                body = "\n".join("".join(rng.choice(mixed + "0123456789+/") for _ in range(64)) for _ in range(rng.randint(2, 12)))
+                s, cue = f"-----BEGIN {rng.choice(('RSA ', 'EC ', ''))}PRIVATE KEY-----\n{body}\n-----END PRIVATE KEY-----", word()
         glue = rng.choice((" ", ": ", " = ", ' = "', "=")) if good else rng.choice((" ", " ", " ", ": "))
         head = f"{prose(rng.randint(0, 8))} {cue}{glue}"
         text = f"{head}{s}{rng.choice((' ', '. ', ', ', chr(34) + ' '))}{prose(rng.randint(0, 5))}"
-        for start, end, found in ((m.start(), m.end(), k) for k, g in GENERATORS for m in g.finditer(text)):
-            if found == kind and start < len(head) + len(s) and end > len(head):
-                out.append((text, kind, start, end, good))
-                break
+        near = [(a, b) for k, a, b in loose_candidates(text) if k == kind and a < len(head) + len(s) and b > len(head)]
+        if near:
+            a, b = max(near, key=lambda x: min(x[1], len(head) + len(s)) - max(x[0], len(head)))
+            out.append((text, kind, a, b, good))
     return out
 
 
 @cache
-def trained(seed: int = 7, n: int = 4000, precision: float = 0.97) -> tuple[Trees, dict[str, float]]:
+def trained(seed: int = 7, n: int = 12000, precision: float = 0.97) -> tuple[Trees, dict[str, float]]:
     """The trees, and for each kind the lowest threshold with that precision on held-out examples."""
     rows = _examples(n, seed)
     x = np.array([candidate_features(*r[:4]) for r in rows])
@@ -268,22 +302,46 @@ def trained(seed: int = 7, n: int = 4000, precision: float = 0.97) -> tuple[Tree
 
 
 def loose_candidates(text: str) -> list[tuple[str, int, int]]:
-    return [(kind, *m.span()) for (kind, pattern), has in zip(GENERATORS, _HAS) if has.search(text) for m in pattern.finditer(text)]
+    """Candidates of all generators by kind and start, each once."""
+    return sorted({(kind, *(m.span("v") if "v" in pattern.groupindex else m.span())) for kind, pattern, has in GENERATORS if has.search(text) for m in pattern.finditer(text)})
+
+
+def _within(base: list[tuple[str, int, int]], candidates: list[tuple[str, int, int]]) -> list[bool]:
+    """Whether each candidate lies in a base span."""
+    spans = sorted((a, b) for _, a, b in base)
+    starts, furthest = [a for a, _ in spans], np.maximum.accumulate([b for _, b in spans] or [0]).tolist()
+    at = [bisect_right(starts, a) for _, a, _ in candidates]
+    return [i > 0 and furthest[i - 1] >= b for i, (_, _, b) in zip(at, candidates)]
+
+
+def _outermost(passed: list[tuple[float, tuple[str, int, int]]]) -> list[tuple[float, tuple[str, int, int]]]:
+    """Those that lie in no other one of their kind."""
+    kept, end = [], {}
+    for q, (kind, a, b) in sorted(passed, key=lambda z: (z[1][1], -z[1][2])):
+        if b > end.get(kind, -1):
+            kept.append((q, (kind, a, b)))
+            end[kind] = b
+    return kept
 
 
 def select(texts: list[str], trees: Trees, thresholds: dict[str, float]) -> list[tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]]:
     """Base spans and all spans of each text; loose ones may reach beyond a base span, not lie within one."""
     base = [base_spans(t) for t in texts]
-    found = [[c for c in loose_candidates(t) if not any(a <= c[1] and c[2] <= b for _, a, b in own)] for t, own in zip(texts, base)]
+    found = []
+    for t, own in zip(texts, base):
+        candidates = loose_candidates(t)
+        found.append([c for c, inside in zip(candidates, _within(own, candidates)) if not inside])
     x = [candidate_features(t, *c) for t, own in zip(texts, found) for c in own]
     p = iter(trees.predict(np.array(x)).tolist() if x else [])
     out = []
     for own, candidates in zip(base, found):
-        chosen: list[tuple[str, int, int]] = []
-        for q, (kind, a, b) in sorted(((next(p), c) for c in candidates), key=lambda z: (-z[0], z[1])):
-            if q >= thresholds[kind] and not any(a < d and c < b for _, c, d in chosen):
-                chosen.append((kind, a, b))
-        out.append((own, own + chosen))
+        chosen: list[tuple[int, int, str]] = []
+        passed = [(q, c) for q, c in ((next(p), c) for c in candidates) if q >= thresholds[c[0]]]
+        for _, (kind, a, b) in sorted(_outermost(passed), key=lambda z: (-z[0], z[1])):
+            i = bisect_left(chosen, (a,))
+            if not (i < len(chosen) and chosen[i][0] < b) and not (i and chosen[i - 1][1] > a):
+                insort(chosen, (a, b, kind))
+        out.append((own, own + [(kind, a, b) for a, b, kind in chosen]))
     return out
 
 
@@ -307,9 +365,10 @@ def redact_text(text: str, spans: Iterable[tuple[str, int, int]]) -> str:
 
 def detect(docs: DataFrame, text: str = "text", redacted: bool = False) -> DataFrame:
     """docs without the text, with ``n_email, n_ip, n_card, n_phone`` (base
-    matches), ``base_sha256``, ``spans`` and, if asked for, the ``redacted`` text."""
+    matches), ``base_sha256``, ``spans``, ``n_spans``, ``personal`` (whether there
+    is any span) and, if asked for, the ``redacted`` text."""
     counts = [f"n_{k}" for k in BASE]
-    names = [*counts, "base_sha256", "spans", *(["redacted"] if redacted else [])]
+    names = [*counts, "base_sha256", "spans", "n_spans", "personal", *(["redacted"] if redacted else [])]
     kept = [c for c in docs.columns if c not in (text, *names)]
     model = docs.sparkSession.sparkContext.broadcast(trained())
 
@@ -321,11 +380,12 @@ def detect(docs: DataFrame, text: str = "text", redacted: bool = False) -> DataF
             found = select(texts, trees, thresholds)
             columns = [pa.array([sum(s[0] == k for s in base) for base, _ in found], pa.int64()) for k in BASE]
             columns += [pa.array([hashlib.sha256(joined(base).encode()).hexdigest() for base, _ in found], pa.string()), pa.array([joined(every) for _, every in found], pa.string())]
+            columns += [pa.array([len(every) for _, every in found], pa.int64()), pa.array([bool(every) for _, every in found], pa.bool_())]
             if redacted:
                 columns.append(pa.array([redact_text(t, every) for t, (_, every) in zip(texts, found)], pa.string()))
             return pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *columns], names=[*kept, *names])
 
         return each
 
-    types = [*(F.lit(0).cast("long").alias(c) for c in counts), *(F.lit("").alias(c) for c in names[4:])]
+    types = [*(F.lit(0).cast("long").alias(c) for c in counts), F.lit("").alias("base_sha256"), F.lit("").alias("spans"), F.lit(0).cast("long").alias("n_spans"), F.lit(False).alias("personal"), *(F.lit("").alias(c) for c in names[8:])]
     return map_arrow(docs, make, docs.select(*kept, *types).schema, rows=500)
