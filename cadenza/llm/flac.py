@@ -1,14 +1,20 @@
 """Media columns: FLAC, encoded and decoded in batches of frames.
 
 Frames of a batch are laid side by side and worked on together with NumPy:
-one step handles the same sample of every frame. Streams are mono or
-multi-channel (independent channels), 4 to 24 bits, with constant, verbatim, fixed and LPC
-subframes and partitioned Rice residuals with escapes. Header CRC-8, frame
-CRC-16 and the stream's MD5 are verified. Every stream carries a SEEKTABLE with
-a point for each frame, so any sample offset is found without a scan.
-
-Defined cases: null and empty payloads are stored as one block of padding;
-equal payloads give equal streams; a damaged stream raises ``FlacError``.
+one step handles the same sample of every frame. Encoded are 8-bit mono streams
+with constant, verbatim, fixed and LPC subframes, whichever is smallest, and a
+SEEKTABLE with a point for each frame, so any sample offset is found without a
+scan. Decoded are streams of 4 to 24 bits and 1 to 8 channels, also as sums and
+differences, with blocks of any size, wasted bits, and partitioned Rice
+residuals with escapes; frames of one kind are decoded together, whatever
+streams they are from. Header CRC-8, frame CRC-16 and the stream's MD5 are
+verified.
+
+Defined cases: null and empty texts are stored as one block of padding; texts
+of any length are one stream each, in batches of bounded bytes; equal texts give
+equal streams; null media stay null; a damaged stream raises ``FlacError``; an
+empty table gives no rows; repeated rows give equal rows; columns that clash
+with results are replaced, others stay.
 """
 
 from __future__ import annotations
@@ -239,8 +245,8 @@ class Stream:
         raw = np.frombuffer(data, np.uint8)
         found = np.flatnonzero((raw[self.start : -6] == 0xFF) & (raw[self.start + 1 : -5] & 0xFE == 0xF8)) + self.start
         good = []
-        for p in found.tolist():
-            n = 5 + _utf8_extra(raw[p + 4])
+        sizes = head_sizes(np.concatenate([raw, np.zeros(32, np.uint8)]).astype(np.int64), found)[0]
+        for p, n in zip(found.tolist(), sizes.tolist()):
             if p + n < len(raw) and crc(raw, np.array([p]), np.array([n]), 8)[0] == raw[p + n]:
                 good.append((p, n))
         # a frame ends where the next begins, if its CRC-16 says so
@@ -353,45 +359,87 @@ def _residual(bits: Bits, own: np.ndarray, block: int, order: np.ndarray) -> np.
     return signed
 
 
-def decode_frames(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: int, channels: int = 1, bps: int = 8) -> np.ndarray:
-    """Samples (frames, channels, block) of frames of one block size; checks sync codes and both CRCs."""
-    if (data[starts] != 0xFF).any() or (data[starts + 1] & 0xFE != 0xF8).any():
-        raise FlacError("no frame at its offset")
-    code = data[starts + 2] >> 4
-    head = 5 + _utf8_extra(data[starts + 4]) + np.where(code == 6, 1, np.where(code == 7, 2, 0))
-    if (data[starts + 3] >> 4 != channels - 1).any():
-        raise FlacError("the channels are not coded each by itself")
-    if (crc(data, starts, head, 8) != data[starts + head]).any():
-        raise FlacError("a frame header's checksum is wrong")
+def head_sizes(d: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of frame headers up to their CRC-8, and where an explicit block size stands. d has some bytes to spare at its end."""
+    code, rate = d[starts + 2] >> 4, d[starts + 2] & 15
+    at = starts + 5 + _utf8_extra(d[starts + 4])
+    end = at + np.where(code == 6, 1, np.where(code == 7, 2, 0)) + np.where(rate == 12, 1, np.where((rate == 13) | (rate == 14), 2, 0))
+    return end - starts, at
+
+
+class _Heads:
+    """What frame headers say, a value for each frame: block size, coding of channels, header bytes."""
+
+    def __init__(self, data: np.ndarray, starts: np.ndarray) -> None:
+        d = np.concatenate([data, np.zeros(32, np.uint8)]).astype(np.int64)
+        if (d[starts] != 0xFF).any() or (d[starts + 1] & 0xFC != 0xF8).any():
+            raise FlacError("no frame at its offset")
+        code, rate = d[starts + 2] >> 4, d[starts + 2] & 15
+        self.coding = d[starts + 3] >> 4
+        self.size, at = head_sizes(d, starts)
+        explicit = np.where(code == 6, d[at] + 1, (d[at] << 8 | d[at + 1]) + 1)
+        self.block = np.where(code == 1, 192, np.where(code < 6, 144 << np.minimum(code, 5), np.where(code < 8, explicit, 1 << code)))
+        if (code == 0).any() or (rate == 15).any() or (self.coding > 10).any():
+            raise FlacError("a frame header has a reserved value")
+        if (crc(data, starts, self.size, 8) != d[starts + self.size]).any():
+            raise FlacError("a frame header's checksum is wrong")
+
+
+#: Codings of two channels as left and side, side and right, mid and side: which channel is the side, of one bit more.
+LEFT_SIDE, SIDE_RIGHT, MID_SIDE = 8, 9, 10
+SIDE = {LEFT_SIDE: 1, SIDE_RIGHT: 0, MID_SIDE: 1}
+
+
+def decode_frames(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: int, coding: int = 0, bps: int = 8, head: np.ndarray | None = None) -> np.ndarray:
+    """Samples (frames, channels, block) of frames of one block size and channel coding; checks CRC-16."""
     if crc(data, starts, ends - starts, 16).any():
         raise FlacError("a frame's checksum is wrong")
+    head = _Heads(data, starts).size if head is None else head
+    channels = coding + 1 if coding < LEFT_SIDE else 2
     bits = Bits(data, (starts + head + 1) * 8)
     out = np.empty((channels, block, len(starts)), np.int64)
     for channel in range(channels):
         kind = bits.take(8)
-        if (kind & 0x81).any():
-            raise FlacError("wasted bits are not supported")
+        depth = np.full(len(starts), bps + (SIDE.get(coding) == channel))
+        wasted = np.zeros(len(starts), np.int64)
+        left = np.flatnonzero(kind & 1)
+        while len(left):  # a unary count of bits that are 0 in all samples
+            wasted[left] += 1
+            left = left[bits.take(1, left) == 0]
+            if (wasted > 31).any():
+                raise FlacError("a subframe wastes all its bits")
+        depth = depth - wasted
+        if (kind & 0x80).any() or (depth < 1).any():
+            raise FlacError("a subframe is of a reserved kind")
         kind >>= 1
         if ((kind > 1) & (kind < 8) | (kind > 12) & (kind < 32)).any():
             raise FlacError("a subframe is of a reserved kind")
         own = np.flatnonzero(kind == 0)
-        out[channel][:, own] = bits.take(bps, own, signed=True)
+        out[channel][:, own] = bits.take(depth[own], own, signed=True)
         if len(own := np.flatnonzero(kind == 1)):
-            out[channel][:, own] = np.stack([bits.take(bps, own, signed=True) for _ in range(block)])
+            out[channel][:, own] = np.stack([bits.take(depth[own], own, signed=True) for _ in range(block)])
         if len(own := np.flatnonzero(kind >= 8)):
-            out[channel][:, own] = _predicted(bits, own, block, bps, kind[own])
+            out[channel][:, own] = _predicted(bits, own, block, depth[own], kind[own])
+        out[channel] <<= wasted
     if ((bits.pos.astype(np.int64) + 7) // 8 + 2 != ends).any():
         raise FlacError("a frame does not end where the next begins")
+    if coding == LEFT_SIDE:
+        out[1] = out[0] - out[1]
+    elif coding == SIDE_RIGHT:
+        out[0] = out[0] + out[1]
+    elif coding == MID_SIDE:
+        both = out[0] * 2 + (out[1] & 1)
+        out[0], out[1] = (both + out[1]) >> 1, (both - out[1]) >> 1
     return out.transpose(2, 0, 1)
 
 
-def _predicted(bits: Bits, own: np.ndarray, block: int, bps: int, kind: np.ndarray) -> np.ndarray:
+def _predicted(bits: Bits, own: np.ndarray, block: int, bps: np.ndarray, kind: np.ndarray) -> np.ndarray:
     """Samples of fixed (8 to 12) and LPC (from 32) subframes: residuals of all together, then each predictor's sums."""
     order = np.where(kind < 32, kind - 8, kind - 31)
     warm = np.zeros((int(order.max()), len(own)), np.int64)
     for i in range(len(warm)):
         more = np.flatnonzero(order > i)
-        warm[i, more] = bits.take(bps, own[more], signed=True)
+        warm[i, more] = bits.take(bps[more], own[more], signed=True)
     lpc = np.flatnonzero(kind >= 32)
     coefs, shift = np.zeros((32, len(own)), np.int64), np.zeros(len(own), np.int64)
     if len(lpc):
@@ -419,39 +467,65 @@ def _predicted(bits: Bits, own: np.ndarray, block: int, bps: int, kind: np.ndarr
     return x
 
 
-def decode(streams: list[bytes], verify_md5: bool = True) -> list[bytes]:
-    """8-bit mono streams back to their payloads, all frames of all streams together."""
+def decode(streams: list[bytes], verify_md5: bool = True) -> list[np.ndarray]:
+    """Samples (samples, channels) of each stream; frames of all streams that are of one kind are decoded together."""
     infos = [Stream(s) for s in streams]
-    if any((i.channels, i.bps, i.block) != (1, 8, BLOCK) for i in infos):
-        raise FlacError(f"only 8-bit mono streams of blocks of {BLOCK} are decoded together")
-    out: list[bytes] = []
+    out: list[np.ndarray] = []
     group, size = [], 0
     for info, data in zip(infos, streams):
         group.append((info, data))
-        size += info.samples
+        size += info.samples * info.channels
         if size >= CHUNK:
             out += _decode_group(group, verify_md5)
             group, size = [], 0
     return out + (_decode_group(group, verify_md5) if group else [])
 
 
-def _decode_group(group: list[tuple[Stream, bytes]], verify_md5: bool) -> list[bytes]:
+def pcm_bytes(x: np.ndarray, bps: int) -> bytes:
+    """Samples as the MD5 of a stream takes them: interleaved, signed, little-endian, in whole bytes."""
+    width = (bps + 7) // 8
+    return np.ascontiguousarray(x).astype("<i4").reshape(-1, 1).view(np.uint8)[:, :width].tobytes()
+
+
+def _decode_group(group: list[tuple[Stream, bytes]], verify_md5: bool) -> list[np.ndarray]:
     data = np.frombuffer(b"".join(d for _, d in group), np.uint8)
-    starts, ends, done, step = [], [], 0, max(1, CHUNK // BLOCK)
-    for info, d in group:
+    starts, ends, owner, done = [], [], [], 0
+    for i, (info, d) in enumerate(group):
         own = info.frame_starts(d)
         starts.append(own + done)
         done += len(d)
-        ends.append(np.append(own[1:] + done - len(d), done))
-    starts, ends = np.concatenate(starts), np.concatenate(ends)
-    pcm = b"".join((decode_frames(data, starts[i : i + step], ends[i : i + step], BLOCK).astype(np.int16) + 128).astype(np.uint8).tobytes() for i in range(0, len(starts), step))
-    out, at = [], 0
-    for info, _ in group:
-        payload = pcm[at : at + info.samples]
-        at += -(-info.samples // BLOCK) * BLOCK
-        if verify_md5 and hashlib.md5((np.frombuffer(payload, np.uint8) ^ 0x80).tobytes()).digest() != info.md5:
+        ends.append(np.append(own[1:] + done - len(d), done) if len(own) else own)
+        owner.append(np.full(len(own), i))
+    starts, ends, owner = map(np.concatenate, (starts, ends, owner))
+    heads = _Heads(data, starts)
+    bps = np.array([info.bps for info, _ in group])[owner]
+    kinds, which = np.unique(np.stack([heads.block, heads.coding, bps]), axis=1, return_inverse=True)
+    frames: list[np.ndarray | None] = [None] * len(starts)
+    for k, (block, coding, depth) in enumerate(kinds.T.tolist()):
+        every = np.flatnonzero(which.reshape(-1) == k)
+        step = max(1, CHUNK // (block * (coding + 1 if coding < LEFT_SIDE else 2)))
+        for at in range(0, len(every), step):
+            own = every[at : at + step]
+            for i, x in zip(own.tolist(), decode_frames(data, starts[own], ends[own], block, coding, depth, heads.size[own])):
+                frames[i] = x
+    out, first = [], np.searchsorted(owner, np.arange(len(group) + 1))
+    for i, (info, _) in enumerate(group):
+        own = frames[first[i] : first[i + 1]]
+        x = np.concatenate(own, axis=1).T if own else np.empty((0, info.channels), np.int64)
+        if info.samples and len(x) != info.samples or x.shape[1] != info.channels:
+            raise FlacError("the stream's frames are not all of its samples")
+        if verify_md5 and any(info.md5) and hashlib.md5(pcm_bytes(x, info.bps)).digest() != info.md5:
             raise FlacError("the stream's MD5 is wrong")
-        out.append(payload)
+        out.append(x)
+    return out
+
+
+def payloads(streams: list[bytes]) -> list[bytes]:
+    """The bytes that ``encode`` took: 8-bit mono samples, 128 for silence. Streams of other kinds give their PCM."""
+    out = []
+    for s, x in zip(streams, decode(streams)):
+        info = Stream(s)
+        out.append((x + 128).astype(np.uint8).tobytes() if (info.channels, info.bps) == (1, 8) else pcm_bytes(x, info.bps))
     return out
 
 
@@ -463,9 +537,9 @@ def read_samples(stream: bytes, start: int, count: int) -> np.ndarray:
     a, b = start // info.block, min(-(-(start + count) // info.block), len(frames) - 1)
     if a >= b:
         return np.empty((0, info.channels), np.int64)
-    x = decode_frames(data, frames[a:b], frames[a + 1 : b + 1], info.block, info.channels, info.bps)
-    x = x.transpose(0, 2, 1).reshape(-1, info.channels)
-    return x[start - a * info.block :][:count]
+    heads = _Heads(data, frames[a:b])
+    parts = [decode_frames(data, frames[i : i + 1], frames[i + 1 : i + 2], int(heads.block[i - a]), int(heads.coding[i - a]), info.bps)[0] for i in range(a, b)]
+    return np.concatenate(parts, axis=1).T[start - a * info.block :][:count]
 
 
 # ---------------------------------------------------------------- columns
@@ -476,15 +550,27 @@ def payload_of(text: str | None) -> bytes:
     return raw + b"\xff" * (-len(raw) % BLOCK or (0 if raw else BLOCK))
 
 
-def features(payload: bytes) -> str:
-    """Loudness, mean level, zero crossings and span of samples of a decoded stream."""
-    x = np.frombuffer(payload, np.uint8).astype(np.int16) - 128
+def features(payload: bytes, bps: int = 8, channels: int = 1) -> str:
+    """Loudness, mean level, zero crossings and span of the samples of a decoded stream, of its first channel."""
+    if bps == 8 and channels == 1:
+        x = np.frombuffer(payload, np.uint8).astype(np.int16) - 128
+    else:
+        width = (bps + 7) // 8
+        raw = np.frombuffer(payload, np.uint8).reshape(-1, channels, width)[:, 0].astype(np.int64)
+        x = (raw << 8 * np.arange(width)).sum(1)
+        x -= (x >> 8 * width - 1) << 8 * width
+    if not len(x):
+        return ""
     rms = float(np.sqrt(np.mean(x.astype(np.float64) ** 2)))
     crossings = int(np.count_nonzero(np.diff(np.signbit(x))))
     return f"rms={rms:.4f};mean={x.mean():.4f};zcr={crossings / len(x):.6f};min={x.min()};max={x.max()}"
 
 
-def encode_column(df: DataFrame, text: str = "text", media: str = "media", lpc_order: int = 0) -> DataFrame:
+#: Order of the linear predictors that ``encode_column`` tries beside the fixed ones.
+LPC_ORDER = 4
+
+
+def encode_column(df: DataFrame, text: str = "text", media: str = "media", lpc_order: int = LPC_ORDER) -> DataFrame:
     """df with each text's FLAC stream in ``media`` and its UTF-8 length in ``n_bytes``, without the text."""
     kept = [c for c in df.columns if c not in (text, media, "n_bytes")]
     schema = df.select(*kept, F.lit(0).cast("long").alias("n_bytes"), F.lit(b"").alias(media)).schema
@@ -508,8 +594,12 @@ def decode_column(df: DataFrame, media: str = "media", pcm: str = "pcm") -> Data
 
     def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            payloads = decode(batch.column(media).to_pylist())
-            return pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(payloads, pa.binary()), pa.array(map(features, payloads), pa.string())], names=[*kept, pcm, "feature"])
+            streams = batch.column(media).to_pylist()
+            found = iter(payloads([s for s in streams if s is not None]))
+            infos = [None if s is None else Stream(s) for s in streams]
+            pcms = [None if s is None else next(found) for s in streams]
+            told = [None if i is None else features(p, i.bps, i.channels) for i, p in zip(infos, pcms)]
+            return pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(pcms, pa.binary()), pa.array(told, pa.string())], names=[*kept, pcm, "feature"])
 
         return each
 

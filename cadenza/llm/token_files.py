@@ -11,13 +11,15 @@ Ids are written as unsigned 16-bit numbers where the vocabulary allows it,
 else as 32-bit ones. Every attempt of a task writes files of its own names;
 only those of the attempt that Spark commits are listed in the shard table.
 
-Defined cases: null and empty texts have the end id only; documents with
-equal ids are ordered by a hash of their text; a null id comes first; an empty
-table makes no shard; other columns are ignored.
+Defined cases: null and empty texts have the end id only; texts of any length
+are encoded whole; documents with equal ids, repeated rows among them, all
+stand, ordered by a hash of their text; a null id comes first; an empty table
+makes no shard; only the named columns are read, so others cannot clash.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -33,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import LOWER_TABLE, new_folder, stage
+from cadenza.llm.common import LOWER_TABLE, cuts, new_folder, stage
 
 BATCH_ROWS = 512
 #: Words that a worker keeps with their ids, about 200 bytes each.
@@ -58,8 +60,9 @@ class Encoder(dict):
     """Ids of texts by a tokenizer of the ``tokenizers`` library that drops
     white space and lower-cases; a store of parts met before, by their bytes.
 
-    Such a tokenizer never joins what white space parts, so a text's ids are
-    those of its parts. A part of Latin letters, digits and ASCII signs without
+    Only a tokenizer that is defined by FAST (and a BPE model without chance)
+    takes this way; any other encodes whole texts by the library. Such a one
+    never joins what white space parts, so a text's ids are those of its parts. A part of Latin letters, digits and ASCII signs without
     apostrophes falls into runs of letters, single digits and runs of signs,
     which its pre-tokenizer and normaliser leave as they are: these go straight
     to the library's model. Other parts go to the library, and so do whole
@@ -69,6 +72,17 @@ class Encoder(dict):
     #: The pieces of the tokenizer's own pattern, as far as ASCII signs and Latin letters go.
     PIECE = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[!-&(-/:-@\[-`{-~]+")
     SIMPLE = re.compile(f"(?:{PIECE.pattern})+")
+    #: The normaliser and pre-tokenizer that the short way stands for.
+    FAST = {
+        "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+        "pre_tokenizer": {
+            "type": "Sequence",
+            "pretokenizers": [
+                {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+                {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+            ],
+        },
+    }
 
     def __init__(self, path: str) -> None:
         super().__init__()
@@ -77,6 +91,8 @@ class Encoder(dict):
 
         self.library = Tokenizer.from_file(path)
         self.model = self.library.model
+        spec = json.loads(self.library.to_str())
+        self.fast = all(spec[k] == v for k, v in self.FAST.items()) and spec["model"]["type"] == "BPE" and not spec["model"].get("dropout")
         self.vocab_size = self.library.get_vocab_size()
         self.dtype = np.dtype("<u2" if self.vocab_size <= 1 << 16 else "<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
@@ -104,6 +120,9 @@ class Encoder(dict):
         for text in texts:
             if len(self) > CACHE_WORDS:
                 self.clear()
+            if not self.fast:
+                out.append(self._library(text or ""))
+                continue
             raw = (text or "").encode("utf-8", "replace").translate(LOWER_TABLE)
             if any(m in raw for m in self.marks) and any(a in raw for a in self.added):
                 out.append(self._library(text))
@@ -198,8 +217,8 @@ def write_token_files(docs: DataFrame, folder: str | None = None, doc_id: str =
         name = f"{folder}/shard-{task.partitionId():06d}-{task.taskAttemptId()}"
         shard, places, place, n_docs = None, None, 0, 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for a, b in cuts(batch, 500):
+                part = batch.slice(a, b - a)
                 if shard is None:
                     shard = _ShardWriter(f"{name}.arrow", length, tok.dtype, pad_id)
                     sink = shard.fs.open_output_stream(_file_system(f"{name}.docs.arrow")[1])

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -14,7 +15,7 @@ TEXTS = [None, "", "a", "x" * 576, "ab" * 5000, "é漢字" * 700, "".join(RNG.ch
 def test_round_trip(order):
     payloads = [flac.payload_of(t) for t in TEXTS]
     streams = flac.encode(payloads, lpc_order=order)
-    assert flac.decode(streams) == payloads
+    assert flac.payloads(streams) == payloads
     assert len(flac.encode(payloads)[4]) < len(payloads[4])
     assert all(len(p) % 576 == 0 and p for p in payloads)
 
@@ -50,9 +51,79 @@ def test_columns(spark):
     assert flac.decode_column(flac.encode_column(df.limit(0))).count() == 0
 
 
-def test_query(spark):
+class Writer:
+    """A stream of verbatim subframes, bit by bit."""
+
+    def __init__(self):
+        self.bits = ""
+
+    def put(self, value, width):
+        self.bits += format(value & (1 << width) - 1, f"0{width}b") if width else ""
+
+    def bytes(self):
+        self.bits += "0" * (-len(self.bits) % 8)
+        return int(self.bits, 2).to_bytes(len(self.bits) // 8, "big") if self.bits else b""
+
+
+def plain_stream(x, bps, coding, block, wasted=0):
+    """x (samples, channels) as a stream of another maker: no seek table, any coding, a short last block."""
+    body, sizes = b"", {8: 1, 16: 4, 24: 6}
+    for number, at in enumerate(range(0, len(x), block)):
+        part = x[at : at + block].T
+        channels = [(c.tolist(), bps) for c in part]
+        if coding >= 8:
+            left, right = part
+            side = (left - right).tolist()
+            channels = {8: [(left.tolist(), bps), (side, bps + 1)], 9: [(side, bps + 1), (right.tolist(), bps)], 10: [(((left + right) >> 1).tolist(), bps), (side, bps + 1)]}[coding]
+        w = Writer()
+        w.put(0xFFF8, 16), w.put(7 << 4 | 0, 8), w.put(coding << 4 | sizes[bps] << 1, 8), w.put(number, 8), w.put(part.shape[1] - 1, 16)
+        head = w.bytes()
+        w.put(int(flac.crc(np.frombuffer(head, np.uint8), np.array([0]), np.array([len(head)]), 8)[0]), 8)
+        for samples, depth in channels:
+            w.put(2 | bool(wasted), 8)
+            if wasted:
+                w.put(1, wasted)
+            for v in samples:
+                w.put(v >> wasted, depth - wasted)
+        frame = w.bytes()
+        body += frame + int(flac.crc(np.frombuffer(frame, np.uint8), np.array([0]), np.array([len(frame)]), 16)[0]).to_bytes(2, "big")
+    packed = 44100 << 44 | (x.shape[1] - 1) << 41 | (bps - 1) << 36 | len(x)
+    info = block.to_bytes(2, "big") * 2 + b"\0" * 6 + packed.to_bytes(8, "big") + hashlib.md5(flac.pcm_bytes(x, bps)).digest()
+    return b"fLaC\x80" + len(info).to_bytes(3, "big") + info + body
+
+
+def test_streams_of_other_kinds():
+    rng = np.random.default_rng(4)
+    wanted, streams = [], []
+    for bps, channels, coding, wasted in ((16, 2, 1, 0), (16, 2, 8, 0), (16, 2, 9, 0), (24, 2, 10, 0), (16, 1, 0, 3), (8, 3, 2, 0)):
+        x = rng.integers(-(1 << bps - 2), 1 << bps - 2, (210, channels)) >> wasted << wasted
+        wanted.append(x)
+        streams.append(plain_stream(x, bps, coding, 64, wasted))
+    for x, y in zip(wanted, flac.decode(streams)):
+        assert (x == y).all()
+    assert (flac.read_samples(streams[3], 60, 100) == wanted[3][60:160]).all()
+
+
+def test_linear_predictors_are_written():
+    t = np.arange(576 * 8)
+    wave = (128 + 60 * np.sin(t / 5) + 40 * np.sin(t / 11)).astype(np.uint8).tobytes()
+    with_lpc, without = flac.encode([wave], lpc_order=flac.LPC_ORDER)[0], flac.encode([wave], lpc_order=0)[0]
+    assert len(with_lpc) < len(without) and flac.payloads([with_lpc]) == [wave]
+
+
+def test_query_against_plain_python(spark):
+    """All columns but those of the stored form, over the whole table; the stored form by reading it back."""
     from cadenza.llm.queries import op1_media_flac
 
-    row = op1_media_flac(spark, "/root/testdata/sf0.001").where("doc_id = 0").first()
-    text = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("doc_id = 0").first()["text"]
-    assert row["payload_sha256"] == hashlib.sha256(flac.payload_of(text)).hexdigest() and row["n_bytes"] == len(text.encode())
+    sf = "/root/testdata/sf0.001"
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = op1_media_flac(spark, sf).collect()
+    assert len(rows) == len(texts)
+    streams = dict(zip(texts, flac.encode([flac.payload_of(t) for t in texts.values()], lpc_order=flac.LPC_ORDER)))
+    for r in rows:
+        payload = flac.payload_of(texts[r["doc_id"]])
+        assert (r["n_bytes"], r["payload_bytes"]) == (len((texts[r["doc_id"]] or "").encode()), len(payload))
+        assert r["payload_sha256"] == hashlib.sha256(payload).hexdigest() and r["tail_crc32"] == zlib.crc32(payload[-32:])
+        stream = streams[r["doc_id"]]
+        assert (r["media_bytes"], r["media_sha256"]) == (len(stream), hashlib.sha256(stream).hexdigest())
+        assert r["feature"] == flac.features(payload)
