@@ -79,7 +79,7 @@ def tokens(text: str | None) -> list[bytes]:
 BATCH_BYTES = 16 << 20
 
 
-def cuts(batch: pa.RecordBatch, rows: int) -> Iterator[tuple[int, int]]:
+def batch_cuts(batch: pa.RecordBatch, rows: int) -> Iterator[tuple[int, int]]:
     """Stretches of at most ``rows`` rows and, but for single rows, BATCH_BYTES of strings and binaries."""
     sizes = np.zeros(batch.num_rows, np.int64)
     for column in batch.columns:
@@ -99,7 +99,7 @@ def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Re
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = make()
         for batch in batches:
-            for a, b in cuts(batch, rows):
+            for a, b in batch_cuts(batch, rows):
                 yield each(batch.slice(a, b - a))
 
     return df.mapInArrow(run, schema)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import cuts, hash64, map_arrow
+from cadenza.llm.common import batch_cuts, hash64, map_arrow
 from cadenza.llm.ftrl import fit_multinomial, softmax, temperature
 
 BUCKETS = 1 << 15
@@ -106,7 +106,7 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in cuts(batch, 200):
+            for a, b in batch_cuts(batch, 200):
                 part = batch.slice(a, b - a)
                 x = [tf_idf(t, idf) for t in part.column("t").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("i"), part.column("l"), pa.array([c.astype(np.int32).tobytes() for c, _ in x], pa.binary()), pa.array([v.astype(np.float32).tobytes() for _, v in x], pa.binary())], names=["i", "l", "c", "v"])

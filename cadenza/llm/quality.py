@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import WORD_TABLE, cuts, hash64, map_arrow, packed, word_hashes
+from cadenza.llm.common import WORD_TABLE, batch_cuts, hash64, map_arrow, packed, word_hashes
 from cadenza.llm.ftrl import fit_ordinal
 
 BUCKETS = 1 << 24
@@ -132,7 +132,7 @@ def fit(docs: DataFrame, ratings: DataFrame, doc_id: str = "doc_id", text: str =
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in cuts(batch, 200):
+            for a, b in batch_cuts(batch, 200):
                 part = batch.slice(a, b - a)
                 row, bucket, value = features(part.column("t").to_pylist())
                 first = np.searchsorted(row, np.arange(part.num_rows + 1))

@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import LOWER_TABLE, cuts, new_folder, stage
+from cadenza.llm.common import LOWER_TABLE, batch_cuts, new_folder, stage
 
 BATCH_ROWS = 512
 #: Words that a worker keeps with their ids, about 200 bytes each.
@@ -217,7 +217,7 @@ def write_token_files(docs: DataFrame, folder: str | None = None, doc_id: str =
         name = f"{folder}/shard-{task.partitionId():06d}-{task.taskAttemptId()}"
         shard, places, place, n_docs = None, None, 0, 0
         for batch in batches:
-            for a, b in cuts(batch, 500):
+            for a, b in batch_cuts(batch, 500):
                 part = batch.slice(a, b - a)
                 if shard is None:
                     shard = _ShardWriter(f"{name}.arrow", length, tok.dtype, pad_id)

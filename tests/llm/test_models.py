@@ -28,6 +28,78 @@ def test_language_on_the_held_out_fold(spark, docs):
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in out)
 
 
+def test_language_query_against_plain_python(spark):
+    """Document frequencies by counting strings, and each prediction by itself, over the whole table."""
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = {r["doc_id"]: r for r in docs.collect()}
+    learned = [r for r in rows.values() if r["lang"] is not None and r["text"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2]
+    seen = np.zeros(lang_id.BUCKETS)
+    for r in learned:
+        t = f" {r['text'].lower()} "
+        # a text's buckets are those of its n-grams, each by itself (blanks stand around a text)
+        seen[sorted({int(b) for b in lang_id.ngram_counts(r["text"])[0]})] += 1
+        assert lang_id.ngram_counts(r["text"])[1].sum() == 3 * len(t) - 3
+    model = lang_id.fit(docs)
+    assert np.allclose(model.idf, np.log((1 + len(learned)) / (1 + seen)) + 1, rtol=1e-6)
+    got = QUERIES["op3_language"](spark, sf).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        name, score = model.predict(rows[r["doc_id"]]["text"])
+        assert r["lang_pred"] == name and abs(r["score"] - score) < 1e-9
+
+
+@pytest.mark.parametrize("text", ["½ ² Ⅷ ①", "123 !?", "", None, "  "])
+def test_texts_without_letters(text):
+    model = lang_id.Model(["en"], np.ones(lang_id.BUCKETS), np.ones((lang_id.BUCKETS, 1)), 1.0)
+    assert model.predict(text) == ("und", 0.0) and model.predict("é")[0] == "en"
+
+
+def test_language_sample_is_bounded_where_rows_repeat(spark):
+    one = spark.range(3000).select(F.lit(4).cast("long").alias("doc_id"), F.lit("the same words again").alias("text"), F.lit("en").alias("lang"))
+    docs = one.union(spark.createDataFrame([(i, f"nous avons vu {i}", "fr") for i in range(40)], "doc_id long, text string, lang string"))
+    model = lang_id.fit(docs, per_language=100_000)
+    assert {r["lang_pred"] for r in lang_id.predict(docs, model).where("doc_id > 4").collect()} == {"fr"}
+
+
+def test_quality_query_against_plain_python(spark):
+    """Each document's grade by itself: weights added up over a dictionary of its features."""
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = quality.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    weight = dict(zip(model.buckets.tolist(), model.weights.tolist()))
+    got = {r["doc_id"]: r for r in QUERIES["op4_quality"](spark, sf).collect()}
+    rows = docs.collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        _, buckets, values = quality.features([r["text"]])
+        score = sum(weight.get(int(b), 0.0) * v for b, v in zip(buckets, values))
+        good, clean = (1 / (1 + np.exp(c - score)) for c in model.cuts)
+        assert abs(got[r["doc_id"]]["expected_grade"] - good - clean) < 1e-6 and got[r["doc_id"]]["kept"] == (clean >= model.least)
+
+
+@pytest.mark.parametrize(("q", "t", "want"), [(0, 0, 0), (0, 1, 0), (0, None, 0), (1, 0, 2), (1, 1, 1), (1, None, None), (None, 1, None), (None, 0, None)])
+def test_grades(spark, q, t, want):
+    df = spark.createDataFrame([(q, t)], "q int, t int")
+    assert df.select(quality.grade(F.col("q"), F.col("t"))).first()[0] == want
+
+
+def test_threshold_of_selection():
+    rng = np.random.default_rng(3)
+    best = rng.random(4000) < 0.76
+    tail = np.clip(np.where(best, rng.normal(0.95, 0.05, 4000), rng.normal(0.3, 0.2, 4000)), 0, 1)
+    least = quality.least_tail(tail, best)
+    assert (tail[best] >= least).mean() >= 0.995 and (tail[~best] >= least).mean() < 0.1
+    assert quality.least_tail(np.array([]), np.array([], bool)) == 0.0
+
+
+def test_repeated_stretches():
+    texts = ["a b c a b c", "one two three four", "x " * 50, "", None]
+    values = [quality.features([t]) for t in texts]
+    share = [dict(zip(b.tolist(), v.tolist())).get(quality.REPEATS, 0.0) / 4 for _, b, v in values]
+    assert share[0] == pytest.approx(1 / 4) and share[1] == 0 and share[2] == pytest.approx(47 / 48) and share[3] == share[4] == 0
+
+
 def test_language_cases(spark, docs):
     rows = [(1, None, "de"), (2, "", "de"), (3, "123 !?", None), (4, "hello", None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("score", F.lit("clash"))
@@ -109,6 +181,30 @@ def test_redaction(spark):
     assert pii.detect(df.limit(0)).count() == 0
 
 
+def test_token_query_against_the_library(spark):
+    """Place, length and checksum of every document in the files of the query."""
+    from tokenizers import Tokenizer
+
+    sf = "/root/testdata/sf0.001"
+    library = Tokenizer.from_file(token_files.default_tokenizer())
+    start, want = 0, {}
+    for r in spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").collect():
+        ids = [*library.encode(r["text"] or "", add_special_tokens=False).ids, 2]
+        want[r["doc_id"]] = (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+    got = QUERIES["op8_token_files"](spark, sf).collect()
+    assert {r["doc_id"]: (r["start"], r["n_tokens"], r["ids_crc32"]) for r in got} == want
+
+
+def test_other_tokenizers_go_by_the_library(tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    other = Tokenizer(models.WordLevel({"[UNK]": 0, "A": 1, "a": 2, "b": 3}, unk_token="[UNK]"))
+    other.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+    other.save(str(tmp_path / "other.json"))
+    assert np.frombuffer(token_files.Encoder(str(tmp_path / "other.json")).encode(["A a b c"])[0], "<u2").tolist() == [1, 2, 3, 0]
+
+
 def test_tokens_against_the_library(spark, docs):
     from tokenizers import Tokenizer
 
