@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from cadenza.functions.scalars import finite
+
 
 @dataclass(frozen=True)
 class ModelConfig:
@@ -54,8 +56,9 @@ class ModelConfig:
 
 
 def first_set(*values: Column) -> Column:
-    """The first value that is neither null nor zero, else the first that is not null, else 0."""
-    return F.coalesce(*(F.nullif(v, F.lit(0)) for v in values), *values, F.lit(0))
+    """The first finite value other than zero, else the first finite one, else 0."""
+    known = [finite(v.cast("double")) for v in values]
+    return F.coalesce(*(F.nullif(v, F.lit(0.0)) for v in known), *known, F.lit(0.0))
 
 
 def ride_settings(rides_alias: str, override: dict[str, Column] | None, config: ModelConfig) -> dict[str, Column]:

@@ -7,7 +7,7 @@ through Arrow batches with a small state, so no series is ever held whole.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import groupby
 
 import pyarrow as pa
@@ -50,6 +50,16 @@ def fold_sorted(df: DataFrame, s: Series, read: list[str], outputs: str, start:
     return placed.sortWithinPartitions(*keys, *s.order).mapInArrow(run, schema)
 
 
+def spaced(positions: Iterable[float | None], least: float, last: float | None = None) -> list[bool]:
+    """Which positions lie more than ``least`` after the last one kept; the first known one is kept."""
+    out = []
+    for x in positions:
+        keep = x is not None and (last is None or x - last > least)
+        last = x if keep else last
+        out.append(keep)
+    return out
+
+
 def spacing_filter(df: DataFrame, s: Series, position: str, least: float) -> DataFrame:
     """Rows that lie more than ``least`` after the last row that was kept; the first is kept."""
 
@@ -57,13 +67,9 @@ def spacing_filter(df: DataFrame, s: Series, position: str, least: float) -> Dat
         last: list[float] = []
 
         def step(columns: dict[str, list]) -> dict[str, list]:
-            out = []
-            for x in columns[position]:
-                keep = x is not None and (not last or x - last[0] > least)
-                if keep:
-                    last[:] = [x]
-                out.append(keep)
-            return {"_kept": out}
+            kept = spaced(columns[position], least, last[0] if last else None)
+            last[:] = ([x for x, k in zip(columns[position], kept) if k] or last)[-1:]
+            return {"_kept": kept}
 
         return step
 

@@ -34,17 +34,31 @@ def segments(df: DataFrame, keys: tuple[str, ...], time: str, values: list[str])
     return df.select(*keys, time, *values, *(F.lead(c).over(w).alias(f"next_{c}") for c in (time, *values)))
 
 
-def asof_join(left: DataFrame, right: DataFrame, keys: tuple[str, ...], left_time: str, right_time: str, values: list[str], tie: list[str] = ()) -> DataFrame:
-    """Rows of left with the values of the last row of right at or before their time, null if none.
+def asof_join(left: DataFrame, right: DataFrame, keys: tuple[str, ...], left_time: str, right_time: str, values: list[str], tie: tuple[str, ...] = (), bucket: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Rows of left with the values of the last row of right at or before their time, null if none; of several at one
+    time the last by ``tie``. Names in ``values`` must be new to left.
 
     Both tables are put into one series and the values carried forward: one
-    shuffle by key, whatever the sizes. Names in ``values`` must be new to left.
+    shuffle by key, whatever the sizes. With ``bucket``, a function of time that
+    does not decrease (say, its day), a key's buckets are walked apart and only
+    the last values of each are carried on, so no task holds a whole key.
     """
-    side = right.select(*keys, F.col(right_time).alias("_time"), F.lit(0).alias("_side"), F.struct(*values).alias("_values"))
-    rows = left.withColumns({"_time": F.col(left_time), "_side": F.lit(1)}).withColumn("_left", F.struct(*(c for c in left.columns)))
-    both = rows.select(*keys, "_time", "_side", "_left").unionByName(side, allowMissingColumns=True)
-    w = Window.partitionBy(*keys).orderBy("_time", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    order = F.struct(*(F.col(c) for c in tie)) if tie else F.struct(F.lit(0).alias("none"))
+    cell = (bucket or (lambda _: F.lit(0)))(F.col("_time"))
+    side = right.select(*keys, F.col(right_time).alias("_time"), F.lit(0).alias("_side"), order.alias("_tie"), F.struct(*values).alias("_values")).withColumn("_cell", cell)
+    rows = left.withColumns({"_time": F.col(left_time), "_side": F.lit(1)}).withColumn("_left", F.struct(*(c for c in left.columns))).withColumn("_cell", cell)
+    both = rows.select(*keys, "_time", "_side", "_left", "_cell").unionByName(side, allowMissingColumns=True)
+    w = Window.partitionBy(*keys, "_cell").orderBy("_time", "_side", "_tie").rowsBetween(Window.unboundedPreceding, 0)
     found = both.withColumn("_found", F.last("_values", ignorenulls=True).over(w)).where("_side = 1")
+    if bucket:
+        # what each bucket ends with, carried over the key's buckets: a row a bucket
+        ends = both.groupBy(*keys, "_cell").agg(F.max_by("_values", F.when(F.col("_side") == 0, F.struct("_time", "_tie"))).alias("_end"))
+        before = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+        ends = ends.select(*(F.col(k).alias(f"_key_{k}") for k in keys), F.col("_cell").alias("_own"), F.last("_end", ignorenulls=True).over(before).alias("_carried"))
+        on = found["_cell"].eqNullSafe(ends["_own"])
+        for k in keys:
+            on = on & found[k].eqNullSafe(ends[f"_key_{k}"])
+        found = found.join(ends, on, "left").withColumn("_found", F.coalesce("_found", "_carried"))
     return found.select("_left.*", *(F.col(f"_found.{v}").alias(v) for v in values))
 
 

@@ -133,13 +133,19 @@ def solve_drag(cohort: DataFrame, keys: tuple[str, ...], floor: Column, default:
     return found.select(*keys, cda.alias("cda"), (F.col("_known") & (F.col("side") == 0)).alias("ok"), "side", "cohort_size")
 
 
-def least_spread(ratios: DataFrame, keys: tuple[str, ...], candidate: tuple[str, ...], octant: str, ratio: str, pct: float, least: int) -> DataFrame:
-    """The candidate of each key whose octants' quantiles vary least (weighted); ties go to the least candidate."""
-    q = ratios.groupBy(*keys, *candidate, octant).agg(F.percentile(ratio, F.lit(pct)).alias("_q"), F.count(F.lit(1)).alias("_w")).where(F.col("_w") >= least)
-    mean = F.sum(F.col("_w") * F.col("_q")) / F.sum("_w")
-    cost = q.groupBy(*keys, *candidate).agg((F.sum(F.col("_w") * F.col("_q") * F.col("_q")) / F.sum("_w") - mean * mean).alias("cost"))
-    best = cost.groupBy(*keys).agg(F.min(F.struct(F.round("cost", 9).alias("r"), *candidate, "cost")).alias("_m"))
-    return best.select(*keys, *(F.col(f"_m.{c}").alias(c) for c in candidate), "_m.cost")
+def octant_costs(watts: np.ndarray, need: np.ndarray, octant: np.ndarray, floor: float, pct: float, least: int, enough: int) -> np.ndarray:
+    """How far the octants' quantiles of watts / need are apart (weighted variance) for each row of need. Octants of fewer
+    than ``least`` entries don't count; rows with fewer than ``enough`` counted entries cost infinity."""
+    weight, first, second = np.zeros(len(need)), np.zeros(len(need)), np.zeros(len(need))
+    for o in range(8):
+        own = octant == o
+        if own.sum() < least:
+            continue
+        q, k = ratio_quantiles(watts[own], need[:, own], floor, pct)
+        k, q = np.where(k >= least, k, 0), np.where(k >= least, q, 0.0)
+        weight, first, second = weight + k, first + k * q, second + k * q * q
+    mean = first / np.maximum(weight, 1)
+    return np.where(weight >= max(enough, 1), second / np.maximum(weight, 1) - mean**2, np.inf)
 
 
 class WindFit:
@@ -170,16 +176,7 @@ class WindFit:
         fixed = np.broadcast_to(self.fixed, per_cda.shape)
         cda, _, _ = drag_at_one(self.watts, fixed, per_cda, self.floor, self.config.cda, self.config.clean_air_pct)
         need = fixed + per_cda * cda[:, None]
-        weight, first, second = np.zeros(len(winds)), np.zeros(len(winds)), np.zeros(len(winds))
-        for o in range(8):
-            own = self.octant == o
-            if own.sum() < 12:
-                continue
-            q, k = ratio_quantiles(self.watts[own], need[:, own], self.floor, self.config.clean_air_pct)
-            k, q = np.where(k >= 12, k, 0), np.where(k >= 12, q, 0.0)
-            weight, first, second = weight + k, first + k * q, second + k * q * q
-        mean = first / np.maximum(weight, 1)
-        return np.where(weight >= 60, second / np.maximum(weight, 1) - mean**2, np.inf), cda
+        return octant_costs(self.watts, need, self.octant, self.floor, self.config.clean_air_pct, 12, 60), cda
 
     def solve(self) -> tuple[float, float, float, float]:
         """East, north, drag area and cost of the best wind: a coarse grid, refined twice."""

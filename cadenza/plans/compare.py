@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import math
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.functions.geo import DEGREE_M, planar_metres
-from cadenza.operators.folds import Step, fold_sorted
-from cadenza.operators.series import Series
+from cadenza.functions.geo import planar_metres
+from cadenza.plans.staging import Staging
 
 #: Circuits are the same if their middles are this near (m) and their lengths differ by less than this share.
 APART, LENGTH = 250.0, 0.12
@@ -32,9 +31,17 @@ def compare_rows(rides: DataFrame, report: dict[str, DataFrame]) -> DataFrame:
     )
 
 
-def turn_matrix(turns: DataFrame, most: int = 12) -> DataFrame:
-    """Speed lost in each corner (km/h), a column a corner."""
-    return turns.where(F.col("number") <= most).groupBy("ride_id").pivot("number", list(range(1, most + 1))).agg(F.first(F.round(F.col("loss_v") * 3.6, 3)))
+def side_by_side(df: DataFrame, key: str, column: str, value: Column, names: list | None = None) -> DataFrame:
+    """A row a key, a column for each of ``names`` (by default all that occur in ``column``)."""
+    if names is None:
+        names = sorted(r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().collect())
+    return df.groupBy(key).pivot(column, names).agg(value)
+
+
+def turn_matrix(turns: DataFrame) -> DataFrame:
+    """Speed lost in each corner (km/h), a column a corner, as many as the ride with most of them has."""
+    most = turns.agg(F.max("number")).first()[0] or 0
+    return side_by_side(turns, "ride_id", "number", F.first(F.round(F.col("loss_v") * 3.6, 3)), list(range(1, most + 1)))
 
 
 def same_circuit_pairs(circuits: DataFrame) -> DataFrame:
@@ -49,34 +56,28 @@ def same_circuit_pairs(circuits: DataFrame) -> DataFrame:
     return pairs.select(F.col("a_ride_id").alias("a"), F.col("b_ride_id").alias("b"), apart.alias("apart"), ratio.alias("length_ratio")).distinct()
 
 
-def circuit_groups(circuits: DataFrame, order: str = "ride_id") -> DataFrame:
-    """circuits with ``circuit_id``: rides in order, each joining the first group whose first ride was on the same circuit.
+def circuit_groups(circuits: DataFrame, order: str = "ride_id", keep: Callable[[DataFrame, str], DataFrame] | None = None) -> DataFrame:
+    """circuits with ``circuit_id`` and ``races``, circuits with most races first: rides in order, each joins the first
+    group whose first ride was on the same circuit; that ride gives the group its id.
 
-    Rides are dealt to regions of one degree of latitude, each walked through in order.
+    Pairs on the same circuit come from cells, whatever the places. Of these each round settles the rides whose earliest
+    pair that may lead is settled: it leads (they join it), or none is left (they lead).
     """
-
-    def start() -> Step:
-        firsts: list[tuple[float, float, float]] = []
-
-        def step(columns: dict[str, list]) -> dict[str, list]:
-            out = []
-            for lat, lon, length in zip(columns["lat"], columns["lon"], columns["lap_len"]):
-                def same(f: tuple[float, float, float], lat=lat, lon=lon, length=length) -> bool:
-                    away = math.hypot((lon - f[1]) * DEGREE_M * math.cos(math.radians(f[0])), (lat - f[0]) * DEGREE_M)
-                    longest = max(f[2], length)
-                    return away < APART and longest > 0 and abs(f[2] - length) / longest < LENGTH
-
-                at = next((k for k, f in enumerate(firsts) if same(f)), len(firsts))
-                if at == len(firsts):
-                    firsts.append((lat, lon, length))
-                out.append(at)
-            return {"_k": out}
-
-        return step
-
-    placed = circuits.withColumn("_region", F.floor(F.col("lat") + 0.5).cast("long"))
-    folded = fold_sorted(placed, Series(("_region",), (order,)), ["lat", "lon", "lap_len"], "_k long", start)
-    named = folded.withColumn("circuit_id", F.concat_ws("-", "_region", "_k"))
-    from pyspark.sql import Window
-
-    return named.withColumn("races", F.count(F.lit(1)).over(Window.partitionBy("circuit_id"))).drop("_region", "_k")
+    keep = keep or Staging(circuits.sparkSession).put
+    rank = F.struct(order, "ride_id") if order != "ride_id" else F.struct("ride_id")
+    ranks = circuits.select("ride_id", rank.alias("_rank"))
+    pairs = same_circuit_pairs(circuits).select("a", "b")
+    both = pairs.union(pairs.select("b", "a")).join(ranks.select(F.col("ride_id").alias("a"), F.col("_rank").alias("_ra")), "a").join(ranks.select(F.col("ride_id").alias("b"), F.col("_rank").alias("_rb")), "b")
+    earlier = keep(both.where("_ra < _rb").select(F.col("a").alias("first"), "_ra", F.col("b").alias("ride_id")), "earlier")
+    state = keep(circuits.select("ride_id", F.lit(None).cast("string").alias("leader")), "state_0")
+    at = 0
+    while state.where("leader is null").head(1):
+        known = state.select(F.col("ride_id").alias("first"), F.col("leader").alias("_of"))
+        # followers lead nobody
+        may = earlier.join(known, "first").where("_of is null or _of = first").groupBy("ride_id").agg(F.min_by(F.struct("first", "_of"), "_ra").alias("m"))
+        settled = F.when(F.col("m").isNull(), F.col("ride_id")).when(F.col("m._of").isNotNull(), F.col("m.first"))
+        at += 1
+        state = keep(state.join(may, "ride_id", "left").select("ride_id", F.coalesce("leader", settled).alias("leader")), f"state_{at}")
+    races = state.groupBy("leader").agg(F.count(F.lit(1)).alias("races"))
+    named = circuits.join(state, "ride_id").join(races, "leader").withColumnRenamed("leader", "circuit_id")
+    return named.select(*circuits.columns, "circuit_id", "races").orderBy(F.col("races").desc(), "circuit_id", order)

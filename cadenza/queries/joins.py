@@ -22,7 +22,8 @@ def asof_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last purchase at or before each event, -1 where there is none."""
     df = events(spark, sf_dir, "value", "event_type")
     bought = df.where("event_type = 'purchase'").select("user_id", F.col("ts").alias("at"), F.col("value").alias("paid"), F.col("event_id").alias("purchase"))
-    return asof_join(df, bought, ("user_id",), "ts", "at", ["purchase", "paid"]).select("event_id", F.coalesce("purchase", F.lit(-1)).alias("purchase"), "paid")
+    found = asof_join(df, bought, ("user_id",), "ts", "at", ["purchase", "paid"], tie=("purchase",), bucket=lambda t: F.date_trunc("day", t))
+    return found.select("event_id", F.coalesce("purchase", F.lit(-1)).alias("purchase"), "paid")
 
 
 @query("""

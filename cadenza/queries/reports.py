@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cadenza.plans.compare import side_by_side
+from cadenza.plans.findings import Rule, apply_rules
 from cadenza.queries.registry import query, table
 
 
@@ -14,7 +16,7 @@ FROM orders GROUP BY o_orderpriority
 """)
 def pivot_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row a priority, a column a status."""
-    return table(spark, sf_dir, "orders").groupBy("o_orderpriority").pivot("o_orderstatus", ["F", "O", "P"]).agg(F.round(F.avg("o_totalprice"), 4))
+    return side_by_side(table(spark, sf_dir, "orders"), "o_orderpriority", "o_orderstatus", F.round(F.avg("o_totalprice"), 4), ["F", "O", "P"])
 
 
 @query("""
@@ -27,12 +29,9 @@ def findings_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules that speak only where the numbers bear them out."""
     s = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.max("value").alias("top"), F.sum(F.when(F.col("event_type") == "error", 1).otherwise(0)).alias("errors"))
     many, high = F.col("errors") > 0.2 * F.col("n"), F.col("top") > 6 * F.col("mean")
-    rules = F.filter(
-        F.array(
-            F.struct(F.lit(1).alias("ord"), many.alias("on"), F.when(F.col("errors") > 0.3 * F.col("n"), "critical").otherwise("warning").alias("kind"), F.format_string("%d errors in %d events", "errors", "n").alias("title")),
-            F.struct(F.lit(2).alias("ord"), high.alias("on"), F.when(F.col("top") > 10 * F.col("mean"), "warning").otherwise("info").alias("kind"), F.lit("A peak far above the mean").alias("title")),
-            F.struct(F.lit(3).alias("ord"), (~many & ~high).alias("on"), F.lit("good").alias("kind"), F.lit("Nothing stood out").alias("title")),
-        ),
-        lambda r: r["on"],
-    )
-    return s.select("user_id", F.explode(rules).alias("r")).select("user_id", "r.ord", "r.kind", "r.title")
+    rules = [
+        Rule(many, F.when(F.col("errors") > 0.3 * F.col("n"), "critical").otherwise("warning"), F.format_string("%d errors in %d events", "errors", "n")),
+        Rule(high, F.when(F.col("top") > 10 * F.col("mean"), "warning").otherwise("info"), F.lit("A peak far above the mean")),
+        Rule(~many & ~high, F.lit("good"), F.lit("Nothing stood out")),
+    ]
+    return apply_rules(s, ("user_id",), rules).select("user_id", "ord", "kind", "title")

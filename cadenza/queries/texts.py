@@ -112,17 +112,17 @@ def road_class_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT c_custkey, round(CASE WHEN o <> 0 THEN o WHEN f <> 0 THEN f WHEN o IS NOT NULL THEN o WHEN f IS NOT NULL THEN f ELSE 250 END, 6) AS cp
-FROM (SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 0.0 WHEN c_custkey % 4 = 1 THEN c_acctbal END AS o, CASE WHEN c_nationkey % 3 = 0 THEN NULL WHEN c_nationkey % 3 = 1 THEN 0.0 ELSE c_acctbal / 2 END AS f FROM customer)
-WHERE NOT (coalesce(o, 0) = 0 AND coalesce(f, 0) = 0)
+SELECT c_custkey, round(CASE WHEN o <> 0 AND isfinite(o) THEN o WHEN f <> 0 THEN f WHEN d <> 0 THEN d WHEN isfinite(o) THEN o WHEN f IS NOT NULL THEN f ELSE 0 END, 6) AS cp
+FROM (SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN CAST(0 AS DOUBLE) WHEN 1 THEN c_acctbal WHEN 2 THEN CAST('NaN' AS DOUBLE) WHEN 3 THEN CAST('Infinity' AS DOUBLE) END AS o,
+             CASE c_nationkey % 3 WHEN 1 THEN CAST(0 AS DOUBLE) WHEN 2 THEN c_acctbal / 2 END AS f, CASE WHEN c_custkey % 7 < 5 THEN CAST(250 AS DOUBLE) END AS d FROM customer)
 """)
 def config_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first setting that is neither null nor zero."""
-    k, n, b = F.col("c_custkey") % 4, F.col("c_nationkey") % 3, F.col("c_acctbal")
-    o = F.when(k == 0, F.lit(0.0)).when(k == 1, b)
-    f = F.when(n == 0, F.lit(None).cast("double")).when(n == 1, F.lit(0.0)).otherwise(b / 2)
-    c = table(spark, sf_dir, "customer").select("c_custkey", o.alias("o"), f.alias("f")).where(~((F.coalesce("o", F.lit(0.0)) == 0) & (F.coalesce("f", F.lit(0.0)) == 0)))
-    return c.select("c_custkey", F.round(first_set(F.col("o"), F.col("f"), F.lit(250.0)), 6).alias("cp"))
+    """The first finite setting that is not zero, else the first that is finite."""
+    k, n, b = F.col("c_custkey") % 5, F.col("c_nationkey") % 3, F.col("c_acctbal")
+    o = F.when(k == 0, F.lit(0.0)).when(k == 1, b).when(k == 2, F.lit(float("nan"))).when(k == 3, F.lit(float("inf")))
+    f = F.when(n == 1, F.lit(0.0)).when(n == 2, b / 2)
+    d = F.when(F.col("c_custkey") % 7 < 5, F.lit(250.0))
+    return table(spark, sf_dir, "customer").select("c_custkey", F.round(first_set(o, f, d), 6).alias("cp"))
 
 
 @query("""

@@ -120,7 +120,7 @@ def test_race_window(report):
 def test_degraded_rides(report):
     s = one(report, "summary", "no-gps")[0]
     assert s["laps"] == 0 and s["lap_source"] == "none" and s["turns"] == 0 and s["np"] > 0
-    assert any("no GPS" in f["body"] for f in one(report, "findings", "no-gps"))
+    assert any("positions are missing" in f["body"] for f in one(report, "findings", "no-gps"))
     assert not one(report, "summary", "drift")[0]["elevation"]["trustworthy"]
     assert one(report, "summary")[0]["elevation"]["trustworthy"]
 
