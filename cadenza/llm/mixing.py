@@ -76,12 +76,12 @@ def _planned(base: DataFrame, weights: tuple[int, ...], share: float, cap: float
     return summed.withColumn("epochs", epochs.cast("long")).withColumn("taken", (F.col("epochs") * F.col("size") + rest).cast("long"))
 
 
-def _keyed(rows: DataFrame, doc_id: Column, source: Column, text: Column, seed: str, *more: Column) -> DataFrame:
-    """rows with ``_null, _name, size, key, _at``, staged."""
+def _keyed(rows: DataFrame, doc_id: Column, source: Column, text: Column, seed: str, *more: Column, drop: tuple[str, ...] = ()) -> DataFrame:
+    """rows with ``_null, _name, size, key, _at`` and without ``drop``, staged."""
     name = source.cast("string")
     key = F.md5(F.concat_ws(":", F.lit(seed), doc_id.cast("string"), text, *more).cast("binary"))
     columns = {"_null": name.isNull(), "_name": F.coalesce(name, F.lit("")), "size": word_count(text), "key": key, "_at": F.monotonically_increasing_id()}
-    return stage(rows.withColumns(columns), "mix")
+    return stage(rows.withColumns(columns).drop(*drop), "mix")
 
 
 def mix_sources(
@@ -102,7 +102,7 @@ def mix_sources(
     is cut. Reruns agree, since keys depend on id, text and seed only.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), F.col(text).alias("text"))
-    base = _keyed(rows, F.col("doc_id"), F.col("source"), F.col("text"), seed).drop("text")
+    base = _keyed(rows, F.col("doc_id"), F.col("source"), F.col("text"), seed, drop=("text",))
     return _planned(base, weights, share, cap).select("doc_id", "source", "size", "source_size", "target", "taken", "epochs")
 
 
