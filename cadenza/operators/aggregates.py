@@ -77,3 +77,17 @@ def histogram(df: DataFrame, keys: tuple[str, ...], bin_column: str, bins: int,
     every = df.select(*keys).distinct() if keys else df.sparkSession.range(1).select()
     every = every.withColumn(bin_column, F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
     return every.join(found, [*keys, bin_column], "left")
+
+
+def centred_scale(df: DataFrame, keys: tuple[str, ...], value: str, low: float = 0.05, high: float = 0.95, least: float = 0.05) -> DataFrame:
+    """``keys, centre, half_span``: the median, and how far the outer quantiles lie from it, ``least`` at least."""
+    q = df.groupBy(*keys).agg(F.percentile(value, F.array(*map(F.lit, (low, 0.5, high)))).alias("q"))
+    a, m, b = (F.get("q", F.lit(i)) for i in range(3))
+    return q.select(*keys, m.alias("centre"), F.greatest(F.lit(least), m - a, b - m).alias("half_span"))
+
+
+def pixel_means(df: DataFrame, keys: tuple[str, ...], at: str, value: str, pixels: int, out: str) -> DataFrame:
+    """``keys, pixel, out, n``: means of a value in ``pixels`` columns of equal width; keys that have no width are left out."""
+    spans = df.groupBy(*keys).agg(F.min(at).alias("_a"), F.max(at).alias("_b")).where("_b > _a")
+    pixel = F.least(F.floor((F.col(at) - F.col("_a")) / (F.col("_b") - F.col("_a")) * pixels), F.lit(pixels - 1))
+    return df.join(spans, list(keys)).groupBy(*keys, pixel.cast("long").alias("pixel")).agg(F.avg(value).alias(out), F.count(F.lit(1)).alias("n"))

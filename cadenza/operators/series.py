@@ -10,10 +10,13 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from cadenza.functions.scalars import angle_delta, clamp
+from cadenza.functions.scalars import angle_delta
 
 FIRST, LAST = Window.unboundedPreceding, Window.unboundedFollowing
 
@@ -103,40 +106,66 @@ def trailing_rate(x: Column, s: Series, rows: int) -> Column:
     return F.coalesce(F.try_divide(x - s.shifted(x, -rows), steps.cast("double")), F.lit(0.0))
 
 
-def range_slope(df: DataFrame, s: Series, y: str, x: str, half: int, least: int, limit: float, out: str) -> DataFrame:
+def _edges(x: np.ndarray, half: float, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last row of each row's fit: those within ``half``, widened evenly to ``least``. The last row never goes
+    back: once a fit has reached further, so do those after it."""
+    n = len(x)
+    first = np.searchsorted(x, x - half, side="left").tolist()
+    last = (np.searchsorted(x, x + half, side="right") - 1).tolist()
+    reached = 0
+    for i in range(n):
+        a, b = first[i], max(last[i], reached)
+        while b - a + 1 < least and (a > 0 or b < n - 1):
+            a, b = a - (a > 0), b + (b < n - 1)
+        first[i], last[i], reached = a, b, b
+    return np.array(first, np.int64), np.array(last, np.int64)
+
+
+#: Rows of a fit that are summed offset by offset for all rows at once; longer fits are summed each by itself.
+NARROW = 64
+
+
+def slopes(x: np.ndarray, y: np.ndarray, half: float, least: int, limit: float) -> np.ndarray:
+    """Least-squares slopes of y on x (not falling) over the rows of ``_edges``, cut to ``±limit``; 0 of fewer than three rows or of one x."""
+    first, last = _edges(x, half, least)
+    m = last - first + 1
+    sums = np.zeros((4, len(x)))
+
+    def add(own: np.ndarray, dx: np.ndarray, v: np.ndarray) -> None:
+        sums[:, own] += dx, v, dx * dx, dx * v
+
+    narrow = np.flatnonzero(m <= NARROW)
+    for d in range(int(m[narrow].max(initial=0))):
+        own = narrow[m[narrow] > d]
+        k = first[own] + d
+        add(own, x[k] - x[own], y[k])
+    for i in np.flatnonzero(m > NARROW).tolist():
+        dx, v = x[first[i] : last[i] + 1] - x[i], y[first[i] : last[i] + 1]
+        sums[:, i] = dx.sum(), v.sum(), dx @ dx, dx @ v
+    sx, sy, sxx, sxy = sums
+    spread = m * sxx - sx * sx
+    fine = (m >= 3) & (np.abs(spread) > 1e-9)
+    slope = np.where(fine, (m * sxy - sx * sy) / np.where(fine, spread, 1.0), 0.0)
+    return np.clip(np.where(np.isfinite(slope), slope, 0.0), -limit, limit)
+
+
+def range_slope(df: DataFrame, s: Series, y: str, x: str, half: float, least: int, limit: float, out: str) -> DataFrame:
     """df with the least-squares slope of y on x over ``x ± half`` in column ``out``.
 
-    Where fewer than ``least`` rows lie so near, as many rows are taken to
-    both sides as make up for it. Slopes are cut to ``±limit``; fewer than three
-    rows, or all at one x, give 0. x must not fall along the series.
+    Where fewer than ``least`` rows lie so near, the fit is widened evenly to both sides; its far end then stays there for
+    the rows after it. x must not fall along the series. One task fits one series, whose rows are bounded (a ride has at
+    most ``max_samples``).
     """
     kept = [c for c in df.columns if c != out]
-    by_x = Window.partitionBy(*s.keys).orderBy(x)
-    near = by_x.rangeBetween(-half, half)
-    reach = least - 1
-    df = df.withColumns({
-        "_near": F.count(F.lit(1)).over(near),
-        "_slope": F.regr_slope(F.col(y), F.col(x)).over(near),
-        "_at": F.row_number().over(s.window),
-        "_n": F.count(F.lit(1)).over(s.whole),
-    })
-    # rows that share this x lie on both sides of it, so places tell how far the frame reaches
-    df = df.withColumn("_back", F.col("_at") - F.min("_at").over(near)).withColumn("_ahead", F.max("_at").over(near) - F.col("_at"))
-    size = lambda k: F.least(F.col("_at") - 1, F.col("_back") + k) + F.least(F.col("_n") - F.col("_at"), F.col("_ahead") + k) + 1
-    enough = F.coalesce(F.get(F.filter(F.sequence(F.lit(0), F.lit(reach)), lambda k: size(k) >= least), F.lit(0)), F.lit(reach))
-    # offsets cost a look-up each, where a frame of lists would be gathered anew for every row
-    at = lambda c, d: (F.lead if d > 0 else F.lag)(c, abs(d)).over(s.window) if d else F.col(c)
-    offsets = range(-reach, reach + 1)
-    df = df.withColumn("_k", F.when(F.col("_near") < least, enough)).withColumns({"_lo": -F.col("_back") - F.col("_k"), "_hi": F.col("_ahead") + F.col("_k")})
-    df = df.withColumns({f"_x{d}": F.when((F.col("_lo") <= d) & (F.col("_hi") >= d), at(x, d) - F.col(x)) for d in offsets} | {f"_y{d}": at(y, d) for d in offsets})
-    dx, dy = ([F.col(f"_{c}{d}") for d in offsets] for c in "xy")
-    total = lambda parts: sum((F.coalesce(p, F.lit(0.0)) for p in parts[1:]), F.coalesce(parts[0], F.lit(0.0)))
-    n = total([F.when(u.isNotNull(), 1.0) for u in dx])
-    df = df.withColumns({"_m": n, "_sx": total(dx), "_sy": total([F.when(u.isNotNull(), v) for u, v in zip(dx, dy)]), "_sxx": total([u * u for u in dx]), "_sxy": total([u * v for u, v in zip(dx, dy)])})
-    spread = F.col("_m") * F.col("_sxx") - F.col("_sx") * F.col("_sx")
-    widened = F.when((F.col("_m") >= 3) & (spread > 1e-9), (F.col("_m") * F.col("_sxy") - F.col("_sx") * F.col("_sy")) / spread)
-    slope = F.coalesce(F.when(F.col("_near") < least, widened).otherwise(F.when(F.col("_near") >= 3, F.col("_slope"))), F.lit(0.0))
-    return df.withColumn(out, clamp(slope, -limit, limit)).select(*kept, out)
+    schema = StructType([*df.select(*kept).schema.fields, StructField(out, DoubleType())])
+    order = [(c, "ascending") for c in s.order]
+
+    def fit(table: pa.Table) -> pa.Table:
+        table = table.sort_by(order)
+        at, value = (table.column(c).cast(pa.float64()).to_numpy() for c in (x, y))
+        return table.append_column(out, pa.array(slopes(at, value, half, least, limit), pa.float64()))
+
+    return df.select(*kept).groupBy(*s.keys).applyInArrow(fit, schema)
 
 
 def heading(lat: Column, lon: Column, s: Series) -> Column:

@@ -35,13 +35,19 @@ def mean_lap(grid: DataFrame, laps: DataFrame) -> DataFrame:
     steps = steps.where("lat <> 0 or next_lat <> 0").withColumn("j", F.explode(F.sequence("_a", "_b")))
     share = F.coalesce(F.try_divide(F.col("j") - F.col("pos"), F.col("next_pos") - F.col("pos")), F.lit(0.0))
     at = steps.select("ride_id", "j", *((F.col(c) + (F.col(f"next_{c}") - F.col(c)) * share).alias(c) for c in _MEASURED))
-    line = at.groupBy("ride_id", "j").agg(*(F.percentile(c, F.lit(0.5)).alias(c) for c in _MEASURED), F.count(F.lit(1)).alias("_passes"))
-    line = line.join(sizes, "ride_id")
-    sound = F.min("_passes").over(LINE.whole) >= 3
-    line = line.withColumn("_sound", sound & (F.count(F.lit(1)).over(LINE.whole) == F.col("n"))).where("_sound").drop("_sound", "_passes")
+    line = stacked(at, ("ride_id",), "j", list(_MEASURED), 3).join(sizes, "ride_id")
+    line = line.where(F.col("sound") & (F.col("places") == F.col("n"))).drop("sound", "places", "passes")
     return shaped(line)
 
 
+def stacked(passes: DataFrame, keys: tuple[str, ...], place: str, values: list[str], least: int) -> DataFrame:
+    """Medians of the values at each place of a key over all passes, how many ``passes`` and ``places`` there are, and whether
+    every place has ``least`` passes (``sound``)."""
+    line = passes.groupBy(*keys, place).agg(*(F.percentile(c, F.lit(0.5)).alias(c) for c in values), F.count(F.lit(1)).alias("passes"))
+    whole = Window.partitionBy(*keys)
+    return line.withColumns({"sound": F.min("passes").over(whole) >= least, "places": F.count(F.lit(1)).over(whole)})
+
+
 def shaped(line: DataFrame) -> DataFrame:
     """line with distance, planar coordinates, heading and curvature around the lap."""
     lat0, lon0 = (F.min_by(c, "j").over(LINE.whole) for c in ("lat", "lon"))

@@ -121,12 +121,19 @@ def summarise_finale(series: DataFrame, laps: DataFrame, surges: DataFrame, conf
 
 def summarise_hr(series: DataFrame) -> DataFrame:
     """Heart rate, and how far power per beat fell from the first to the second half; rides with four minutes of it or more."""
-    s = series.where((F.col("moving")) & (F.col("hr") > REAL_BEAT)).withColumns({"_rn": F.row_number().over(RIDE.window), "_n": F.count(F.lit(1)).over(RIDE.whole)}).where(F.col("_n") >= LEAST_BEATS)
-    s = s.withColumn("early", F.col("_rn") <= F.floor(F.col("_n") / 2))
-    halves = power_mean(s, Series(("ride_id", "early"), ("i",)), "watts", extra=[F.avg("hr").alias("_hr")]).withColumn("q", F.try_divide(F.col("np"), F.col("_hr")))
-    halves = halves.groupBy("ride_id").agg(F.max(F.when(F.col("early"), F.col("q"))).alias("first_half_pwhr"), F.max(F.when(~F.col("early"), F.col("q"))).alias("second_half_pwhr"))
+    s = series.where((F.col("moving")) & (F.col("hr") > REAL_BEAT)).withColumn("_n", F.count(F.lit(1)).over(RIDE.whole)).where(F.col("_n") >= LEAST_BEATS).drop("_n")
+    halves = half_split(s, RIDE, "watts", "hr").withColumnsRenamed({"first_half": "first_half_pwhr", "second_half": "second_half_pwhr"})
     h = s.groupBy("ride_id").agg(F.avg("hr").alias("avg"), F.max("hr").alias("max"), percentile(F.col("hr"), 0.95).alias("p95"), F.count(F.lit(1)).cast("double").alias("seconds"))
-    return h.join(halves, "ride_id").withColumn("decoupling", _pct(F.col("first_half_pwhr") - F.col("second_half_pwhr"), F.nullif("first_half_pwhr", F.lit(0.0))))
+    return h.join(halves, "ride_id")
+
+
+def half_split(df: DataFrame, s: Series, value: str, per: str) -> DataFrame:
+    """``keys, first_half, second_half, decoupling``: normalised value over the mean of ``per`` in each half of a series' rows, and how far it falls in percent."""
+    df = df.withColumn("_early", F.row_number().over(s.window) <= F.floor(F.count(F.lit(1)).over(s.whole) / 2))
+    q = F.try_divide(F.col("np"), F.col("_per"))
+    halves = power_mean(df, Series((*s.keys, "_early"), s.order), value, extra=[F.avg(per).alias("_per")])
+    halves = halves.groupBy(*s.keys).agg(F.max(F.when(F.col("_early"), q)).alias("first_half"), F.max(F.when(~F.col("_early"), q)).alias("second_half"))
+    return halves.withColumn("decoupling", _pct(F.col("first_half") - F.col("second_half"), F.nullif("first_half", F.lit(0.0))))
 
 
 def shape_of(laps: DataFrame, keys: tuple[str, ...], lap: str, value: str, least: int = 5) -> DataFrame:

@@ -4,19 +4,21 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cadenza.config import ModelConfig
 from cadenza.functions import physics
 from cadenza.functions.scalars import clamp
 from cadenza.functions.wind import COMPASS, compass_bin, compass_name, sector_of, shelter_factor_column
 from cadenza.operators import aggregates as agg
 from cadenza.operators import ranks
-from cadenza.operators.series import Series, power_mean
-from cadenza.plans import calibrate, sectors
+from cadenza.operators.series import Series
+from cadenza.plans import calibrate, sectors, summary
+from cadenza.plans.mean_lap import stacked
 from cadenza.plans.staging import Staging
 from cadenza.queries.joins import _POINTS, _points
-from cadenza.queries.registry import query, rounded, table
+from cadenza.queries.registry import epoch, query, rounded, table
 from cadenza.queries.series import USER, events
 
 
@@ -176,11 +178,8 @@ SELECT user_id, round(first_half, 6) AS first_half, round(second_half, 6) AS sec
 """)
 def half_split_decoupling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Normalised over plain mean of the first and second half of each user's larger events."""
-    df = events(spark, sf_dir, "value").where("value > 5").withColumns({"rn": F.row_number().over(USER.window), "n": F.count(F.lit(1)).over(USER.whole)})
-    df = df.withColumn("early", F.col("rn") <= F.floor(F.col("n") / 2))
-    p = power_mean(df, Series(("user_id", "early"), ("rn",)), "value", extra=[F.avg("value").alias("mean")]).withColumn("q", F.col("np") / F.col("mean"))
-    f = p.groupBy("user_id").agg(F.max(F.when(F.col("early"), F.col("q"))).alias("first_half"), F.max(F.when(~F.col("early"), F.col("q"))).alias("second_half"))
-    return f.select("user_id", *rounded("first_half", "second_half"), F.round((F.col("first_half") - F.col("second_half")) / F.col("first_half") * 100, 5).alias("decoupling"))
+    f = summary.half_split(events(spark, sf_dir, "value").where("value > 5"), USER, "value", "value")
+    return f.select("user_id", *rounded("first_half", "second_half"), F.round("decoupling", 5).alias("decoupling"))
 
 
 @query("""
@@ -193,11 +192,9 @@ SELECT o_orderpriority, laps, round(mean, 4) AS avg_np, round(sd, 4) AS sd, roun
 """)
 def lap_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether monthly means build or fade, thirds against each other, and the month that stands out."""
-    from cadenza.plans.summary import shape_of
-
     m = table(spark, sf_dir, "orders").groupBy("o_orderpriority", F.date_trunc("month", "o_orderdate").alias("month")).agg(F.avg("o_totalprice").alias("np"))
     m = m.withColumn("lap", Series(("o_orderpriority",), ("month",)).place)
-    shape = shape_of(m, ("o_orderpriority",), "lap", "np")
+    shape = summary.shape_of(m, ("o_orderpriority",), "lap", "np")
     return shape.select("o_orderpriority", "laps", "trend", "hardest_lap", *rounded("avg_np", "sd", "opening_np", "closing_np", digits=4), *rounded("slope_pct", "hardest_z"), F.round("opening_vs_closing_pct", 5).alias("opening_vs_closing_pct"))
 
 
@@ -265,22 +262,22 @@ SELECT event_type, h, round(x, 6) AS x, n, min(n) OVER (PARTITION BY event_type)
 def median_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Median over users at each hour, and whether every hour has three of them."""
     h = table(spark, sf_dir, "events").groupBy("event_type", "user_id", F.hour("ts").cast("long").alias("h")).agg(F.avg("value").alias("x"))
-    g = h.groupBy("event_type", "h").agg(F.percentile("x", F.lit(0.5)).alias("x"), F.count(F.lit(1)).alias("n"))
-    return g.select("event_type", "h", *rounded("x"), "n", (F.min("n").over(Window.partitionBy("event_type")) >= 3).alias("complete"))
+    return stacked(h, ("event_type",), "h", ["x"], 3).select("event_type", "h", *rounded("x"), F.col("passes").alias("n"), F.col("sound").alias("complete"))
 
 
 @query("""
-SELECT user_id, event_type, count(*) AS seconds, round(avg(value), 6) AS avg, round(max(value), 6) AS peak, count(*) FILTER (WHERE value >= 60) AS exposed, count(*) FILTER (WHERE value < 10) AS sheltered,
+SELECT user_id, event_type, count(*) AS seconds, round(avg(value), 6) AS avg, round(max(value), 6) AS peak, round(100.0 * count(*) FILTER (WHERE value >= 60) / count(*), 6) AS exposed, round(100.0 * count(*) FILTER (WHERE value <= 10) / count(*), 6) AS sheltered,
        round(quantile_cont(value, 0.5), 6) AS median, round(sum(greatest(60 - value, 0)), 6) AS saved, arg_max(value, (ts, event_id)) AS at_end FROM events GROUP BY ALL
 """)
 def segment_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row a user and type with conditional counts, an exact median and the last value."""
-    x = F.col("value")
-    when = lambda c, name: F.sum(F.when(c, 1).otherwise(0)).alias(name)
-    return events(spark, sf_dir, "value", "event_type").groupBy("user_id", "event_type").agg(
-        F.count(F.lit(1)).alias("seconds"), F.round(F.avg(x), 6).alias("avg"), F.round(F.max(x), 6).alias("peak"), when(x >= 60, "exposed"), when(x < 10, "sheltered"),
-        F.round(agg.percentile(x, 0.5), 6).alias("median"), F.round(F.sum(F.greatest(60 - x, F.lit(0.0))), 6).alias("saved"), F.max_by("value", F.struct("ts", "event_id")).alias("at_end"),
+    """One row a user and type with the report's exposure columns and the last value."""
+    x = F.col("ratio")
+    config = ModelConfig(exposed_at=60.0, sheltered_at=10.0)
+    s = events(spark, sf_dir, "event_type", "value").withColumnRenamed("value", "ratio").groupBy("user_id", "event_type").agg(
+        F.count(F.lit(1)).alias("seconds"), F.avg(x).alias("avg"), F.max(x).alias("peak"), *summary.exposure(config),
+        F.sum(F.greatest(60 - x, F.lit(0.0))).alias("saved"), agg.exact_argmax("ratio", F.col("ts"), F.col("event_id")).alias("at_end"),
     )
+    return s.select("user_id", "event_type", "seconds", "at_end", *rounded("avg", "peak", "exposed", "sheltered", "median", "saved"))
 
 
 @query("""
@@ -304,9 +301,7 @@ SELECT user_id, round(m, 6) AS centre, round(greatest(0.05, m - a, b - m), 6) AS
 """)
 def centred_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Middle and half width of a colour scale."""
-    q = table(spark, sf_dir, "events").groupBy("user_id").agg(F.percentile("value", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95))).alias("q"))
-    a, m, b = (F.get("q", F.lit(i)) for i in range(3))
-    return q.select("user_id", F.round(m, 6).alias("centre"), F.round(F.greatest(F.lit(0.05), m - a, b - m), 6).alias("half_span"))
+    return agg.centred_scale(table(spark, sf_dir, "events"), ("user_id",), "value").select("user_id", *rounded("centre", "half_span"))
 
 
 @query("""
@@ -315,12 +310,8 @@ SELECT e.user_id, least(CAST(floor((epoch(ts) - a) / (b - a) * 40) AS BIGINT), 3
 """)
 def pixel_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Means of forty columns of equal time."""
-    from cadenza.queries.registry import epoch
-
     e = events(spark, sf_dir, "value").withColumn("t", epoch("ts"))
-    e = e.withColumns({"a": F.min("t").over(USER.whole), "b": F.max("t").over(USER.whole)}).where("b > a")
-    pixel = F.least(F.floor((F.col("t") - F.col("a")) / (F.col("b") - F.col("a")) * 40), F.lit(39))
-    return e.groupBy("user_id", pixel.cast("long").alias("pixel")).agg(F.round(F.avg("value"), 6).alias("ratio"), F.count(F.lit(1)).alias("n"))
+    return agg.pixel_means(e, ("user_id",), "t", "value", 40, "ratio").select("user_id", "pixel", *rounded("ratio"), "n")
 
 
 @query("""SELECT c_custkey, round(coalesce(CASE WHEN c_acctbal < 0 THEN 0 WHEN c_acctbal > 5000 THEN 5000 ELSE c_acctbal END), 6) AS clamped FROM customer""")

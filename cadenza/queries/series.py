@@ -109,24 +109,23 @@ def central_derivative(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH l AS (
+WITH RECURSIVE l AS (
   SELECT l_suppkey, CAST(date_diff('day', TIMESTAMP '1990-01-01', l_shipdate) AS DOUBLE) AS x, l_extendedprice / 10000 AS y,
          row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS pos FROM lineitem
 ), r AS (
-  SELECT *, count(*) OVER w AS near, regr_slope(y, x) OVER w AS slope, min(pos) OVER w AS lo, max(pos) OVER w AS hi, max(pos) OVER (PARTITION BY l_suppkey) AS n
-  FROM l WINDOW w AS (PARTITION BY l_suppkey ORDER BY x RANGE BETWEEN 20 PRECEDING AND 20 FOLLOWING)
-), k AS (
-  SELECT r.*, min(k) AS k FROM r, range(0, 13) g(k)
-  WHERE near < 13 AND (least(hi + k, n) - greatest(lo - k, 1) + 1 >= least(13, n)) GROUP BY ALL
+  SELECT l_suppkey, pos, min(pos) OVER w AS lo, max(pos) OVER w AS hi, count(*) OVER (PARTITION BY l_suppkey) AS n FROM l WINDOW w AS (PARTITION BY l_suppkey ORDER BY x RANGE BETWEEN 20 PRECEDING AND 20 FOLLOWING)
 ), f AS (
-  SELECT k.l_suppkey, k.pos, CASE WHEN count(*) >= 3 THEN regr_slope(l.y, l.x) END AS slope
-  FROM k JOIN l ON l.l_suppkey = k.l_suppkey AND l.pos BETWEEN k.lo - k.k AND k.hi + k.k GROUP BY k.l_suppkey, k.pos
+  SELECT l_suppkey, CAST(0 AS BIGINT) AS pos, CAST(1 AS BIGINT) AS a, CAST(1 AS BIGINT) AS b FROM (SELECT DISTINCT l_suppkey FROM l)
+  UNION ALL
+  SELECT l_suppkey, pos, greatest(lo - k, 1), least(h + k, n) FROM (
+    SELECT r.*, greatest(hi, f.b) AS h, list_filter(range(0, 13), lambda k: least(greatest(hi, f.b) + k, n) - greatest(lo - k, 1) + 1 >= least(13, n))[1] AS k FROM f JOIN r ON r.l_suppkey = f.l_suppkey AND r.pos = f.pos + 1)
+), s AS (
+  SELECT f.l_suppkey, f.pos, CASE WHEN count(*) >= 3 THEN regr_slope(l.y, l.x) END AS slope FROM f JOIN l ON l.l_suppkey = f.l_suppkey AND l.pos BETWEEN f.a AND f.b WHERE f.pos > 0 GROUP BY f.l_suppkey, f.pos
 )
-SELECT r.l_suppkey, r.pos AS "at", round(least(greatest(coalesce(CASE WHEN near < 13 THEN f.slope ELSE r.slope END, 0), -0.25), 0.25), 6) AS slope
-FROM r LEFT JOIN f ON f.l_suppkey = r.l_suppkey AND f.pos = r.pos
+SELECT l_suppkey, pos AS "at", round(least(greatest(coalesce(slope, 0), -0.25), 0.25), 6) AS slope FROM s
 """)
 def range_slope(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Slope of prices over 20 days to each side, or over the nearest 13 rows where fewer lie so near."""
+    """Slope of prices over 20 days to each side, widened to 13 rows where fewer lie so near."""
     s = Series(("l_suppkey",), ("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"))
     df = table(spark, sf_dir, "lineitem").select("l_suppkey", *s.order, (F.col("l_extendedprice") / 10000).alias("y"))
     df = df.withColumn("x", F.timestamp_diff("DAY", F.lit("1990-01-01 00:00:00").cast("timestamp_ntz"), F.col("l_shipdate")).cast("double"))
