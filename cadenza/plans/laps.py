@@ -82,16 +82,17 @@ def _search(grid: DataFrame, source: str, config: ModelConfig) -> DataFrame:
     return grid.select("ride_id", "i", "lat", "lon", "heading", "dist", "moving", "anchor_lat", "anchor_lon").groupBy("ride_id").applyInPandas(find, LAPS)
 
 
-def marker_laps(marks: DataFrame, grid: DataFrame) -> DataFrame:
-    """Laps between device markers of rides whose markers describe a circuit."""
+def marker_laps(marks: DataFrame, grid: DataFrame, seconds: int = 20, metres: float = 300.0, scatter: float = MARKER_SCATTER) -> DataFrame:
+    """Laps between device markers of rides whose markers describe a circuit: markers more than ``seconds`` apart, three
+    laps or more of a median length above ``metres`` that scatter by no more than ``scatter`` of it; odd ones are left out."""
     pairs = marks.where("marks is not null").select("ride_id", F.posexplode(F.arrays_zip(F.slice("marks", 1, F.size("marks") - 1).alias("i0"), F.slice("marks", 2, F.size("marks") - 1).alias("i1"))).alias("at", "p"))
-    pairs = pairs.select("ride_id", F.col("p.i0").alias("i0"), F.col("p.i1").alias("i1")).where("i1 - i0 > 20")
+    pairs = pairs.select("ride_id", F.col("p.i0").alias("i0"), F.col("p.i1").alias("i1")).where(F.col("i1") - F.col("i0") > seconds)
     at = lambda side: grid.select("ride_id", F.col("i").alias(side), F.col("dist").alias(f"d_{side}"))
     sized = pairs.join(at("i0"), ["ride_id", "i0"]).join(at("i1"), ["ride_id", "i1"]).withColumn("len", F.col("d_i1") - F.col("d_i0"))
     whole = Window.partitionBy("ride_id")
     sized = sized.withColumn("mid", F.percentile("len", F.lit(0.5)).over(whole)).withColumn("n", F.count(F.lit(1)).over(whole))
     sized = sized.withColumn("cv", F.sqrt(F.avg(F.pow(F.col("len") - F.col("mid"), 2)).over(whole)) / F.nullif(F.col("mid"), F.lit(0.0)))
-    good = sized.where((F.col("n") >= 3) & (F.col("mid") > 300) & (F.col("cv") <= MARKER_SCATTER) & (F.col("len") > 0.75 * F.col("mid")) & (F.col("len") < 1.35 * F.col("mid")))
+    good = sized.where((F.col("n") >= 3) & (F.col("mid") > metres) & (F.col("cv") <= scatter) & (F.col("len") > 0.75 * F.col("mid")) & (F.col("len") < 1.35 * F.col("mid")))
     return good.select("ride_id", F.row_number().over(whole.orderBy("i0")).cast("long").alias("lap"), "i0", "i1", F.lit("device").alias("source"))
 
 

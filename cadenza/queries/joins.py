@@ -87,18 +87,18 @@ def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
 WITH p AS ({_POINTS}), d AS (
-  SELECT a.vec_id, b.vec_id AS nearest, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d FROM p a JOIN p b ON b.vec_id % 7 = 0 AND a.vec_id <> b.vec_id
+  SELECT a.vec_id, b.vec_id AS nearest, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d FROM p a JOIN p b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
 ), r AS (
   SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, nearest) AS k FROM d WHERE d < 0.05
 )
 SELECT vec_id, nearest, round(d, 9) AS distance FROM r WHERE k = 1
 """)
 def nearest_neighbour(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The nearest anchor (every seventh point) within 0.05 in the plane of the first two coordinates."""
+    """The nearest of all points within 0.05, in the plane of the first two coordinates, for each point of the query set (ids divisible by 100)."""
     p = _points(spark, sf_dir).drop("label")
-    near = within_radius(p, p.where("vec_id % 7 = 0").withColumnRenamed("vec_id", "anchor"), (), "x", "y", 0.05).where("vec_id <> anchor")
-    best = near.groupBy("vec_id").agg(F.min(F.struct("distance", "anchor")).alias("m"))
-    return best.select("vec_id", F.col("m.anchor").alias("nearest"), F.round("m.distance", 9).alias("distance"))
+    near = within_radius(p.withColumnRenamed("vec_id", "other"), p.where("vec_id % 100 = 0"), (), "x", "y", 0.05).where("vec_id <> other")
+    best = near.groupBy("vec_id").agg(F.min(F.struct("distance", "other")).alias("m"))
+    return best.select("vec_id", F.col("m.other").alias("nearest"), F.round("m.distance", 9).alias("distance"))
 
 
 @query()

@@ -10,6 +10,7 @@ from cadenza.functions import text
 from cadenza.functions.geo import corner_kind
 from cadenza.plans.findings import reserve_state
 from cadenza.queries.registry import query, table
+from cadenza.sources import activities, streams
 from cadenza.sources.activities import tag_counts
 from cadenza.sources.osm import road_class
 
@@ -74,26 +75,30 @@ def tag_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT doc_id, CASE WHEN regexp_matches(lang, '(?i)^(en|de|fr)$') THEN TRUE ELSE FALSE END AS wanted, contains(lower(text), 'the') AS named FROM documents
-WHERE n_chars > 200 AND coalesce(source, '') <> '' AND list_has_any([lang, source], ['en', 'de', 'web'])
+WITH a AS (SELECT doc_id, ['Ride', 'virtualride', 'Run', 'GravelRide', 'Swim'][doc_id % 5 + 1] AS kind, doc_id % 2 = 0 AS race, n_chars > 200 AS power, doc_id % 7 > 0 AS gps, [lang, source] AS tags, coalesce(text, '') AS name FROM documents)
+SELECT doc_id, lower(kind) IN ('ride', 'virtualride', 'gravelride') AS is_ride FROM a WHERE race AND power AND gps AND list_has_any(tags, ['en', 'de', 'src1']) AND contains(lower(name), 'the')
 """)
 def activity_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Predicates on kind, flags, any of several tags and part of a name."""
-    d = table(spark, sf_dir, "documents")
-    chosen = d.where((F.col("n_chars") > 200) & (F.coalesce("source", F.lit("")) != "") & F.arrays_overlap(F.array("lang", "source"), F.array(*map(F.lit, ("en", "de", "web")))))
-    return chosen.select("doc_id", F.coalesce(F.col("lang").rlike("(?i)^(en|de|fr)$"), F.lit(False)).alias("wanted"), F.contains(F.lower("text"), F.lit("the")).alias("named"))
-
-
-@query("""
-WITH j AS (SELECT event_id, CASE event_id % 3 WHEN 0 THEN props WHEN 1 THEN '{"streams": ' || props || '}' ELSE '{"k": {"data": ' || json_extract_string(props, '$.k') || '}}' END AS j FROM events)
-SELECT event_id, coalesce(TRY_CAST(json_extract_string(j, '$.k') AS DOUBLE), TRY_CAST(json_extract_string(j, '$.k.data') AS DOUBLE), TRY_CAST(json_extract_string(j, '$.streams.k') AS DOUBLE)) AS k FROM j
-""")
+    """Activities that pass flags, any of several tags and part of a name, and which of them are rides."""
+    k = F.col("doc_id")
+    kinds = F.array(*map(F.lit, ("Ride", "virtualride", "Run", "GravelRide", "Swim")))
+    a = table(spark, sf_dir, "documents").select(
+        "doc_id", F.element_at(kinds, (k % 5 + 1).cast("int")).alias("kind"), (k % 2 == 0).alias("is_race"), (F.col("n_chars") > 200).alias("has_power"), (k % 7 > 0).alias("has_gps_stream"),
+        F.array("lang", "source").alias("tags"), F.coalesce("text", F.lit("")).alias("name"),
+    )
+    chosen = a.where(activities.activity_filter(race=True, power=True, gps=True, tags=["en", "de", "src1"], name="The"))
+    return chosen.select("doc_id", text.is_ride(F.col("kind")).alias("is_ride"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 5 < 4 THEN CAST(json_extract(props, '$.k') AS DOUBLE) END AS k FROM events")
 def json_shape_coalesce(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One value from JSON of three shapes."""
+    """One stream from JSON of each shape that the reader knows, by the reader's own rule; one shape has none."""
     k = F.get_json_object("props", "$.k")
-    j = F.when(F.col("event_id") % 3 == 0, F.col("props")).when(F.col("event_id") % 3 == 1, F.concat(F.lit('{"streams": '), F.col("props"), F.lit("}"))).otherwise(F.concat(F.lit('{"k": {"data": '), k, F.lit("}}")))
-    v = F.try_parse_json(j)
-    return table(spark, sf_dir, "events").select("event_id", F.coalesce(*(F.try_variant_get(v, p, "double") for p in ("$.k", "$.k.data", "$.streams.k"))).alias("k"))
+    shapes = ('{"k": [%s, 1]}', '{"streams": {"k": {"data": [%s, 1]}}}', '[{"type": "other", "data": [9]}, {"type": "k", "data": [%s]}]', '{"k": {"samples": [%s]}}', '{"none": [%s]}')
+    shape = F.element_at(F.array(*(F.format_string(s, k) for s in shapes)), (F.col("event_id") % 5 + 1).cast("int"))
+    docs = table(spark, sf_dir, "events").select("event_id", F.try_parse_json(shape).alias("doc"))
+    found = streams.stream(F.col("doc"), streams.listed(F.col("doc")), "k")
+    return docs.select("event_id", F.get(found, F.lit(0)).alias("k"))
 
 
 _VALUES = ("primary", "tertiary_link", "residential", "cycleway", "proposed", "service")

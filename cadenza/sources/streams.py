@@ -30,6 +30,11 @@ def _or_empty(name: str) -> Column:
     return F.coalesce(name, F.array().cast("array<double>"))
 
 
+def listed(v: Column) -> Column:
+    """The streams of a document in shape 2, null of others."""
+    return _get(v, "$", _LIST)
+
+
 def stream(v: Column, items: Column, name: str, kind: str = "array<double>", second: bool = False) -> Column:
     """A stream of a document in shape 2 or 3, null if it has none."""
     part = "data2" if second else "data"
@@ -50,7 +55,7 @@ def read_streams(spark: SparkSession, path: str, activities: DataFrame | None =
     text = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").text(path).select(F.col("value"), F.col("_metadata.file_name").alias("file"))
     v = F.col("doc")
     docs = text.withColumn("doc", F.try_parse_json("value")).drop("value")
-    docs = docs.withColumn("items", _get(v, "$", _LIST))
+    docs = docs.withColumn("items", listed(v))
     own = _full(_get(v, "$.t", "array<double>"))
     items = F.col("items")
     channel = {c: F.coalesce(*(stream(v, items, s) for s in names)) for c, names in STREAMS.items()}

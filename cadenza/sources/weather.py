@@ -12,8 +12,8 @@ VARIABLES = {
     "temp": "temperature_2m", "humidity": "relative_humidity_2m", "pressure": "surface_pressure", "wind_speed": "wind_speed_10m", "wind_dir": "wind_direction_10m",
     "wind_gust": "wind_gusts_10m", "precip": "precipitation", "cloud": "cloud_cover",
 }
-#: Days within which the forecast service is asked first; days that a cached answer is good for.
-RECENT_DAYS, CACHE_DAYS = 10, 30
+#: Days within which the forecast service is asked first; days that cached weather and cached maps are good for.
+RECENT_DAYS, CACHE_DAYS, MAP_CACHE_DAYS = 10, 30, 60
 
 
 def read_weather(spark: SparkSession, path: str) -> DataFrame:
@@ -33,3 +33,9 @@ def service_for(start: Column, now: Column) -> Column:
 def fresh(cached: DataFrame, fetched_at: str, now: Column, days: int = CACHE_DAYS) -> DataFrame:
     """Rows of a table of cached answers that are not too old."""
     return cached.where(F.col(fetched_at) > now - F.make_interval(days=F.lit(days)))
+
+
+def cache_key(lat: Column, lon: Column, start: Column, end: Column) -> Column:
+    """Key of an answer: the place to a hundredth of a degree, and the days from an hour before ``start`` to an hour after ``end`` (epoch seconds)."""
+    day = lambda s: F.date_format(F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.timestamp_seconds(s).cast("timestamp_ntz")), "yyyy-MM-dd")
+    return F.concat_ws("_", F.format_string("%.2f", lat), F.format_string("%.2f", lon), day(start - 3600), day(end + 3600))
