@@ -1,44 +1,64 @@
-"""The ride report on the made-up race: its truth is known, but no driver table holds it, so there is no SQL to compare with."""
+"""The whole report on rides that are made of the driver's events: what no single SQL can say. Its parts have SQL in ``composites``."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from cadenza.config import ModelConfig
+from cadenza.functions.geo import DEGREE_M
 from cadenza.plans.analyze import analyze
 from cadenza.plans.compare import circuit_groups
-from cadenza.queries.registry import QUERIES
-from cadenza.sources.synthetic import Truth, race, as_tables
+from cadenza.plans.tables import CHANNELS, RIDES
+from cadenza.queries.registry import QUERIES, epoch, table
+from cadenza.sources.synthetic import Truth, circuit
 
 #: What is read from the report, by query.
 TABLES = ("laps", "mean_lap", "turns", "turn_events", "sector_cells", "sector_totals", "surges", "headings", "summary", "finale", "hr", "shape", "fitness", "wind", "compare", "findings", "race_window", "lap_info", "phases")
 
 
-def two_races(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    """The race, and one of half as many laps on the same circuit."""
-    return as_tables(spark, {"race-a": race(), "race-b": race(Truth(laps=13, seed=7))})
-
-
-_reports: dict[str, dict[str, DataFrame]] = {}
-
-
-def report(spark: SparkSession) -> dict[str, DataFrame]:
-    """The report on two races; its tables are written once a Spark application."""
-    app = spark.sparkContext.applicationId
-    if app not in _reports:
-        rides, samples = two_races(spark)
+def rides_of_events(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(rides, samples): all events of a type and of users with one remainder by four are a ride, an event a second, in the order
+    of time. Values are watts and speeds; places follow from the distance ridden around a small circuit."""
+    e = table(spark, sf_dir, "events").withColumn("ride_id", F.concat_ws("-", "event_type", F.col("user_id") % 4))
+    w = Window.partitionBy("ride_id").orderBy("ts", "event_id")
+    e = e.withColumns({"seq": (F.row_number().over(w) - 1).cast("long"), "v": 9.0 + F.col("value") % 3})
+    e = e.withColumn("dist", F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    truth = Truth(half_long=110.0, half_short=60.0)
+    line = circuit(truth)
+    lat0, lon0 = truth.origin
+    # a row a metre of one lap, whatever the events
+    points = [(k, float(lat0 + p[2] / DEGREE_M), float(lon0 + p[1] / (DEGREE_M * 0.7367))) for k, p in enumerate(line[:-1])]
+    at = spark.createDataFrame(points, "metre long, lat double, lon double")
+    e = e.withColumn("metre", (F.floor("dist") % len(points)).cast("long")).join(F.broadcast(at), "metre")
+    made = {"t": F.col("seq").cast("double"), "alt": 80 + 2 * F.sin(F.col("metre") / len(points) * 6.2832), "watts": F.col("value") * 4, "hr": 120 + F.col("value") % 50, "cad": 80 + F.col("value") % 20, "temp": F.lit(18.0)}
+    samples = e.withColumns(made).select("ride_id", "seq", "t", *CHANNELS)
+    start = e.groupBy("ride_id").agg(F.min(epoch("ts")).alias("start_time"))
+    given = {"ride_id": F.col("ride_id"), "name": F.col("ride_id"), "source": F.lit("events"), "start_time": F.col("start_time"), "sport": F.lit("cycling"), "lap_times": F.array().cast("array<double>")}
+    fields = [f.split() for f in RIDES.split(", ")]
+    return start.select(*(given.get(name, F.lit(None).cast(kind)).alias(name) for name, kind in fields)), samples
+
+
+_reports: dict[tuple[str, str], dict[str, DataFrame]] = {}
+
+
+def report(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The report on the rides of the events; its tables are written once a Spark application and folder, for the twenty queries that read them."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _reports:
+        rides, samples = rides_of_events(spark, sf_dir)
         config = ModelConfig(wind_source="manual", wind_speed=6.0, wind_dir=250.0, mass=79.5, crr=0.0042)
-        _reports[app] = analyze(samples, rides, config=config, window=True)
-    return _reports[app]
+        _reports[key] = analyze(samples, rides, config=config, window=True)
+    return _reports[key]
 
 
 def _part(name: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return report(spark)[name]
+        return report(spark, sf_dir)[name]
 
-    run.__name__, run.__doc__ = f"ride_{name}", f"The table {name} of the report on two made-up races."
+    run.__name__, run.__doc__ = f"ride_{name}", f"The table {name} of the report on rides made of events."
     return run
 
 
@@ -48,7 +68,7 @@ for _name in TABLES:
 
 def ride_circuits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which races share a circuit."""
-    return circuit_groups(report(spark)["circuit"])
+    return circuit_groups(report(spark, sf_dir)["circuit"])
 
 
 QUERIES["ride_circuits"] = ride_circuits

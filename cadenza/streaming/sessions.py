@@ -27,12 +27,20 @@ def live_load(events: DataFrame, key: str, time: str, value: str, every: str = "
     return events.withWatermark(time, late).groupBy(key, w.alias("w")).agg(F.avg(value).alias("avg"), F.max(value).alias("peak"), F.count(F.lit(1)).alias("n")).select(key, F.col("w.start").alias("start"), "avg", "peak", "n")
 
 
-def live_reserve(events: DataFrame, key: str, time: str, value: str, threshold: float, capacity: float) -> DataFrame:
-    """``key, time, balance`` after each sample of a stream; state a key: balance, sum and count of shortfalls."""
+def live_reserve(events: DataFrame, key: str, time: str, value: str, threshold: float, capacity: float, late: str = "1 minute", forget: int = 7 * 86_400) -> DataFrame:
+    """``key, time, balance`` after each sample of a stream; state a key: balance, sum and count of shortfalls.
+
+    Samples are followed in the order of triggers, within a trigger in that of time: one that comes late is followed when
+    it comes, and changes nothing that was sent before. A key that has been silent for ``forget`` seconds beyond the
+    watermark loses its state and begins anew with a full reserve.
+    """
     kind = dict(events.dtypes)
     out = f"{key} {kind[key]}, {time} {kind[time]}, balance double"
 
     def follow(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         balance, short, n = state.get if state.exists else (capacity, 0.0, 0)
         # a trigger's rows of one key come in no order
         rows = pd.concat([f for f in frames if len(f)]).sort_values(time, kind="stable")
@@ -46,6 +54,7 @@ def live_reserve(events: DataFrame, key: str, time: str, value: str, threshold:
                 balance = capacity - (capacity - balance) * math.exp(-1 / tau)
             balances.append(balance)
         state.update((balance, short, n))
+        state.setTimeoutTimestamp(max(int(rows[time].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + forget * 1000)
         yield pd.DataFrame({key: k[0], time: rows[time].to_numpy(), "balance": balances})
 
-    return events.groupBy(key).applyInPandasWithState(follow, out, "balance double, short double, n long", "append", GroupStateTimeout.NoTimeout)
+    return events.withWatermark(time, late).groupBy(key).applyInPandasWithState(follow, out, "balance double, short double, n long", "append", GroupStateTimeout.EventTimeTimeout)

@@ -127,3 +127,19 @@ def test_store(spark, tmp_path):
     assert store.get(spark, path, "x", buckets=2)[1].count() == len(rows)
     store.remove(spark, path, "y", buckets=2)
     assert [r["ride_id"] for r in store.rides(spark, path).collect()] == ["x"]
+
+
+def test_mixed_folder(spark, tmp_path):
+    from cadenza.sources.files import read_rides
+
+    (tmp_path / "one.FIT").write_bytes(fit_file())
+    (tmp_path / "two.json").write_text(json.dumps({"t": [0, 1, 2], "watts": [100, 200, 300], "startTime": 5}))
+    (tmp_path / "bad.json").write_text("{}")
+    rides, samples, rejected = read_rides(spark, str(tmp_path))
+    assert {r["name"] for r in rides.collect()} == {"one", "two"} and samples.select("ride_id").distinct().count() == 2
+    assert [r["file"] for r in rejected.collect()] == ["bad.json"]
+
+
+def test_cached_answers(spark):
+    df = spark.createDataFrame([(42.545, -71.615, 86_400 * 3 + 1800, 86_400 * 3 + 7200)], "lat double, lon double, a long, b long")
+    assert df.select(weather.cache_key(F.col("lat"), F.col("lon"), F.col("a"), F.col("b"))).first()[0] in ("42.55_-71.62_1970-01-03_1970-01-04", "42.54_-71.61_1970-01-03_1970-01-04", "42.55_-71.61_1970-01-03_1970-01-04", "42.54_-71.62_1970-01-03_1970-01-04")
