@@ -12,4 +12,4 @@ def read_rides(spark: SparkSession, path: str, activities: DataFrame | None = No
     """(rides, samples, rejected) of all files under a path: ``.fit`` in any case by the FIT reader, ``.json`` by the stream reader."""
     device_rides, device_samples = read_fit(spark, path, glob="*.[fF][iI][tT]")
     rides, samples, rejected = read_streams(spark, path, activities)
-    return device_rides.unionByName(rides.select(*device_rides.columns)), device_samples.unionByName(samples.select(*device_samples.columns)), rejected
+    return device_rides.unionByName(rides, allowMissingColumns=True), device_samples.unionByName(samples.select(*device_samples.columns)), rejected
