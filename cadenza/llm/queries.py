@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.llm import chat, decontam, flac, html_text, lang_id, mixing, near_dups, pii, quality, token_files
-from cadenza.llm.common import read_table, stage
+from cadenza.llm.common import read_table
 
 
 def op1_media_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every text as an 8-bit FLAC stream, written to a table and read back."""
-    stored = stage(flac.encode_column(read_table(spark, sf_dir, "documents").select("doc_id", "text")), "media")
+    """Every text as an 8-bit FLAC stream, and what its stored bytes give when they are decoded."""
+    stored = flac.encode_column(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     read = flac.decode_column(stored)
     tail = F.expr("substring(pcm, length(pcm) - 31, 32)")
     return read.select(
