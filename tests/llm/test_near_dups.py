@@ -131,3 +131,20 @@ def test_a_passage_that_all_share_is_no_work_of_all_pairs(spark, monkeypatch):
         want = {i: i for i, _ in rows} | {n + k: k * 7 for k in range(5)}
         assert out == want
     assert max(compared) <= 20
+
+
+def test_hot_keys_take_the_other_way_to_the_same_result(spark, monkeypatch):
+    """With nearly every key counted as hot, stars, classes, nodes and lists are looked up by broadcast."""
+    from cadenza.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 2)
+    monkeypatch.setattr(common, "HOT_SHARE", 10**9)
+    rng = random.Random(9)
+    links = [(1, i) for i in range(2, 80)] + [(rng.randrange(100, 200), rng.randrange(100, 200)) for _ in range(70)]
+    nodes = {n for a, b in links for n in (a, b) if a != b}
+    out = label_components(spark.createDataFrame(links, "a long, b long"))
+    assert {r["node"]: r["component"] for r in out.collect()} == components(nodes, [x for x in links if x[0] != x[1]])
+    rows = corpus(seed=3, families=8) + [(1000 + i, "the same text for many documents here") for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in near_dups.near_duplicates(df, shingle=3, ratio=(85, 100), leaf=4, block=4, depth=3).collect()}
+    assert got == brute(rows, 3, 85, 100)

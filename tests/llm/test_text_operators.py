@@ -147,3 +147,17 @@ def test_chat_sql_for_long_conversations(spark):
     df = spark.createDataFrame(talk(), "conv_id long, turn long, role string, text string")
     conversations = df.toPandas().astype({"conv_id": "Int64", "turn": "Int64"})  # noqa: F841
     same(chat.rotate_perspectives(df).toPandas(), duckdb.sql(chat.ORACLE).df())
+
+
+def test_mixing_of_rows_that_repeat_all_over(spark, monkeypatch):
+    """A row that stands thousands of times is spread over buckets; words and budgets come out the same."""
+    monkeypatch.setattr(mixing, "HOT_ROWS", 10)
+    same_row = spark.range(3000).select(F.lit(1).cast("long").alias("doc_id"), F.lit("same words here").alias("text"), F.lit("q").alias("source"))
+    docs = same_row.union(spark.range(300).select("id", F.concat(F.lit("w "), F.col("id").cast("string")), F.lit("q")))
+    mix = mixing.mix_sources(docs, share=1.3)
+    total = mix.agg(F.sum("taken"), F.first("target"), F.count(F.lit(1))).first()
+    assert total[0] == int(total[1]) and total[2] == 3300
+    counts = sorted((r["doc_id"], r["taken"], r["count"]) for r in mix.groupBy("doc_id", "taken").count().collect())
+    assert counts == sorted((r["doc_id"], r["taken"], r["count"]) for r in mixing.mix_sources(docs.repartition(5), share=1.3).groupBy("doc_id", "taken").count().collect())
+    words = mixing.apply_mix(docs, share=1.3).agg(F.sum(mixing.word_count(F.col("text")))).first()[0]
+    assert words == total[0]
