@@ -14,8 +14,9 @@ from cadenza.functions.scalars import lerp
 from cadenza.operators import aggregates, islands
 from cadenza.operators.resample import crop, marker_indices, too_short_or_long
 from cadenza.operators.series import RIDE
-from cadenza.plans import compare, laps, mean_lap, power, race_window, summary, surges, weather
+from cadenza.plans import compare, laps, mean_lap, power, prepare, race_window, sectors, summary, surges, weather
 from cadenza.plans.analyze import settings_of
+from cadenza.plans.tables import CHANNELS
 from cadenza.queries.registry import epoch, query, rounded, table
 from cadenza.queries.series import USER, events
 from cadenza.sources.weather import cache_key
@@ -364,3 +365,56 @@ def weather_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys of cached answers: rounded places and the days that an hour around a ride touches."""
     k = F.col("c_custkey") * 86_400 * 3
     return table(spark, sf_dir, "customer").select("c_custkey", cache_key(F.col("c_acctbal") / 99.7, F.col("c_acctbal") / 49.9, k, k + 3600).alias("key"))
+
+
+@query("""
+WITH e AS (
+  SELECT CAST(user_id AS VARCHAR) AS ride_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS k, value % 17 - 1 AS v, CASE WHEN event_type <> 'error' THEN value END AS w FROM events
+), s AS (
+  SELECT *, k + 10 * (k // 20) AS t FROM e
+), n AS (
+  SELECT *, lead(t) OVER o AS t1, lead(v) OVER o AS v1, lead(w) OVER o AS w1, lead(t, 2) OVER o IS NULL AS final, count(*) OVER (PARTITION BY ride_id) AS c FROM s WINDOW o AS (PARTITION BY ride_id ORDER BY t)
+), p AS (
+  SELECT *, unnest(range(t, CASE WHEN final THEN t1 + 1 ELSE t1 END)) AS i FROM n WHERE t1 IS NOT NULL AND c >= 10
+), q AS (
+  SELECT ride_id, i, t1 - t > 3 AS gap, v + (v1 - v) * (i - t) / (t1 - t) AS v, CASE WHEN t1 - t > 3 THEN 0 ELSE coalesce(w + (w1 - w) * (i - t) / (t1 - t), w, w1) END AS w FROM p
+), r AS (
+  SELECT ride_id, i, gap, CASE WHEN gap THEN 0 ELSE greatest(v, 0) END AS v, coalesce(last_value(w IGNORE NULLS) OVER (PARTITION BY ride_id ORDER BY i ROWS UNBOUNDED PRECEDING), 0) AS w FROM q
+), m AS (
+  SELECT *, sum(CASE WHEN i > 0 THEN v ELSE 0 END) OVER (PARTITION BY ride_id ORDER BY i) AS dist, avg(v) OVER (PARTITION BY ride_id ORDER BY i ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS sm FROM r
+), a AS (
+  SELECT *, (coalesce(lead(sm) OVER o, sm) - coalesce(lag(sm) OVER o, sm)) / (coalesce(lead(i) OVER o, i) - coalesce(lag(i) OVER o, i)) AS accel FROM m WINDOW o AS (PARTITION BY ride_id ORDER BY i)
+)
+SELECT ride_id, i, gap, v > 2.5 AND NOT gap AS moving, round(v, 6) AS v, round(w, 6) AS watts, round(dist, 6) AS dist, round(CASE WHEN abs(accel) > 6 THEN 0 ELSE accel END, 6) AS accel FROM a
+""")
+def prepared_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From samples with a hole after every twentieth to the grid of seconds: what is held, what is 0 in holes, distance from speed, acceleration."""
+    e = events(spark, sf_dir, "value", "event_type").withColumn("k", USER.place)
+    nothing = {c: F.lit(None).cast("double") for c in ("lat", "lon", "hr", "cad", "dist", "temp")}
+    given = {"ride_id": F.col("user_id").cast("string"), "seq": F.col("k"), "t": (F.col("k") + 10 * F.floor(F.col("k") / 20)).cast("double"), "v": F.col("value") % 17 - 1, "watts": F.when(F.col("event_type") != "error", F.col("value")), "alt": F.lit(80.0), **nothing}
+    samples = e.withColumns(given).select("ride_id", "seq", "t", *CHANNELS)
+    rides = samples.select("ride_id").distinct().withColumns({c: F.lit(None).cast("double") for c in ("crop_start", "crop_end")})
+    return prepare.prepare(samples, rides).select("ride_id", "i", "gap", "moving", *rounded("v", "watts", "dist", "accel"))
+
+
+@query(_SERIES + """, z AS (
+  SELECT ride_id, lap, min(dist) AS d0, max(dist) - min(dist) AS len FROM s GROUP BY ride_id, lap
+), t AS (
+  SELECT ride_id, quantile_cont(len, 0.5) AS lap_len FROM z GROUP BY ride_id HAVING count(*) >= 2
+), c AS (
+  SELECT s.ride_id, s.lap, least(CAST(floor(least(greatest((dist - d0) / lap_len, 0), 1) * 8) AS BIGINT), 7) AS sector, ratio, watts FROM s JOIN z ON z.ride_id = s.ride_id AND z.lap = s.lap JOIN t ON t.ride_id = s.ride_id WHERE moving
+), f AS (
+  SELECT ride_id, lap, sector, avg(ratio) AS ratio, avg(watts) AS watts, count(*) AS seconds FROM c GROUP BY ALL
+), a AS (
+  SELECT z.ride_id, z.lap, k AS sector, ratio, watts, coalesce(seconds, 0) AS seconds FROM z JOIN t ON t.ride_id = z.ride_id CROSS JOIN range(0, 8) x(k) LEFT JOIN f ON f.ride_id = z.ride_id AND f.lap = z.lap AND f.sector = k
+), j AS (
+  SELECT *, row_number() OVER (PARTITION BY ride_id, lap ORDER BY ratio DESC NULLS LAST, sector) = 1 AND ratio IS NOT NULL AS worst, list_sort(list(ratio) FILTER (WHERE ratio IS NOT NULL) OVER (PARTITION BY ride_id, lap)) AS every FROM a
+)
+SELECT ride_id, lap, sector, seconds, round(ratio, 6) AS ratio, round(watts, 6) AS watts, coalesce(ratio > every[len(every) // 2 + 1] + 0.02, FALSE) AS worse, worst FROM j
+""")
+def sector_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Laps cut into eight equal sectors, each against the rest of its lap."""
+    series = _series(spark, sf_dir)
+    none = spark.createDataFrame([], "ride_id string, lap_offset double, number int")
+    cells, _ = sectors.build_sectors(series, _laps(series), none, ModelConfig(sector_count=8))
+    return cells.select("ride_id", "lap", "sector", "seconds", *rounded("ratio", "watts"), "worse", "worst")
