@@ -418,3 +418,48 @@ def sector_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = spark.createDataFrame([], "ride_id string, lap_offset double, number int")
     cells, _ = sectors.build_sectors(series, _laps(series), none, ModelConfig(sector_count=8))
     return cells.select("ride_id", "lap", "sector", "seconds", *rounded("ratio", "watts"), "worse", "worst")
+
+
+@query("""
+WITH e AS (
+  SELECT CAST(user_id AS VARCHAR) AS ride_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, value AS watts, CAST(5 + event_id % 10 AS DOUBLE) AS v,
+         45 + (event_id % 100) / 9973 AS lat, 7 + (event_id % 77) / 9967 AS lon FROM events
+), g AS (
+  SELECT *, sum(v) OVER (PARTITION BY ride_id ORDER BY i) AS dist, count(*) OVER (PARTITION BY ride_id) AS rows FROM e
+), s AS (
+  SELECT g.*, l.i // 20 + 1 AS lap, l.i AS i0 FROM g JOIN g l ON g.ride_id = l.ride_id AND l.i % 20 = 0 AND l.i + 20 < l.rows AND g.i BETWEEN l.i AND l.i + 20
+), z AS (
+  SELECT ride_id, lap, min(dist) AS d0, max(dist) - min(dist) AS len FROM s GROUP BY ride_id, lap
+), t AS (
+  SELECT ride_id, quantile_cont(len, 0.5) AS lap_len, greatest(48, least(4000, CAST(floor(quantile_cont(len, 0.5) / 2 + 0.5) AS BIGINT))) AS n FROM z GROUP BY ride_id HAVING count(*) >= 3 AND quantile_cont(len, 0.5) > 150
+), p AS (
+  SELECT s.*, n, (dist - d0) / len * n AS pos FROM s JOIN z ON z.ride_id = s.ride_id AND z.lap = s.lap JOIN t ON t.ride_id = s.ride_id
+), q AS (
+  SELECT *, lead(pos) OVER w AS pos1, lead(lat) OVER w AS lat1, lead(lon) OVER w AS lon1, lead(v) OVER w AS v1, lead(watts) OVER w AS watts1 FROM p WINDOW w AS (PARTITION BY ride_id, lap ORDER BY i)
+), x AS (
+  SELECT *, unnest(range(CASE WHEN i = i0 THEN 0 ELSE CAST(floor(pos) AS BIGINT) + 1 END, least(CAST(floor(pos1) AS BIGINT), n - 1) + 1)) AS j FROM q WHERE pos1 IS NOT NULL
+), y AS (
+  SELECT ride_id, j, quantile_cont(lat + (lat1 - lat) * f, 0.5) AS lat, quantile_cont(lon + (lon1 - lon) * f, 0.5) AS lon, quantile_cont(v + (v1 - v) * f, 0.5) AS v, quantile_cont(watts + (watts1 - watts) * f, 0.5) AS watts, count(*) AS passes
+  FROM (SELECT *, (j - pos) / (pos1 - pos) AS f FROM x) GROUP BY ride_id, j
+), o AS (
+  SELECT y.*, n, lap_len, min(passes) OVER (PARTITION BY y.ride_id) AS least_passes, count(*) OVER (PARTITION BY y.ride_id) AS places FROM y JOIN t ON t.ride_id = y.ride_id
+), k AS (
+  SELECT *, (lon - first_value(lon) OVER w) * 111320 * cos(radians(first_value(lat) OVER w)) AS px, (lat - first_value(lat) OVER w) * 111320 AS py FROM o WHERE least_passes >= 3 AND places = n WINDOW w AS (PARTITION BY ride_id ORDER BY j)
+), h AS (
+  SELECT k.*, atan2(b.px - a.px, b.py - a.py) AS heading FROM k JOIN k b ON b.ride_id = k.ride_id AND b.j = (k.j + 3) % k.n JOIN k a ON a.ride_id = k.ride_id AND a.j = (k.j + k.n - 3) % k.n
+), c AS (
+  SELECT h.*, (b.heading - a.heading - 2 * pi() * ceil((b.heading - a.heading - pi()) / (2 * pi()))) / 12 AS curve FROM h JOIN h b ON b.ride_id = h.ride_id AND b.j = (h.j + 3) % h.n JOIN h a ON a.ride_id = h.ride_id AND a.j = (h.j + h.n - 3) % h.n
+)
+SELECT c.ride_id, c.j, c.n, c.lap_len, round(c.lat, 9) AS lat, round(c.lon, 9) AS lon, round(c.v, 6) AS v, round(c.watts, 6) AS watts, round(c.heading, 6) AS heading, round((c.curve + b.curve + a.curve) / 3, 6) AS curvature
+FROM c JOIN c b ON b.ride_id = c.ride_id AND b.j = (c.j + 1) % c.n JOIN c a ON a.ride_id = c.ride_id AND a.j = (c.j + c.n - 1) % c.n
+""")
+def mean_lap_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Laps of twenty rows laid over each other by the share of their lengths: the median line with heading and curvature around it."""
+    k = F.col("event_id")
+    g = events(spark, sf_dir, "value").select(
+        F.col("user_id").cast("string").alias("ride_id"), USER.place.alias("i"), F.col("value").alias("watts"), (5 + k % 10).cast("double").alias("v"), (45 + (k % 100) / 9973).alias("lat"), (7 + (k % 77) / 9967).alias("lon")
+    )
+    g = g.withColumns({"dist": F.sum("v").over(RIDE.so_far), "rows": F.count(F.lit(1)).over(RIDE.whole)})
+    bounds = g.where((F.col("i") % 20 == 0) & (F.col("i") + 20 < F.col("rows"))).select("ride_id", (F.floor(F.col("i") / 20) + 1).alias("lap"), F.col("i").alias("i0"), (F.col("i") + 20).alias("i1"), F.lit("device").alias("source"))
+    line = mean_lap.mean_lap(g, bounds)
+    return line.select("ride_id", "j", "n", "lap_len", *rounded("lat", "lon", digits=9), *rounded("v", "watts", "heading", "curvature"))
