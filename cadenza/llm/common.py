@@ -46,7 +46,7 @@ def stage(df: DataFrame, tag: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: a cut of the
     lineage that survives lost executors."""
     path = new_folder(df.sparkSession, tag)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.staged_path = path
     return out

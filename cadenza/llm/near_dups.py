@@ -282,7 +282,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     # one id may stand on texts of several classes, whose least ids differ: these all link it
     bare = sketch.where("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component"))
     out = found.unionByName(bare)
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("component"), F.lit(False)).alias("kept"))
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("component"), F.lit(False)).alias("kept"))
+    out.reads = (sketch, classes)  # staged; to be discarded by who has read the result
+    return out
 
 
 def _full_sets(rows: DataFrame, k: int) -> DataFrame:
@@ -321,7 +323,9 @@ def _large_links(sets: DataFrame, ratio: tuple[int, int], block: int) -> DataFra
     open_ = lookup(named.select("component", "rid", "label"), mains, "component", "members", named.count())
     open_ = stage(open_.select("rid", "label", (F.col("label") != F.col("main")).alias("rest")), "open")
     rows = stage(sets.select("component", "rid", "shingles").join(open_.hint("merge"), "rid").withColumn("sid", F.xxhash64("shingles")).withColumn("n", (F.length("shingles") / 8).cast("int")), "open-sets")
-    return links.union(_rare_links(rows, ratio, block))
+    rare = _rare_links(rows, ratio, block)
+    discard(named, open_, rows)
+    return links.union(rare)
 
 
 def _words_of(rows: DataFrame) -> DataFrame:
@@ -410,7 +414,9 @@ def _rare_links(rows: DataFrame, ratio: tuple[int, int], block: int) -> DataFram
 
         return each
 
-    return stage(map_arrow(full, verify, "a long, b long"), "links")
+    links = stage(map_arrow(full, verify, "a long, b long"), "links")
+    discard(entries, near, pairs)
+    return links
 
 
 #: Pairs with one set that one task verifies.
@@ -439,5 +445,6 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     order = rows.select("_at", F.col("_row")[doc_id].alias("_id"), F.xxhash64(own).alias("_tie"))
     grouped = found.where("n_shingles > 0").join(order.hint("merge"), found["doc_id"] == order["_at"])
     best = grouped.groupBy("component_id").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_tie", "_at")).alias("best"))
-    kept = best.select(F.col("best._at").alias("_at")).union(found.where("n_shingles = 0").select(F.col("doc_id").alias("_at")))
+    kept = stage(best.select(F.col("best._at").alias("_at")).union(found.where("n_shingles = 0").select(F.col("doc_id").alias("_at"))), "kept")
+    discard(*found.reads)
     return rows.join(kept.hint("merge"), "_at", "left_semi").select("_row.*")
