@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm import chat, decontam, flac, html_text, lang_id, mixing, near_dups, pii, quality, token_files
+from cadenza.llm import chat, decontam, filter_audit, flac, html_text, lang_id, mixing, near_dups, pii, quality, token_counts, token_files, vector_codes
 from cadenza.llm.common import read_table
 
 
@@ -156,6 +156,21 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.node = d.doc_id
 """
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all vectors by codebooks that four rounds improve, and their errors."""
+    return vector_codes.compress(read_table(spark, sf_dir, "embeddings"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove of each language in each order."""
+    return filter_audit.audit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every text."""
+    return token_counts.count_tokens(read_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages of corpus_pipeline.py, one after the other."""
     import corpus_pipeline
@@ -164,6 +179,6 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_media_flac, op2_decontaminate, op3_language, op4_quality, op5_mix_sources, op6_chat_rotation, op7_pii, op8_token_files, op9_html_text, op10_near_duplicates, pipeline)
+    f.__name__: f for f in (op1_media_flac, op2_decontaminate, op3_language, op4_quality, op5_mix_sources, op6_chat_rotation, op7_pii, op8_token_files, op9_html_text, op10_near_duplicates, op11_vector_codes, op12_filter_audit, op13_token_counts, pipeline)
 }
-ORACLES = {"op2_decontaminate": ORACLE_2, "op5_mix_sources": ORACLE_5, "op6_chat_rotation": chat.ORACLE, "op10_near_duplicates": ORACLE_10}
+ORACLES = {"op2_decontaminate": ORACLE_2, "op5_mix_sources": ORACLE_5, "op6_chat_rotation": chat.ORACLE, "op10_near_duplicates": ORACLE_10, "op11_vector_codes": vector_codes.oracle(), "op12_filter_audit": filter_audit.ORACLE}
