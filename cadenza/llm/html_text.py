@@ -8,10 +8,11 @@ forms, scripts, comments) are taken out first and leave one empty line.
 The text lengths of a sliding window of lines are summed. Where the sum rises
 from nothing is a foot; the text begins at the foot of the first surge, a rise
 to the page's own mean of such sums (or into its marked article), and ends
-where the last surge dives to nothing. All stretches between are kept, and so
-are lower ones beside them that are less than ``reach`` windows away: headings,
-last lines, remarks between adverts. Menus outside an article (lists or runs of lines that
-are mostly links) are taken out like the other noise.
+where the last surge dives to nothing. Everything between is kept, lists of
+links too. What lies before or after and never surges is kept as well, however
+far off (headings, last lines), unless all of it is links or a line of
+copyright; before and after the lines of prose, outside an article, lists and
+runs of lines that are mostly links are menus, and go.
 
 Defined cases: null and empty pages have empty text, and so have pages of
 noise alone; unclosed and crossed tags are closed by the next tag that ends
@@ -49,29 +50,41 @@ LISTS = frozenset("ul ol dl dir".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for tag in "script style noscript template svg iframe textarea title".split()}
 IN_HEAD = frozenset("head base link meta title script style noscript template".split())
-#: Elements that hold no main text, whole tokens of class, id and role that say so, and such tokens of several words.
+#: Elements that hold no main text, and words of class, id and role that say so.
 NOISE = frozenset("head nav aside footer form button select menu dialog".split())
 NOISE_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored banner promo promotion cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup "
+    "ad ads advert adverts advertisement advertisements advertising sponsor sponsored banner promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup "
     "nav navbar navigation menu menubar breadcrumb breadcrumbs pagination pager toc header masthead topbar footer bottombar sidebar aside widget widgets related recommended share sharing social "
-    "comment comments commentlist disqus reply replies respond login search contentinfo complementary".split()
+    "comment comments commentlist disqus reply replies respond login search skip contentinfo complementary".split()
 )
-NOISE_TOKENS = frozenset("ad-slot ad-unit ad-container ad-wrapper site-header site-footer site-nav main-nav main-menu primary-menu share-buttons social-links comment-list comment-body comment-form comments-area skip-link".split())
+#: Words at the end of a name that say how or where an element lies, not what it holds; words that deny what they go with; and what has headers of its own.
+PLACES = frozenset("area bar block body box card col column container content feed group inner item items layer left link links list outer panel region right row section slot thread unit widget wrap wrapper zone".split())
+DENIED = frozenset("no not non has have with without hide free".split())
+TITLED = frozenset("article chapter content entry post section story text".split())
 _ATTRIBUTE = re.compile(r"""(?<![\w-])(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
-_NAME = re.compile(r"[^\W\d_]+")
+_NAME = re.compile(r"[A-Z]?[^\W\d_A-Z]+|[A-Z]+(?![^\W\d_A-Z])")
 CONTENT = frozenset(("article", "main"))
-#: Tokens that mark a page's header, which within an article belongs to the text.
-HEADER = frozenset(("header", "masthead"))
+#: Words that mark a page's header, which within an article belongs to the text.
+HEADER = frozenset(("header", "masthead", "banner"))
+_RIGHTS = re.compile(r"\s*(?:©|\(c\)|copyright\b|all rights\b)", re.I)
+
+
+def _is_noise_name(words: list[str], in_content: bool) -> bool:
+    """Whether the words of a name, as ``post-comments`` or ``advertBox``, begin or end with one of noise."""
+    if not words or words[0] in DENIED or words[-1] in DENIED:
+        return False
+    end = len(words)
+    while end > 1 and words[end - 1] in PLACES:
+        end -= 1
+    ends = {words[0], words[end - 1]}
+    if ends & HEADER and (in_content or (words[0] in TITLED and words[end - 1] in HEADER)):
+        return False
+    return not NOISE_WORDS.isdisjoint(ends)
 
 
 def _marks_noise(attributes: str, in_content: bool) -> bool:
-    """Whether a token of class, id or role is one of noise, or of such words only, as ``cookie-banner``."""
-    for value in _ATTRIBUTE.findall(attributes):
-        for token in value.strip("\"'").lower().split():
-            words = _NAME.findall(token)
-            if (token in NOISE_TOKENS or (words and NOISE_WORDS.issuperset(words))) and not (in_content and token in HEADER):
-                return True
-    return False
+    """Whether a name in class, id or role is one of noise."""
+    return any(_is_noise_name([w.lower() for w in _NAME.findall(name)], in_content) for value in _ATTRIBUTE.findall(attributes) for name in value.strip("\"'").split())
 
 
 class _Suspect:
@@ -209,50 +222,66 @@ def lines_of(html: str) -> list[tuple[str, int, bool, int]]:
     return page.lines()
 
 
-def _menus(lines: list[tuple[str, int, bool, int]], least: int = 3) -> list[bool]:
-    """Of each line, whether it is part of a menu: outside articles, a list or a run of ``least`` lines or more that is mostly links."""
+def _window_sums(length: np.ndarray, window: int) -> np.ndarray:
+    """The sum of the window that ends at each line, and of those that end after the last."""
+    return np.convolve(length, np.ones(window, int))
+
+
+def _menus(lines: list[tuple[str, int, bool, int]], window: int, least: int = 3) -> list[bool]:
+    """Of each line, whether it is part of a menu: outside articles, a list or a run of ``least`` lines or more that is mostly links.
+
+    Between lines of prose none is; after them a list needs ``least`` items, before them two.
+    """
+    prose = np.array([len(text) if 2 * linked <= len(text) else 0 for text, linked, *_ in lines])
+    sums = _window_sums(prose, window)
+    reached = np.flatnonzero(sums >= sums[sums > 0].mean()) if prose.any() else []
+    high = [i for end in reached for i in range(max(0, end - window + 1), min(end + 1, len(lines))) if prose[i]]
+    first, last = (min(high), max(high)) if high else (len(lines), len(lines))
     lists: dict[int, list[int]] = {}
-    out = [False] * len(lines)
-    run: list[int] = []
+    runs: list[list[int]] = [[]]
     for i, (text, linked, inside, number) in enumerate(lines):
-        if not text:
+        if not text or first <= i <= last:
             continue
         if number and not inside:
-            sums = lists.setdefault(number, [0, 0, 0])
-            sums[0], sums[1], sums[2] = sums[0] + 1, sums[1] + linked, sums[2] + len(text)
+            lists.setdefault(number, []).append(i)
         if not number and not inside and 2 * linked > len(text):
-            run.append(i)
-            if len(run) >= least:
-                out[i] = True
-                if len(run) == least:
-                    for j in run:
-                        out[j] = True
+            runs[-1].append(i)
+        elif runs[-1]:
+            runs.append([])
+    out = [False] * len(lines)
+    for items in lists.values():
+        linked, chars = (sum(v) for v in zip(*((lines[i][1], len(lines[i][0])) for i in items)))
+        if 2 * linked > chars and len(items) >= (2 if items[0] < first else least):
+            runs.append(items)
         else:
-            run = []
-    of_links = {number for number, (items, linked, chars) in lists.items() if items > 1 and 2 * linked > chars}
-    return [menu or (number in of_links and not inside) for menu, (_, _, inside, number) in zip(out, lines)]
+            runs.append([])
+    for run in runs:
+        if len(run) >= least or (run and lines[run[0]][3]):
+            for i in run:
+                out[i] = True
+    return out
 
 
-def main_text(html: str | None, window: int = 3, reach: int = 2) -> str:
+def main_text(html: str | None, window: int = 3) -> str:
     """The text between surge and dive points."""
     lines = lines_of(html or "")
-    lines = _taken_out(lines, _menus(lines))
+    lines = _taken_out(lines, _menus(lines, window)) if lines else lines
     length = np.array([len(text) for text, *_ in lines])
     if not length.any():
         return ""
-    # the sum of the window that ends at each line, and of those that end after the last
-    sums = np.convolve(length, np.ones(window, int))
+    sums = _window_sums(length, window)
     edge = np.diff(np.concatenate([[0], (sums > 0).astype(np.int8), [0]]))
     feet, dives = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - window + 1
     surge = sums[sums > 0].mean()
     inside = np.array([within and n > 0 for (_, _, within, _), n in zip(lines, length.tolist())])
     high = [sums[a : b + window - 1].max() >= surge or inside[a:b].any() for a, b in zip(feet, dives)]
     first, last = high.index(True), len(high) - 1 - high[::-1].index(True)
-    while first and feet[first] - dives[first - 1] < reach * window:
-        first -= 1
-    while last + 1 < len(high) and feet[last + 1] - dives[last] < reach * window:
-        last += 1
-    return "\n\n".join(lines[i][0] for i in range(feet[first], dives[last]) if length[i])
+    kept: list[str] = []
+    for n, (a, b) in enumerate(zip(feet, dives)):
+        stretch = [line for line in lines[a:b] if line[0]]
+        if first <= n <= last or not all(2 * linked > len(text) or _RIGHTS.match(text) for text, linked, *_ in stretch):
+            kept += (text for text, *_ in stretch)
+    return "\n\n".join(kept)
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

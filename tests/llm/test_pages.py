@@ -21,6 +21,8 @@ def test_wrappers_are_no_noise(html):
 
 
 NOISY = ["ad", "x ads", "sidebar", "comments", "ad-1", "cookie-banner", "site-header", "share-buttons"]
+COMPOUND = "post-comments comments-section comment-thread reader-comments advert-box cookie-bar left-sidebar sidebar-right page-footer newsletter-box post-comments-list commentList adContainer js-ad-slot c-comments__item skip-link".split()
+WRAPPERS = "has-sidebar ad-free no-comments with-sidebar no-ads layout-has-sidebar-not article-header post-header".split()
 
 
 @pytest.mark.parametrize("name", NOISY)
@@ -29,6 +31,39 @@ def test_whole_tokens_are_noise(name):
         assert html_text.main_text(f"<body><div><p>{LONG}</p></div><div {a}><p>noise</p></div><p>end</p></body>") == f"{LONG}\n\nend"
 
 
+@pytest.mark.parametrize("name", COMPOUND)
+def test_compound_names_are_noise(name):
+    for a in (f'class="x {name}"', f'id="{name}"'):
+        noise = f"<div {a}><p>noise and {LONG}</p></div>"
+        assert html_text.main_text(f"<body><div><p>{LONG}</p></div>{noise}<p>end</p><p>{LONG}</p></body>") == f"{LONG}\n\nend\n\n{LONG}"
+        assert html_text.main_text(f"<body><article><h1>T</h1><p>{LONG}</p>{noise}<p>end</p></article></body>") == f"T\n\n{LONG}\n\nend"
+        assert html_text.main_text(f"<body><article><p>short</p></article>{noise}</body>") == "short"
+
+
+@pytest.mark.parametrize("name", WRAPPERS)
+def test_wrappers_that_deny_noise_are_kept(name):
+    assert html_text.main_text(f"<div class='{name}'><h1>T</h1><p>one</p></div><div><p>{LONG}</p></div>") == f"T\n\none\n\n{LONG}"
+    assert html_text.main_text(f"<article><div class='{name}'><h1>T</h1></div><p>{LONG}</p></article>") == f"T\n\n{LONG}"
+
+
+def test_distance_drops_nothing():
+    gap = "<div></div>" * 12
+    assert html_text.main_text(f"<h1>T</h1>{gap}<p>{LONG}</p><p>{LONG}</p>{gap}<p>The end.</p>") == f"T\n\n{LONG}\n\n{LONG}\n\nThe end."
+
+
+@pytest.mark.parametrize("text", [LONG, "Some words."])
+def test_links_between_paragraphs_stay(text):
+    sources = "<ul><li><a href=a>Source one</a></li><li><a href=b>Source two</a></li><li><a href=c>Source three</a></li></ul>"
+    assert html_text.main_text(f"<p>{text}</p>{sources}<p>{text}</p>") == f"{text}\n\nSource one\n\nSource two\n\nSource three\n\n{text}"
+
+
+def test_menus_around_the_text_go():
+    menu = "<ul><li><a href=a>Home</a></li><li><a href=b>About</a></li></ul>"
+    foot = "".join(f"<div><a href={i}>Link {i}</a></div>" for i in range(4))
+    assert html_text.main_text(f"<div>{menu}</div><h1>T</h1><p>{LONG}</p>{foot}<p>end</p>") == f"T\n\n{LONG}\n\nend"
+    assert html_text.main_text(menu + foot) == ""
+
+
 def test_comments_in_articles_are_noise():
     html = f"<article><p>{LONG}</p></article><section class=comments><article class='comment'><p>Reader says.</p></article></section>"
     assert html_text.main_text(html) == LONG
