@@ -32,6 +32,7 @@ gives no rows; only the named columns are read, so others cannot clash.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -347,19 +348,12 @@ def _words_of(rows: DataFrame) -> DataFrame:
     return map_arrow(rows, make, rows.select(*kept, F.lit(0).cast("long").alias("word")).schema, rows=64)
 
 
-def _rare_links(rows: DataFrame, ratio: tuple[int, int], block: int) -> DataFrame:
-    """Links of sets (``component, rid, sid, n, label, rest, shingles``; staged)
-    that ``rest`` marks to sets of other labels in their component.
+#: Bands of sizes in one list for each factor by which the sizes of linked sets may differ.
+BANDS = 16
 
-    A set's tokens are ordered from the rarest in its component to the most
-    frequent. Two sets meet in the list of their first common token; what they
-    share is no more than either has from there on (its ``left``). So a set only
-    needs to be in the lists of its first tokens, it can only be linked to sets
-    up to a certain size there (``reach``), and lists where nothing of ``rest``
-    can reach another label are dropped. Sets that share a frequent passage but
-    are too different in what is rare thus never meet, however many they are.
-    Pairs that can reach each other are compared on their full sets.
-    """
+
+def _rare_units(rows: DataFrame, ratio: tuple[int, int], block: int) -> tuple[DataFrame, list[DataFrame]]:
+    """What may meet in lists of rare tokens, ``unit, side, rid, sid, n, label, reach``, and the staged tables it is read from; see ``_rare_links``."""
     num, den = ratio
     ids = ["rid", "sid"]
     words = _words_of(rows)
@@ -371,31 +365,81 @@ def _rare_links(rows: DataFrame, ratio: tuple[int, int], block: int) -> DataFram
     entries = entries.withColumn("left", F.col("m") - F.col("at")).where(F.col("left") * den >= F.col("n") * num)
     entries = entries.withColumn("reach", F.floor(((num + den) * F.col("left") - num * F.col("n")) / num)).select(F.col("token.word").alias("word"), *ids, "n", "label", "rest", "reach")
     entries = stage(entries, "entries")
-    total = entries.count()
     lists = entries.groupBy("word").agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("least"), F.max("rest").alias("any"), F.min("label").alias("low"), F.max("label").alias("high"))
-    entries_near = lookup(entries, lists.where("k > 1 and any and low < high").select("word", "k", "least"), "word", "k", total).where("reach >= least").drop("k", "least")
-    near = stage(entries_near, "near")
-    lists = near.groupBy("word").agg(F.count(F.lit(1)).alias("k"), F.sum(F.col("rest").cast("long")).alias("r"), F.min("label").alias("low"), F.max("label").alias("high"))
-    live = lookup(near, lists.where("k > 1 and r > 0 and low < high").select("word", "k", "r"), "word", "k", total)
-    # lists beyond a block are compared in blocks: those of rest by those of all
+    near = lookup(entries, lists.where("k > 1 and any and low < high").select("word", "k", "least"), "word", "k", entries.count()).where("reach >= least").drop("k", "least")
+    near = stage(near, "near")
+    # a list falls into bands of sizes: one of rest seeks in the bands it can reach, all are sought in their own
+    width = max(math.log(den / num) / BANDS, 1e-3)
+    band = lambda n: F.floor(F.log(n.cast("double")) / width).cast("int")
+    most = F.least(F.col("reach"), F.floor(F.col("n") * den / num))
+    bands = F.sequence(band(F.ceil(F.col("n") * num / den)), band(most))
+    own = [*ids, "n", "label", "reach"]
+    seeking = near.where("rest").select("word", *own, F.explode(bands).alias("band")).select(F.xxhash64("word", "band").alias("cell"), *own)
+    sought = near.select(F.xxhash64("word", band(F.col("n"))).alias("cell"), *own)
+    tables = [entries, near]
+    for last in (False, True):
+        # what nothing in its cell can meet from the other side is dropped; the rest is counted
+        of = lambda side, n: side.groupBy("cell").agg(F.count(F.lit(1)).alias(n), F.min("n").alias(f"{n}_least"), F.max("reach").alias(f"{n}_reach"))
+        cells = of(seeking, "r").join(of(sought, "k"), "cell")
+        found = [lookup(side, cells, "cell", n, near.count()) for side, n in ((seeking, "r"), (sought, "k"))]
+        if last:
+            break
+        seeking, sought = (stage(side.where(f"reach >= {n}_least and n <= {n}_reach").select("cell", *own), "cells") for side, n in zip(found, "kr"))
+        tables += [seeking, sought]
+    seeking, sought = found
+    # cells beyond a block are compared in blocks
     across, down = F.ceil(F.col("k") / block).cast("long"), F.ceil(F.col("r") / block).cast("long")
     i, j = F.pmod(F.xxhash64(*ids, F.lit(4)), down), F.pmod(F.xxhash64(*ids, F.lit(5)), across)
     to = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
-    seeking = live.where("rest").select("word", *ids, "n", "label", "reach", i.alias("i"), F.explode(to(across)).alias("j"), F.lit(0).alias("side"))
-    sought = live.select("word", *ids, "n", "label", "reach", F.explode(to(down)).alias("i"), j.alias("j"), F.lit(1).alias("side"))
-    units = seeking.unionByName(sought).withColumn("unit", F.xxhash64("word", "i", "j")).repartition("unit").sortWithinPartitions("unit", "side")
+    seeking = seeking.select("cell", *own, i.alias("i"), F.explode(to(across)).alias("j"), F.lit(0).alias("side"))
+    sought = sought.select("cell", *own, F.explode(to(down)).alias("i"), j.alias("j"), F.lit(1).alias("side"))
+    return seeking.unionByName(sought).select(F.xxhash64("cell", "i", "j").alias("unit"), "side", *own), tables
+
+
+def meetings(n: np.ndarray, reach: np.ndarray, other_n: np.ndarray, other_reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs that may fit: those where the other's reach is at least n, or those where its size is within reach, whichever are fewer."""
+    by_reach, by_n = np.argsort(other_reach, kind="stable"), np.argsort(other_n, kind="stable")
+    first = np.searchsorted(other_reach[by_reach], n)
+    end = np.searchsorted(other_n[by_n], reach, side="right")
+    order, a, b = (by_reach, first, np.full(len(n), len(other_n))) if (len(other_n) - first).sum() <= end.sum() else (by_n, np.zeros(len(n), np.int64), end)
+    size = b - a
+    at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(a, size)
+    return np.repeat(np.arange(len(n)), size), order[at]
+
+
+def _rare_links(rows: DataFrame, ratio: tuple[int, int], block: int) -> DataFrame:
+    """Links of sets (``component, rid, sid, n, label, rest, shingles``; staged)
+    that ``rest`` marks to sets of other labels in their component.
+
+    A set's tokens are ordered from the rarest in its component to the most
+    frequent. Two sets meet in the list of their first common token; what they
+    share is no more than either has from there on (its ``left``). So a set only
+    needs to be in the lists of its first tokens, it can only be linked to sets
+    up to a certain size there (``reach``), and lists where nothing of ``rest``
+    can reach another label are dropped. Within a list a set of ``rest`` seeks
+    only in the bands of sizes that it can reach, and what nothing there can reach
+    back is dropped from a band; in a task, sizes and reaches are sorted, so only
+    pairs of which one can reach the other are tested at all. Sets that share a
+    frequent passage but are too different in what is rare thus never meet,
+    however many they are and whatever else is in their lists. Pairs that can
+    reach each other are compared on their full sets.
+    """
+    num, den = ratio
+    ids = ["rid", "sid"]
+    units, tables = _rare_units(rows, ratio, block)
+    units = units.repartition("unit").sortWithinPartitions("unit", "side")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, at in groups_of(batches, "unit"):
             c = {name: table.column(name).to_numpy() for name in ("rid", "sid", "n", "label", "reach", "side")}
-            found = []
+            found = [(np.empty(0, np.int64), np.empty(0, np.int64))]
             for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
                 mid = a + int(np.searchsorted(c["side"][a:b], 1))
-                x, y = slice(a, mid), slice(mid, b)
-                n, size = c["n"][x, None], c["n"][None, y]
-                fit = (c["label"][x, None] != c["label"][None, y]) & (size <= c["reach"][x, None]) & (n <= c["reach"][None, y]) & (den * np.minimum(n, size) >= num * np.maximum(n, size))
-                p, q = np.nonzero(fit)
-                found.append((p + a, q + mid))
+                p, q = meetings(c["n"][a:mid], c["reach"][a:mid], c["n"][mid:b], c["reach"][mid:b])
+                p, q = p + a, q + mid
+                n, size = c["n"][p], c["n"][q]
+                fit = (c["label"][p] != c["label"][q]) & (size <= c["reach"][p]) & (n <= c["reach"][q]) & (den * np.minimum(n, size) >= num * np.maximum(n, size))
+                found.append((p[fit], q[fit]))
             p, q = (np.concatenate(v) for v in zip(*found))
             yield pa.RecordBatch.from_arrays([pa.array(c[name][v]) for v in (p, q) for name in ids], names=["x", "xs", "y", "ys"])
 
@@ -415,7 +459,7 @@ def _rare_links(rows: DataFrame, ratio: tuple[int, int], block: int) -> DataFram
         return each
 
     links = stage(map_arrow(full, verify, "a long, b long"), "links")
-    discard(entries, near, pairs)
+    discard(*tables, pairs)
     return links
 
 

@@ -133,6 +133,29 @@ def test_a_passage_that_all_share_is_no_work_of_all_pairs(spark, monkeypatch):
     assert max(compared) <= 20
 
 
+def test_mixed_lengths_are_no_work_of_all_pairs(spark):
+    """Long sets that share 880 of 1000 tokens and are not linked, and a short one that all of them can reach: tested pairs grow with the sets."""
+    import numpy as np
+
+    tested = {}
+    for n in (500, 1000, 2000):
+        rng = np.random.default_rng(n)
+        common = rng.integers(1, 1 << 62, 880).astype(np.uint64)
+        sets = [np.unique(np.concatenate([common, rng.integers(1, 1 << 62, 120).astype(np.uint64)])) for _ in range(n)] + [np.unique(np.concatenate([common, rng.integers(1, 1 << 62, 20).astype(np.uint64)]))]
+        rows = [(1, i, i, len(s), i, i > 0, s.tobytes()) for i, s in enumerate(sets)]
+        df = spark.createDataFrame(rows, "component long, rid long, sid long, n int, label long, rest boolean, shingles binary").repartition(8)
+        units, _ = near_dups._rare_units(df, (85, 100), 64)
+        kept = units.toPandas()
+        tested[n] = len(kept)
+        for _, u in kept.groupby("unit"):
+            x, y = u[u.side == 0], u[u.side == 1]
+            tested[n] += len(near_dups.meetings(x.n.to_numpy(), x.reach.to_numpy(), y.n.to_numpy(), y.reach.to_numpy())[0])
+        if n == 500:
+            links = near_dups._rare_links(df, (85, 100), 64).collect()
+            assert {(min(r), max(r)) for r in links} == {(i, n) for i in range(n)}
+    assert tested[2000] < 2.5 * tested[1000] < 6 * tested[500] and tested[2000] < 2000 * 100, tested
+
+
 def test_hot_keys_take_the_other_way_to_the_same_result(spark, monkeypatch):
     """With nearly every key counted as hot, stars, classes, nodes and lists are looked up by broadcast."""
     from cadenza.llm import common
