@@ -87,33 +87,35 @@ def reserve_balance(df: DataFrame, s: Series, value: str, threshold: str, capaci
     tau = F.lit(546.0) * F.exp(-0.01 * F.coalesce(F.avg(short).over(s.whole), F.lit(0.0))) + 316.0
     df = df.withColumn("tau", tau)
 
-    def start() -> Step:
-        held: list[float] = []
-
-        def step(columns: dict[str, list]) -> dict[str, list]:
-            balance, drained, overdrawn = [], [], []
-            tau = columns["tau"][0]
-            keep = math.exp(-seconds / tau)
-            b = held[0] if held else columns[capacity][0]
-            for p, limit, full in zip(columns[value], columns[threshold], columns[capacity]):
-                p = p if p is not None and math.isfinite(p) else 0.0
-                drain = over = 0.0
-                if p > limit:
-                    drain = (p - limit) * seconds
-                    b -= drain
-                    over = max(0.0, -b)
-                else:
-                    b = full - (full - b) * keep
-                b = min(full, max(0.0, b))
-                balance.append(b)
-                drained.append(drain)
-                overdrawn.append(over)
-            held[:] = [b]
-            return {"balance": balance, "drained": drained, "overdrawn": overdrawn}
-
-        return step
-
-    return fold_sorted(df, s, [value, threshold, capacity, "tau"], "balance double, drained double, overdrawn double", start)
+    return fold_sorted(df, s, [value, threshold, capacity, "tau"], "balance double, drained double, overdrawn double", lambda: reserve_step(value, threshold, capacity, seconds))
+
+
+def reserve_step(value: str, threshold: str, capacity: str, seconds: float, first: str | None = None) -> Step:
+    """Walks a reserve that begins full, or with what the column ``first`` says."""
+    held: list[float] = []
+
+    def step(columns: dict[str, list]) -> dict[str, list]:
+        balance, drained, overdrawn = [], [], []
+        tau = columns["tau"][0]
+        keep = math.exp(-seconds / tau)
+        b = held[0] if held else columns[first or capacity][0]
+        for p, limit, full in zip(columns[value], columns[threshold], columns[capacity]):
+            p = p if p is not None and math.isfinite(p) else 0.0
+            drain = over = 0.0
+            if p > limit:
+                drain = (p - limit) * seconds
+                b -= drain
+                over = max(0.0, -b)
+            else:
+                b = full - (full - b) * keep
+            b = min(full, max(0.0, b))
+            balance.append(b)
+            drained.append(drain)
+            overdrawn.append(over)
+        held[:] = [b]
+        return {"balance": balance, "drained": drained, "overdrawn": overdrawn}
+
+    return step
 
 
 def reserve_stats(balances: DataFrame, s: Series, seconds: float = 1.0) -> DataFrame:

@@ -106,14 +106,13 @@ def trailing_rate(x: Column, s: Series, rows: int) -> Column:
     return F.coalesce(F.try_divide(x - s.shifted(x, -rows), steps.cast("double")), F.lit(0.0))
 
 
-def _edges(x: np.ndarray, half: float, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """First and last row of each row's fit: those within ``half``, widened evenly to ``least``. The last row never goes
-    back: once a fit has reached further, so do those after it."""
-    n = len(x)
-    first = np.searchsorted(x, x - half, side="left").tolist()
-    last = (np.searchsorted(x, x + half, side="right") - 1).tolist()
-    reached = 0
-    for i in range(n):
+def _edges(x: np.ndarray, half: float, least: int, begin: int = 0, end: int | None = None, reached: int = -1) -> tuple[np.ndarray, np.ndarray]:
+    """First and last row of the fit of each row from begin to end: those within ``half``, widened evenly to ``least``. The last row never goes
+    back: once a fit has reached further, so do those after it; ``reached`` is what the row before begin has."""
+    n, end = len(x), len(x) if end is None else end
+    first = np.searchsorted(x, x[begin:end] - half, side="left").tolist()
+    last = (np.searchsorted(x, x[begin:end] + half, side="right") - 1).tolist()
+    for i in range(end - begin):
         a, b = first[i], max(last[i], reached)
         while b - a + 1 < least and (a > 0 or b < n - 1):
             a, b = a - (a > 0), b + (b < n - 1)
@@ -121,15 +120,41 @@ def _edges(x: np.ndarray, half: float, least: int) -> tuple[np.ndarray, np.ndarr
     return np.array(first, np.int64), np.array(last, np.int64)
 
 
+def reaches(x: np.ndarray, half: float, least: int, begin: int, end: int) -> list[int]:
+    """For each state before row begin, the one after row end - 1: by how many rows a fit reaches beyond its own row, 0 to ``least``.
+
+    Beyond ``least`` only rows within ``half`` are reached, which the rows after reach by themselves.
+    """
+    n = len(x)
+    first = np.searchsorted(x, x[begin:end] - half, side="left")
+    last = np.searchsorted(x, x[begin:end] + half, side="right") - 1
+    reached = np.arange(least + 1) + begin - 1
+    for i in range(begin, end):
+        if reached[0] == reached[-1]:  # larger states never end up lower, so all are one by now
+            ends = _edges(x, half, least, i, end, int(reached[0]))[1]
+            reached[:] = ends[-1]
+            break
+        a, b = int(first[i - begin]), np.maximum(last[i - begin], reached)
+        need = np.maximum(least - (b - a + 1), 0)
+        step = (need + 1) // 2
+        reached = np.minimum(b + np.where(step > a, need - a, step), n - 1)
+    return np.clip(reached - (end - 1), 0, least).tolist()
+
+
 #: Rows of a fit that are summed offset by offset for all rows at once; longer fits are summed each by itself.
 NARROW = 64
 
 
 def slopes(x: np.ndarray, y: np.ndarray, half: float, least: int, limit: float) -> np.ndarray:
     """Least-squares slopes of y on x (not falling) over the rows of ``_edges``, cut to ``±limit``; 0 of fewer than three rows or of one x."""
-    first, last = _edges(x, half, least)
+    return fitted(x, y, half, least, limit, 0, len(x), 0)
+
+
+def fitted(x: np.ndarray, y: np.ndarray, half: float, least: int, limit: float, begin: int, end: int, state: int) -> np.ndarray:
+    """``slopes`` of the rows from begin to end, where the fit of the row before reaches ``state`` rows beyond it."""
+    first, last = _edges(x, half, least, begin, end, begin - 1 + state)
     m = last - first + 1
-    sums = np.zeros((4, len(x)))
+    sums = np.zeros((4, end - begin))
 
     def add(own: np.ndarray, dx: np.ndarray, v: np.ndarray) -> None:
         sums[:, own] += dx, v, dx * dx, dx * v
@@ -138,9 +163,9 @@ def slopes(x: np.ndarray, y: np.ndarray, half: float, least: int, limit: float)
     for d in range(int(m[narrow].max(initial=0))):
         own = narrow[m[narrow] > d]
         k = first[own] + d
-        add(own, x[k] - x[own], y[k])
+        add(own, x[k] - x[begin + own], y[k])
     for i in np.flatnonzero(m > NARROW).tolist():
-        dx, v = x[first[i] : last[i] + 1] - x[i], y[first[i] : last[i] + 1]
+        dx, v = x[first[i] : last[i] + 1] - x[begin + i], y[first[i] : last[i] + 1]
         sums[:, i] = dx.sum(), v.sum(), dx @ dx, dx @ v
     sx, sy, sxx, sxy = sums
     spread = m * sxx - sx * sx

@@ -37,7 +37,7 @@ def analyze(samples: DataFrame, rides: DataFrame, weather_hours: DataFrame | Non
     blown = blown.join(settings, "ride_id")
     wind = keep(calibrate.resolve_wind(blown, config, keep), "wind")
     series = keep(power.ride_series(blown, wind, config), "series")
-    bounds = keep(laps.detect_laps(grid, rides, prepare.markers(rides, samples, grid, config), config), "lap_bounds")
+    bounds = keep(laps.detect_laps(grid, rides, prepare.markers(rides, samples, grid, config), config, keep), "lap_bounds")
     line = keep(mean_lap.mean_lap(grid, bounds), "mean_lap")
     corners, events = turns.detect_turns(grid, bounds, line, config, keep)
     events = keep(turns.price_passes(events, series), "turn_events")

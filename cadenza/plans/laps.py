@@ -2,84 +2,128 @@
 
 from __future__ import annotations
 
-import math
+import uuid
+from collections.abc import Callable
+from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.config import ModelConfig
 from cadenza.functions.geo import DEGREE_M
-from cadenza.operators.folds import spaced
+from cadenza.functions.scalars import angle_delta
 from cadenza.operators.joins import interval_join
+from cadenza.operators.series import RIDE
+from cadenza.plans.staging import Staging
+
+Keep = Callable[[DataFrame, str], DataFrame]
 
 LAPS = "ride_id string, lap long, i0 long, i1 long, source string"
 #: Bearings at a crossing agree within 70 degrees; lap lengths scatter by up to 0.22 of the median.
 SAME_WAY, SCATTER, MARKER_SCATTER = 1.22, 0.22, 0.15
 
 
-class Track:
-    """A ride's places, for the search of a line that it crosses again and again."""
-
-    def __init__(self, frame: pd.DataFrame) -> None:
-        f = frame.sort_values("i")
-        self.lat, self.lon = (f[c].fillna(0.0).to_numpy(float) for c in ("lat", "lon"))
-        self.heading, self.dist = f["heading"].to_numpy(float), f["dist"].to_numpy(float)
-        self.known = (self.lat != 0) | (self.lon != 0)
-        self.riding = self.known & f["moving"].to_numpy(bool)
-
-    def metres_from(self, lat: float, lon: float) -> np.ndarray:
-        per_lon = DEGREE_M * math.cos(math.radians(lat))
-        return np.where(self.known, np.hypot((self.lon - lon) * per_lon, (self.lat - lat) * DEGREE_M), np.inf)
-
-    def nearest(self, lat: float, lon: float, within: float = 120.0) -> int:
-        away = np.where(self.riding, self.metres_from(lat, lon), np.inf)
-        best = int(np.argmin(away))
-        return best if away[best] < within else -1
-
-    def candidates(self) -> np.ndarray:
-        """Every third second from the first one ridden to 60 % of the ride."""
-        if not self.riding.any():
-            return np.empty(0, int)
-        every = np.arange(int(np.argmax(self.riding)), int(len(self.lat) * 0.6), 3)
-        return every[self.riding[every]]
-
-    def laps(self, anchor: int, config: ModelConfig) -> list[tuple[int, int]]:
-        """Laps between passes of the anchor, or none if they don't describe a circuit."""
-        away = self.metres_from(self.lat[anchor], self.lon[anchor])
-        turn = np.abs((self.heading - self.heading[anchor] + math.pi) % (2 * math.pi) - math.pi)
-        close = np.flatnonzero((away < config.lap_radius) & (turn < SAME_WAY))
-        if not len(close):
-            return []
-        passes = [p[np.argmin(away[p])] for p in np.split(close, np.flatnonzero(np.diff(close) > 1) + 1)]
-        marks = [p for p, keep in zip(passes, spaced([self.dist[p] for p in passes], config.min_lap_metres)) if keep]
-        if len(marks) < 3:
-            return []
-        length = np.diff(self.dist[marks])
-        middle = float(np.median(length))
-        if middle <= 0 or math.sqrt(float(np.mean((length - middle) ** 2))) / middle > SCATTER:
-            return []
-        good = [(int(a), int(b)) for a, b, d in zip(marks[:-1], marks[1:], length) if 0.7 * middle < d < 1.4 * middle]
-        return good if len(good) >= 2 else []
-
-
-def _search(grid: DataFrame, source: str, config: ModelConfig) -> DataFrame:
-    """Laps of each ride from its anchor (columns ``anchor_lat``, ``anchor_lon``) or, without one, from the earliest place that works.
-
-    One task holds the track of one ride, at most ``max_samples`` rows.
-    """
-    names = [c.split()[0] for c in LAPS.split(", ")]
+def candidates(grid: DataFrame) -> DataFrame:
+    """``ride_id, anchor, rank`` of the places that may be a lap's line: every third second from the first one ridden to 60 % of the ride."""
+    n, first = F.count(F.lit(1)).over(RIDE.whole), F.min(F.when(F.col("riding"), F.col("i"))).over(RIDE.whole)
+    every = grid.withColumns({"_n": n, "_first": first, "_start": F.min("i").over(RIDE.whole)})
+    at = F.col("i") - F.col("_first")
+    every = every.where(F.col("riding") & (at % 3 == 0) & (F.col("i") - F.col("_start") < F.floor(F.col("_n") * 0.6)))
+    return every.select("ride_id", F.col("i").alias("anchor"), F.floor(at / 3).alias("rank"))
+
+
+def _tracks(grid: DataFrame) -> DataFrame:
+    """What the search needs of rides with places, and the cell of each second."""
+    known = (F.coalesce("lat", F.lit(0.0)) != 0) | (F.coalesce("lon", F.lit(0.0)) != 0)
+    rows = grid.select("ride_id", "i", F.coalesce("lat", F.lit(0.0)).alias("lat"), F.coalesce("lon", F.lit(0.0)).alias("lon"), "heading", "dist", known.alias("known"), (known & F.col("moving")).alias("riding"))
+    return rows
 
-    def find(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        track = Track(frame)
-        lat, lon = frame["anchor_lat"].iat[0], frame["anchor_lon"].iat[0]
-        placed = source == "manual"
-        tried = [track.nearest(lat, lon)] if placed else track.candidates()
-        found = next((laps for a in tried if a >= 0 and (laps := track.laps(int(a), config))), [])
-        return pd.DataFrame([(key[0], k + 1, a, b, source) for k, (a, b) in enumerate(found)], columns=names)
 
-    return grid.select("ride_id", "i", "lat", "lon", "heading", "dist", "moving", "anchor_lat", "anchor_lon").groupBy("ride_id").applyInPandas(find, LAPS)
+def passes(rows: DataFrame, anchors: DataFrame, config: ModelConfig) -> DataFrame:
+    """``ride_id, anchor, i, dist`` of each pass of an anchor, its nearest second: within ``lap_radius`` and the same way.
+
+    An equality join on cells as wide as the radius at the ride's farthest latitude; an anchor looks into nine of them.
+    """
+    radius = config.lap_radius
+    least_cos = F.greatest(F.min(F.when(F.col("known"), F.cos(F.radians("lat")))).over(RIDE.whole), F.lit(1e-6))
+    high = radius / DEGREE_M
+    cell = lambda df: df.withColumns({"cy": F.floor(F.col("lat") / high), "cx": F.floor(F.col("lon") * F.col("_cos") / high)})
+    rows = cell(rows.withColumn("_cos", least_cos).where("known"))
+    of = rows.select("ride_id", F.col("i").alias("anchor"), F.col("lat").alias("a_lat"), F.col("lon").alias("a_lon"), F.col("heading").alias("a_heading"), "cy", "cx").join(anchors, ["ride_id", "anchor"])
+    around = F.explode(F.array(*(F.struct((F.col("cy") + y).alias("cy"), (F.col("cx") + x).alias("cx")) for y in (-1, 0, 1) for x in (-1, 0, 1))))
+    seeking = of.withColumn("c", around).select("ride_id", "anchor", "a_lat", "a_lon", "a_heading", "c.cy", "c.cx")
+    per_lon = F.lit(DEGREE_M) * F.cos(F.radians("a_lat"))
+    away = F.hypot((F.col("lon") - F.col("a_lon")) * per_lon, (F.col("lat") - F.col("a_lat")) * DEGREE_M)
+    turn = F.abs(angle_delta(F.col("a_heading"), F.col("heading")))
+    close = rows.join(seeking.hint("merge"), ["ride_id", "cy", "cx"]).withColumn("away", away).where((F.col("away") < radius) & (turn < SAME_WAY))
+    by = Window.partitionBy("ride_id", "anchor")
+    close = close.withColumn("run", F.col("i") - F.row_number().over(by.orderBy("i")))
+    return close.groupBy("ride_id", "anchor", "run").agg(F.min_by(F.struct("i", "dist"), F.struct("away", "i")).alias("p")).select("ride_id", "anchor", "p.i", "p.dist")
+
+
+def anchor_laps(found: DataFrame, config: ModelConfig) -> DataFrame:
+    """``ride_id, anchor, laps`` (pairs of seconds) of the anchors whose passes describe a circuit.
+
+    Passes nearer than a shortest lap to the last one taken are left out; three or more must be left, at distances that scatter little.
+    """
+    marks = F.sort_array(F.collect_list(F.struct("i", "dist")))
+    # the passes of one anchor: at most a few thousand
+    spaced = F.aggregate(
+        F.slice(F.col("all"), 2, F.size("all")), F.slice(F.col("all"), 1, 1),
+        lambda kept, x: F.when(x["dist"] - F.element_at(kept, -1)["dist"] > config.min_lap_metres, F.concat(kept, F.array(x))).otherwise(kept),
+    )
+    by_anchor = found.groupBy("ride_id", "anchor").agg(marks.alias("all")).select("ride_id", "anchor", spaced.alias("marks")).where(F.size("marks") >= 3)
+    pairs = F.zip_with(F.slice("marks", 1, F.size("marks") - 1), F.slice("marks", 2, F.size("marks") - 1), lambda a, b: F.struct(a["i"].alias("i0"), b["i"].alias("i1"), (b["dist"] - a["dist"]).alias("len")))
+    sized = by_anchor.select("ride_id", "anchor", pairs.alias("pairs")).withColumn("sorted", F.sort_array(F.transform("pairs", lambda p: p["len"]))).withColumn("n", F.size("sorted"))
+    middle = (F.get("sorted", F.floor((F.col("n") - 1) / 2).cast("int")) + F.get("sorted", F.floor(F.col("n") / 2).cast("int"))) / 2
+    sized = sized.withColumn("mid", middle).withColumn("var", F.aggregate("sorted", F.lit(0.0), lambda s, d: s + F.pow(d - F.col("mid"), F.lit(2.0))) / F.col("n"))
+    good = F.filter("pairs", lambda p: (p["len"] > 0.7 * F.col("mid")) & (p["len"] < 1.4 * F.col("mid")))
+    fine = sized.where((F.col("mid") > 0) & (F.sqrt("var") / F.col("mid") <= SCATTER)).select("ride_id", "anchor", good.alias("laps"))
+    return fine.where(F.size("laps") >= 2)
+
+
+#: Candidates that the first round tries, and how many times more each later one does.
+FIRST_ROUND, MORE = 8, 8
+
+
+def _numbered(laps: DataFrame, source: str) -> DataFrame:
+    out = laps.select("ride_id", F.posexplode("laps").alias("at", "p"))
+    return out.select("ride_id", (F.col("at") + 1).cast("long").alias("lap"), F.col("p.i0").alias("i0"), F.col("p.i1").alias("i1"), F.lit(source).alias("source"))
+
+
+def placed_laps(grid: DataFrame, config: ModelConfig, within: float = 120.0) -> DataFrame:
+    """Laps from the second ridden nearest to the place (``anchor_lat``, ``anchor_lon``) that the rider set, if it is near."""
+    rows = _tracks(grid)
+    line = grid.groupBy("ride_id").agg(F.first("anchor_lat").alias("_la"), F.first("anchor_lon").alias("_lo"))
+    away = F.hypot((F.col("lon") - F.col("_lo")) * F.lit(DEGREE_M) * F.cos(F.radians("_la")), (F.col("lat") - F.col("_la")) * DEGREE_M)
+    near = rows.where("riding").join(line, "ride_id").withColumn("_away", away).where(F.col("_away") < within)
+    anchors = near.groupBy("ride_id").agg(F.min_by("i", F.struct("_away", "i")).alias("anchor"))
+    return _numbered(anchor_laps(passes(rows, anchors, config), config), "manual")
+
+
+def searched_laps(grid: DataFrame, config: ModelConfig, keep: Keep | None = None) -> DataFrame:
+    """Laps from the earliest place of each ride that it passes again and again.
+
+    Rides are settled in rounds: the first tries a few candidates of each ride, later ones ever more of what is left, so
+    most candidates of rides with a circuit are never joined, and there are as many rounds as the candidates have digits.
+    """
+    keep = keep or Staging(grid.sparkSession).put
+    rows = _tracks(grid)
+    every = candidates(rows)
+    done: list[DataFrame] = []
+    low, high = 0, FIRST_ROUND
+    while True:
+        left = every.where(F.col("rank") >= low)
+        for d in done:
+            left = left.join(d.select("ride_id"), "ride_id", "left_anti")
+        if low and left.agg(F.max("rank")).first()[0] is None:
+            break
+        now = left.where(F.col("rank") < high).drop("rank")
+        laps = anchor_laps(passes(rows.join(now.select("ride_id").distinct(), "ride_id", "left_semi"), now, config), config)
+        best = laps.groupBy("ride_id").agg(F.min_by("laps", "anchor").alias("laps"))
+        done.append(keep(best, f"round-{low}-{uuid.uuid4().hex}"))
+        low, high = high, high * MORE
+    return reduce(DataFrame.unionByName, (_numbered(d, "gps") for d in done))
 
 
 def marker_laps(marks: DataFrame, grid: DataFrame, seconds: int = 20, metres: float = 300.0, scatter: float = MARKER_SCATTER) -> DataFrame:
@@ -96,17 +140,17 @@ def marker_laps(marks: DataFrame, grid: DataFrame, seconds: int = 20, metres: fl
     return good.select("ride_id", F.row_number().over(whole.orderBy("i0")).cast("long").alias("lap"), "i0", "i1", F.lit("device").alias("source"))
 
 
-def detect_laps(grid: DataFrame, rides: DataFrame, marks: DataFrame, config: ModelConfig = ModelConfig()) -> DataFrame:
+def detect_laps(grid: DataFrame, rides: DataFrame, marks: DataFrame, config: ModelConfig = ModelConfig(), keep: Keep | None = None) -> DataFrame:
     """``ride_id, lap, i0, i1, source`` of every ride; one lap of source ``none`` where there is no circuit.
 
     Laps share their boundary seconds. Odd laps are left out before numbering.
     """
     placed = grid.join(rides.select("ride_id", "anchor_lat", "anchor_lon"), "ride_id", "left")
-    manual = _search(placed.where("anchor_lat is not null and lat is not null"), "manual", config)
+    manual = placed_laps(placed.where("anchor_lat is not null and lat is not null"), config)
     left = lambda df, *done: _without(df, *done)
     with_place = grid.where("lat is not null").select("ride_id").distinct()
     device = left(marker_laps(marks, grid).join(with_place, "ride_id", "left_semi"), manual)
-    gps = _search(left(placed.where("lat is not null"), manual, device), "gps", config)
+    gps = searched_laps(left(placed.where("lat is not null"), manual, device), config, keep)
     found = manual.unionByName(device).unionByName(gps)
     whole = left(grid, found).groupBy("ride_id").agg(F.min("i").alias("i0"), F.max("i").alias("i1")).select("ride_id", F.lit(1).cast("long").alias("lap"), "i0", "i1", F.lit("none").alias("source"))
     return found.unionByName(whole)
