@@ -25,10 +25,10 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import map_arrow
+from cadenza.llm.common import discard, map_arrow, stage
 
 BLOCK = 576
 SEEK = np.dtype([("sample", ">u8"), ("offset", ">u8"), ("samples", ">u2")])
@@ -604,3 +604,25 @@ def decode_column(df: DataFrame, media: str = "media", pcm: str = "pcm") -> Data
         return each
 
     return map_arrow(df, make, schema, rows=600)
+
+
+#: Parts that ``store_and_read`` works through one after the other.
+PARTS = 2
+
+
+def store_and_read(df: DataFrame, *columns: Column | str, text: str = "text", parts: int = PARTS) -> DataFrame:
+    """``columns`` of df with ``n_bytes``, ``media``, ``pcm`` and ``feature``, from streams that are written and then read back.
+
+    Each text's stream is written once, to a table ``media-…`` in the shared folder. Streams of text are larger than the
+    texts' own compressed table, so they are stored in parts, by a hash of the text: a part is written, read back, and
+    deleted when what was asked of it is staged. All parts together are all rows. Who wants to keep the streams writes
+    ``encode_column``'s result where they shall stay.
+    """
+    found = None
+    for part in range(parts):
+        own = df.where(F.pmod(F.xxhash64(text), F.lit(parts)) == part)
+        media = stage(encode_column(own, text), "media")
+        read = stage(decode_column(media).select(*columns), "media-features")
+        discard(media)
+        found = read if found is None else found.unionByName(read)
+    return found

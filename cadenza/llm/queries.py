@@ -13,10 +13,9 @@ from cadenza.llm.common import read_table
 
 def op1_media_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text as an 8-bit FLAC stream, and what its stored bytes give when they are decoded."""
-    stored = flac.encode_column(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    read = flac.decode_column(stored)
     tail = F.expr("substring(pcm, length(pcm) - 31, 32)")
-    return read.select(
+    return flac.store_and_read(
+        read_table(spark, sf_dir, "documents").select("doc_id", "text"),
         "doc_id",
         "n_bytes",
         F.length("pcm").cast("long").alias("payload_bytes"),
