@@ -23,39 +23,31 @@ LAPS = "ride_id string, lap long, i0 long, i1 long, source string"
 SAME_WAY, SCATTER, MARKER_SCATTER = 1.22, 0.22, 0.15
 
 
-def candidates(grid: DataFrame) -> DataFrame:
-    """``ride_id, anchor, rank`` of the places that may be a lap's line: every third second from the first one ridden to 60 % of the ride."""
-    n, first = F.count(F.lit(1)).over(RIDE.whole), F.min(F.when(F.col("riding"), F.col("i"))).over(RIDE.whole)
-    every = grid.withColumns({"_n": n, "_first": first, "_start": F.min("i").over(RIDE.whole)})
-    at = F.col("i") - F.col("_first")
-    every = every.where(F.col("riding") & (at % 3 == 0) & (F.col("i") - F.col("_start") < F.floor(F.col("_n") * 0.6)))
-    return every.select("ride_id", F.col("i").alias("anchor"), F.floor(at / 3).alias("rank"))
-
-
-def _tracks(grid: DataFrame) -> DataFrame:
-    """What the search needs of rides with places, and the cell of each second."""
+def tracks(grid: DataFrame, config: ModelConfig) -> DataFrame:
+    """What the search needs of each second with a place: the cell that it lies in, as wide as ``lap_radius`` at the ride's farthest
+    latitude, and its ``rank`` if it may be a lap's line: every third second from the first one ridden to 60 % of the ride."""
     known = (F.coalesce("lat", F.lit(0.0)) != 0) | (F.coalesce("lon", F.lit(0.0)) != 0)
     rows = grid.select("ride_id", "i", F.coalesce("lat", F.lit(0.0)).alias("lat"), F.coalesce("lon", F.lit(0.0)).alias("lon"), "heading", "dist", known.alias("known"), (known & F.col("moving")).alias("riding"))
-    return rows
+    high = config.lap_radius / DEGREE_M
+    least_cos = F.greatest(F.min(F.when(F.col("known"), F.cos(F.radians("lat")))).over(RIDE.whole), F.lit(1e-6))
+    first = F.min(F.when(F.col("riding"), F.col("i"))).over(RIDE.whole)
+    rows = rows.withColumns({"_since": F.col("i") - first, "_end": F.min("i").over(RIDE.whole) + F.floor(F.count(F.lit(1)).over(RIDE.whole) * 0.6), "_cos": least_cos})
+    rank = F.when(F.col("riding") & (F.col("_since") % 3 == 0) & (F.col("i") < F.col("_end")), F.floor(F.col("_since") / 3))
+    rows = rows.withColumns({"rank": rank, "cy": F.floor(F.col("lat") / high), "cx": F.floor(F.col("lon") * F.col("_cos") / high)})
+    return rows.where("known").drop("known", "_since", "_end", "_cos")
 
 
 def passes(rows: DataFrame, anchors: DataFrame, config: ModelConfig) -> DataFrame:
-    """``ride_id, anchor, i, dist`` of each pass of an anchor, its nearest second: within ``lap_radius`` and the same way.
+    """``ride_id, anchor, i, dist`` of each pass of an anchor (a row of the tracks), its nearest second: within ``lap_radius`` and the same way.
 
-    An equality join on cells as wide as the radius at the ride's farthest latitude; an anchor looks into nine of them.
+    An equality join on cells; an anchor looks into nine of them.
     """
-    radius = config.lap_radius
-    least_cos = F.greatest(F.min(F.when(F.col("known"), F.cos(F.radians("lat")))).over(RIDE.whole), F.lit(1e-6))
-    high = radius / DEGREE_M
-    cell = lambda df: df.withColumns({"cy": F.floor(F.col("lat") / high), "cx": F.floor(F.col("lon") * F.col("_cos") / high)})
-    rows = cell(rows.withColumn("_cos", least_cos).where("known"))
-    of = rows.select("ride_id", F.col("i").alias("anchor"), F.col("lat").alias("a_lat"), F.col("lon").alias("a_lon"), F.col("heading").alias("a_heading"), "cy", "cx").join(anchors, ["ride_id", "anchor"])
     around = F.explode(F.array(*(F.struct((F.col("cy") + y).alias("cy"), (F.col("cx") + x).alias("cx")) for y in (-1, 0, 1) for x in (-1, 0, 1))))
-    seeking = of.withColumn("c", around).select("ride_id", "anchor", "a_lat", "a_lon", "a_heading", "c.cy", "c.cx")
+    seeking = anchors.withColumn("c", around).select("ride_id", F.col("i").alias("anchor"), F.col("lat").alias("a_lat"), F.col("lon").alias("a_lon"), F.col("heading").alias("a_heading"), "c.cy", "c.cx")
     per_lon = F.lit(DEGREE_M) * F.cos(F.radians("a_lat"))
     away = F.hypot((F.col("lon") - F.col("a_lon")) * per_lon, (F.col("lat") - F.col("a_lat")) * DEGREE_M)
     turn = F.abs(angle_delta(F.col("a_heading"), F.col("heading")))
-    close = rows.join(seeking.hint("merge"), ["ride_id", "cy", "cx"]).withColumn("away", away).where((F.col("away") < radius) & (turn < SAME_WAY))
+    close = rows.select("ride_id", "i", "lat", "lon", "heading", "dist", "cy", "cx").join(seeking, ["ride_id", "cy", "cx"]).withColumn("away", away).where((F.col("away") < config.lap_radius) & (turn < SAME_WAY))
     by = Window.partitionBy("ride_id", "anchor")
     close = close.withColumn("run", F.col("i") - F.row_number().over(by.orderBy("i")))
     return close.groupBy("ride_id", "anchor", "run").agg(F.min_by(F.struct("i", "dist"), F.struct("away", "i")).alias("p")).select("ride_id", "anchor", "p.i", "p.dist")
@@ -93,11 +85,11 @@ def _numbered(laps: DataFrame, source: str) -> DataFrame:
 
 def placed_laps(grid: DataFrame, config: ModelConfig, within: float = 120.0) -> DataFrame:
     """Laps from the second ridden nearest to the place (``anchor_lat``, ``anchor_lon``) that the rider set, if it is near."""
-    rows = _tracks(grid)
+    rows = tracks(grid, config)
     line = grid.groupBy("ride_id").agg(F.first("anchor_lat").alias("_la"), F.first("anchor_lon").alias("_lo"))
     away = F.hypot((F.col("lon") - F.col("_lo")) * F.lit(DEGREE_M) * F.cos(F.radians("_la")), (F.col("lat") - F.col("_la")) * DEGREE_M)
     near = rows.where("riding").join(line, "ride_id").withColumn("_away", away).where(F.col("_away") < within)
-    anchors = near.groupBy("ride_id").agg(F.min_by("i", F.struct("_away", "i")).alias("anchor"))
+    anchors = near.groupBy("ride_id").agg(F.min_by(F.struct(*(c for c in rows.columns if c != "ride_id")), F.struct("_away", "i")).alias("a")).select("ride_id", "a.*")
     return _numbered(anchor_laps(passes(rows, anchors, config), config), "manual")
 
 
@@ -108,21 +100,20 @@ def searched_laps(grid: DataFrame, config: ModelConfig, keep: Keep | None = None
     most candidates of rides with a circuit are never joined, and there are as many rounds as the candidates have digits.
     """
     keep = keep or Staging(grid.sparkSession).put
-    rows = _tracks(grid)
-    every = candidates(rows)
+    rows = keep(tracks(grid, config), f"tracks-{uuid.uuid4().hex}")
     done: list[DataFrame] = []
     low, high = 0, FIRST_ROUND
     while True:
-        left = every.where(F.col("rank") >= low)
+        left = rows.where(F.col("rank") >= low)
         for d in done:
             left = left.join(d.select("ride_id"), "ride_id", "left_anti")
-        if low and left.agg(F.max("rank")).first()[0] is None:
+        if not left.head(1):
             break
-        now = left.where(F.col("rank") < high).drop("rank")
-        laps = anchor_laps(passes(rows.join(now.select("ride_id").distinct(), "ride_id", "left_semi"), now, config), config)
-        best = laps.groupBy("ride_id").agg(F.min_by("laps", "anchor").alias("laps"))
+        best = anchor_laps(passes(rows, left.where(F.col("rank") < high), config), config).groupBy("ride_id").agg(F.min_by("laps", "anchor").alias("laps"))
         done.append(keep(best, f"round-{low}-{uuid.uuid4().hex}"))
         low, high = high, high * MORE
+    if not done:
+        return grid.sparkSession.createDataFrame([], LAPS)
     return reduce(DataFrame.unionByName, (_numbered(d, "gps") for d in done))
 
 
@@ -145,14 +136,16 @@ def detect_laps(grid: DataFrame, rides: DataFrame, marks: DataFrame, config: Mod
 
     Laps share their boundary seconds. Odd laps are left out before numbering.
     """
-    placed = grid.join(rides.select("ride_id", "anchor_lat", "anchor_lon"), "ride_id", "left")
-    manual = placed_laps(placed.where("anchor_lat is not null and lat is not null"), config)
-    left = lambda df, *done: _without(df, *done)
-    with_place = grid.where("lat is not null").select("ride_id").distinct()
-    device = left(marker_laps(marks, grid).join(with_place, "ride_id", "left_semi"), manual)
-    gps = searched_laps(left(placed.where("lat is not null"), manual, device), config, keep)
-    found = manual.unionByName(device).unionByName(gps)
-    whole = left(grid, found).groupBy("ride_id").agg(F.min("i").alias("i0"), F.max("i").alias("i1")).select("ride_id", F.lit(1).cast("long").alias("lap"), "i0", "i1", F.lit("none").alias("source"))
+    keep = keep or Staging(grid.sparkSession).put
+    with_place = grid.where("lat is not null")
+    given = marker_laps(marks, grid).join(with_place.select("ride_id").distinct(), "ride_id", "left_semi")
+    anchors = rides.select("ride_id", "anchor_lat", "anchor_lon").where("anchor_lat is not null")
+    if anchors.head(1):
+        manual = keep(placed_laps(with_place.join(anchors, "ride_id"), config), f"placed-{uuid.uuid4().hex}")
+        given = manual.unionByName(_without(given, manual))
+    given = keep(given, f"given-{uuid.uuid4().hex}")
+    found = given.unionByName(searched_laps(_without(with_place, given), config, keep))
+    whole = _without(grid, found).groupBy("ride_id").agg(F.min("i").alias("i0"), F.max("i").alias("i1")).select("ride_id", F.lit(1).cast("long").alias("lap"), "i0", "i1", F.lit("none").alias("source"))
     return found.unionByName(whole)
 
 

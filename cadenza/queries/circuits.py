@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cadenza.config import ModelConfig
 from cadenza.functions.geo import DEGREE_M
 from cadenza.plans import laps
+from cadenza.plans.staging import Staging
 from cadenza.queries.registry import query, table
 
 #: Seconds of a ride, metres of a lap, seconds of the way to it.
@@ -78,7 +79,7 @@ SELECT * FROM x UNION ALL SELECT ride_id, 1, min(i), max(i), 'none' FROM g WHERE
 """)
 def lap_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Laps found from repeated passes of a place, where nobody marked any."""
-    grid = circuit_rides(spark, sf_dir)
+    grid = Staging(spark).put(circuit_rides(spark, sf_dir), "grid")
     rides = grid.select("ride_id").distinct().withColumns({"anchor_lat": F.lit(None).cast("double"), "anchor_lon": F.lit(None).cast("double")})
     marks = rides.select("ride_id", F.lit(None).cast("array<long>").alias("marks"))
     return laps.detect_laps(grid, rides, marks, CONFIG)
