@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.queries.registry import query, table
+from cadenza.streaming.history import live_history, live_within
 from cadenza.streaming.sessions import live_load, live_reserve, live_sessions
 
 
@@ -72,3 +73,30 @@ def stream_reserve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A reserve that follows each user's stream."""
     found = run_to_end(spark, live_reserve(_events(spark, sf_dir).select("user_id", "at", "value"), "user_id", "at", "value", 40.0, 500.0))
     return found.select("user_id", F.unix_micros("at").alias("at_us"), F.round("balance", 6).alias("balance"))
+
+
+@query("""
+WITH m AS (SELECT max(ts) - INTERVAL 1 MINUTE AS mark FROM events), e AS (
+  SELECT user_id, ts, value, lead(ts) OVER (PARTITION BY user_id ORDER BY ts) AS next,
+         avg(value) OVER h AS mean, count(*) OVER h AS n, first_value(value) OVER r AS v0, first_value(ts) OVER r AS t0
+  FROM events WINDOW h AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 12 HOUR PRECEDING AND CURRENT ROW), r AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 3 HOUR PRECEDING AND CURRENT ROW)
+)
+SELECT user_id, epoch_us(ts) AS at_us, 'sample' AS kind, round(mean, 6) AS mean, round(CASE WHEN t0 < ts THEN (value - v0) / (epoch(ts) - epoch(t0)) ELSE 0 END, 6) AS rate, n FROM e
+UNION ALL
+SELECT user_id, epoch_us(ts + INTERVAL 24 HOUR), 'stop', NULL, NULL, 0 FROM e, m WHERE coalesce(next > ts + INTERVAL 24 HOUR, ts + INTERVAL 24 HOUR < mark)
+""")
+def stream_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Means of the last twelve hours, rates of the last three and days without an event, of each user's stream."""
+    hour = 3600.0
+    found = run_to_end(spark, live_history(_events(spark, sf_dir).select("user_id", "at", "value"), "user_id", "at", "value", 12 * hour, 3 * hour, 24 * hour))
+    return found.select("user_id", F.col("at").alias("at_us"), "kind", F.round("mean", 6).alias("mean"), F.round("rate", 6).alias("rate"), "n")
+
+
+@query("""
+SELECT e.event_id FROM events e WHERE e.event_type = 'purchase' AND EXISTS (
+  SELECT 1 FROM events s WHERE s.user_id = e.user_id AND s.event_type = 'signup' AND e.ts >= s.ts - INTERVAL 2 HOUR AND e.ts <= s.ts + INTERVAL 7 HOUR)
+""")
+def stream_within(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Purchases from two hours before to seven hours after a signup of the same user, both read as streams."""
+    side = lambda kind: _events(spark, sf_dir).where(F.col("event_type") == kind).select("event_id", "user_id", "at")
+    return run_to_end(spark, live_within(side("purchase"), side("signup"), "user_id", "at", "2 HOURS", "7 HOURS")).select("event_id")
