@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import math
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -56,28 +59,73 @@ def same_circuit_pairs(circuits: DataFrame) -> DataFrame:
     return pairs.select(F.col("a_ride_id").alias("a"), F.col("b_ride_id").alias("b"), apart.alias("apart"), ratio.alias("length_ratio")).distinct()
 
 
+#: Degrees of latitude in a cell, somewhat more than ``APART``; the largest exponent of a cell's width.
+CELL, WIDEST = 0.0025, 12
+
+
+def _level(lat: Column) -> Column:
+    """How often a cell's width is doubled at a latitude, so that it stays as wide in metres as it is high."""
+    return F.least(F.ceil(F.log2(1 / F.greatest(F.cos(F.radians(lat)), F.lit(2.0**-WIDEST)))), F.lit(WIDEST)).cast("long")
+
+
+def _across(lon: Column, level: Column) -> Column:
+    return F.floor(lon / (CELL * F.pow(F.lit(2.0), level))).cast("long")
+
+
+def _in_cells(rides: DataFrame) -> DataFrame:
+    """rides with the cell they lie in: ``_k`` (level), ``_y``, ``_x`` and, by length, ``_z``."""
+    size = F.floor(F.log(F.col("lap_len")) / -math.log(1 - LENGTH)).cast("long")
+    level = _level(F.col("lat"))
+    return rides.withColumns({"_k": level, "_y": F.floor(F.col("lat") / CELL).cast("long"), "_x": _across(F.col("lon"), level), "_z": size})
+
+
+def _around(rides: DataFrame) -> DataFrame:
+    """A row for each cell where what is the same as a ride may lie: rides of ``_in_cells``, copied to those beside their own."""
+    levels = F.array_distinct(F.array(*(_level(F.col("lat") + d) for d in (-CELL, 0.0, CELL))))
+    beside = lambda c: F.explode(F.sequence(F.col(c) - 1, F.col(c) + 1))
+    out = rides.withColumn("_k", F.explode(levels))
+    return out.withColumn("_x", _across(F.col("lon"), F.col("_k"))).withColumn("_y", beside("_y")).withColumn("_x", beside("_x")).withColumn("_z", beside("_z"))
+
+
+CELLS = ["_k", "_y", "_x", "_z"]
+
+
+def _meet(rides: DataFrame, leaders: DataFrame) -> DataFrame:
+    """Rides with each leader before them that was on the same circuit; a ride meets only the leaders of cells near its own."""
+    of = _around(_in_cells(leaders)).select(*CELLS, F.col("ride_id").alias("l_id"), F.col("_rank").alias("l_rank"), F.col("lat").alias("l_lat"), F.col("lon").alias("l_lon"), F.col("lap_len").alias("l_len"))
+    ratio = F.try_divide(F.abs(F.col("lap_len") - F.col("l_len")), F.greatest("lap_len", "l_len"))
+    own, other = (F.col("lat"), F.col("lon")), (F.col("l_lat"), F.col("l_lon"))
+    apart = F.when(F.col("ride_id") < F.col("l_id"), planar_metres(*own, *other)).otherwise(planar_metres(*other, *own))
+    return _in_cells(rides).join(of, CELLS).where((F.col("l_rank") < F.col("_rank")) & (apart < APART) & (F.coalesce(ratio, F.lit(1.0)) < LENGTH))
+
+
 def circuit_groups(circuits: DataFrame, order: str = "ride_id", keep: Callable[[DataFrame, str], DataFrame] | None = None) -> DataFrame:
     """circuits with ``circuit_id`` and ``races``, circuits with most races first: rides in order, each joins the first
     group whose first ride was on the same circuit; that ride gives the group its id.
 
-    Pairs on the same circuit come from cells, whatever the places. Of these each round settles the rides whose earliest
-    pair that may lead is settled: it leads (they join it), or none is left (they lead).
+    An index of leaders. In each round the first open ride of each cell is found by a grouped minimum; it leads if none
+    before it is open in the cells around. Open rides then meet the round's leaders, a few a cell, and those on the same
+    circuit as an earlier one follow, so they lead nobody. When all lead or follow, followers meet all leaders near them
+    and join the first. Rides never meet each other, so a million of them on one circuit are a million rows of work.
+    Circuits without a place or a length are groups of their own.
     """
     keep = keep or Staging(circuits.sparkSession).put
+    tag = uuid.uuid4().hex
     rank = F.struct(order, "ride_id") if order != "ride_id" else F.struct("ride_id")
-    ranks = circuits.select("ride_id", rank.alias("_rank"))
-    pairs = same_circuit_pairs(circuits).select("a", "b")
-    both = pairs.union(pairs.select("b", "a")).join(ranks.select(F.col("ride_id").alias("a"), F.col("_rank").alias("_ra")), "a").join(ranks.select(F.col("ride_id").alias("b"), F.col("_rank").alias("_rb")), "b")
-    earlier = keep(both.where("_ra < _rb").select(F.col("a").alias("first"), "_ra", F.col("b").alias("ride_id")), "earlier")
-    state = keep(circuits.select("ride_id", F.lit(None).cast("string").alias("leader")), "state_0")
-    at = 0
-    while state.where("leader is null").head(1):
-        known = state.select(F.col("ride_id").alias("first"), F.col("leader").alias("_of"))
-        # followers lead nobody
-        may = earlier.join(known, "first").where("_of is null or _of = first").groupBy("ride_id").agg(F.min_by(F.struct("first", "_of"), "_ra").alias("m"))
-        settled = F.when(F.col("m").isNull(), F.col("ride_id")).when(F.col("m._of").isNotNull(), F.col("m.first"))
+    slim = keep(circuits.select("ride_id", rank.alias("_rank"), *(F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")).alias(c) for c in ("lat", "lon", "lap_len"))), f"circuits-{tag}")
+    placed = "lat IS NOT NULL AND lon IS NOT NULL AND lap_len > 0"
+    open_, leaders, at = slim.where(placed), [], 0
+    while open_.head(1):
+        firsts = _in_cells(open_).groupBy(*CELLS).agg(F.min(F.struct("_rank", "ride_id", "lat", "lon", "lap_len")).alias("m")).select(*CELLS, "m.*")
+        claims = _around(firsts).groupBy(*CELLS).agg(F.min("_rank").alias("_least"))
+        lead = keep(firsts.join(claims, CELLS).where("_rank <= _least").drop(*CELLS, "_least"), f"leaders-{at}-{tag}")
+        leaders.append(lead)
+        gone = _meet(open_, lead).select("ride_id").union(lead.select("ride_id"))
+        open_ = keep(open_.join(gone.distinct(), "ride_id", "left_anti"), f"open-{at}-{tag}")
         at += 1
-        state = keep(state.join(may, "ride_id", "left").select("ride_id", F.coalesce("leader", settled).alias("leader")), f"state_{at}")
+    every = reduce(DataFrame.union, (d.select(*slim.columns) for d in leaders)) if leaders else slim.limit(0)
+    joined = _meet(slim.where(placed), every).groupBy("ride_id").agg(F.min_by("l_id", "l_rank").alias("leader"))
+    state = keep(slim.select("ride_id").join(joined, "ride_id", "left").select("ride_id", F.coalesce("leader", "ride_id").alias("leader")), f"groups-{tag}")
     races = state.groupBy("leader").agg(F.count(F.lit(1)).alias("races"))
     named = circuits.join(state, "ride_id").join(races, "leader").withColumnRenamed("leader", "circuit_id")
     return named.select(*circuits.columns, "circuit_id", "races").orderBy(F.col("races").desc(), "circuit_id", order)

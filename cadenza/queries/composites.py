@@ -255,6 +255,31 @@ def _circuits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select(k.cast("string").alias("ride_id"), (45.49 + (k * 7919 % 1000) / 50000).alias("lat"), (7 + (k * 104729 % 1000) / 50000).alias("lon"), (1000 + F.col("c_nationkey") * 40).cast("double").alias("lap_len"))
 
 
+#: Customers as circuits in three hundred towns, up to 220 m and 16 % of their length apart within one.
+_TOWNS = """SELECT CAST(c_custkey AS VARCHAR) AS ride_id, 45 + (c_custkey * 7919 % 300) / 10 + (c_custkey * 31 % 100) / 50000 AS lat, 7 + (c_custkey * 104729 % 10) / 10 + (c_custkey * 17 % 100) / 50000 AS lon,
+  CAST(1000 + c_nationkey % 5 * 40 AS DOUBLE) AS lap_len FROM customer"""
+
+
+@query(f"""
+WITH RECURSIVE c AS (
+  SELECT *, row_number() OVER (ORDER BY ride_id) AS k FROM ({_TOWNS})
+), f AS (
+  SELECT CAST(0 AS BIGINT) AS k, CAST('' AS VARCHAR) AS ride_id, CAST('' AS VARCHAR) AS circuit_id, CAST([] AS STRUCT(id VARCHAR, lat DOUBLE, lon DOUBLE, len DOUBLE)[]) AS led
+  UNION ALL
+  SELECT k, ride_id, coalesce(found, ride_id), CASE WHEN found IS NULL THEN list_append(led, struct_pack(id := ride_id, lat := lat, lon := lon, len := lap_len)) ELSE led END FROM (
+    SELECT c.k, c.ride_id, c.lat, c.lon, c.lap_len, f.led, list_filter(f.led, lambda l: sqrt(pow((c.lon - l.lon) * 111320 * cos(radians(l.lat)), 2) + pow((c.lat - l.lat) * 111320, 2)) < 250 AND abs(c.lap_len - l.len) / greatest(c.lap_len, l.len) < 0.12)[1].id AS found
+    FROM f JOIN c ON c.k = f.k + 1)
+)
+SELECT ride_id, circuit_id, count(*) OVER (PARTITION BY circuit_id) AS races FROM f WHERE k > 0
+""")
+def circuit_leaders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places in groups, each led by the first of it."""
+    k = F.col("c_custkey")
+    lat, lon = 45 + (k * 7919 % 300) / 10 + (k * 31 % 100) / 50000, 7 + (k * 104729 % 10) / 10 + (k * 17 % 100) / 50000
+    towns = table(spark, sf_dir, "customer").select(k.cast("string").alias("ride_id"), lat.alias("lat"), lon.alias("lon"), (1000 + F.col("c_nationkey") % 5 * 40).cast("double").alias("lap_len"))
+    return compare.circuit_groups(towns).select("ride_id", "circuit_id", "races")
+
+
 @query(f"""
 WITH c AS ({_CIRCUITS}), p AS (
   SELECT a.ride_id AS a, b.ride_id AS b, sqrt(pow((b.lon - a.lon) * 111320 * cos(radians(a.lat)), 2) + pow((b.lat - a.lat) * 111320, 2)) AS apart, abs(a.lap_len - b.lap_len) / greatest(a.lap_len, b.lap_len) AS ratio

@@ -19,10 +19,15 @@ from cadenza.sources.synthetic import Truth, circuit
 TABLES = ("laps", "mean_lap", "turns", "turn_events", "sector_cells", "sector_totals", "surges", "headings", "summary", "finale", "hr", "shape", "fitness", "wind", "compare", "findings", "race_window", "lap_info", "phases")
 
 
+#: Events of a ride.
+SECONDS = 2500
+
+
 def rides_of_events(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(rides, samples): all events of a type and of users with one remainder by four are a ride, an event a second, in the order
-    of time. Values are watts and speeds; places follow from the distance ridden around a small circuit."""
-    e = table(spark, sf_dir, "events").withColumn("ride_id", F.concat_ws("-", "event_type", F.col("user_id") % 4))
+    """(rides, samples): every ``SECONDS`` events in the order of their ids are a ride, an event a second in the order of time, so
+    rides multiply with the table and none grows. Values are watts and speeds; places follow from the distance ridden
+    around a small circuit."""
+    e = table(spark, sf_dir, "events").withColumn("ride_id", F.concat(F.lit("ride-"), F.floor(F.col("event_id") / SECONDS)))
     w = Window.partitionBy("ride_id").orderBy("ts", "event_id")
     e = e.withColumns({"seq": (F.row_number().over(w) - 1).cast("long"), "v": 9.0 + F.col("value") % 3})
     e = e.withColumn("dist", F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, 0)))

@@ -74,16 +74,16 @@ def test_mean_lap_closes(report):
 def test_corners(report):
     turns = one(report, "turns")
     assert len(turns) == 4 and {t["dir"] for t in turns} == {"right"} and {t["type"] for t in turns} == {"square"}
-    assert all(abs(t["turned"] - 90) < 20 and 0.75 * 16 < t["radius"] < 1.25 * 16 for t in turns)
+    assert all(abs(t["turned"] - 90) < 20 and 0.75 < t["radius"] / Truth().corner < 1.25 for t in turns)
     assert all(t["passes"] >= 20 and t["loss_v"] > 1 and t["exit_kj_total"] == pytest.approx(t["exit_kj"] * t["passes"]) for t in turns)
     assert sorted(t["number"] for t in turns) == [1, 2, 3, 4]
 
 
 def test_calibration(report):
     wind = one(report, "wind")[0]
-    apart = abs((wind["dir_from"] - 250 + 180) % 360 - 180)
-    assert wind["ok"] and apart < 60 and abs(wind["speed"] - 2.6) < 2
-    assert abs(wind["cda"] - 0.318) < 0.09
+    apart = abs((wind["dir_from"] - Truth().wind_from + 180) % 360 - 180)
+    assert wind["ok"] and apart < 60 and abs(wind["speed"] - Truth().wind) < 2
+    assert abs(wind["cda"] - Truth().cda) < 0.09
 
 
 def test_leak_and_sectors(report):
@@ -160,7 +160,7 @@ def test_measured_wind(spark, races):
     """Weather at 350 and 10 degrees passes through north, and calibration with it recovers the drag area."""
     factor = weather.shelter_factor(0.1)
     site = lambda name, dirs, speed: [(name, 3600.0 * k, 24.0, 62.0, 1009.0, speed, d, None, None, None) for k, d in enumerate(dirs)]
-    wx = spark.createDataFrame(site("x", (250.0, 250.0), 2.6 / factor) + site("north", (350.0, 10.0), 4.0), WEATHER)
+    wx = spark.createDataFrame(site("x", (Truth().wind_from, Truth().wind_from), Truth().wind / factor) + site("north", (350.0, 10.0), 4.0), WEATHER)
     at = weather.at_times(spark.createDataFrame([("north", 1800.0), ("north", -9e5), ("north", 9e9)], "site string, s double"), wx, "s").orderBy("s").collect()
     assert at[1]["wx_n"] < 0 and abs(at[1]["wx_e"]) < 1e-9
     assert at[0]["wx_e"] == pytest.approx(-4 * math.sin(math.radians(350))) and at[2]["wx_e"] == pytest.approx(-4 * math.sin(math.radians(10)))
@@ -170,7 +170,7 @@ def test_measured_wind(spark, races):
     grid = prepare.prepare(samples, rides, config).persist()
     settings = settings_of(rides, weather.ride_density(grid, rides, wx, config), config)
     wind = calibrate.resolve_wind(weather.with_wind(grid, rides, wx, config).join(settings, "ride_id"), config).first()
-    assert wind["source"] == "weather" and wind["speed"] == pytest.approx(2.6, abs=1e-6) and abs(wind["cda"] - 0.318) < 0.07
+    assert wind["source"] == "weather" and wind["speed"] == pytest.approx(Truth().wind, abs=1e-6) and abs(wind["cda"] - Truth().cda) < 0.07
     sky = weather.conditions(spark.createDataFrame([("demo", "x", 10.0, 2400.0)], "ride_id string, site string, start_s double, end_s double"), wx).first()
-    assert sky["wind_dir"] == pytest.approx(250) and sky["temp"] == pytest.approx(24)
+    assert sky["wind_dir"] == pytest.approx(Truth().wind_from) and sky["temp"] == pytest.approx(24)
 

@@ -98,3 +98,40 @@ def test_settings_are_finite(spark):
 def test_corner_matrix_has_every_corner(spark):
     turns = spark.createDataFrame([("x", n, 1.0) for n in range(1, 20)], "ride_id string, number int, loss_v double")
     assert compare.turn_matrix(turns).first()["19"] == pytest.approx(3.6)
+
+
+def test_rides_of_events_stay_bounded(spark):
+    """However many events there are, each ride has as many seconds, far from the longest that are analysed."""
+    from cadenza.config import ModelConfig
+    from cadenza.queries import rides
+
+    sizes = {}
+    for sf in ("sf0.001", "sf0.01", "sf0.1"):
+        found = rides.rides_of_events(spark, f"/root/testdata/{sf}")[1].groupBy("ride_id").count().collect()
+        sizes[sf] = (len(found), max(r["count"] for r in found))
+    assert all(longest <= rides.SECONDS < ModelConfig().max_samples for _, longest in sizes.values())
+    assert sizes["sf0.1"][0] == 10 * sizes["sf0.01"][0]
+
+
+def test_rides_on_one_circuit_meet_leaders_only(spark):
+    """Ten thousand rides on one circuit: each meets one leader, once to follow and once to join."""
+    from cadenza.plans import compare
+
+    df = spark.range(10_000).selectExpr("concat('r', id) ride_id", "45 + (id % 7) / 1e6 lat", "7 + (id % 5) / 1e6 lon", "1000D lap_len")
+    met, inner = [], compare._meet
+    compare._meet = lambda rides, leaders: (met.append(inner(rides, leaders).count()), inner(rides, leaders))[1]
+    try:
+        out = compare.circuit_groups(df)
+        assert out.select("circuit_id", "races").distinct().collect() == [("r0", 10_000)]
+    finally:
+        compare._meet = inner
+    assert sum(met) == 2 * 9_999
+
+
+def test_circuits_without_place_or_length_lead_themselves(spark):
+    from cadenza.plans import compare
+
+    rows = [("a", None, 7.0, 1000.0), ("b", 45.0, 7.0, None), ("c", 45.0, 7.0, float("nan")), ("d", 45.0, 7.0, 0.0), ("e", 45.0, 7.0, 1000.0), ("f", 45.0, 7.0, 1100.0), ("g", 89.99999, 7.0, 1000.0)]
+    df = spark.createDataFrame(rows, "ride_id string, lat double, lon double, lap_len double")
+    assert {r["ride_id"]: r["circuit_id"] for r in compare.circuit_groups(df).collect()} == {"a": "a", "b": "b", "c": "c", "d": "d", "e": "e", "f": "e", "g": "g"}
+    assert compare.circuit_groups(df.limit(0)).count() == 0
