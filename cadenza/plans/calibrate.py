@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from cadenza.config import ModelConfig
 from cadenza.functions.physics import GRAVITY, power_terms
 from cadenza.functions.wind import sector_of, shelter_factor, wind_bearing, wind_vector
+from cadenza.operators.series import RIDE
 from cadenza.plans.staging import Staging
 
 #: Bounds of drag areas and how often the bracket is halved.
@@ -152,8 +153,7 @@ class WindFit:
     """Wind and drag area together: the wind with which all headings look equally hard."""
 
     def __init__(self, frame: pd.DataFrame, config: ModelConfig) -> None:
-        step = max(1, len(frame) // 450)
-        self.rows, self.config = frame.iloc[::step], config
+        self.rows, self.config = frame, config
         self.watts, self.v, self.heading = (self.rows[c].to_numpy(float) for c in ("watts", "v", "heading"))
         theta, accel, mass = (self.rows[c].to_numpy(float) for c in ("theta", "accel", "mass"))
         road = mass * GRAVITY * (np.sin(theta) + config.crr * np.cos(theta)) + (mass + config.rotating_mass) * accel
@@ -191,15 +191,20 @@ class WindFit:
         return float(best[0]), float(best[1]), cda, cost
 
 
+#: A ride's seconds are thinned evenly to at least so many, fewer than twice as many.
+SAMPLE = 450
 FIT = "ride_id string, we double, wn double, cda double, ok boolean, spread int, cohort_size long, note string"
 
 
 def fit_wind(cohort: DataFrame, config: ModelConfig) -> DataFrame:
     """Wind, drag area, spread of headings and a note for each ride of the cohort."""
-    rows = cohort.select("ride_id", "i", "watts", "v", "theta", "accel", "heading", "mass", "cp", "rho")
+    n, place = F.count(F.lit(1)).over(RIDE.whole), F.row_number().over(RIDE.window) - 1
+    rows = cohort.select("ride_id", "i", "watts", "v", "theta", "accel", "heading", "mass", "cp", "rho").withColumns({"n": n, "_place": place})
+    # every so-manieth second of a ride: what reaches Python is bounded however long rides are
+    some = rows.where(F.col("_place") % F.greatest(F.lit(1), F.floor(F.col("n") / SAMPLE)) == 0).drop("_place")
 
     def solve(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        n = len(frame)
+        n = int(frame["n"].iat[0])
         result = (0.0, 0.0, config.cda, False, 0, n, "not enough steady riding to fit wind")
         if n >= 120:
             fit = WindFit(frame.sort_values("i"), config)
@@ -211,7 +216,7 @@ def fit_wind(cohort: DataFrame, config: ModelConfig) -> DataFrame:
                 result = (e, north, cda, bool(np.isfinite(cost)), spread, n, low if spread < 6 else None)
         return pd.DataFrame([[*key, *result]], columns=[f.split()[0] for f in FIT.split(", ")])
 
-    return rows.groupBy("ride_id").applyInPandas(solve, FIT)
+    return some.groupBy("ride_id").applyInPandas(solve, FIT)
 
 
 def resolve_wind(grid: DataFrame, config: ModelConfig, keep: Callable[[DataFrame, str], DataFrame] | None = None) -> DataFrame:
