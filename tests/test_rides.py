@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cadenza.config import ModelConfig
-from cadenza.plans import calibrate, compare, prepare, race_window, weather
+from cadenza.plans import calibrate, compare, prepare, race_window, summary, weather
 from cadenza.plans.analyze import analyze, register, settings_of
 from cadenza.plans.tables import WEATHER
 from cadenza.sources.synthetic import Truth, as_tables, circuit, race
@@ -134,7 +134,8 @@ def test_heart_rate(report):
 
 def test_shape_fitness_headings_finale(report):
     assert one(report, "shape")[0]["trend"] == "building"
-    assert one(report, "fitness")[0]["impossible"]
+    fit, low = one(report, "fitness")[0], summary.check_fitness(report["summary"], report["settings"].withColumn("cp", F.lit(100.0))).where("ride_id = 'demo'").first()
+    assert fit["impossible"] == (fit["np"] > fit["cp"]) and low["impossible"] and not low["ok"] and low["suggested_cp"] > fit["np"]
     assert len(one(report, "headings")) == 16
     assert one(report, "finale")[0]["basis"] == "last 3 laps"
 
