@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
-from itertools import repeat
+from itertools import batched, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +30,8 @@ from cadenza.llm.common import discard, map_arrow, packed, stage, words
 #: Words of items in one automaton, which bounds the memory of a Python worker to about 200 MB. A larger benchmark
 #: is matched block after block, with the documents staged between, so that no task ever holds two automata.
 BLOCK_WORDS = 200_000
+#: Blocks whose automata one pass over the documents takes: what is broadcast is bounded by their size, whatever the benchmark's.
+BLOCKS_A_PASS = 8
 
 
 class SuffixAutomaton:
@@ -177,8 +179,9 @@ def match_benchmark(docs: DataFrame, benchmark: DataFrame, text: str = "text", i
     """docs with ``n_words``, ``hit_starts``, ``hit_ends`` (word positions of
     maximal hit stretches, end exclusive), ``hit_items`` and ``longest_match``.
 
-    Documents are never shuffled: each block of items is one narrow pass that
-    adds to the stretches found so far.
+    Documents are never shuffled: one narrow pass takes each batch of texts past
+    BLOCKS_A_PASS automata, one after the other; only a benchmark of more blocks
+    has the texts staged for a further pass.
     """
     names = ["n_words", "hit_starts", "hit_ends", "hit_items", "longest_match"]
     kept = [c for c in docs.columns if c not in names]
@@ -194,22 +197,25 @@ def _match(rows: DataFrame, benchmark: DataFrame, item_id: str, item_text: str,
     types = ("long", "array<int>", "array<int>", "array<string>", "int")
     schema = rows.select("_row", "text", *(F.lit(None).cast(t).alias(n) for n, t in zip(names, types))).schema
     out, last = rows, None
-    for block in _blocks(benchmark, item_id, item_text, block_words, window):
+    for blocks in batched(_blocks(benchmark, item_id, item_text, block_words, window), BLOCKS_A_PASS):
         first = out is rows
         if not first:
             out = stage(out, "decontam")
             if last is not None:
                 discard(last)
             last = out
-        shared = rows.sparkSession.sparkContext.broadcast(SuffixAutomaton(block, window))
+        shared = [rows.sparkSession.sparkContext.broadcast(SuffixAutomaton(block, window)) for block in blocks]
 
         def make(shared=shared, first=first):
-            automaton = shared.value
-
             def each(batch: pa.RecordBatch) -> pa.RecordBatch:
                 texts = batch.column("text").to_pylist()
-                before = [[None] * len(texts)] * 4 if first else [batch.column(x).to_pylist() for x in names[1:]]
-                found = [_match_one(automaton, t, *x) for t, *x in zip(texts, *before)]
+                found = [(0, *x) for x in zip(*([[None] * len(texts)] * 4 if first else [batch.column(x).to_pylist() for x in names[1:]]))]
+                for one in shared:
+                    automaton = one.value
+                    found = [_match_one(automaton, t, *x) for t, (_, *x) in zip(texts, found)]
+                    if len(shared) > 1:
+                        del automaton
+                        vars(one).pop("_value", None)  # a worker holds one automaton; the next batch loads it again from its disk
                 columns = [list(c) for c in zip(*found)] or [[] for _ in names]
                 return pa.RecordBatch.from_arrays([batch.column("_row"), batch.column("text"), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=["_row", "text", *names])
 
