@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,24 +31,38 @@ def analyze(samples: DataFrame, rides: DataFrame, weather_hours: DataFrame | Non
         rides = rides.withColumn("site", F.lit(None).cast("string"))
     keep = Staging(samples.sparkSession, folder).put
     grid = keep(prepare.prepare(samples, rides, config), "grid")
-    settings = keep(settings_of(rides, weather.ride_density(grid, rides, weather_hours, config), config, override), "settings")
-    if weather_hours is not None and config.wind_source == "weather":
-        blown = weather.with_wind(grid, rides, weather_hours, config)
-    else:
-        blown = grid.withColumns({c: F.lit(None).cast("double") for c in ("we", "wn")})
-    blown = blown.join(settings, "ride_id")
-    wind = keep(calibrate.resolve_wind(blown, config, keep), "wind")
-    series = keep(power.ride_series(blown, wind, config), "series")
-    bounds = keep(laps.detect_laps(grid, rides, prepare.markers(rides, samples, grid, config), config, keep), "lap_bounds")
-    line = keep(mean_lap.mean_lap(grid, bounds), "mean_lap")
-    corners, events = turns.detect_turns(grid, bounds, line, config, keep)
-    events = keep(turns.price_passes(events, series), "turn_events")
-    corners = keep(turns.price_turns(corners, events), "turns")
-    cells = keep(sectors.build_sectors(series, bounds, corners, config)[0], "sector_cells")
-    totals = keep(sectors.total_cells(cells, ("ride_id",), "sector", "ratio", "seconds", "label"), "sector_totals")
-    efforts = keep(surges.detect_surges(series, bounds, corners, events, config), "surges")
-    lap_rows = keep(summary.summarise_laps(series, bounds, config), "laps")
-    ride_rows = keep(summary.summarise(series, bounds, corners, efforts, config), "summary")
+
+
+    def blow() -> tuple[DataFrame, DataFrame, DataFrame]:
+        settings = keep(settings_of(rides, weather.ride_density(grid, rides, weather_hours, config), config, override), "settings")
+        if weather_hours is not None and config.wind_source == "weather":
+            blown = weather.with_wind(grid, rides, weather_hours, config)
+        else:
+            blown = grid.withColumns({c: F.lit(None).cast("double") for c in ("we", "wn")})
+        blown = blown.join(settings, "ride_id")
+        wind = keep(calibrate.resolve_wind(blown, config, keep), "wind")
+        return settings, wind, keep(power.ride_series(blown, wind, config), "series")
+
+    def lap() -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+        marks = prepare.markers(rides, samples, grid, config) if rides.where("size(lap_times) > 0").head(1) else None
+        bounds = keep(laps.detect_laps(grid, rides, marks, config, keep), "lap_bounds")
+        line = keep(mean_lap.mean_lap(grid, bounds), "mean_lap")
+        return bounds, line, *turns.detect_turns(grid, bounds, line, config, keep)
+
+    # what does not build on each other is written at once: small runs wait for jobs, not for cores
+    with ThreadPoolExecutor(3) as pool:
+        blowing, lapping = pool.submit(blow), pool.submit(lap)
+        settings, wind, series = blowing.result()
+        bounds, line, corners, events = lapping.result()
+        rows = pool.submit(lambda: keep(summary.summarise_laps(series, bounds, config), "laps"))
+        events = keep(turns.price_passes(events, series), "turn_events")
+        corners = keep(turns.price_turns(corners, events), "turns")
+        cutting = pool.submit(lambda: keep(sectors.build_sectors(series, bounds, corners, config)[0], "sector_cells"))
+        efforts = keep(surges.detect_surges(series, bounds, corners, events, config), "surges")
+        summing = pool.submit(lambda: keep(summary.summarise(series, bounds, corners, efforts, config), "summary"))
+        cells = cutting.result()
+        totals = keep(sectors.total_cells(cells, ("ride_id",), "sector", "ratio", "seconds", "label"), "sector_totals")
+        lap_rows, ride_rows = rows.result(), summing.result()
     report = {
         "grid": grid, "wind": wind, "series": series, "laps": lap_rows, "lap_bounds": bounds, "mean_lap": line, "turns": corners, "turn_events": events, "sector_cells": cells, "sector_totals": totals, "surges": efforts,
         "headings": summary.exposure_by_heading(series), "summary": ride_rows, "finale": summary.summarise_finale(series, bounds, efforts, config), "hr": summary.summarise_hr(series),

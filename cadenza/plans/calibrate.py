@@ -237,7 +237,10 @@ def resolve_wind(grid: DataFrame, config: ModelConfig, keep: Callable[[DataFrame
     east = F.when(F.col("source") == "weather", F.col("we")).otherwise(manual[0])
     north = F.when(F.col("source") == "weather", F.col("wn")).otherwise(manual[1])
     fixed, per_cda = power_terms(*map(F.col, ("v", "theta", "accel", "heading")), east, north, F.col("mass"), F.lit(config.crr), F.col("rho"), F.lit(config.efficiency), F.lit(config.rotating_mass), F.lit(config.yaw_factor))
-    solved = solve_drag(given.withColumns({"fixed": fixed, "per_cda": per_cda}), ("ride_id",), F.greatest(F.lit(40.0), 0.5 * F.col("cp")), F.lit(config.cda), config.clean_air_pct, keep)
+    if config.wind_source != "fit":
+        solved = solve_drag(given.withColumns({"fixed": fixed, "per_cda": per_cda}), ("ride_id",), F.greatest(F.lit(40.0), 0.5 * F.col("cp")), F.lit(config.cda), config.clean_air_pct, keep)
+    else:  # no ride has a wind that is given
+        solved = grid.sparkSession.createDataFrame([], "ride_id string, cda double, ok boolean, side int, cohort_size long")
     fitted = fit_wind(cohort.where("source in ('fit', 'fit-fallback')"), config)
     nothing = F.lit(None).cast("double")
     kept = rides.where("source in ('weather', 'manual')").join(solved, "ride_id", "left")
@@ -259,7 +262,7 @@ def resolve_wind(grid: DataFrame, config: ModelConfig, keep: Callable[[DataFrame
         nothing.alias("reported10m"), F.coalesce("cda", F.lit(config.cda)).alias("cda"), F.coalesce("ok", F.lit(False)).alias("ok"),
         F.when(F.col("spread") >= 7, "high").when(F.col("spread") >= 6, "medium").otherwise("low").alias("confidence"), "spread", F.coalesce("cohort_size", F.lit(0)).alias("cohort_size"), "note",
     )
-    return a.unionByName(b)
+    return {"fit": b, "manual": a}.get(config.wind_source, a.unionByName(b))
 
 
 def heading_octant(heading: Column) -> Column:

@@ -131,19 +131,20 @@ def marker_laps(marks: DataFrame, grid: DataFrame, seconds: int = 20, metres: fl
     return good.select("ride_id", F.row_number().over(whole.orderBy("i0")).cast("long").alias("lap"), "i0", "i1", F.lit("device").alias("source"))
 
 
-def detect_laps(grid: DataFrame, rides: DataFrame, marks: DataFrame, config: ModelConfig = ModelConfig(), keep: Keep | None = None) -> DataFrame:
+def detect_laps(grid: DataFrame, rides: DataFrame, marks: DataFrame | None, config: ModelConfig = ModelConfig(), keep: Keep | None = None) -> DataFrame:
     """``ride_id, lap, i0, i1, source`` of every ride; one lap of source ``none`` where there is no circuit.
 
-    Laps share their boundary seconds. Odd laps are left out before numbering.
+    ``marks`` may be None where no ride has any. Laps share their boundary seconds. Odd laps are left out before numbering.
     """
     keep = keep or Staging(grid.sparkSession).put
     with_place = grid.where("lat is not null")
-    given = marker_laps(marks, grid).join(with_place.select("ride_id").distinct(), "ride_id", "left_semi")
+    given = grid.sparkSession.createDataFrame([], LAPS) if marks is None else marker_laps(marks, grid).join(with_place.select("ride_id").distinct(), "ride_id", "left_semi")
     anchors = rides.select("ride_id", "anchor_lat", "anchor_lon").where("anchor_lat is not null")
     if anchors.head(1):
         manual = keep(placed_laps(with_place.join(anchors, "ride_id"), config), f"placed-{uuid.uuid4().hex}")
         given = manual.unionByName(_without(given, manual))
-    given = keep(given, f"given-{uuid.uuid4().hex}")
+    if marks is not None:
+        given = keep(given, f"given-{uuid.uuid4().hex}")
     found = given.unionByName(searched_laps(_without(with_place, given), config, keep))
     whole = _without(grid, found).groupBy("ride_id").agg(F.min("i").alias("i0"), F.max("i").alias("i1")).select("ride_id", F.lit(1).cast("long").alias("lap"), "i0", "i1", F.lit("none").alias("source"))
     return found.unionByName(whole)

@@ -52,6 +52,41 @@ def test_fit_packed_times(spark, tmp_path):
     assert len(list(fit.messages_of(data * 2))) == 6
 
 
+def developer_file():
+    """A field of a developer's own, described before it is used."""
+    name = b"core_temp\0" + b"\0" * 6
+    body = definition(0, 206, [(0, 1, 2), (1, 1, 2), (2, 1, 2), (3, 16, 7)]) + bytes([0, 0, 5, 0x84]) + name
+    body += bytes([0x60 | 1, 0, 0]) + struct.pack("<HB", 20, 2) + bytes((253, 4, 0x86)) + bytes((7, 2, 0x84)) + bytes([1]) + bytes((5, 2, 0))
+    for i in range(3):
+        body += bytes([1]) + struct.pack("<IHH", EPOCH + i, 200 + i, 370 + i)
+    return bytes([12, 0x10]) + struct.pack("<HI4s", 2100, len(body), b".FIT") + body + b"\0\0"
+
+
+def test_fit_as_a_format(spark, tmp_path):
+    from cadenza.sources import fit_source
+
+    fit_source.register(spark)
+    for name, data in {"race": fit_file(), "short": fit_file(100, cut=500), "none": b"not a fit file", "chained": fit_file(10) * 2, "own": developer_file()}.items():
+        (tmp_path / f"{name}.fit").write_bytes(data)
+    (tmp_path / "other.txt").write_text("no")
+    rows = spark.read.format("fit").load(str(tmp_path))
+    plain = fit.read_messages(spark, str(tmp_path), keep=tuple(fit.MESSAGES.values()))
+    count = lambda df: {(r["path"].rsplit("/")[-1], r["message"], r["truncated"]): r["count"] for r in df.groupBy("path", "message", "truncated").count().collect()}
+    assert count(rows) == count(plain) and count(rows)["chained.fit", "record", False] == 20 and count(rows)["short.fit", "record", True] > 50
+    assert rows.rdd.getNumPartitions() == 5
+    records = rows.where("message = 'record'")
+    watts = {(r["path"], r["seq"]): r["watts"] for r in records.collect()}
+    assert watts == {(r["path"].removeprefix("file:"), r["seq"]): r["w"] for r in plain.where("message = 'record'").selectExpr("path", "seq", "fields['watts'] w").collect()}
+    own = records.where(F.col("path") == str(tmp_path / "own.fit"))
+    assert [r["developer"] for r in own.orderBy("seq").collect()] == [{"core_temp": 370.0 + i} for i in range(3)]
+    slim = spark.read.format("fit").schema("message string, watts double").option("messages", "record, lap").load(str(tmp_path))
+    assert {r["message"] for r in slim.collect()} == {"record", "lap"}
+    assert slim.columns == ["message", "watts"] and slim.groupBy("message").count().where("message = 'lap'").first()["count"] == plain.where("message = 'lap'").count()
+    assert [r["error"] for r in rows.where("message = 'error'").collect()] == ["no .FIT signature"]
+    (tmp_path / "empty").mkdir()
+    assert spark.read.format("fit").load(str(tmp_path / "empty")).count() == 0
+
+
 def stream_json():
     n = 40
     lat, lon = [45 + i * 1e-4 for i in range(n)], [7 + i * 1e-4 for i in range(n)]
