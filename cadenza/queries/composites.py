@@ -247,12 +247,13 @@ def lap_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("o_custkey", F.array_join(marker_indices(F.col("times"), F.lit(50.0), F.col("n")), ",").alias("marks"))
 
 
-_CIRCUITS = "SELECT CAST(c_custkey AS VARCHAR) AS ride_id, 45.49 + (c_custkey * 7919 % 1000) / 50000 AS lat, 7 + (c_custkey * 104729 % 1000) / 50000 AS lon, CAST(1000 + c_nationkey * 40 AS DOUBLE) AS lap_len FROM customer"
+#: Customers as circuits in boxes of two kilometres, fifty in each, so pairs grow with the table.
+_CIRCUITS = "SELECT CAST(c_custkey AS VARCHAR) AS ride_id, 45.49 + (c_custkey * 7919 % 1000) / 50000 + (c_custkey // 50 % 100) / 25 AS lat, 7 + (c_custkey * 104729 % 1000) / 50000 + (c_custkey // 5000) / 25 AS lon, CAST(1000 + c_nationkey * 40 AS DOUBLE) AS lap_len FROM customer"
 
 
 def _circuits(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
-    return table(spark, sf_dir, "customer").select(k.cast("string").alias("ride_id"), (45.49 + (k * 7919 % 1000) / 50000).alias("lat"), (7 + (k * 104729 % 1000) / 50000).alias("lon"), (1000 + F.col("c_nationkey") * 40).cast("double").alias("lap_len"))
+    return table(spark, sf_dir, "customer").select(k.cast("string").alias("ride_id"), (45.49 + (k * 7919 % 1000) / 50000 + (F.floor(k / 50) % 100) / 25).alias("lat"), (7 + (k * 104729 % 1000) / 50000 + F.floor(k / 5000) / 25).alias("lon"), (1000 + F.col("c_nationkey") * 40).cast("double").alias("lap_len"))
 
 
 #: Customers as circuits in three hundred towns, up to 220 m and 16 % of their length apart within one.
