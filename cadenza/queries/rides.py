@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -13,32 +14,29 @@ from cadenza.plans.analyze import analyze
 from cadenza.plans.compare import circuit_groups
 from cadenza.plans.tables import CHANNELS, RIDES
 from cadenza.queries.registry import QUERIES, epoch, table
-from cadenza.sources.synthetic import Truth, circuit
 
 #: What is read from the report, by query.
 TABLES = ("laps", "mean_lap", "turns", "turn_events", "sector_cells", "sector_totals", "surges", "headings", "summary", "finale", "hr", "shape", "fitness", "wind", "compare", "findings", "race_window", "lap_info", "phases")
 
 
-#: Events of a ride.
-SECONDS = 2500
+#: Events of a ride; where it is ridden, half axes of the oval and metres of a lap.
+SECONDS, PLACE, HALVES, LAP = 2500, (45.8, 9.1), (150.0, 45.0), 660.0
 
 
 def rides_of_events(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(rides, samples): every ``SECONDS`` events in the order of their ids are a ride, an event a second in the order of time, so
     rides multiply with the table and none grows. Values are watts and speeds; places follow from the distance ridden
-    around a small circuit."""
+    around an oval."""
     e = table(spark, sf_dir, "events").withColumn("ride_id", F.concat(F.lit("ride-"), F.floor(F.col("event_id") / SECONDS)))
     w = Window.partitionBy("ride_id").orderBy("ts", "event_id")
     e = e.withColumns({"seq": (F.row_number().over(w) - 1).cast("long"), "v": 9.0 + F.col("value") % 3})
     e = e.withColumn("dist", F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    truth = Truth(half_long=110.0, half_short=60.0)
-    line = circuit(truth)
-    lat0, lon0 = truth.origin
-    # a row a metre of one lap, whatever the events
-    points = [(k, float(lat0 + p[2] / DEGREE_M), float(lon0 + p[1] / (DEGREE_M * 0.7367))) for k, p in enumerate(line[:-1])]
-    at = spark.createDataFrame(points, "metre long, lat double, lon double")
-    e = e.withColumn("metre", (F.floor("dist") % len(points)).cast("long")).join(F.broadcast(at), "metre")
-    made = {"t": F.col("seq").cast("double"), "alt": 80 + 2 * F.sin(F.col("metre") / len(points) * 6.2832), "watts": F.col("value") * 4, "hr": 120 + F.col("value") % 50, "cad": 80 + F.col("value") % 20, "temp": F.lit(18.0)}
+    angle = 2 * math.pi * F.col("dist") / LAP
+    north, east = HALVES[1] * F.sin(angle), HALVES[0] * F.cos(angle)
+    made = {
+        "t": F.col("seq").cast("double"), "lat": PLACE[0] + north / DEGREE_M, "lon": PLACE[1] + east / (DEGREE_M * math.cos(math.radians(PLACE[0]))), "alt": 80 + 2 * F.sin(angle),
+        "watts": F.col("value") * 4, "hr": 120 + F.col("value") % 50, "cad": 80 + F.col("value") % 20, "temp": F.lit(18.0),
+    }
     samples = e.withColumns(made).select("ride_id", "seq", "t", *CHANNELS)
     start = e.groupBy("ride_id").agg(F.min(epoch("ts")).alias("start_time"))
     given = {"ride_id": F.col("ride_id"), "name": F.col("ride_id"), "source": F.lit("events"), "start_time": F.col("start_time"), "sport": F.lit("cycling"), "lap_times": F.array().cast("array<double>")}
