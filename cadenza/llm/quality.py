@@ -3,9 +3,11 @@
 Grades: 0 for bad, 1 for good but toxic, 2 for good and clean. One weight of
 each hashed feature is shared by all grades; ordered thresholds part them.
 Features are the words of a text, the shapes of its tokens and which share of
-its 3-word stretches it has said before. The model is fitted on a bounded
-sample of the ratings (``most`` expected ids, by a hash of the id); a fifth of
-it is held out and sets the threshold of selection.
+its 3-word stretches it has said before. The model is fitted on all ratings: they
+are dealt into parts of about ``most`` ids by a hash of the id, a task fits one
+part after the other, and the model is the mean of the parts' models, each
+counted as often as it has ratings. A fifth of all ratings is held out from a
+first such model and sets the threshold of selection.
 
 Defined cases: null and empty texts have the bias feature only and get the
 grade that it implies; texts of any length count whole; unrated, null-rated and
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import WORD_TABLE, batch_cuts, hash64, map_arrow, packed, word_hashes
+from cadenza.llm.common import WORD_TABLE, batch_cuts, discard, hash64, map_arrow, packed, prefix_sums, range_sorted, stage, word_hashes
 from cadenza.llm.ftrl import fit_ordinal
 
 BUCKETS = 1 << 24
@@ -90,12 +92,15 @@ class Model:
 
     def tails(self, texts: list[str | None]) -> np.ndarray:
         """(texts, LEVELS - 1): P(grade >= 1), P(grade >= 2)."""
-        row, bucket, value = features(texts)
-        score = np.zeros(len(texts))
+        return self.tails_of(*features(texts), len(texts))
+
+    def tails_of(self, row: np.ndarray, bucket: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
+        """Those of n texts by their features."""
+        score = np.zeros(n)
         if len(self.buckets):
             at = np.minimum(np.searchsorted(self.buckets, bucket), len(self.buckets) - 1)
             hit = np.flatnonzero(self.buckets[at] == bucket)
-            score += np.bincount(row[hit], value[hit] * self.weights[at[hit]], minlength=len(texts))
+            score += np.bincount(row[hit], value[hit] * self.weights[at[hit]], minlength=n)
         return 1 / (1 + np.exp(np.clip(self.cuts - score[:, None], -40, 40)))
 
 
@@ -106,7 +111,7 @@ def grade(quality: Column, toxic: Column) -> Column:
 
 def least_tail(tail: np.ndarray, best: np.ndarray, clean: float = 0.995) -> float:
     """The threshold on P(highest grade) by held-out ratings: above 1/2, where lower grades are likelier than
-    not, the one with the fewest wrong decisions; lower if it would reject more of the highest grade than 1 - ``clean``."""
+    not, the one with the fewest wrong decisions; lower if it would reject more of the highest grade than 1 - ``clean``. ``least_of`` finds it in tables."""
     order = np.argsort(tail, kind="stable")
     tail, best = tail[order], best[order]
     # rejecting the first i: the best among them, and the others that stay
@@ -119,49 +124,98 @@ def least_tail(tail: np.ndarray, best: np.ndarray, clean: float = 0.995) -> floa
     return float(tail[i - 1] + (tail[i] if i < len(tail) else 1.0)) / 2
 
 
+def least_of(held: DataFrame, clean: float = 0.995) -> float:
+    """``least_tail`` of rows (``tail``, ``best``) over all tasks; equal tails are not parted."""
+    counts = range_sorted(held.groupBy("tail").agg(F.sum(F.col("best").cast("long")).alias("best"), F.count(F.lit(1)).alias("n")), F.col("tail"))
+    best, n = counts.agg(F.coalesce(F.sum("best"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    sums = prefix_sums(counts, [], [F.col("tail")], {"best_before": "best", "n_before": "n"}, "_task")
+    lost, gone = F.col("best_before") + F.col("best"), F.col("n_before") + F.col("n")
+    # rejecting all up to a tail: the best among them, and the others that stay
+    wrong = lost + (F.lit(n - best) - (gone - lost))
+    found = sums.where((lost <= (1 - clean) * best) & (wrong <= n - best)).agg(F.max(F.struct((-wrong).alias("right"), "tail"))).first()[0]
+    last = found and found["tail"]
+    after = counts.where(F.col("tail") > last).agg(F.min("tail")).first()[0] if found else None
+    discard(counts)
+    return (last + (1.0 if after is None else after)) / 2 if found else 0.0
+
+
+#: What a part of the ratings gives: its models (``TRAINED`` without the ratings held out, ``WHOLE`` with them) and the features of those held out.
+TRAINED, WHOLE, HELD = 0, 1, 2
+PARTS = "kind int, n long, c array<int>, v array<double>, cuts array<double>"
+
+
 def fit(docs: DataFrame, ratings: DataFrame, doc_id: str = "doc_id", text: str = "text", rating: Column | None = None, most: int = 6000, alpha: float = 1.0, l1: float = 10.0, l2: float = 0.1, epochs: int = 10) -> Model:
-    """Fit on ratings (``doc_id`` and ``rating``, a grade from 0 to 2)."""
+    """Fit on all ratings (``doc_id`` and ``rating``, a grade from 0 to 2), in parts of about ``most``."""
     rating = grade(F.col("quality"), F.col("toxic")) if rating is None else rating
-    rated = ratings.select(F.col(doc_id).cast("long").alias("i"), rating.cast("int").alias("g")).where("i is not null and g is not null")
-    count = rated.count()
-    draw = F.pmod(F.xxhash64("i", F.lit(43)), F.lit(1 << 30)) / F.lit(1 << 30)
-    sample = rated.where(draw < min(1.0, most / max(1, count))).groupBy("i").agg(F.min("g").alias("g"))
-    # the sample's size is bounded by ``most``, so it may be sent to all
-    joined = docs.select(F.col(doc_id).cast("long").alias("i"), F.col(text).alias("t")).join(F.broadcast(sample), "i")
-    joined = joined.groupBy("i").agg(F.min("g").alias("g"), F.min("t").alias("t"))
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rated = ratings.select(F.col(doc_id).cast("long").alias("i"), rating.cast("int").alias("g")).where("i is not null and g is not null").groupBy("i").agg(F.min("g").alias("g"))
+    parts = max(1, round(rated.count() / most))
+    texts = docs.select(F.col(doc_id).cast("long").alias("i"), F.col(text).alias("t")).where("i is not null").groupBy("i").agg(F.min("t").alias("t"))
+    joined = texts.join(rated, "i").withColumn("part", F.pmod(F.xxhash64("i", F.lit(43)), F.lit(parts)))
+    dealt = joined.repartitionById(parts, F.col("part").cast("int")).sortWithinPartitions("part", "i")
+
+    def learned(i: list[int], g: list[int], c: list[np.ndarray], v: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        buckets, inverse = np.unique(np.concatenate(c), return_inverse=True)
+        x = list(zip(np.split(inverse, np.cumsum([len(a) for a in c])[:-1]), v))
+        grades = np.array(g)
+        check = hash64(np.array(i, np.int64).view(np.uint64), 6) % np.uint64(5) == 0
+
+        def out(kind: list[int], n: list[int], c: list[np.ndarray], v: list[np.ndarray], cuts: list[np.ndarray | None]) -> pa.RecordBatch:
+            columns = [pa.array(kind, pa.int32()), pa.array(n, pa.int64()), pa.array(c, pa.list_(pa.int32())), pa.array(v, pa.list_(pa.float64())), pa.array(cuts, pa.list_(pa.float64()))]
+            return pa.RecordBatch.from_arrays(columns, names=["kind", "n", "c", "v", "cuts"])
+
+        for kind, own in ((TRAINED, np.flatnonzero(~check)), (WHOLE, np.arange(len(x)))):
+            if len(own):
+                weights, cuts = fit_ordinal([x[k] for k in own], grades[own], LEVELS, len(buckets), alpha, l1, l2, epochs)
+                used = np.flatnonzero(weights)
+                yield out([kind], [len(own)], [buckets[used]], [weights[used]], [cuts])
+        held = np.flatnonzero(check)
+        for at in range(0, len(held), 200):
+            some = held[at : at + 200]
+            yield out([HELD] * len(some), grades[some].tolist(), [c[k] for k in some], [v[k] for k in some], [None] * len(some))
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, own = None, ([], [], [], [])
         for batch in batches:
             for a, b in batch_cuts(batch, 200):
-                part = batch.slice(a, b - a)
-                row, bucket, value = features(part.column("t").to_pylist())
-                first = np.searchsorted(row, np.arange(part.num_rows + 1))
-                cut = lambda x, kind: pa.array([x[a:b].astype(kind).tobytes() for a, b in zip(first[:-1], first[1:])], pa.binary())  # noqa: E731, B023
-                yield pa.RecordBatch.from_arrays([part.column("i"), part.column("g"), cut(bucket, np.int32), cut(value, np.float32)], names=["i", "g", "c", "v"])
-
-    got = joined.mapInArrow(rows, "i long, g int, c binary, v binary").toArrow().sort_by([("i", "ascending"), ("c", "ascending")]).to_pydict()
-    if not got["i"]:
-        return Model(np.empty(0, np.int64), np.empty(0), np.array([-40.0, -40.0]))
-    buckets, inverse = np.unique(np.concatenate([np.frombuffer(c, np.int32) for c in got["c"]]), return_inverse=True)
-    x, at = [], 0
-    for v in got["v"]:
-        v = np.frombuffer(v, np.float32).astype(np.float64)
-        x.append((inverse[at : at + len(v)], v))
-        at += len(v)
-    grades = np.array(got["g"])
-    check = hash64(np.array(got["i"], np.int64).view(np.uint64), 6) % np.uint64(5) == 0
-
-    def fitted(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return fit_ordinal([x[i] for i in own], grades[own], LEVELS, len(buckets), alpha, l1, l2, epochs)
-
-    least = 0.0
-    if check.any() and not check.all():
-        weights, cuts = fitted(np.flatnonzero(~check))
-        tail = np.array([1 / (1 + np.exp(np.clip(cuts[-1] - v @ weights[c], -40, 40))) for (c, v), held in zip(x, check) if held])
-        least = least_tail(tail, grades[check] == LEVELS - 1)
-    weights, cuts = fitted(np.arange(len(x)))
-    used = np.flatnonzero(weights)
-    return Model(buckets[used].astype(np.int64), weights[used], cuts, least)
+                piece = batch.slice(a, b - a)
+                row, bucket, value = features(piece.column("t").to_pylist())
+                first = np.searchsorted(row, np.arange(piece.num_rows + 1))
+                for k, (p, i, g) in enumerate(zip(*(piece.column(c).to_pylist() for c in ("part", "i", "g")))):
+                    if p != part and own[0]:
+                        yield from learned(*own)
+                        own = ([], [], [], [])
+                    part = p
+                    inside = slice(first[k], first[k + 1])
+                    # kept as 32-bit numbers: a part's features are all that a task holds
+                    for column, x in zip(own, (i, g, bucket[inside].astype(np.int32), value[inside].astype(np.float32))):
+                        column.append(x)
+        if own[0]:
+            yield from learned(*own)
+
+    done = stage(dealt.mapInArrow(learn, PARTS), "quality")
+
+    def mean(kind: int) -> Model | None:
+        """The mean model of the parts, by exact sums, so that their order does not tell."""
+        n, *cuts = done.where(F.col("kind") == kind).agg(F.sum("n"), *(F.sum((F.col("cuts")[j] * F.col("n")).cast("decimal(38,18)")) for j in range(LEVELS - 1))).first()
+        if not n:
+            return None
+        one = done.where(F.col("kind") == kind).select("n", F.explode(F.arrays_zip("c", "v")).alias("x"))
+        got = one.groupBy("x.c").agg(F.sum((F.col("x.v") * F.col("n")).cast("decimal(38,18)")).cast("double").alias("v")).orderBy("c").toArrow()
+        return Model(got.column("c").to_numpy().astype(np.int64), got.column("v").to_numpy() / n, np.array([float(x) / n for x in cuts]))
+
+    model, trained = mean(WHOLE), mean(TRAINED)
+    if model and trained:
+        shared = docs.sparkSession.sparkContext.broadcast(trained)
+
+        def tails(batch: pa.RecordBatch) -> pa.RecordBatch:
+            c, v = batch.column("c"), batch.column("v")
+            row = np.repeat(np.arange(batch.num_rows), c.value_lengths().to_numpy())
+            tail = shared.value.tails_of(row, c.flatten().to_numpy(), v.flatten().to_numpy(), batch.num_rows)[:, -1]
+            return pa.RecordBatch.from_arrays([pa.array(tail), pa.array(batch.column("n").to_numpy() == LEVELS - 1)], names=["tail", "best"])
+
+        model.least = least_of(map_arrow(done.where(F.col("kind") == HELD).select("n", "c", "v"), lambda: tails, "tail double, best boolean"))
+    discard(done)
+    return model or Model(np.empty(0, np.int64), np.empty(0), np.array([-40.0, -40.0]))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:

@@ -1,9 +1,12 @@
 """Jobs that were once made smaller, against the whole job."""
 
+import random
 from collections import defaultdict
 
 import duckdb
+import numpy as np
 
+from cadenza.llm import quality
 from cadenza.queries import ORACLES, QUERIES
 
 #: All pairs of customers as circuits within one box of two kilometres, copies of each other included.
@@ -38,3 +41,24 @@ def test_same_circuits_stand_for_all_pairs(spark, tmp_path):
     theirs = duck.execute(ORACLES["same_circuits"])
     names = [d[0] for d in theirs.description]
     assert sorted((r["a"], r["b"], r["apart"], r["length_ratio"], r["copy"]) for r in rows) == sorted(tuple(dict(zip(names, r))[c] for c in ("a", "b", "apart", "length_ratio", "copy")) for r in theirs.fetchall())
+
+
+def test_quality_is_learned_from_all_ratings(spark):
+    """Each rated text has a word of its own, which has a weight if the text was learned from, however many a part takes."""
+    n = 300
+    docs = spark.createDataFrame([(i, f"own{i} words here") for i in range(n)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 3 % 2, 0) for i in range(n)], "doc_id long, quality int, toxic int")
+    model = quality.fit(docs, labels, most=40, l1=0.0)
+    own = [set(quality.features([f"own{i} words here"])[1].tolist()) - set(quality.features(["words here"])[1].tolist()) for i in range(n)]
+    assert all(buckets & set(model.buckets.tolist()) for buckets in own)
+    again = quality.fit(docs, labels, most=40, l1=0.0)
+    assert again.least == model.least and (again.weights == model.weights).all() and (again.cuts == model.cuts).all()
+
+
+def test_threshold_over_all_tasks(spark):
+    rng = random.Random(3)
+    for n, share in ((0, 0.5), (1, 1.0), (400, 0.9), (2000, 0.98), (500, 0.0), (500, 1.0)):
+        rows = [(rng.random() ** (1 if best else 3), best) for best in (rng.random() < share for _ in range(n))]
+        held = spark.createDataFrame(rows, "tail double, best boolean").repartition(5)
+        tails, best = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], bool)
+        assert quality.least_of(held) == quality.least_tail(tails, best)
