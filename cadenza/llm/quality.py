@@ -142,6 +142,8 @@ def least_of(held: DataFrame, clean: float = 0.995) -> float:
 #: What a part of the ratings gives: its models (``TRAINED`` without the ratings held out, ``WHOLE`` with them) and the features of those held out.
 TRAINED, WHOLE, HELD = 0, 1, 2
 PARTS = "kind int, n long, c array<int>, v array<double>, cuts array<double>"
+#: Documents, rated or not, among which a task finds the rated ones.
+DOCS_A_TASK = 50_000
 
 
 def fit(docs: DataFrame, ratings: DataFrame, doc_id: str = "doc_id", text: str = "text", rating: Column | None = None, most: int = 6000, alpha: float = 1.0, l1: float = 10.0, l2: float = 0.1, epochs: int = 10) -> Model:
@@ -149,9 +151,16 @@ def fit(docs: DataFrame, ratings: DataFrame, doc_id: str = "doc_id", text: str =
     rating = grade(F.col("quality"), F.col("toxic")) if rating is None else rating
     rated = ratings.select(F.col(doc_id).cast("long").alias("i"), rating.cast("int").alias("g")).where("i is not null and g is not null").groupBy("i").agg(F.min("g").alias("g"))
     parts = max(1, round(rated.count() / most))
-    texts = docs.select(F.col(doc_id).cast("long").alias("i"), F.col(text).alias("t")).where("i is not null").groupBy("i").agg(F.min("t").alias("t"))
-    joined = texts.join(rated, "i").withColumn("part", F.pmod(F.xxhash64("i", F.lit(43)), F.lit(parts)))
-    dealt = joined.repartitionById(parts, F.col("part").cast("int")).sortWithinPartitions("part", "i")
+    texts = docs.select(F.col(doc_id).cast("long").alias("i"), F.col(text).alias("t")).where("i is not null")
+    # texts are dealt once, to tasks of one part each; only where a part's rated texts lie strewn among too many others are they dealt again
+    spread = max(1, -(-texts.count() // (parts * DOCS_A_TASK)))
+    part = F.pmod(F.xxhash64("i", F.lit(43)), F.lit(parts))
+    task = (part * spread + F.pmod(F.xxhash64("i", F.lit(44)), F.lit(spread))).cast("int")
+    texts, rated = (x.withColumn("task", task).repartitionById(parts * spread, F.col("task")) for x in (texts, rated))
+    dealt = texts.groupBy("task", "i").agg(F.min("t").alias("t")).join(rated.hint("merge"), ["task", "i"]).withColumn("part", part)
+    if spread > 1:
+        dealt = dealt.repartitionById(parts, F.col("part").cast("int"))
+    dealt = dealt.select("part", "i", "t", "g").sortWithinPartitions("part", "i")
 
     def learned(i: list[int], g: list[int], c: list[np.ndarray], v: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         buckets, inverse = np.unique(np.concatenate(c), return_inverse=True)

@@ -132,6 +132,19 @@ def test_quality_orders_the_ratings(spark, docs):
     assert kept.columns == docs.columns and 0 < kept.count() < docs.count()
 
 
+def test_quality_fit_shuffles_texts_once(spark, docs, monkeypatch):
+    """Texts go to the tasks of their parts at once; a second deal, where few documents are rated, gives the same model."""
+    labels, plans, staged = spark.read.parquet(f"{SF}/labels.parquet"), [], quality.stage
+    monkeypatch.setattr(quality, "stage", lambda df, tag: plans.append(df._jdf.queryExecution().executedPlan().toString()) or staged(df, tag))
+    one = quality.fit(docs, labels, most=100)
+    assert plans[0].index("SortMergeJoin") < plans[0].index("Exchange")
+    monkeypatch.setattr(quality, "DOCS_A_TASK", 50)
+    plans.clear()
+    two = quality.fit(docs, labels, most=100)
+    assert plans[0].index("SortMergeJoin") > plans[0].index("Exchange")
+    assert all((getattr(one, c) == getattr(two, c)).all() for c in ("buckets", "weights", "cuts")) and one.least == two.least
+
+
 def test_quality_cases(spark):
     docs = spark.createDataFrame([(1, "good words here"), (2, None), (3, ""), (1, "good words here"), (4, "x" * 300_000)], "doc_id long, text string").withColumn("p_good", F.lit("clash"))
     labels = spark.createDataFrame([(1, 1, 0), (1, 1, 0), (2, None, None), (9, 0, 0)], "doc_id long, quality int, toxic int")
