@@ -190,12 +190,15 @@ def match_benchmark(docs: DataFrame, benchmark: DataFrame, text: str = "text", i
     return found.select(*(F.col("_row")[c].alias(c) for c in kept), *names)
 
 
-def _match(rows: DataFrame, benchmark: DataFrame, item_id: str, item_text: str, window: int, block_words: int) -> DataFrame:
-    """rows (``_row, text``) with the columns of ``match_benchmark``."""
+def _match(rows: DataFrame, benchmark: DataFrame, item_id: str, item_text: str, window: int, block_words: int, max_span: int | None = None) -> DataFrame:
+    """rows (``_row, text``) with the columns of ``match_benchmark``, and ``cut``: the text without hit stretches of over ``max_span`` words, null where there are none.
+
+    It is cut in the pass that finds the stretches, so that a task has one Python worker, not one for either step.
+    """
     names = ["n_words", "hit_starts", "hit_ends", "hit_items", "longest_match"]
     kinds = [pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.string()), pa.int32()]
     types = ("long", "array<int>", "array<int>", "array<string>", "int")
-    schema = rows.select("_row", "text", *(F.lit(None).cast(t).alias(n) for n, t in zip(names, types))).schema
+    schema = rows.select("_row", "text", *(F.lit(None).cast(t).alias(n) for n, t in zip([*names, "cut"], [*types, "string"]))).schema
     out, last = rows, None
     for blocks in batched(_blocks(benchmark, item_id, item_text, block_words, window), BLOCKS_A_PASS):
         first = out is rows
@@ -217,7 +220,8 @@ def _match(rows: DataFrame, benchmark: DataFrame, item_id: str, item_text: str,
                         del automaton
                         vars(one).pop("_value", None)  # a worker holds one automaton; the next batch loads it again from its disk
                 columns = [list(c) for c in zip(*found)] or [[] for _ in names]
-                return pa.RecordBatch.from_arrays([batch.column("_row"), batch.column("text"), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=["_row", "text", *names])
+                cut = [None if max_span is None else _cut_longer(t, starts, ends, max_span) for t, (_, starts, ends, *_) in zip(texts, found)]
+                return pa.RecordBatch.from_arrays([batch.column("_row"), batch.column("text"), *(pa.array(c, k) for c, k in zip(columns, kinds)), pa.array(cut, pa.string())], names=["_row", "text", *names, "cut"])
 
             return each
 
@@ -264,6 +268,12 @@ def cut_words(text: str | None, starts: list[int], ends: list[int]) -> str | Non
     return "".join([*out, text[at:]])
 
 
+def _cut_longer(text: str | None, starts: list[int], ends: list[int], most: int) -> str | None:
+    """text without the stretches of over ``most`` words; None if there are none."""
+    long = [(a, b) for a, b in zip(starts, ends) if b - a > most]
+    return cut_words(text, *map(list, zip(*long))) if long else None
+
+
 def decontaminate(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -283,20 +293,10 @@ def decontaminate(
     counts anew.
     """
     rows = packed(docs).withColumn("text", F.col("_row")[text])
-    kept = _match(rows, benchmark, item_id, item_text, window, block_words).where(~is_contaminated(hit_words(), F.col("n_words"), one_in))
+    kept = _match(rows, benchmark, item_id, item_text, window, block_words, max_span).where(~is_contaminated(hit_words(), F.col("n_words"), one_in))
     if max_span is None:
         return kept.select("_row.*")
-    spans = F.filter(F.arrays_zip("hit_starts", "hit_ends"), lambda s: s["hit_ends"] - s["hit_starts"] > max_span)
-    kept = kept.select("_row", "text", spans.alias("cut"))
-
-    def make():
-        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            cut = [cut_words(t, [s["hit_starts"] for s in c], [s["hit_ends"] for s in c]) for t, c in zip(batch.column("text").to_pylist(), batch.column("cut").to_pylist())]
-            return pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(cut, pa.string())], names=["_row", "text"])
-
-        return each
-
-    done = map_arrow(kept, make, kept.select("_row", "text").schema)
+    done = kept.select("_row", F.coalesce("cut", "text").alias("text"))
     new = {text: F.col("text")}
     if n_chars in docs.columns:
         new[n_chars] = F.when(F.col("text") == F.col("_row")[text], F.col("_row")[n_chars]).otherwise(F.length("text").cast(docs.schema[n_chars].dataType))

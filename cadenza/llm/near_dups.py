@@ -102,7 +102,7 @@ def _sketch(docs: DataFrame, doc_id: str, text: str, k: int) -> DataFrame:
         return each
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return map_arrow(rows, make, "doc_id long, n long, set_hash binary, mins array<int>", rows=400)
+    return map_arrow(rows, make, "doc_id long, n long, set_hash binary, mins array<int>", rows=200)
 
 
 def _leaves(classes: DataFrame, trees: int, depth: int, leaf: int, pivots: int) -> tuple[DataFrame, list[DataFrame]]:
@@ -299,7 +299,7 @@ def _full_sets(rows: DataFrame, k: int) -> DataFrame:
 
         return each
 
-    return map_arrow(rows, make, rows.select(*kept, F.lit(b"").alias("shingles")).schema, rows=400)
+    return map_arrow(rows, make, rows.select(*kept, F.lit(b"").alias("shingles")).schema, rows=200)
 
 
 def _large_links(sets: DataFrame, ratio: tuple[int, int], block: int) -> DataFrame:

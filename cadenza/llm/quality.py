@@ -242,7 +242,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
         return each
 
-    return map_arrow(docs.select(*kept), make, docs.select(*kept, *(F.lit(0.0).alias(c) for c in names)).schema, rows=500)
+    return map_arrow(docs.select(*kept), make, docs.select(*kept, *(F.lit(0.0).alias(c) for c in names)).schema, rows=200)
 
 
 def select_documents(docs: DataFrame, model: Model, text: str = "text", least: float | None = None) -> DataFrame:

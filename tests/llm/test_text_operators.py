@@ -68,6 +68,21 @@ def test_long_spans_are_cut(spark):
     assert "w5" not in kept["text"] and kept["text"].endswith("end") and kept["text"].startswith("clean")
 
 
+def test_cuts_in_one_python_worker(spark):
+    """One Arrow step finds and cuts; nulls, several stretches and several passes over the documents included."""
+    items = [(i, " ".join(f"v{i}x{j}" for j in range(30))) for i in range(20)]
+    texts = [None, "", "plain words", "clean " * 1500 + items[3][1] + " so " + items[19][1] + " end", items[5][1]]
+    df = spark.createDataFrame([(i, t, 7) for i, t in enumerate(texts)], "doc_id long, text string, n_chars int")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = {0: None, 1: "", 2: "plain words", 3: "clean " * 1500 + " so  end"}
+    for block in (decontam.BLOCK_WORDS, 40):
+        kept = decontam.decontaminate(df, bench, max_span=20, block_words=block)
+        assert kept._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+        got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in kept.collect()}
+        assert {i: t for i, (t, _) in got.items()} == want
+        assert got[2][1] == 7 and got[3][1] == len(want[3])
+
+
 def test_mixing_cases(spark):
     rows = [(1, "a b c", "x"), (2, None, "x"), (3, "", None), (4, "a " * 100, "y"), (5, "b", None), (4, "a " * 100, "y"), (6, "q w", "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({"taken": F.lit(1), "size": F.lit("clash")})
