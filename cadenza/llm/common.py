@@ -134,33 +134,38 @@ def label_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an undirected graph of long ids.
 
     Alternates the large-star and small-star steps: each node's neighbours are
-    linked to the smallest of them until nothing changes. Every step is a
+    linked to the smallest of them until all that is left is stars around their
+    smallest node; edges that are such stars already take no step. Every step is a
     grouped minimum and a ``lookup`` of it, staged in the shared folder, so no
     adjacency list, star or component is ever held in one task.
 
-    Returns ``(node, component)`` for every node with an edge; the component
-    is its smallest node.
+    Returns ``(node, component)``, staged, for every node with an edge; the
+    component is its smallest node.
     """
     edges = stage(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").distinct(), "edges")
-    seen = None
     while True:
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == seen:
-            break
-        seen = now
-        total = 2 * now[0]
-        tasks = max(LEAST_TASKS, now[0] // EDGES_A_TASK)
+        count = edges.count()
+        total = 2 * count
+        tasks = max(LEAST_TASKS, count // EDGES_A_TASK)
+        # the same edge may come in both directions at first
         both = edges.union(edges.select("b", "a"))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count(F.lit(1)).alias("n"))
-        large = lookup(both, least, "a", "n", total).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count(F.lit(1)).alias("n"), (F.max("b") > F.min("b")).alias("many"))
+        known = stage(least.coalesce(tasks), "least")
+        # in stars, who has a smaller neighbour has no other one
+        if not known.where("many and m < a").limit(1).count():
+            break
+        large = lookup(both, known.select("a", "m", "n"), "a", "n", total).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         large = stage(large.coalesce(tasks), "edges")
         # every edge of large points from the larger to the smaller node
         least = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
         small = lookup(large, least, "a", "n", total).select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         small = stage(small.coalesce(tasks), "edges")
-        discard(edges, large)
+        discard(edges, large, known)
         edges = small
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select(F.col("b"), F.col("b")).distinct())
+    discard(edges)
+    out = known.select(F.col("a").alias("node"), F.col("m").alias("component"))
+    out.staged_path = known.staged_path
+    return out
 
 
 def prefix_sums(df: DataFrame, by: list[str], order: list[Column], sums: dict[str, str], bucket: str) -> DataFrame:

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import LOWER_TABLE, discard, hash64, label_components, lookup, map_arrow, packed, stage, word_hashes
+from cadenza.llm.common import EDGES_A_TASK, HOT_SHARE, LEAST_TASKS, LOWER_TABLE, discard, hash64, label_components, lookup, map_arrow, packed, stage, word_hashes
 
 MINS = 64
 #: A pair is a candidate unless its minwise tokens put its similarity this far below the threshold (5 standard deviations).
@@ -114,11 +114,15 @@ def _leaves(classes: DataFrame, trees: int, depth: int, leaf: int, pivots: int)
     found, levels = [], []
     for level in range(depth):
         counts = alive.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-        sized = stage(lookup(alive, counts, "node", "size", total), f"level{level}")
+        sized = lookup(alive, counts, "node", "size", total)
+        # few rows are left below the first level
+        sized = stage(sized.coalesce(max(LEAST_TASKS, total // EDGES_A_TASK)) if level else sized, f"level{level}")
         levels.append(sized)
         found.append(sized.where(F.col("size") <= leaf).select("node", "rid"))
         large = sized.where(F.col("size") > leaf)
         total = large.count()
+        if not total:
+            break
         if level < depth - 1:
             alive = large.select("rid", F.xxhash64("node", F.get("way", F.lit(0))).alias("node"), F.slice("way", 2, depth).alias("way"))
     blocks = F.ceil(F.col("size") / leaf)
@@ -158,7 +162,7 @@ def groups_of(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[pa.
 
 
 def forest(linked: np.ndarray) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of a symmetric matrix of links."""
+    """The components of a symmetric matrix of links as stars: each one's first place beside every other."""
     out, left = [], np.ones(len(linked), bool)
     for root in range(len(linked)):
         if left[root]:
@@ -167,7 +171,7 @@ def forest(linked: np.ndarray) -> list[tuple[int, int]]:
             for x in queue:
                 new = np.flatnonzero(linked[x] & left)
                 left[new] = False
-                out += [(x, y) for y in new.tolist()]
+                out += [(root, y) for y in new.tolist()]
                 queue += new.tolist()
     return out
 
@@ -179,7 +183,7 @@ def _edge_batch(pairs: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
 
 
 def _candidates(leaves: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
-    """Spanning edges of pairs in leaves that could be similar."""
+    """Stars of what pairs in leaves that could be similar connect."""
     least = (threshold - SLACK) * MINS
     bytes_of = F.transform("mins", lambda m: m.bitwiseAND(127).cast("tinyint"))
     rows = leaves.join(classes.select("rid", "n", bytes_of.alias("low")), "rid")
@@ -227,7 +231,7 @@ def intersections(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
 
 def _links(units: DataFrame, ratio: tuple[int, int]) -> DataFrame:
     """Exact links within units of ``unit, side, rid, shingles``: among side 0,
-    and between side 0 and side 1; a spanning forest of them."""
+    and between side 0 and side 1; a star of each component of a unit."""
     num, den = ratio
     rows = units.repartition("unit").sortWithinPartitions("unit", "side", "rid").select("unit", "side", "rid", "shingles")
 
@@ -261,7 +265,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     classes = known.groupBy("set_hash").agg(F.min("doc_id").alias("rid"), F.first("n").alias("n"), F.first("mins").alias("mins"), F.count(F.lit(1)).alias("copies"))
     classes = stage(classes, "classes")
     leaves, levels = _leaves(classes, trees, depth, leaf, 32)
-    groups = stage(label_components(_candidates(leaves, classes, threshold)), "groups")
+    groups = label_components(_candidates(leaves, classes, threshold))
     discard(*levels)
     sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     members = lookup(groups.select(F.col("node").alias("rid"), "component"), sizes, "component", "size", groups.count())
@@ -274,7 +278,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     sets = stage(sets.withColumn("large", ~small).withColumn("blocks", blocks).withColumn("block", F.when(small, F.lit(0)).otherwise(own)), "sets")
     links = _links(sets.where("not large").select(F.col("component").alias("unit"), F.lit(0).alias("side"), "rid", "shingles"), ratio)
     if sets.where("large").limit(1).count():
-        links = stage(links, "links").union(_large_links(sets.where("large"), ratio, block))
+        links = links.union(_large_links(sets.where("large"), ratio, block))
     final = label_components(links)
     discard(groups, sets)
     # equal sets are of one class and of its component; copies may be a great share of all rows
@@ -314,19 +318,19 @@ def _large_links(sets: DataFrame, ratio: tuple[int, int], block: int) -> DataFra
     pivot = F.pmod(F.xxhash64("rid", F.lit(3)), F.col("size")) < block
     place = F.when(pivot, F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array("block"))
     first = sets.select("component", "rid", "shingles", F.explode(place).alias("block")).select(F.xxhash64("component", "block").alias("unit"), F.lit(0).alias("side"), "rid", "shingles")
-    links = stage(_links(first, ratio), "links")
-    labels = label_components(links)
-    named = sets.select("component", "rid", "size").distinct().join(labels.select(F.col("node").alias("rid"), F.col("component").alias("label")), "rid", "left").withColumn("label", F.coalesce("label", "rid"))
+    labels = label_components(_links(first, ratio))
+    named = sets.select("component", "rid", "size").dropDuplicates(["rid"]).join(labels.select(F.col("node").alias("rid"), F.col("component").alias("label")).hint("merge"), "rid", "left").withColumn("label", F.coalesce("label", "rid"))
     named = stage(named, "labels")
     counts = named.groupBy("component", "label").agg(F.count(F.lit(1)).alias("members"))
     # one row a large group; groups that are one component by now are done
     mains = counts.groupBy("component").agg(F.max_by("label", F.struct("members", F.col("label"))).alias("main"), F.sum("members").alias("members"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
     open_ = lookup(named.select("component", "rid", "label"), mains, "component", "members", named.count())
-    open_ = stage(open_.select("rid", "label", (F.col("label") != F.col("main")).alias("rest")), "open")
-    rows = stage(sets.select("component", "rid", "shingles").join(open_.hint("merge"), "rid").withColumn("sid", F.xxhash64("shingles")).withColumn("n", (F.length("shingles") / 8).cast("int")), "open-sets")
+    open_ = open_.select("rid", "label", (F.col("label") != F.col("main")).alias("rest"))
+    rows = sets.select("component", "rid", "shingles").join(open_.hint("merge"), "rid").withColumn("sid", F.xxhash64("shingles")).withColumn("n", (F.length("shingles") / 8).cast("int"))
+    rows = stage(rows.dropDuplicates(["rid", "sid"]), "open-sets")
     rare = _rare_links(rows, ratio, block)
-    discard(named, open_, rows)
-    return links.union(rare)
+    discard(named, rows)
+    return labels.select(F.col("node").alias("a"), F.col("component").alias("b")).where("a <> b").union(rare)
 
 
 def _words_of(rows: DataFrame) -> DataFrame:
@@ -366,34 +370,37 @@ def _rare_units(rows: DataFrame, ratio: tuple[int, int], block: int) -> tuple[Da
     entries = entries.withColumn("reach", F.floor(((num + den) * F.col("left") - num * F.col("n")) / num)).select(F.col("token.word").alias("word"), *ids, "n", "label", "rest", "reach")
     entries = stage(entries, "entries")
     lists = entries.groupBy("word").agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("least"), F.max("rest").alias("any"), F.min("label").alias("low"), F.max("label").alias("high"))
-    near = lookup(entries, lists.where("k > 1 and any and low < high").select("word", "k", "least"), "word", "k", entries.count()).where("reach >= least").drop("k", "least")
-    near = stage(near, "near")
+    near = lookup(entries, lists.where("k > 1 and any and low < high").select("word", "k", "least"), "word", "k", entries.count()).where("reach >= least")
     # a list falls into bands of sizes: one of rest seeks in the bands it can reach, all are sought in their own
     width = max(math.log(den / num) / BANDS, 1e-3)
     band = lambda n: F.floor(F.log(n.cast("double")) / width).cast("int")
     most = F.least(F.col("reach"), F.floor(F.col("n") * den / num))
-    bands = F.sequence(band(F.ceil(F.col("n") * num / den)), band(most))
+    bands = F.when(F.col("rest"), F.sequence(band(F.ceil(F.col("n") * num / den)), band(most)))
     own = [*ids, "n", "label", "reach"]
-    seeking = near.where("rest").select("word", *own, F.explode(bands).alias("band")).select(F.xxhash64("word", "band").alias("cell"), *own)
-    sought = near.select(F.xxhash64("word", band(F.col("n"))).alias("cell"), *own)
-    tables = [entries, near]
-    for last in (False, True):
-        # what nothing in its cell can meet from the other side is dropped; the rest is counted
-        of = lambda side, n: side.groupBy("cell").agg(F.count(F.lit(1)).alias(n), F.min("n").alias(f"{n}_least"), F.max("reach").alias(f"{n}_reach"))
-        cells = of(seeking, "r").join(of(sought, "k"), "cell")
-        found = [lookup(side, cells, "cell", n, near.count()) for side, n in ((seeking, "r"), (sought, "k"))]
-        if last:
-            break
-        seeking, sought = (stage(side.where(f"reach >= {n}_least and n <= {n}_reach").select("cell", *own), "cells") for side, n in zip(found, "kr"))
-        tables += [seeking, sought]
-    seeking, sought = found
-    # cells beyond a block are compared in blocks
+    at = lambda side: lambda b: F.struct(F.lit(side).alias("side"), F.xxhash64("word", b).alias("cell"))
+    places = F.concat(F.array(at(1)(band(F.col("n")))), F.coalesce(F.transform(bands, at(0)), F.array().cast("array<struct<side:int,cell:bigint>>")))
+    cells = stage(near.select(*own, F.explode(places).alias("at")).select("at.cell", "at.side", *own), "cells")
+
+    def counted(rows: DataFrame, total: int) -> DataFrame:
+        of = lambda side, n: (F.count_if(F.col("side") == side).alias(n), F.min(F.when(F.col("side") == side, F.col("n"))).alias(f"{n}_least"), F.max(F.when(F.col("side") == side, F.col("reach"))).alias(f"{n}_reach"))
+        known = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("all"), *of(0, "r"), *of(1, "k")).where("r > 0 and k > 0")
+        return lookup(rows, known, "cell", "all", total)
+
+    # what nothing in its cell can meet from the other side is dropped
+    met = counted(cells, cells.count()).where("if(side = 0, reach >= k_least and n <= k_reach, reach >= r_least and n <= r_reach)")
+    met = stage(met.select("cell", "side", *own, "r", "k"), "met")
+    # cells beyond a block are compared in blocks, by what is left in them
+    beyond = (F.col("r") > block) | (F.col("k") > block)
+    many = met.where(beyond).count()
+    units = met.where(~beyond)
+    if many:
+        units = units.unionByName(counted(met.where(beyond).drop("r", "k"), many).select(*met.columns))
     across, down = F.ceil(F.col("k") / block).cast("long"), F.ceil(F.col("r") / block).cast("long")
     i, j = F.pmod(F.xxhash64(*ids, F.lit(4)), down), F.pmod(F.xxhash64(*ids, F.lit(5)), across)
-    to = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
-    seeking = seeking.select("cell", *own, i.alias("i"), F.explode(to(across)).alias("j"), F.lit(0).alias("side"))
-    sought = sought.select("cell", *own, F.explode(to(down)).alias("i"), j.alias("j"), F.lit(1).alias("side"))
-    return seeking.unionByName(sought).select(F.xxhash64("cell", "i", "j").alias("unit"), "side", *own), tables
+    seeks = F.col("side") == 0
+    units = units.withColumns({"i": i, "j": j, "times": F.sequence(F.lit(0).cast("long"), F.when(seeks, across).otherwise(down) - 1)})
+    units = units.select("cell", "side", *own, "i", "j", F.explode("times").alias("time"))
+    return units.select(F.xxhash64("cell", F.when(seeks, F.col("i")).otherwise(F.col("time")), F.when(seeks, F.col("time")).otherwise(F.col("j"))).alias("unit"), "side", *own), [entries, cells, met]
 
 
 def meetings(n: np.ndarray, reach: np.ndarray, other_n: np.ndarray, other_reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -408,7 +415,7 @@ def meetings(n: np.ndarray, reach: np.ndarray, other_n: np.ndarray, other_reach:
 
 
 def _rare_links(rows: DataFrame, ratio: tuple[int, int], block: int) -> DataFrame:
-    """Links of sets (``component, rid, sid, n, label, rest, shingles``; staged)
+    """Links of sets (``component, rid, sid, n, label, rest, shingles``; staged, no set of a rid twice)
     that ``rest`` marks to sets of other labels in their component.
 
     A set's tokens are ordered from the rarest in its component to the most
@@ -445,7 +452,10 @@ def _rare_links(rows: DataFrame, ratio: tuple[int, int], block: int) -> DataFram
 
     pairs = units.select("unit", "side", *ids, "n", "label", "reach").mapInArrow(meet, "x long, xs long, y long, ys long").distinct()
     pairs = stage(pairs, "pairs")
-    full = _beside(_beside(pairs, rows, "x", "xs", "a_set"), rows, "y", "ys", "b_set")
+    needs = pairs.select(F.col("x").alias("rid"), F.col("xs").alias("sid")).union(pairs.select("y", "ys")).groupBy("rid", "sid").agg(F.count(F.lit(1)).alias("n"))
+    most = max(PAIRS_A_TASK, 2 * pairs.count() // HOT_SHARE)
+    many = stage(needs.where(F.col("n") > most).select("rid", "sid", F.ceil(F.col("n") / PAIRS_A_TASK).cast("long").alias("parts")).coalesce(LEAST_TASKS), "many")
+    full = _beside(_beside(pairs, rows, many, "x", "xs", "a_set"), rows, many, "y", "ys", "b_set")
 
     def verify() -> object:
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -459,7 +469,7 @@ def _rare_links(rows: DataFrame, ratio: tuple[int, int], block: int) -> DataFram
         return each
 
     links = stage(map_arrow(full, verify, "a long, b long"), "links")
-    discard(*tables, pairs)
+    discard(*tables, pairs, many)
     return links
 
 
@@ -467,17 +477,17 @@ def _rare_links(rows: DataFrame, ratio: tuple[int, int], block: int) -> DataFram
 PAIRS_A_TASK = 1000
 
 
-def _beside(pairs: DataFrame, rows: DataFrame, rid: str, sid: str, out: str) -> DataFrame:
-    """pairs with the set of one side; a set that many pairs need is sent to several tasks."""
-    key = F.struct(F.col(rid), F.col(sid))
-    keyed = pairs.withColumn("_key", key)
-    counts = keyed.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"))
-    keyed = lookup(keyed, counts, "_key", "_n", pairs.count())
-    parts = F.ceil(F.col("_n") / PAIRS_A_TASK).cast("long")
-    keyed = keyed.withColumn("_part", F.pmod(F.xxhash64("x", "xs", "y", "ys"), parts)).drop("_n")
-    sets = rows.select(F.struct(F.col("rid").alias(rid), F.col("sid").alias(sid)).alias("_key"), F.col("shingles").alias(out)).dropDuplicates(["_key"])
-    sent = sets.join(counts, "_key").select("_key", out, F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("_part"))
-    return keyed.join(sent.hint("merge"), ["_key", "_part"]).drop("_key", "_part")
+def _beside(pairs: DataFrame, rows: DataFrame, many: DataFrame, rid: str, sid: str, out: str) -> DataFrame:
+    """pairs with the set of one side; a set that many pairs need is sent to several tasks.
+
+    ``many`` has those sets and their ``parts``, at most HOT_SHARE of each side; it is broadcast.
+    """
+    spread = F.broadcast(many.select(F.col("rid").alias(rid), F.col("sid").alias(sid), F.col("parts").alias("_parts")))
+    parts = F.coalesce("_parts", F.lit(1).cast("long"))
+    keyed = pairs.join(spread, [rid, sid], "left").withColumn("_part", F.pmod(F.xxhash64("x", "xs", "y", "ys"), parts)).drop("_parts")
+    sets = rows.select(F.col("rid").alias(rid), F.col("sid").alias(sid), F.col("shingles").alias(out)).join(spread, [rid, sid], "left")
+    sent = sets.select(rid, sid, out, F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("_part"))
+    return keyed.join(sent.hint("merge"), [rid, sid, "_part"]).drop("_part")
 
 
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options: object) -> DataFrame:

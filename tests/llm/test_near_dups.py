@@ -171,3 +171,27 @@ def test_hot_keys_take_the_other_way_to_the_same_result(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r["doc_id"]: r["component_id"] for r in near_dups.near_duplicates(df, shingle=3, ratio=(85, 100), leaf=4, block=4, depth=3).collect()}
     assert got == brute(rows, 3, 85, 100)
+
+
+def test_stars_take_no_step(spark, monkeypatch):
+    from cadenza.llm import common
+
+    staged = []
+    monkeypatch.setattr(common, "stage", lambda df, tag, inner=common.stage: (staged.append(tag), inner(df, tag))[1])
+    links = [(1, i) for i in range(2, 50)] + [(i, 100) for i in range(101, 150)] + [(101, 100), (100, 101), (200, 201)]
+    out = label_components(spark.createDataFrame(links, "a long, b long").repartition(8))
+    assert {r["node"]: r["component"] for r in out.collect()} == {n: 1 if n < 50 else 100 if n < 200 else 200 for link in links for n in link if n != 100} | {100: 100}
+    assert len(staged) == 2, staged
+
+
+def test_jobs_of_a_large_group_are_few(spark):
+    """What a group beyond a block costs before any row of it: jobs, each of as many tasks as there are partitions."""
+    rows = boilerplate(300)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    sc = spark.sparkContext
+    sc.setJobGroup("large-group", "")
+    out = {r["doc_id"]: r["component_id"] for r in near_dups.near_duplicates(df, shingle=3, ratio=(85, 100), leaf=32, block=32).collect()}
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert out == {i: i for i, _ in rows} | {300 + k: k * 7 for k in range(5)}
+    jobs = len(sc.statusTracker().getJobIdsForGroup("large-group"))
+    assert 0 < jobs <= 180, jobs
