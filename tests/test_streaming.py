@@ -1,6 +1,7 @@
 """Live operators over several triggers, and the search of laps."""
 
 import random
+import statistics
 from datetime import datetime, timedelta
 
 import duckdb
@@ -78,6 +79,25 @@ def test_laps_are_found_without_python(spark):
     assert "Python" not in plan and "InPandas" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
+def test_passes_of_an_anchor_are_thinned_once(spark):
+    """Laps of anchors with many passes, as a plain loop finds them; the loop over all passes stands once in the plan."""
+    rng, rows, want = random.Random(8), [], {}
+    for anchor, (n, scatter) in enumerate(((200, 20), (90, 250), (3, 0), (2, 0), (120, 900))):
+        at, marks = 0.0, []
+        for i in range(n):
+            at += rng.choice((5.0, 650.0 + rng.uniform(0, scatter)))
+            rows.append(("r", anchor, i, at))
+            if not marks or at - marks[-1][1] > ModelConfig().min_lap_metres:
+                marks.append((i, at))
+        pairs = [(a[0], b[0], b[1] - a[1]) for a, b in zip(marks, marks[1:])]
+        sizes = [p[2] for p in pairs]
+        if len(pairs) >= 2 and statistics.pstdev(sizes, mid := statistics.median(sizes)) / mid <= laps.SCATTER:
+            want[anchor] = [p[:2] for p in pairs if 0.7 * mid < p[2] < 1.4 * mid]
+    found = laps.anchor_laps(spark.createDataFrame(rows, "ride_id string, anchor long, i long, dist double"), ModelConfig())
+    assert {r["anchor"]: [(p["i0"], p["i1"]) for p in r["laps"]] for r in found.collect()} == {k: v for k, v in want.items() if len(v) >= 2}
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") <= 2
+
+
 def test_laps_from_a_placed_line(spark):
     """A line a few metres off the road: laps begin where the ride is nearest to it; one far off gives those found by search."""
     grid = circuits.circuit_rides(spark, "/root/testdata/sf0.001").where("ride_id = '0'").cache()
