@@ -1,12 +1,15 @@
 import math
 import random
+from decimal import ROUND_HALF_UP, Decimal
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from cadenza.operators import aggregates, folds, islands, joins, series
 from cadenza.operators.resample import crop, marker_indices, resample, too_short_or_long
 from cadenza.operators.series import Series
+from cadenza.queries import QUERIES
 
 S = Series(("k",), ("i",))
 
@@ -134,3 +137,39 @@ def test_empty_tables(spark):
     assert series.power_mean(empty, S, "x").count() == 0
     assert islands.runs(empty, S, F.col("x") > 1).count() == 0
     assert folds.spacing_filter(empty, S, "x", 1.0).count() == 0
+
+
+def test_means_do_not_depend_on_the_order_of_rows(spark):
+    rng = random.Random(4)
+    series_of = {k: [round(rng.uniform(0, 500), 2) for _ in range(32)] for k in range(60)} | {100: [1e300, -1e300, 5.0], 101: [None, 1.5], 102: [None], 103: [float("nan"), 1.0], 104: [1 / 3] * 7}
+    rows = [(k, v) for k, values in series_of.items() for v in values]
+    want = {k: float(sum(map(Decimal, map(str, v))) / 32) for k, v in series_of.items() if k < 60}
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "k long, x double").repartition(5)
+        got = {r["k"]: r["m"] for r in df.groupBy("k").agg(aggregates.steady_mean(F.col("x")).alias("m")).collect()}
+        assert {k: got[k] for k in want} == want
+        assert got[100] in (5 / 3, 0.0) and got[101] == 1.5 and got[102] is None and math.isnan(got[103]) and got[104] == pytest.approx(1 / 3, abs=1e-15)
+
+
+def test_sectors_and_surges_round_exact_means(spark, tmp_path):
+    """Means of 32 values that end in half a millionth: each rounds up, in whatever order the rows lie."""
+    rng, rows, cells, surges = random.Random(9), [], {}, {}
+    add = lambda user, kind, value: rows.append((len(rows), user, kind, value))
+    mean = lambda values: float((sum(map(Decimal, map(str, values))) / 32).quantize(Decimal("1e-6"), ROUND_HALF_UP))
+    for user in range(40):
+        for kind in ("click", "view", "error"):
+            cells[user, kind] = mean(values := [round(rng.uniform(0, 500), 2) for _ in range(32)])
+            for v in values:
+                add(user, kind, v)
+    for user in range(100, 160):
+        effort = [5.0, *(round(rng.uniform(200, 500), 2) for _ in range(30)), 5.0]
+        surges[str(user)] = mean(effort)
+        for v in [*[5.0] * 10, *effort, *[5.0] * 10]:
+            add(user, "view", v)
+    for order in (1, -1):
+        (folder := tmp_path / f"sf{order}").mkdir()
+        frame = pd.DataFrame(rows, columns=["event_id", "user_id", "event_type", "value"])[::order]
+        frame.assign(ts=(pd.Timestamp("2024-01-01") + pd.to_timedelta(frame["event_id"], "s")).astype("datetime64[us]"), props="").to_parquet(folder / "events.parquet", index=False)
+        found = {(r["user_id"], r["event_type"]): r["ratio"] for r in QUERIES["sector_grid"](spark, str(folder)).where("user_id < 100").collect()}
+        assert found == cells
+        assert {r["ride_id"]: r["avg"] for r in QUERIES["surge_report"](spark, str(folder)).where("ride_id >= 100").collect()} == surges
