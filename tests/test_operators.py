@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from cadenza.operators import aggregates, folds, islands, joins, series
 from cadenza.operators.resample import crop, marker_indices, resample, too_short_or_long
 from cadenza.operators.series import Series
+from cadenza.plans.mean_lap import stacked
 from cadenza.queries import QUERIES
 
 S = Series(("k",), ("i",))
@@ -173,3 +174,13 @@ def test_sectors_and_surges_round_exact_means(spark, tmp_path):
         found = {(r["user_id"], r["event_type"]): r["ratio"] for r in QUERIES["sector_grid"](spark, str(folder)).where("user_id < 100").collect()}
         assert found == cells
         assert {r["ride_id"]: r["avg"] for r in QUERIES["surge_report"](spark, str(folder)).where("ride_id >= 100").collect()} == surges
+
+
+def test_median_of_lists_is_the_percentile(spark):
+    rng = random.Random(6)
+    rows = [(k, rng.choice((None, 1.0, rng.uniform(-9, 9)))) for k in range(300) for _ in range(k % 7)] + [(300, float("nan")), (300, 2.0), (300, 1.0), (301, float("inf")), (301, 1.0)]
+    df = spark.createDataFrame(rows, "k long, x double")
+    both = df.groupBy("k").agg(aggregates.gathered_median(F.col("x")).alias("a"), F.percentile("x", F.lit(0.5)).alias("b"))
+    assert both.where("not (a <=> b)").count() == 0 and both.count() > 250
+    # of places on a line there are very many
+    assert "percentile(" not in stacked(df.withColumn("j", F.col("k")), ("k",), "j", ["x"], 3)._jdf.queryExecution().optimizedPlan().toString()
