@@ -117,6 +117,16 @@ def test_race_window(report):
     assert race_window.worth_trimming(report["race_window"]).count() == len(w)
 
 
+def test_distances_to_a_line_by_two_radii(spark):
+    """The near radius only saves pairs: points near, far, beyond both and of a ride without a line."""
+    line = spark.createDataFrame([("a", j, 45.0, 7.0, 2.0 * j, 0.0) for j in range(200)], "ride_id string, j long, lat double, lon double, x double, y double")
+    points = spark.createDataFrame([(r, i, 45.0 + 7 * i % 260 / 111_320, 7.0 + 3 * i / 80_000) for r in "ab" for i in range(150)], "ride_id string, i long, lat double, lon double")
+    one, two = ({(r["ride_id"], r["i"]): r["d"] for r in race_window.distance_to_line(points, line, 3, 180.0, "d", close).collect()} for close in (None, 25.0))
+    assert one == two and len(one) == 300 and {d is None for (ride, _), d in one.items() if ride == "b"} == {True}
+    known = [d for d in one.values() if d is not None]
+    assert min(known) < 25 < max(known) < 180 and len(known) < 150
+
+
 def test_degraded_rides(report):
     s = one(report, "summary", "no-gps")[0]
     assert s["laps"] == 0 and s["lap_source"] == "none" and s["turns"] == 0 and s["np"] > 0
